@@ -54,6 +54,12 @@ def all_of(conds: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a & b, conds, F.lit(True))
 
 
+def round_at(x: Column, digits: int) -> Column:
+    """Round half up by plain double arithmetic, so other engines agree bit for bit."""
+    scale = 10.0**digits
+    return F.floor(x * scale + 0.5) / scale
+
+
 def round_half_even(x: str | Column) -> Column:
     """Nearest integer, ties to even, as a double."""
     return F.bround(col(x), 0)
