@@ -60,14 +60,14 @@ def _pat02(t):
 
 CONTEXT_SQL = """bx as (select date, close, lag(close,5) over (order by date) as c5, first_value(close) over (order by date rows 5 preceding) as c0,
        row_number() over (order by date) as rn from bench),
-b5 as (select date, round((close-c0)/c0*100,4) as r from bx where rn >= 2),
+b5 as (select date, (close-c0)/c0*100 as r from bx where rn >= 2),
 fl as (select date, net_value from day_flows where extract(day from date) <> 15
        union all select date, lv from (select date, (level - lag(level) over (order by date))*0.263 as lv
          from (select date, sum(volume) as level from bars group by 1) q) z where lv is not null
          and date not in (select date from day_flows where extract(day from date) <> 15)),
 f3 as (select date, sum(net_value) over (order by date rows 2 preceding) as s from fl),
 days as (select date from bench union select date from fl union select date from vix),
-ctx as (select d.date, coalesce(b5.r,0) as nifty_trend_5d, round(coalesce(f3.s,0),2) as fii_net_3d, coalesce(v.vix,0) as vix_level,
+ctx as (select d.date, coalesce(b5.r,0) as nifty_trend_5d, coalesce(f3.s,0) as fii_net_3d, coalesce(v.vix,0) as vix_level,
        case when v.vix is null or v.vix <= 0 then '' when v.vix < 13 then 'low' when v.vix <= 18 then 'normal' when v.vix <= 25 then 'elevated' else 'extreme' end as vix_regime
        from days d asof left join b5 on d.date > b5.date asof left join f3 on d.date > f3.date left join vix v on v.date = d.date)"""
 

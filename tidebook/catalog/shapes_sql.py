@@ -10,7 +10,7 @@ SHAPES: dict[str, str] = {
         from (select p_brand, l_shipdate, l_quantity, (floor(l_extendedprice/l_quantity*10000.0::double+0.5)/10000.0::double) as px,
               l_orderkey*1000000.0 + l_partkey*100.0 + l_linenumber*10 + (floor(l_extendedprice/l_quantity*10000.0::double+0.5)/10000.0::double)/1e6 as o
               from lineitem join part on l_partkey=p_partkey) t group by 1,2""",
-    "bench": "select date, floor(avg(close)*10000.0::double+0.5)/10000.0::double as close from bars group by 1",
+    "bench": "select date, avg(close) as close from bars group by 1",
     "nav": """select l_suppkey as scheme_code, cast(l_shipdate as date) as date,
         floor(sum(l_extendedprice)/sum(l_quantity)*10000.0::double+0.5)/10000.0::double as nav from lineitem group by 1,2""",
     "chain": """select l_suppkey % 4 as symbol, cast(date_trunc('month',l_shipdate) as date) as snap_date,
@@ -23,6 +23,12 @@ SHAPES: dict[str, str] = {
         24000.0::double + 50.0*((l_partkey % 11) - 5) as strike,
         case when l_orderkey % 2 = 0 then 'CE' else 'PE' end as option_type,
         max(l_quantity) as ltp, cast(sum(l_quantity) as bigint)*100 as oi from lineitem group by 1,2,3,4,5""",
+    "chain_d": """select 0::bigint as symbol, cast(l_shipdate as date) as snap_date,
+        cast(date_trunc('week', cast(l_shipdate as date) + 5) as date) + 1 as expiry,
+        24000.0::double + 50.0*((l_partkey % 5) - 2) as strike,
+        case when l_orderkey % 2 = 0 then 'CE' else 'PE' end as option_type,
+        max(l_quantity) as ltp, cast(sum(l_quantity) as bigint)*100 as oi from lineitem group by 1,2,3,4,5""",
+    "settle_d": "select 0::bigint as symbol, date as expiry, 23950.0::double + vix*3.0::double as spot_expiry from vix where spot > 0",
     "flows": """select cast(o_orderdate as date) as date, o_orderpriority as entity,
         floor(sum(case when o_orderstatus='F' then o_totalprice else -o_totalprice end)*100.0::double+0.5)/100.0::double as net_value
         from orders group by 1,2""",

@@ -26,7 +26,9 @@ def pct_change(cur: str | Column, base: str | Column) -> Column:
 
 
 def clip(c: str | Column, lo: float, hi: float) -> Column:
-    return F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), col(c)))
+    """Clamp; NULL stays NULL (greatest and least would skip it)."""
+    v = col(c)
+    return F.when(v.isNotNull(), F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), v)))
 
 
 def flag(cond: Column) -> Column:

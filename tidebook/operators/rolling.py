@@ -103,6 +103,26 @@ class Series:
         return F.when(F.size(arr) >= min_periods, (less + (same + 1) / 2.0) / F.size(arr) * 100)
 
 
+def trailing_sums(df: DataFrame, s: Series, n: int, cols: dict[str, Column], skip_current: bool = False) -> DataFrame:
+    """Sums over the last n rows (or the n rows before the current one) as
+    differences of running sums: linear in the series length, where a sliding
+    frame re-reads n rows for every row."""
+    d = df.withColumns({f"_cum_{o}": F.coalesce(F.sum(c).over(s.all_before()), F.lit(0.0)) for o, c in cols.items()})
+    out = {}
+    for o in cols:
+        cum = F.col(f"_cum_{o}")
+        newest = F.lag(cum, 1).over(s.w) if skip_current else cum
+        oldest = F.lag(cum, n + 1 if skip_current else n).over(s.w)
+        out[o] = F.coalesce(newest, F.lit(0.0)) - F.coalesce(oldest, F.lit(0.0))
+    return d.withColumns(out).drop(*[f"_cum_{o}" for o in cols])
+
+
+def sample_variance(total: Column, squares: Column, n: Column) -> Column:
+    """Sample variance from sums; differences at rounding level count as 0."""
+    v = (squares - total * total / F.nullif(n, F.lit(0.0))) / F.nullif(n - 1, F.lit(0.0))
+    return F.when(F.abs(v) <= 1e-13 * F.abs(squares), F.lit(0.0)).otherwise(v)
+
+
 def crossover(df: DataFrame, s: Series, value: str, base: str, out: str) -> DataFrame:
     """+1 when value crosses above base on this row, -1 below, else 0."""
     d = F.col(value) - F.col(base)

@@ -106,7 +106,7 @@ def context(bench: DataFrame, flows: DataFrame, vix: DataFrame, fallback: DataFr
     w = W.partitionBy(one).orderBy("date")
     last6 = F.collect_list("close").over(w.rowsBetween(-5, 0))
     b = bench.select("date", last6.alias("_c")).where(F.size("_c") >= 2)
-    b = b.select("date", F.round((F.element_at("_c", -1) - F.element_at("_c", 1)) / F.element_at("_c", 1) * 100, 4).alias("nifty_trend_5d"))
+    b = b.select("date", pct_change(F.element_at("_c", -1), F.element_at("_c", 1)).alias("nifty_trend_5d"))
     fl = flows
     if fallback is not None:
         alt = fallback.withColumn("net_value", (F.col("level") - F.lag("level").over(w)) * FALLBACK_SCALE)
@@ -118,7 +118,7 @@ def context(bench: DataFrame, flows: DataFrame, vix: DataFrame, fallback: DataFr
     j = j.join(vix.select("date", F.col("vix").alias("vix_level")), "date", "left")
     return j.select(
         "date", F.coalesce("nifty_trend_5d", F.lit(0.0)).alias("nifty_trend_5d"),
-        F.round(F.coalesce("fii_net_3d", F.lit(0.0)), 2).alias("fii_net_3d"),
+        F.coalesce("fii_net_3d", F.lit(0.0)).alias("fii_net_3d"),
         F.coalesce("vix_level", F.lit(0.0)).alias("vix_level"), vix_regime("vix_level").alias("vix_regime"),
     )
 

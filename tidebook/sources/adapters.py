@@ -43,7 +43,7 @@ class Tables:
     @cached_property
     def bench(self) -> DataFrame:
         """Market average close per day."""
-        return self.bars.groupBy("date").agg(round_at(F.avg("close"), 4).alias("close"))
+        return self.bars.groupBy("date").agg(F.avg("close").alias("close"))
 
     @cached_property
     def nav(self) -> DataFrame:
@@ -73,6 +73,23 @@ class Tables:
             F.when(F.col("l_orderkey") % 2 == 0, "CE").otherwise("PE").alias("option_type"),
         ).agg(F.max("l_quantity").alias("ltp"), (F.sum("l_quantity").cast("bigint") * 100).alias("oi"))
 
+    @cached_property
+    def chain_d(self) -> DataFrame:
+        """Daily snapshots of five strikes with weekly Tuesday expiries."""
+        ship = F.to_date("l_shipdate")
+        return self.raw("lineitem").groupBy(
+            F.lit(0).cast("bigint").alias("symbol"), ship.alias("snap_date"),
+            F.date_add(F.trunc(F.date_add(ship, 5), "week"), 1).alias("expiry"),
+            (24000.0 + 50.0 * ((F.col("l_partkey") % 5) - 2)).alias("strike"),
+            F.when(F.col("l_orderkey") % 2 == 0, "CE").otherwise("PE").alias("option_type"),
+        ).agg(F.max("l_quantity").alias("ltp"), (F.sum("l_quantity").cast("bigint") * 100).alias("oi"))
+
+    @cached_property
+    def settle_d(self) -> DataFrame:
+        """Settlement spot per weekly expiry; some expiries have none."""
+        v = self.vix.where("spot > 0")
+        return v.select(F.lit(0).cast("bigint").alias("symbol"), F.col("date").alias("expiry"), (23950.0 + F.col("vix") * 3.0).alias("spot_expiry"))
+
     @cached_property
     def flows(self) -> DataFrame:
         signed = F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")).otherwise(-F.col("o_totalprice"))
