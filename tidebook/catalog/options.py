@@ -96,7 +96,7 @@ def _opt06(t):
     return O.oi_walls(t.chain)
 
 
-IV_IN = f"""cr as (select c.*, row_number() over (order by symbol, snap_date, expiry, strike, option_type) as id, spot as s, strike as k, (expiry-snap_date)/365.0::double as t, ltp as p, option_type='CE' as call from {{c}} c join sp using ({G}))"""
+IV_IN = f"""cr as (select c.*, spot, row_number() over (order by symbol, snap_date, expiry, strike, option_type) as id, spot as s, strike as k, (expiry-snap_date)/365.0::double as t, ltp as p, option_type='CE' as call from {{c}} c join sp using ({G}))"""
 
 
 @query("opt07_implied_vol", f"{K} strike:1 option_type:s iv:5",
@@ -192,7 +192,7 @@ def _opt15(t):
     return O.strike_step(t.chain)
 
 
-SPREAD_SQL = legs("ch") + ", ch as (select * from {c} where ltp > 0.05), " + STEP_SQL.format(c="ch", oi=1000) + f""",
+SPREAD_SQL = "ch as (select * from {c} where ltp > 0.05), " + legs("ch") + ", " + STEP_SQL.format(c="ch", oi=1000) + f""",
 ag as (select symbol, snap_date, expiry, arg_min(strike, abs(ce-pe)*1000000+strike) as atm from bl where ce>0.5 and pe>0.5 group by 1,2,3 having count(*) >= 2),
 pd as (select symbol, snap_date as cur, lag(snap_date) over (partition by symbol order by snap_date) as prev from (select distinct symbol, snap_date from ch) z),
 gr(strategy, short_n, wing_m) as (select s, a, b from (values ('iron_condor'),('bull_put'),('bear_call')) x(s), (values (1),(2),(3),(4)) y(a), (values (1),(2),(3),(4)) z(b) union all select 'iron_fly', 0, 4),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidebook.functions.exprs import bucket_label, clip, col, safe_div
+from tidebook.functions.exprs import bucket_label, clip, col, round_at, safe_div
 
 # Volatility bands (upper bound inclusive) and base scores.
 VIX_BANDS = ((13.0, "low"), (18.0, "normal"), (25.0, "elevated"))
@@ -50,7 +50,7 @@ def round_trip_cost(entry: str | Column, exit_: str | Column, side: str, lot: st
     brokerage = F.lit(BROKERAGE * 2 * (1 + GST_RATE))
     exchange = (col(entry) + col(exit_)) * EXCHANGE_PCT
     taxed = col(exit_) if side == "buy" else col(entry)
-    return F.round((brokerage + exchange + taxed * STT_PCT) / col(lot), 4)
+    return round_at((brokerage + exchange + taxed * STT_PCT) / col(lot), 4)
 
 
 def itemised_cost(premium: Column, wing: Column, lot: Column, lots: Column, fly: Column) -> dict[str, Column]:

@@ -241,7 +241,8 @@ def momentum_quintiles(bars: DataFrame, min_stocks: int = 20, cost: float = COST
         F.count(F.lit(1)).alias("n_stocks"), F.avg("fwd").alias("raw_return"), F.median("fwd").alias("median_ret"), F.stddev_samp("fwd").alias("std"))
     g = g.withColumn("net_return", F.col("raw_return") - 2 * cost)
     w = W.partitionBy("quintile").orderBy("month").rowsBetween(W.unboundedPreceding, 0)
-    return g.withColumn("wealth", F.exp(F.sum(F.log1p("net_return")).over(w)))
+    g = g.withColumn("log_wealth", F.sum(F.log1p("net_return")).over(w))
+    return g.withColumn("wealth", F.exp("log_wealth"))
 
 
 def option_signals(chain: DataFrame, vix: DataFrame, lot_size: int, side: str = "buy", step: float = 50.0) -> DataFrame:
