@@ -63,7 +63,7 @@ def sip_sql(p: str, n: int) -> str:
 
 
 @query("mf03_sip_xirr", "scheme_code:l month:d sip_return_1y:3 sip_return_3y:3 sip_return_5y:3",
-       f"with recursive {sip_sql('a', 12)}, {sip_sql('b', 36)}, {sip_sql('c', 60)} select scheme_code, month, af.v as sip_return_1y, bf.v as sip_return_3y, cf.v as sip_return_5y from af join bf using (scheme_code, month) join cf using (scheme_code, month)")
+       f"with recursive {sip_sql('xa', 12)}, {sip_sql('xb', 36)}, {sip_sql('xc', 60)} select scheme_code, month, xaf.v as sip_return_1y, xbf.v as sip_return_3y, xcf.v as sip_return_5y from xaf join xbf using (scheme_code, month) join xcf using (scheme_code, month)")
 def _mf03(t):
     return FU.sip_monthly(t.nav, FU.SIP_COLUMNS)
 
@@ -76,7 +76,7 @@ def _mf04(t):
 
 
 @query("mf05_incremental_enrichment", f"{D} nav:4 return_1m:4 sma_20:7 volatility_1y:4 sip_return_1y:3 week_return_pct:4 ema_20:4",
-       f"""with recursive {NAV_REC}, {RISK_SQL}, {sip_sql('a', 12)}, sf as (select scheme_code, month, coalesce(last_value(nullif(v,0) ignore nulls) over (partition by scheme_code order by month),0) as s from af),
+       f"""with recursive {NAV_REC}, {RISK_SQL}, {sip_sql('xa', 12)}, sf as (select scheme_code, month, coalesce(last_value(nullif(v,0) ignore nulls) over (partition by scheme_code order by month),0) as s from xaf),
        k as (select scheme_code, cast(date_trunc('week',date) as date) as p, min_by(nav,date) as o, max_by(nav,date) as c from nav group by 1,2),
        b as (select n0.scheme_code, n0.date, n0.nav, coalesce((nav-lag(nav,20) over w)/lag(nav,20) over w*100,0) as return_1m, case when n0.rn>=20 then avg(nav) over (partition by scheme_code order by date rows 19 preceding) else 0 end as sma_20, case when n0.rn>=20 then e20 else 0 end as ema_20
          from n0 join ne using (scheme_code, rn) {W_})
@@ -125,8 +125,8 @@ _W9 = {c: w for c, w in FU.WEIGHTS_11.items() if c not in FU.LATE_COLUMNS}
 
 
 @query("mf09_quality_score", "scheme_category:i scheme_code:l first_score:3 quality_score:3",
-       f"""with recursive {RISK_SQL}, {CAP_SQL}, {sip_sql('c', 60)}, pk as (select scheme_code, date, nav, max(nav) over w as p from nav {W_}), px as (select scheme_code, max((p-nav)/p*100) as max_drawdown_pct from pk group by 1),
-       sx as (select scheme_code, coalesce(max_by(nullif(v,0), month),0) as sip_return_5y from cf where v<>0 group by 1),
+       f"""with recursive {RISK_SQL}, {CAP_SQL}, {sip_sql('xc', 60)}, pk as (select scheme_code, date, nav, max(nav) over w as p from nav {W_}), px as (select scheme_code, max((p-nav)/p*100) as max_drawdown_pct from pk group by 1),
+       sx as (select scheme_code, coalesce(max_by(nullif(v,0), month),0) as sip_return_5y from xcf where v<>0 group by 1),
        lt as (select f.scheme_category, f.scheme_code, coalesce((pow(n.nav/n.past,1.0::double)-1)*100,0) as cagr_5y, coalesce(sip_return_5y,0) as sip_return_5y, max_drawdown_pct, r.* exclude (scheme_code, date) from funds f
          join (select scheme_code, max_by(nav,date) as nav, max_by(past,date) as past from (select scheme_code, date, nav, lag(nav,252) over w as past from nav {W_}) z group by 1) n using (scheme_code)
          join (select scheme_code, max(date) as date from nav group by 1) q using (scheme_code) join rk r on r.scheme_code=q.scheme_code and r.date=q.date join px on px.scheme_code=f.scheme_code left join sx on sx.scheme_code=f.scheme_code),

@@ -120,8 +120,8 @@ def _fn12(t):
 
 
 @query("fn13_trade_costs", "trade_id:l buy:4 sell:4 brok:2 stt:2 exch:2 total_cost:2",
-       """with c as (select *, greatest(entry_premium-pnl_pts/2,0) as ex from outcomes), d as (select *, case when lots=3 then 8 else 4 end*20*1.18::double as b, entry_premium*0.0005::double*lot_size*lots*2 as s, (entry_premium+5)*lot_size*lots*0.0005::double*2 as x from c)
-       select trade_id, (40*1.18::double+(entry_premium+ex)*0.0005::double+ex*0.0005::double)/lot_size as buy, (40*1.18::double+(entry_premium+ex)*0.0005::double+entry_premium*0.0005::double)/lot_size as sell, b as brok, s as stt, x as exch, b+s+x as total_cost from d""".replace("total_cost from d", "total_cost from d"))
+       """with c as (select *, greatest(entry_premium-pnl_pts/2,0) as ex from outcomes), d as (select *, floor((case when lots=3 then 8 else 4 end*20.0::double*1.18::double)*100.0::double+0.5)/100.0::double as b, floor((entry_premium*0.0005::double*lot_size*lots*2)*100.0::double+0.5)/100.0::double as s, floor(((entry_premium+5)*lot_size*lots*0.0005::double*2)*100.0::double+0.5)/100.0::double as x from c)
+       select trade_id, (40*1.18::double+(entry_premium+ex)*0.0005::double+ex*0.0005::double)/lot_size as buy, (40*1.18::double+(entry_premium+ex)*0.0005::double+entry_premium*0.0005::double)/lot_size as sell, b as brok, s as stt, x as exch, b+s+x as total_cost from d""")
 def _fn13(t):
     d = t.outcomes.withColumn("ex", F.greatest(F.col("entry_premium") - F.col("pnl_pts") / 2, F.lit(0.0)))
     c = M.itemised_cost(F.col("entry_premium"), F.lit(5.0), F.col("lot_size"), F.col("lots"), F.col("lots") == 3)
@@ -144,10 +144,10 @@ def _fn15(t):
 
 
 @query("fn16_display_labels", "trade_id:l age:s size:s money:s",
-       """with d as (select trade_id, cast(epoch(timestamp '2024-02-01') as bigint)-cast(epoch(date_trunc('second',exit_time)) as bigint) as s, lots*trade_id*1000 as n, trade_id*12.5 as m from outcomes)
+       """with d as (select trade_id, cast(epoch(timestamp '2024-02-01') as bigint)-cast(epoch(date_trunc('second',exit_time)) as bigint) as s, lots*trade_id*1024+512 as n, trade_id*12.5 as m from outcomes)
        select trade_id, case when s<60 then s||'s ago' when s<3600 then (s//60)||'m ago' when s<86400 then (s//3600)||'h ago' else (s//86400)||'d ago' end as age,
        case when n<1024 then n||' B' when n<1048576 then printf('%.1f KiB', n/1024.0::double) when n<1073741824 then printf('%.1f MiB', n/1048576.0::double) else printf('%.1f GiB', n/1073741824.0::double) end as size, format('{:,.1f}', m) as money from d""")
 def _fn16(t):
     s = F.unix_timestamp(F.to_timestamp(F.lit("2024-02-01 00:00:00"))) - F.unix_timestamp("exit_time")
-    n = F.col("lots") * F.col("trade_id") * 1000
+    n = F.col("lots") * F.col("trade_id") * 1024 + 512
     return t.outcomes.select("trade_id", M.age_label(s).alias("age"), M.size_label(n).alias("size"), F.format_number(F.col("trade_id") * 12.5, 1).alias("money"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidebook.functions.exprs import col
+from tidebook.functions.solvers import implied_vol_column
 
 # Polynomial coefficients of 26.2.17.
 _P = 0.2316419
@@ -75,39 +76,15 @@ LIVE = IvVariant(0.25, 50, 0.001, 1e-8, 0.01, 5.0, 0.0, 0.15)
 
 
 def implied_vol(s, k, t, r: float, ltp, is_call: Column, v: IvVariant) -> Column:
-    """Newton iteration as a fold over a fixed step count, frozen once the
-    price error is inside the tolerance or vega vanishes."""
+    """Newton implied volatility; rows outside the price limits, or without a
+    solution, get the variant's unsolved value."""
     s, k, t, ltp = (col(c).cast("double") for c in (s, k, t, ltp))
-    rate = F.lit(float(r))
-    dead_is_null = v.unsolved is None
-
-    def step(st: Column, _: Column) -> Column:
-        sig = st["sigma"]
-        veg = vega(s, k, t, rate, sig)
-        diff = price(s, k, t, rate, sig, is_call) - ltp
-        nxt = F.greatest(F.lit(v.lo), F.least(F.lit(v.hi), sig - diff / veg))
-        dead = veg < v.vega_min
-        moved = F.struct(nxt.alias("sigma"), (F.abs(diff) < v.tol).alias("done"), F.lit(False).alias("dead"))
-        stop = F.struct(sig.alias("sigma"), F.lit(True).alias("done"), F.lit(True).alias("dead"))
-        return F.when(st["done"], st).when(dead, stop).otherwise(moved)
-
-    init = F.struct(F.lit(float(v.start)).alias("sigma"), F.lit(False).alias("done"), F.lit(False).alias("dead"))
-
-    def finish(st: Column) -> Column:
-        sig = st["sigma"]
-        if not dead_is_null:
-            return sig
-        converged = st["done"] & ~st["dead"]
-        inside = ~st["dead"] & (sig > 0) & (sig < v.hi)
-        return F.when(converged | inside, sig)
-
-    solved = F.aggregate(F.sequence(F.lit(1), F.lit(v.steps)), init, step, finish)
     ok = (t > 0) & (s > 0) & (k > 0) & (ltp > 0) & (ltp >= v.min_price)
     if v.intrinsic_margin is not None:
         floor = intrinsic(s, k, is_call) * v.intrinsic_margin
         ok = ok & (ltp > floor if v.intrinsic_margin > 1 else ltp >= floor)
-    miss = F.lit(v.unsolved).cast("double")
-    return F.when(ok, solved).otherwise(miss)
+    solved = implied_vol_column(s, k, t, float(r), ltp, is_call, v)
+    return F.when(ok, solved).otherwise(F.lit(v.unsolved).cast("double"))
 
 
 def delta(s, k, t, iv, is_call: Column, r: float = RISK_FREE) -> Column:

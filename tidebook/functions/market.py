@@ -56,10 +56,10 @@ def round_trip_cost(entry: str | Column, exit_: str | Column, side: str, lot: st
 def itemised_cost(premium: Column, wing: Column, lot: Column, lots: Column, fly: Column) -> dict[str, Column]:
     """Brokerage, tax, exchange fee and total of a whole position."""
     orders = F.when(fly, 8).otherwise(4)
-    brok = F.round(orders * BROKERAGE * (1 + GST_RATE), 2)
-    stt = F.round(premium * STT_PCT * lot * lots * 2, 2)
-    exch = F.round((premium + wing) * lot * lots * EXCHANGE_PCT * 2, 2)
-    return {"brok": brok, "stt": stt, "exch": exch, "total_cost": F.round(brok + stt + exch, 2)}
+    brok = round_at(orders * BROKERAGE * (1 + GST_RATE), 2)
+    stt = round_at(premium * STT_PCT * lot * lots * 2, 2)
+    exch = round_at((premium + wing) * lot * lots * EXCHANGE_PCT * 2, 2)
+    return {"brok": brok, "stt": stt, "exch": exch, "total_cost": round_at(brok + stt + exch, 2)}
 
 
 def margin_estimate(ce_iv: Column, pe_iv: Column, spot: Column, lot: Column, straddle_pct: Column, iv_scale: float = 1.0) -> Column:

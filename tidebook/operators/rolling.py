@@ -25,9 +25,13 @@ class Series:
     """Window expressions for one (key, date) ordering."""
 
     def __init__(self, by: Sequence[str], order: str = "date"):
-        self.w: WindowSpec = W.partitionBy(*by).orderBy(order)
         self.by, self.order = list(by), order
 
+    @property
+    def w(self) -> WindowSpec:
+        # Built on use: importing a plan must not need a running session.
+        return W.partitionBy(*self.by).orderBy(self.order)
+
     def rows(self, n: int) -> WindowSpec:
         return self.w.rowsBetween(-(n - 1), 0)
 

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidebook.functions.exprs import flag, pct_change, safe_div
+from tidebook.functions.solvers import xirr_column
 from tidebook.functions.text import relevant_scheme
 from tidebook.operators.recursive import ema, rsi
 from tidebook.operators.rolling import TRADING_DAYS, Series, period_rollup, sample_variance, trailing_sums
@@ -83,30 +84,6 @@ def period_returns(nav: DataFrame) -> DataFrame:
     return nav.withColumns(cols)
 
 
-def _xirr(flows: Column, units_value: Column, end: Column, amount: float, steps: int = 100, tol: float = 1e-6) -> Column:
-    """Newton XIRR over an array of instalment dates plus a final value.
-    Failure to converge, or a rate outside (-1, 10), gives 0."""
-    t0 = F.array_min(flows)
-    yrs = F.transform(flows, lambda d: F.datediff(d, t0) / 365.0)
-    t_end = F.datediff(end, t0) / 365.0
-    final = units_value
-
-    def step(st: Column, _: Column) -> Column:
-        base = 1 + st["rate"]
-        npv = final / F.pow(base, t_end) - F.aggregate(yrs, F.lit(0.0), lambda a, y: a + amount / F.pow(base, y))
-        slope = F.aggregate(yrs, F.lit(0.0), lambda a, y: a + y * amount / F.pow(base, y + 1)) - t_end * final / F.pow(base, t_end + 1)
-        nxt = st["rate"] - npv / F.nullif(slope, F.lit(0.0))
-        fail = F.struct(F.lit(0.0).alias("rate"), F.lit(True).alias("done"))
-        near = F.abs(nxt - st["rate"]) < tol
-        good = F.when((nxt > -1) & (nxt < 10), nxt).otherwise(0.0)
-        move = F.struct(F.when(near, good).otherwise(nxt).alias("rate"), F.coalesce(near, F.lit(False)).alias("done"))
-        bad = (st["rate"] <= -1) | (F.abs(slope) < 1e-12) | F.isnan(npv) | F.isnan(slope)
-        return F.when(st["done"], st).when(bad, fail).otherwise(move)
-
-    init = F.struct(F.lit(0.1).alias("rate"), F.lit(False).alias("done"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step, lambda s: F.when(s["done"], s["rate"]).otherwise(0.0))
-
-
 def sip_monthly(nav: DataFrame, months: dict[str, int], amount: float = 1000.0) -> DataFrame:
     """SIP return per (fund, month): equal instalments on the first NAV on or
     after each month start, valued at the month's last NAV.
@@ -128,7 +105,9 @@ def sip_monthly(nav: DataFrame, months: dict[str, int], amount: float = 1000.0)
         paid = F.filter(F.col(f"_l_{o}"), lambda x: x["date"] <= F.col("_end.date"))
         units = F.aggregate(paid, F.lit(0.0), lambda a, x: a + amount / x["nav"])
         dates = F.transform(paid, lambda x: x["date"])
-        out[o] = _xirr(dates, units * F.col("_end.nav"), F.col("_end.date"), amount) * 100
+        t0 = F.array_min(dates)
+        years = F.transform(dates, lambda x: F.datediff(x, t0) / 365.0)
+        out[o] = xirr_column(years, F.datediff("_end.date", t0) / 365.0, units * F.col("_end.nav"), amount) * 100
     return d.select(*KEY, "month", F.col("_end.date").alias("month_end"), *[v.alias(k) for k, v in out.items()])
 
 
