@@ -190,7 +190,7 @@ def _alloc_sql():
     select m.investor, category, w2 as weight, am-ov+case when category=fb then sp else 0 end as amount from m join g using (investor)"""
 
 
-@query("mf11_allocation", "investor:l category:s weight:6 amount:2", _alloc_sql())
+@query("mf11_allocation", "investor:l category:s weight:6 amount:4", _alloc_sql())
 def _mf11(t):
     k = F.col("c_custkey")
     pick = lambda vals: F.element_at(F.array(*[F.lit(v) for v in vals]), (k % len(vals) + 1).cast("int"))

@@ -1 +1,182 @@
-"""Registered queries."""
+"""Scoring queries. Model fits have no SQL twin; their inputs and the metrics
+on their output do."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidebook.catalog.options import CF_SQL, EOD_SQL, SPREAD_SQL, legs
+from tidebook.catalog.registry import query
+from tidebook.functions.exprs import flag
+from tidebook.operators import running as RU
+from tidebook.plans import options as O
+from tidebook.plans import patterns as P
+from tidebook.plans import scoring as SC
+from tidebook.plans import spreads as SP
+
+
+def _index_bars(t):
+    """One index built from all symbols per day."""
+    return t.bars.groupBy("date").agg(
+        F.avg("open").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.avg("close").alias("close")).withColumn("symbol", F.lit("INDEX"))
+
+
+def _participants(t):
+    """Flow rows in the participant-position layout."""
+    v = F.abs(F.col("net_value")).cast("bigint")
+    ent = F.when(F.col("entity") == "1-URGENT", "Client").when(F.col("entity") == "2-HIGH", "FII").otherwise("Pro")
+    return t.flows.select("date", ent.alias("entity"), (v % 1000).alias("opt_index_call_long"), (v % 700).alias("opt_index_call_short"), (v % 900).alias("opt_index_put_long"),
+                          (v % 800).alias("opt_index_put_short"))
+
+
+def _features(t):
+    chain = t.chain_w
+    trades = SP.price_spreads(chain, max_dte=100).where("strategy = 'iron_fly'").select("symbol", "expiry", "entry_date", "net_credit", "pnl_pts")
+    surf = O.vol_surface(chain)
+    return SC.feature_table(
+        trades, chain, O.eod_summary(chain), O.atm_iv_daily(chain), O.iv_skew(chain), O.term_structure(surf), SC.technical_signals(_index_bars(t)),
+        SC.participant_features(_participants(t)), t.vix, t.market_events.where("impact = 'HIGH'"))
+
+
+@query("ml01_feature_table", "symbol:l expiry:d entry_date:d pnl_pts:2 " + " ".join(f"{c}:4" for c in SC.FEATURES))
+def _ml01(t):
+    return _features(t)
+
+
+@query("ml01b_feature_core", "symbol:l expiry:d entry_date:d pnl_pts:2 straddle_pct:5 ce_pe_ratio:4 pcr_oi:4 oi_conc_ce:4 atm_oi_ratio:4 straddle_z:4 pcr_eod:4 ce_wall_pct:4 pe_wall_pct:4 max_pain_dist_pct:4 vix:1 vix_z20:4 day_of_week:i week_of_month:i dte:0 event_in_window:i days_to_event:i client_call_net:1 fii_pcr:4",
+       f"""with {SPREAD_SQL.format(c='chain_w', dte=100)}, {CF_SQL.format(legs=legs('chain_w').replace('lg as', 'lg_ as').replace('bl as', 'bl_ as').replace('sp as', 'sp_ as').replace('from lg ', 'from lg_ ').replace('from bl ', 'from bl_ '), c='chain_w').replace('ag as (select symbol, snap_date, expiry, arg_min(strike', 'ag_ as (select symbol, snap_date, expiry, arg_min(strike').replace('select ag.symbol', 'select ag_.symbol').replace('ag.', 'ag_.').replace('from ag join', 'from ag_ join').replace('from bl where', 'from bl_ where').replace('join lg on', 'join lg_ on').replace('lg.', 'lg_.')},
+       {EOD_SQL.replace('chain', 'chain_w').replace('lg as', 'lg2 as').replace('bl as', 'bl2 as').replace('sp as', 'sp2 as').replace('from lg ', 'from lg2 ').replace('from bl ', 'from bl2 ').replace('join sp using', 'join sp2 using')},
+       fl as (select symbol, expiry, entry_date, net_credit, pnl_pts, expiry-entry_date as dte from sb where strategy='iron_fly'), ds as (select symbol, dte, avg(net_credit) as m, stddev_pop(net_credit) as s from fl group by 1,2),
+       vz as (select date, vix, case when count(*) over v >= 20 then (vix-avg(vix) over v)/coalesce(nullif(stddev_samp(vix) over v,0),1) end as z from vix window v as (order by date rows 19 preceding)),
+       he as (select distinct event_date from market_events where impact='HIGH'), ev as (select fl.symbol, fl.expiry, fl.entry_date, max(case when he.event_date <= fl.expiry then 1 else 0 end) as w, coalesce(least(min(he.event_date-fl.entry_date),30),30) as d from fl left join he on he.event_date >= fl.entry_date group by 1,2,3),
+       po as (select date, max(case when entity='1-URGENT' then v%1000-v%700 end) as client_call_net, max(case when entity='2-HIGH' then (v%900+v%800)/greatest(v%1000+v%700,1)::double end) as fii_pcr from (select date, entity, cast(trunc(abs(net_value)) as bigint) as v from flows) z group by 1)
+       select fl.symbol, fl.expiry, fl.entry_date, fl.pnl_pts, cf.straddle_pct, cf.ce_pe_ratio, cf.pcr_oi, cf.oi_conc_ce, cf.atm_oi_ratio, case when fl.net_credit is not null then (fl.net_credit-m)/nullif(s,0) end as straddle_z, eod.pcr as pcr_eod, (eod.ce_wall_strike-eod.spot)*100/nullif(eod.spot,0) as ce_wall_pct,
+       (eod.spot-eod.pe_wall_strike)*100/nullif(eod.spot,0) as pe_wall_pct, (eod.max_pain_strike-eod.spot)*100/nullif(eod.spot,0) as max_pain_dist_pct, vz.vix, vz.z as vix_z20, extract(isodow from fl.expiry)-1 as day_of_week, (extract(day from fl.expiry)-1)//7+1 as week_of_month, fl.dte,
+       ev.w as event_in_window, ev.d as days_to_event, client_call_net, fii_pcr
+       from fl join cf on cf.symbol=fl.symbol and cf.snap_date=fl.entry_date and cf.expiry=fl.expiry left join ds on ds.symbol=fl.symbol and ds.dte=fl.dte left join eod on eod.symbol=fl.symbol and eod.snap_date=fl.entry_date
+       left join vz on vz.date=fl.entry_date left join ev on ev.symbol=fl.symbol and ev.expiry=fl.expiry and ev.entry_date=fl.entry_date left join po on po.date=fl.entry_date""")
+def _ml01b(t):
+    return _features(t)
+
+
+@query("ml02_label", "trade_id:l margin:2 target:i",
+       "with m as (select trade_id, pnl_pts, lot_size, case when conf>40 then conf/100*24000*sqrt(1/252.0::double)*lot_size*3 else 0 end as margin from outcomes) select trade_id, margin, case when margin>0 then (case when pnl_pts*lot_size >= 0.01*margin then 1 else 0 end) when pnl_pts>0 then 1 else 0 end as target from m")
+def _ml02(t):
+    from tidebook.functions.market import margin_estimate
+    iv = F.when(F.col("conf") > 40, F.col("conf") / 100)
+    d = t.outcomes.withColumn("margin", margin_estimate(iv, iv, F.lit(24000.0), F.col("lot_size"), F.lit(0.0)))
+    return d.withColumn("target", SC.label(d, "pnl_pts", F.col("lot_size"), F.col("margin")))
+
+
+@query("ml03_straddle_zscore", "symbol:l expiry:d entry_date:d strategy:s short_n:i wing_m:i straddle_z:4",
+       f"with {SPREAD_SQL.format(c='chain_w', dte=100)}, d as (select *, expiry-entry_date as dte from sb), s as (select symbol, dte, avg(net_credit) as m, stddev_pop(net_credit) as s from d where net_credit>0 group by 1,2) select d.*, (net_credit-m)/nullif(s,0) as straddle_z from d left join s using (symbol, dte)")
+def _ml03(t):
+    return SC.straddle_zscore(SP.price_spreads(t.chain_w, max_dte=100))
+
+
+BAR_FEATURES = ["rsi_14", "price_vs_sma20", "volume_z20", "bb_position", "return_5d", "drawdown_pct"]
+
+
+def _bar_dataset(t):
+    """Bar features with the next day's direction as the label."""
+    f = P.price_features(t.bars)
+    nxt = P.BARS.lead("close")
+    return f.withColumn("target", flag(nxt > F.col("close"))).withColumn("_n", nxt).where("_n is not null and n_hist >= 30").drop("_n").select("symbol", "date", *BAR_FEATURES, "target")
+
+
+def _walk(t):
+    return SC.walk_forward(_bar_dataset(t), "date", BAR_FEATURES, "lr", train_months=24, test_months=24)
+
+
+@query("ml04_walk_forward", "symbol:s date:d target:i fold:i confidence:4")
+def _ml04(t):
+    return _walk(t)
+
+
+@query("ml05_final_model_scores", "symbol:s date:d target:i confidence:4")
+def _ml05(t):
+    """Fit, save, load and score: the stored pipeline carries its feature list."""
+    from pyspark.ml import PipelineModel
+
+    from tidebook.session import cut_lineage, shared_dir
+    d = SC._ready(cut_lineage(_bar_dataset(t), "final-input"), BAR_FEATURES)
+    path = shared_dir(t.spark, "model")
+    SC.final_model(d, BAR_FEATURES, "lr").write().overwrite().save(path)
+    return SC.score(PipelineModel.load(path), d)
+
+
+@query("ml06_score_latest", "symbol:s date:d confidence:4")
+def _ml06(t):
+    """Pooled boosted trees with symbol columns, scored on the newest row of each symbol."""
+    from tidebook.operators.dedup import latest_by
+    from tidebook.session import cut_lineage
+    d = cut_lineage(_bar_dataset(t), "score-input")
+    syms = [r[0] for r in d.select("symbol").distinct().orderBy("symbol").collect()]
+    p = SC._ready(SC.pooled(d, syms), BAR_FEATURES)
+    model = SC.final_model(p, BAR_FEATURES + [f"sym_{s}" for s in syms], "gbt")
+    return SC.score(model, latest_by(p, ["symbol"], ["date"]))
+
+
+@query("ml07_rank_auc", "model:s n_pos:l n_neg:l auc:6 best:i",
+       """with s as (select 'k' as model, conf/100 as c, case when pnl_pts>=0 then 1 else 0 end as y from outcomes union all select 'lots', lots/4.0::double, case when pnl_pts>=0 then 1 else 0 end from outcomes),
+       r as (select *, rank() over (partition by model order by c) + (count(*) over (partition by model, c)-1)/2.0::double as ar from s), a as (select model, sum(y) as n_pos, count(*)-sum(y) as n_neg, (sum(case when y=1 then ar end)-sum(y)*(sum(y)+1)/2.0::double)/(sum(y)*(count(*)-sum(y))) as auc from r group by 1)
+       select *, case when auc = (select max(auc) from a) then 1 else 0 end as best from a""")
+def _ml07(t):
+    y = flag(F.col("pnl_pts") >= 0).alias("target")
+    a = t.outcomes.select(F.lit("k").alias("model"), (F.col("conf") / 100).alias("confidence"), y)
+    return SC.compare_models(a.unionByName(t.outcomes.select(F.lit("lots").alias("model"), (F.col("lots") / 4.0).alias("confidence"), y)))
+
+
+@query("ml08_scorecard", "trade_id:l confidence:4",
+       """with f as (select trade_id, conf as iv, conf/3 as vix, entry_premium as atr, entry_premium/60 as hv, conf/60 as ih, trade_id%2 as ev from outcomes)
+       select trade_id, greatest(0.0::double,least(1.0::double,(50 + case when iv>70 then 12 when iv>50 then 6 when iv<25 then -8 else 0 end + case when vix<=0 then 0 when vix<13 then 10 when vix<17 then 4 when vix>28 then -16 when vix>22 then -8 else 0 end
+       + case when atr<30 then 8 when atr>70 then -8 else 0 end + case when hv>1.3 then -10 when hv<0.8 then 6 else 0 end + case when ih<=0 then 0 when ih>1.5 then 8 when ih<0.8 then -6 else 0 end + case when ev=1 then 4 else 0 end)/100.0::double)) as confidence from f""")
+def _ml08(t):
+    p, c = F.col("entry_premium"), F.col("conf")
+    f = t.outcomes.select("trade_id", c.alias("iv_rank"), (c / 3).alias("vix"), p.alias("atr_percentile"), (p / 60).alias("hv_ratio"), (c / 60).alias("iv_hv5_ratio"), (F.col("trade_id") % 2).alias("event_in_window"))
+    return SC.scorecard_confidence(f)
+
+
+def _scored(t):
+    return t.outcomes.select("symbol", "exit_date", "pnl_pts", (F.col("conf") / 100).alias("confidence"), flag(F.col("pnl_pts") >= 0).alias("target"))
+
+
+@query("ml09_calibration_sweep", "symbol:l threshold:i trades:l win_rate:4 avg_pnl:4 total_pnl:2 per_year:3",
+       """with s as (select symbol, exit_date, pnl_pts, conf/100*100 as c, case when pnl_pts>=0 then 1 else 0 end as y from outcomes), d as (select symbol, max(exit_date)-min(exit_date) as dd from s group by 1)
+       select s.symbol, x.t as threshold, count(*) as trades, avg(y)*100 as win_rate, avg(pnl_pts) as avg_pnl, sum(pnl_pts) as total_pnl, count(*)/(any_value(dd)/365.25::double) as per_year from s join d using (symbol), (values (50),(55),(60),(65),(70),(75),(80),(85),(90),(95)) x(t) where c >= x.t group by 1,2 having count(*)>=3""")
+def _ml09(t):
+    return SC.calibration_sweep(_scored(t), ["symbol"], "exit_date", "pnl_pts")
+
+
+@query("ml09b_calibration_buckets", "symbol:l bucket:i n:l predicted:4 actual:4",
+       "select symbol, least(floor(conf/100*10),9)*10 as bucket, count(*) as n, avg(conf/100)*100 as predicted, avg(case when pnl_pts>=0 then 1 else 0 end)*100 as actual from outcomes group by 1,2")
+def _ml09b(t):
+    return SC.calibration_buckets(_scored(t), ["symbol"])
+
+
+@query("ml09c_band_win_rate", "n:l win_rate:5", "select count(*) as n, avg(case when pnl_pts>=0 then 1 else 0 end) as win_rate from outcomes where conf between 60 and 80")
+def _ml09c(t):
+    return SC.band_win_rate(_scored(t), 70)
+
+
+@query("ml10_explanations", "trade_id:l reasons:s verdict:s",
+       """select trade_id, concat_ws(',', case when conf>70 then '+iv_rich' when conf>50 then '+iv_above_average' when conf>0 and conf<25 then '-iv_cheap' when conf>0 then '!iv_moderate' end,
+       case when conf/3<=0 then null when conf/3<13 then '+vix_calm' when conf/3<17 then '+vix_moderate' when conf/3<22 then '!vix_elevated' when conf/3<28 then '-vix_high' else '-vix_extreme' end,
+       case when entry_premium<30 then '+narrow_ranges' when entry_premium>70 then '-wide_ranges' end, case when entry_premium/60>1.3 then '-vol_accelerating' when entry_premium/60<0.8 then '+vol_decelerating' end,
+       case when lots*0.6::double>1.5 then '!put_heavy' when lots*0.6::double>0.7 and lots*0.6::double<1.3 then '+pcr_balanced' end, case when trade_id%2=1 then '+event_in_window' end) as reasons,
+       case when conf<50 then 'SKIP' when conf<60 then 'BORDERLINE' when conf<75 then 'BUY' else 'STRONG BUY' end as verdict from outcomes""")
+def _ml10(t):
+    from tidebook.functions.market import verdict
+    p, c = F.col("entry_premium"), F.col("conf")
+    f = t.outcomes.select("trade_id", "conf", c.alias("iv_rank"), (c / 3).alias("vix"), p.alias("atr_percentile"), (p / 60).alias("hv_ratio"), (F.col("lots") * 0.6).alias("pcr_oi"), (F.col("trade_id") % 2).alias("event_in_window"))
+    return SC.explain(f).select("trade_id", F.array_join("reasons", ",").alias("reasons"), verdict("conf").alias("verdict"))
+
+
+@query("ml11_point_in_time", "symbol:s as_of:d vix:1 net_value:2 lot_size:i",
+       """with k as (select distinct symbol, cast(date_trunc('month',date) as date)+14 as as_of from bars) select k.symbol, k.as_of, v.vix, f.net_value, l.lot_size from k asof left join vix v on k.as_of >= v.date asof left join day_flows f on k.as_of >= f.date asof left join lots l on k.symbol=l.symbol and k.as_of >= l.effective_from""")
+def _ml11(t):
+    keys = t.bars.select("symbol", F.date_add(F.trunc("date", "MM"), 14).alias("as_of")).distinct()
+    return SC.point_in_time(keys, {"vix": (t.vix, "date", ["vix"]), "flow": (t.day_flows, "date", ["net_value"]), "lot": (t.lots, "effective_from", ["lot_size"])})
+
+
+__all__ = ["RU"]

@@ -14,6 +14,7 @@ from tidebook.functions.text import relevant_scheme
 from tidebook.operators.recursive import ema, rsi
 from tidebook.operators.rolling import TRADING_DAYS, Series, period_rollup, sample_variance, trailing_sums
 from tidebook.operators.stats import minmax_norm, top_n
+from tidebook.session import cut_lineage
 
 KEY = ["scheme_code"]
 S = Series(KEY)
@@ -210,7 +211,9 @@ def quality_score(latest: DataFrame, caps: DataFrame, bench_cagr: DataFrame, by:
     per category for the capture join, the second uses every column.
     ``bench_cagr`` is one row with the benchmark growth rate."""
     early = {c: w for c, w in WEIGHTS_11.items() if c not in LATE_COLUMNS}
-    d = weighted_score(latest, early, by, "first_score")
+    # One row per fund, scaled four times below: write it once instead of
+    # recomputing every fund column for each scaling.
+    d = weighted_score(cut_lineage(latest, "fund-latest"), early, by, "first_score")
     best = top_n(d, [by], [F.col("first_score").desc(), F.col("scheme_code")], keep).select(*KEY)
     d = d.join(caps.join(best, KEY, "left_semi"), KEY, "left").na.fill(0.0, ["upside_capture", "downside_capture"])
     d = d.crossJoin(F.broadcast(bench_cagr)).withColumn("alpha", F.col("cagr_5y") - F.col("beta_vs_nifty") * F.col("bench_cagr"))
