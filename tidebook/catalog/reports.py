@@ -46,8 +46,8 @@ def _dq04(t):
     return Q.recurring_failures(t.runs, day("2024-01-30"), 7, 3)
 
 
-@query("dq05_readiness", "check:s ok:i detail:s",
-       """select 'bars' as "check", case when max(date) >= date '2001-10-01' then 1 else 0 end as ok, cast(max(date) as varchar) as detail from bars union all select 'runs', case when count(*) filter (where status='failed') = 0 then 1 else 0 end, cast(count(*) filter (where status='failed') as varchar) from runs
+@query("dq05_readiness", "check_name:s ok:i detail:s",
+       """select 'bars' as check_name, case when max(date) >= date '2001-10-01' then 1 else 0 end as ok, cast(max(date) as varchar) as detail from bars union all select 'runs', case when count(*) filter (where status='failed') = 0 then 1 else 0 end, cast(count(*) filter (where status='failed') as varchar) from runs
        union all select 'outcomes', case when count(*) > 0 then 1 else 0 end, cast(count(*) as varchar) from outcomes""")
 def _dq05(t):
     return Q.readiness({
@@ -98,11 +98,11 @@ def _rpt04(t):
 
 
 @query("rpt05_regime_split", "symbol:l bull:l bear:l sideways:l",
-       """with b as (select date + 9131 - 1096 as date, close from bench), r as (select date, close/lag(close,20) over (order by date)-1 as r from b)
+       """with b as (select date + 9131 as date, close from bench), r as (select date, close/lag(close,20) over (order by date)-1 as r from b)
        select symbol, count(*) filter (where r>0.03) as bull, count(*) filter (where r < -0.03) as bear, count(*) filter (where r between -0.03 and 0.03) as sideways from outcomes left join r on r.date=entry_date group by 1""")
 def _rpt05(t):
     # The bars end before the trades begin; shift them onto the same days.
-    return R.regime_split(t.outcomes, t.bench.withColumn("date", F.date_add("date", 9131 - 1096)))
+    return R.regime_split(t.outcomes, t.bench.withColumn("date", F.date_add("date", 9131)))
 
 
 @query("rpt06_drift_table", "feature_name:s symbol:l corr_30d:2 corr_60d:2 corr_90d:2 baseline:2 drifted:i",

@@ -55,7 +55,7 @@ def recurring_failures(runs: DataFrame, as_of: Column, window_days: int, minimum
 def readiness(checks: dict[str, tuple[DataFrame, Column, Column]]) -> DataFrame:
     """One row per check: name, ok flag, detail. Each check is a frame with an
     aggregate ok expression and an aggregate detail expression."""
-    rows = [df.agg(ok.alias("ok"), detail.cast("string").alias("detail")).select(F.lit(n).alias("check"), flag(F.col("ok")).alias("ok"), "detail")
+    rows = [df.agg(ok.alias("ok"), detail.cast("string").alias("detail")).select(F.lit(n).alias("check_name"), flag(F.col("ok")).alias("ok"), "detail")
             for n, (df, ok, detail) in checks.items()]
     return reduce(lambda a, b: a.unionByName(b), rows)
 
