@@ -180,8 +180,10 @@ def _src16(t):
     path = shared_dir(t.spark, "retain")
     b = I.retain(t.bars, "date", F.to_date(F.lit("2001-12-31")), 900).withColumn("yr", F.year("date"))
     I.write_table(b, path, ["yr"])
-    marker = t.bars.where("year(date) = 2000").limit(1).withColumn("yr", F.year("date"))
-    I.overwrite_partitions(marker.withColumn("close", F.lit(None).cast("double")), path, ["yr"])
+    # Replace one year by a marker row per symbol; other years stay as written.
+    marker = t.bars.where("year(date) = 2000").groupBy("symbol").agg(F.max("date").alias("date"), F.max("open").alias("open"), F.max("high").alias("high"),
+        F.max("low").alias("low"), F.lit(None).cast("double").alias("close"), F.max("volume").alias("volume")).withColumn("yr", F.lit(2000))
+    I.overwrite_partitions(marker, path, ["yr"])
     return t.spark.read.parquet(path).where("close is not null")
 
 
