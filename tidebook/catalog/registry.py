@@ -13,7 +13,7 @@ from tidebook.sources.adapters import Tables
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-_SPARK_TYPES = {"i": "int", "l": "bigint", "s": "string", "d": "date", "t": "timestamp"}
+_SPARK_TYPES = {"i": "int", "l": "bigint", "s": "string", "d": "date", "t": "timestamp_ntz"}
 _SQL_TYPES = {"i": "integer", "l": "bigint", "s": "varchar", "d": "date", "t": "timestamp"}
 
 

@@ -19,7 +19,8 @@ def _events(t):
 
 
 def _ticks(t):
-    return _events(t).select(F.col("user_id").cast("string").alias("symbol"), "ts", "event_id", F.col("value").alias("ltp"), F.col("event_type").alias("side"))
+    # Event time must be a timestamp with zone semantics to carry a watermark.
+    return _events(t).select(F.col("user_id").cast("string").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("value").alias("ltp"), F.col("event_type").alias("side"))
 
 
 @query("str01_ingest_new_files", "event_type:s n:l total:2", "select event_type, count(*) as n, sum(value) as total from events group by 1")
