@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidebook.catalog.options import CF_SQL, EOD_SQL, SPREAD_SQL, legs
 from tidebook.catalog.registry import query
+from tidebook.catalog.trades import ENDB_SQL
+from tidebook.catalog.windows import RISK_SQL
 from tidebook.functions.exprs import flag
 from tidebook.operators import running as RU
 from tidebook.plans import options as O
@@ -179,4 +181,42 @@ def _ml11(t):
     return SC.point_in_time(keys, {"vix": (t.vix, "date", ["vix"]), "flow": (t.day_flows, "date", ["net_value"]), "lot": (t.lots, "effective_from", ["lot_size"])})
 
 
+@query("udf01_rolling_closure", "scheme_code:l date:d sortino_1y:4", f"with {RISK_SQL} select * from rk")
+def _udf01(t):
+    """A function over a rolling window (std of the negative values only), as
+    native window aggregates."""
+    from tidebook.plans import funds as FU
+    return FU.risk(t.nav, t.bench)
+
+
+@query("udf02_group_function", "symbol:s n:l mean_ret:4",
+       f"with recursive {ENDB_SQL} select symbol, count(*) as n, avg((exit_price/entry_price-1)*100) as mean_ret from eb group by 1")
+def _udf02(t):
+    """A frame-in, frame-out function per symbol."""
+    from tidebook.plans.backtests import month_end_breakout
+    return month_end_breakout(t.bars).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.avg("return_pct").alias("mean_ret"))
+
+
+@query("udf03_row_expansion", "feature_name:s n:l total:2", "select 'k' as feature_name, count(*) as n, sum(conf) as total from outcomes where conf is not null")
+def _udf03(t):
+    """One row per trade and feature."""
+    from tidebook.plans.feedback import explode_features
+    return explode_features(t.outcomes).groupBy("feature_name").agg(F.count(F.lit(1)).alias("n"), F.sum("feature_value").alias("total"))
+
+
+@query("udf04_model_factory", "model:s n_pos:l n_neg:l best:i")
+def _udf04(t):
+    """The three model kinds behind one interface, compared by rank AUC."""
+    from tidebook.session import cut_lineage
+    d = cut_lineage(SC._ready(_bar_dataset(t), BAR_FEATURES), "factory-input")
+    out = None
+    for kind in ("lr", "gbt"):
+        p = SC.score(SC.final_model(d, BAR_FEATURES, kind), d).select(F.lit(kind).alias("model"), "confidence", "target")
+        out = p if out is None else out.unionByName(p)
+    card = d.select(F.col("rsi_14").alias("iv_rank"), F.lit(15.0).alias("vix"), F.col("drawdown_pct").alias("atr_percentile"), F.lit(1.0).alias("hv_ratio"),
+                    F.lit(1.2).alias("iv_hv5_ratio"), F.lit(0).alias("event_in_window"), "target")
+    out = out.unionByName(SC.scorecard_confidence(card).select(F.lit("scorecard").alias("model"), "confidence", "target"))
+    return SC.compare_models(out)
+
+
 __all__ = ["RU"]
