@@ -211,7 +211,7 @@ sb as (select *, case when max_loss > 0 then greatest(net_credit-exit_cost, -max
 
 
 def _spreads(t):
-    return SP.price_spreads(t.chain_w, max_dte=100)
+    return SP.price_spreads(t.stored("chain_w"), max_dte=100)
 
 
 @query("opt16_spread_pricing", "symbol:l expiry:d entry_date:d exit_date:d strategy:s short_n:i wing_m:i strike_step:1 atm_strike:1 short_ce_entry:2 short_pe_entry:2 long_ce_entry:2 long_pe_entry:2 net_credit:2 max_loss:2 exit_cost:2 pnl_pts:2 pnl_pct:4 target:i",
@@ -285,7 +285,7 @@ def _opt20(t):
 
 
 def _recommend_inputs(t):
-    chain = t.chain_w
+    chain = t.stored("chain_w")
     days = chain.select("symbol", "snap_date", "expiry").distinct()
     kinds = ["iron_condor", "bull_put", "bear_call", "iron_fly"]
     base = O.put_call_ratio(chain)

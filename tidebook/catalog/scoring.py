@@ -32,9 +32,10 @@ def _participants(t):
 
 
 def _features(t):
-    chain = t.chain_w
+    from tidebook.session import cut_lineage
+    chain = t.stored("chain_w")
     trades = SP.price_spreads(chain, max_dte=100).where("strategy = 'iron_fly'").select("symbol", "expiry", "entry_date", "net_credit", "pnl_pts")
-    surf = O.vol_surface(chain)
+    surf = cut_lineage(O.vol_surface(chain), "surface")
     return SC.feature_table(
         trades, chain, O.eod_summary(chain), O.atm_iv_daily(chain), O.iv_skew(chain), O.term_structure(surf), SC.technical_signals(_index_bars(t)),
         SC.participant_features(_participants(t)), t.vix, t.market_events.where("impact = 'HIGH'"))

@@ -90,9 +90,13 @@ def newton_xirr(years: np.ndarray, live: np.ndarray, t_end, final, amount, steps
             if not len(act):
                 break
             base = 1 + rate[act]
-            y, m, te, fv = years[act], live[act], t_end[act], final[act]
-            npv = fv / base**te - np.where(m, amount / base[:, None] ** y, 0).sum(axis=1)
-            slope = np.where(m, y * amount / base[:, None] ** (y + 1), 0).sum(axis=1) - te * fv / base ** (te + 1)
+            y, te = years[act], t_end[act]
+            growth = np.log(base)
+            # One exponential per instalment serves the value and its slope.
+            paid = amount * np.exp(-y * growth[:, None]) * live[act]
+            back = final[act] * np.exp(-te * growth)
+            npv = back - paid.sum(axis=1)
+            slope = ((y * paid).sum(axis=1) - te * back) / base
             ok = np.isfinite(npv) & np.isfinite(slope) & (np.abs(slope) >= 1e-12)
             nxt = rate[act] - npv / np.where(ok, slope, 1.0)
             near = ok & (np.abs(nxt - rate[act]) < tol)
@@ -102,13 +106,18 @@ def newton_xirr(years: np.ndarray, live: np.ndarray, t_end, final, amount, steps
     return out
 
 
-def xirr_column(years: Column, t_end: Column, final: Column, amount: float) -> Column:
+def sip_rate_column(days: Column, units: Column, end_day: Column, end_nav: Column, amount: float) -> Column:
+    """Annual rate of equal instalments. ``days`` (day numbers) and ``units``
+    (units bought per currency unit) are arrays of one fixed length."""
+
     @F.pandas_udf("double")
-    def solve(years: pd.Series, t_end: pd.Series, final: pd.Series) -> pd.Series:
-        width = max((len(y) for y in years), default=0)
-        mat, live = np.zeros((len(years), width)), np.zeros((len(years), width), dtype=bool)
-        for i, y in enumerate(years):
-            mat[i, : len(y)], live[i, : len(y)] = y, True
-        return pd.Series(newton_xirr(mat, live, t_end.to_numpy(float), final.to_numpy(float), amount))
-
-    return solve(years, t_end, final)
+    def solve(days: pd.Series, units: pd.Series, end_day: pd.Series, end_nav: pd.Series) -> pd.Series:
+        if not len(days):
+            return pd.Series([], dtype=float)
+        d, u = np.stack(days.to_numpy()).astype(float), np.stack(units.to_numpy())
+        t0 = d.min(axis=1)
+        years = (d - t0[:, None]) / 365.0
+        final = amount * u.sum(axis=1) * end_nav.to_numpy(float)
+        return pd.Series(newton_xirr(years, np.ones_like(years, dtype=bool), (end_day.to_numpy(float) - t0) / 365.0, final, amount))
+
+    return solve(days, units, end_day, end_nav)

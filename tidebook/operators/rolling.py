@@ -48,8 +48,9 @@ class Series:
         return F.lead(col(c), n).over(self.w)
 
     def full(self, c, n: int, value: Column) -> Column:
-        """``value`` once the last n rows hold n non-NULL inputs, else NULL."""
-        return F.when(F.count(col(c)).over(self.rows(n)) >= n, value)
+        """``value`` once n non-NULL inputs were seen, else NULL. Inputs may be
+        NULL only at the start of a series, so a running count decides it."""
+        return F.when(F.count(col(c)).over(self.all_before()) >= n, value)
 
     # moving averages and distances
     def sma(self, c, n: int) -> Column:

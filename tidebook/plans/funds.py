@@ -9,12 +9,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidebook.functions.exprs import flag, pct_change, safe_div
-from tidebook.functions.solvers import xirr_column
+from tidebook.functions.solvers import sip_rate_column
 from tidebook.functions.text import relevant_scheme
 from tidebook.operators.recursive import ema, rsi
 from tidebook.operators.rolling import TRADING_DAYS, Series, period_rollup, sample_variance, trailing_sums
 from tidebook.operators.stats import minmax_norm, top_n
-from tidebook.session import cut_lineage
+from tidebook.session import cut_lineage, spread_rows
 
 KEY = ["scheme_code"]
 S = Series(KEY)
@@ -99,16 +99,16 @@ def sip_monthly(nav: DataFrame, months: dict[str, int], amount: float = 1000.0)
     w = W.partitionBy(*KEY).orderBy("month")
     d = grid.join(m, [*KEY, "month"], "left")
     d = d.withColumn("_inst", F.first("_first", ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing)))
-    d = d.withColumns({f"_l_{o}": F.collect_list("_inst").over(w.rowsBetween(-(n - 1), 0)) for o, n in months.items()})
-    d = d.where("_end is not null")
-    out = {}
-    for o in months:
-        paid = F.filter(F.col(f"_l_{o}"), lambda x: x["date"] <= F.col("_end.date"))
-        units = F.aggregate(paid, F.lit(0.0), lambda a, x: a + amount / x["nav"])
-        dates = F.transform(paid, lambda x: x["date"])
-        t0 = F.array_min(dates)
-        years = F.transform(dates, lambda x: F.datediff(x, t0) / 365.0)
-        out[o] = xirr_column(years, F.datediff("_end.date", t0) / 365.0, units * F.col("_end.nav"), amount) * 100
+    d = d.withColumn("_day", F.unix_date("_inst.date")).withColumn("_units", 1.0 / F.col("_inst.nav"))
+    # Instalment months never lie after the month valued, so every instalment
+    # date is on or before its last NAV and no list needs filtering.
+    lists = {}
+    for o, n in months.items():
+        frame = w.rowsBetween(-(n - 1), 0)
+        lists |= {f"_d_{o}": F.collect_list("_day").over(frame), f"_u_{o}": F.collect_list("_units").over(frame)}
+    d = spread_rows(d.withColumns(lists).where("_end is not null"), *KEY, "month")
+    end_day, end_nav = F.unix_date("_end.date"), F.col("_end.nav")
+    out = {o: sip_rate_column(F.col(f"_d_{o}"), F.col(f"_u_{o}"), end_day, end_nav, amount) * 100 for o in months}
     return d.select(*KEY, "month", F.col("_end.date").alias("month_end"), *[v.alias(k) for k, v in out.items()])
 
 

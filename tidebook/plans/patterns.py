@@ -14,7 +14,7 @@ from tidebook.functions.rules import match_rules
 from tidebook.operators.asof import asof_join, with_fallback
 from tidebook.operators.dedup import latest_by
 from tidebook.operators.recursive import ema, rsi
-from tidebook.operators.rolling import Series, crossover, volume_trend
+from tidebook.operators.rolling import Series, crossover, trailing_sums, volume_trend
 from tidebook.operators.running import exact_quantiles
 from tidebook.operators.stats import split_label, summary_exprs, two_sided_p
 
@@ -54,8 +54,10 @@ def price_features(bars: DataFrame) -> DataFrame:
     s = BARS
     d = rsi(bars, ["symbol"], "date", "close", [14, 5])
     d = ema(d, ["symbol"], "date", "close", [20])
+    d = trailing_sums(d, s, 200, {"_sum200": F.col("close")})
     d = d.withColumns({
-        "_rn": s.row_number(), "_sma20": s.sma("close", 20), "_sma50": s.sma("close", 50), "_sma200": s.sma("close", 200),
+        "_rn": s.row_number(), "_sma20": s.sma("close", 20), "_sma50": s.sma("close", 50),
+        "_sma200": F.when(s.row_number() >= 200, F.col("_sum200") / 200.0),
         "_tr": s.true_range(), "volume_z5": s.zscore("volume", 5), "volume_z20": s.zscore("volume", 20),
         "volume_trend": volume_trend(s, "volume"), "bb_position": s.bollinger("close"),
         "return_5d": F.coalesce(s.ret("close", 5), F.lit(0.0)), "return_20d": F.coalesce(s.ret("close", 20), F.lit(0.0)),
@@ -73,7 +75,7 @@ def price_features(bars: DataFrame) -> DataFrame:
         "price_vs_sma200": F.coalesce(pct_change("close", "_sma200"), F.lit(0.0)),
         "n_hist": F.col("_rn"),
     })
-    return d.drop("_rn", "_sma20", "_sma50", "_sma200", "_tr", "ema_20")
+    return d.drop("_rn", "_sma20", "_sma50", "_sma200", "_sum200", "_tr", "ema_20")
 
 
 FEATURES = [

@@ -23,6 +23,7 @@ def build_session(app: str = "tidebook", master: str | None = None, shuffle_part
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
         .config("spark.sql.parquet.filterPushdown", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
@@ -34,6 +35,16 @@ def build_session(app: str = "tidebook", master: str | None = None, shuffle_part
     return b.getOrCreate()
 
 
+def spread_rows(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread rows over all task slots before a CPU-heavy column.
+
+    Adaptive execution coalesces by bytes, which would put a small but costly
+    stage into one task; an explicit partition count is left alone."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder the cluster names in ``spark.checkpoint.dir``.
 

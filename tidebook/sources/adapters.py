@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidebook.functions.exprs import round_at
 from tidebook.functions.text import feature_map
+from tidebook.session import cut_lineage
 
 
 class Tables:
@@ -22,6 +23,14 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}.parquet")
 
+    def stored(self, shape: str) -> DataFrame:
+        """A shape written once to the shared folder and read back, for plans
+        that use it many times: the raw table is then scanned once."""
+        key = f"_stored_{shape}"
+        if key not in self.__dict__:
+            self.__dict__[key] = cut_lineage(getattr(self, shape), shape)
+        return self.__dict__[key]
+
     @cached_property
     def bars(self) -> DataFrame:
         """Daily price bars per brand."""
