@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidebook.catalog.fragments import norm_cdf
 from tidebook.catalog.registry import query
-from tidebook.functions.exprs import bucket_label, flag
+from tidebook.functions.exprs import attach_row, bucket_label, flag
 from tidebook.operators import running as R
 from tidebook.operators import stats as S
 from tidebook.operators.rolling import change_events, period_rollup, week_ending
@@ -152,7 +152,7 @@ def _agg18(t):
        select *, 2*(1-{norm_cdf('abs(t_stat)')}) as p_value from x""")
 def _agg19(t):
     q = R.exact_quantiles(t.outcomes, [], "conf", {"lo": 0.33, "hi": 0.66})
-    b = t.outcomes.crossJoin(F.broadcast(q)).withColumn("bucket", F.when(F.col("conf") >= F.col("hi"), "buy").when(F.col("conf") <= F.col("lo"), "sell"))
+    b = attach_row(t.outcomes, q).withColumn("bucket", F.when(F.col("conf") >= F.col("hi"), "buy").when(F.col("conf") <= F.col("lo"), "sell"))
     return S.welch(b, "pnl_pts", "buy", "sell")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidebook.catalog.registry import query
 from tidebook.catalog.windows import RISK_SQL
+from tidebook.functions.exprs import attach_row
 from tidebook.plans import funds as FU
 from tidebook.plans.funds import ALLOCATION
 
@@ -150,14 +151,14 @@ hr as (select investor, ho.scheme_code, scheme_category, units*current_nav as cu
 
 def _holdings(t):
     n = t.raw("supplier").agg(F.count(F.lit(1)).alias("_n"))
-    h = t.raw("customer").crossJoin(F.broadcast(n)).groupBy(F.col("c_nationkey").alias("investor"), (F.col("c_custkey") % F.col("_n")).alias("scheme_code")).agg(
+    h = attach_row(t.raw("customer"), n).groupBy(F.col("c_nationkey").alias("investor"), (F.col("c_custkey") % F.col("_n")).alias("scheme_code")).agg(
         (F.sum(F.abs("c_acctbal")) / 100).alias("units"), (F.avg("c_acctbal") + 20000).alias("avg_nav"))
     last = t.nav.groupBy("scheme_code").agg(F.max_by("nav", "date").alias("current_nav"))
     ret = FU.latest_returns(FU.period_returns(t.nav), ["return_1y"]).drop("date")
     info = t.funds.join(last, "scheme_code").join(ret, "scheme_code").select("scheme_code", "scheme_category", "current_nav", "return_1y")
     end = t.bench.agg(F.max("date").alias("_e"))
     past = F.max_by("close", F.when(F.col("date") <= F.add_months("_e", -12), F.col("date")))
-    b = t.bench.crossJoin(F.broadcast(end)).agg(((F.max_by("close", "date") - past) / past * 100).alias("bench_1y"))
+    b = attach_row(t.bench, end).agg(((F.max_by("close", "date") - past) / past * 100).alias("bench_1y"))
     return FU.holdings_report(h, info, b)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidebook.catalog.registry import query
-from tidebook.functions.exprs import flag, literal_rows
+from tidebook.functions.exprs import flag, literal_rows, repeat_for
 from tidebook.operators import asof as A
 from tidebook.operators import calendar as C
 from tidebook.operators.dedup import latest_version
@@ -53,8 +53,9 @@ def _join05(t):
        """with v as (select date, vix from vix where extract(day from date) % 9 = 0), j as (select b.symbol, b.date, v.vix, v.date as vd from bars b asof left join v on b.date >= v.date)
        select symbol, date, case when date - vd <= 7 then vix end as vix from j""")
 def _join06(t):
-    v = t.vix.where(F.dayofmonth("date") % 9 == 0).crossJoin(F.broadcast(t.bars.select("symbol").distinct()))
-    return A.asof_join(t.bars.select("symbol", "date"), v, ["symbol"], "date", "date", ["vix"], tolerance_days=7)
+    # One series for all symbols: a constant key, split by month inside the join.
+    v = t.vix.where(F.dayofmonth("date") % 9 == 0).withColumn("_k", F.lit(0))
+    return A.asof_join(t.bars.select("symbol", "date", F.lit(0).alias("_k")), v, ["_k"], "date", "date", ["vix"], tolerance_days=7)
 
 
 @query("join07_previous_trading_day", "symbol:s date:d prev_date:d",
@@ -107,9 +108,9 @@ def _join11(t):
        """select s.strategy, a.n as short_n, b.n as wing_m, (select count(*) from (select distinct symbol, snap_date, expiry from chain) z) as n_snapshots
        from (values ('iron_condor'),('bull_put'),('bear_call')) s(strategy), (values (1),(2),(3),(4)) a(n), (values (1),(2),(3),(4)) b(n)""")
 def _join12(t):
-    from tidebook.plans.spreads import parameter_grid
+    from tidebook.plans.spreads import GRID, GRID_NAMES
     n = t.chain.select("symbol", "snap_date", "expiry").distinct()
-    return A.cross_params(n, parameter_grid(t.spark)).groupBy("strategy", "short_n", "wing_m").agg(F.count(F.lit(1)).alias("n_snapshots"))
+    return repeat_for(n, GRID_NAMES, GRID).groupBy("strategy", "short_n", "wing_m").agg(F.count(F.lit(1)).alias("n_snapshots"))
 
 
 @query("join13_theta_self_join", "symbol:l snap_date:d expiry:d strike:1 payout:0",

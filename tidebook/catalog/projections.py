@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidebook.catalog.registry import query
 from tidebook.functions import text as T
-from tidebook.functions.exprs import bucket_label, cut_label, flag
+from tidebook.functions.exprs import attach_row, bucket_label, cut_label, flag
 from tidebook.functions.rules import compile_rule, seed_catalog
 
 
@@ -58,7 +58,7 @@ def _prj03(t):
 def _prj04(t):
     n = t.bars.agg(F.count(F.lit(1)).alias("bars"))
     cat = seed_catalog(t.spark).withColumn("n_conditions", F.size(F.json_object_keys("conditions_json")))
-    return cat.crossJoin(F.broadcast(n))
+    return attach_row(cat, n)
 
 
 _HOUSE_SQL = "coalesce(" + ", ".join(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidebook.catalog.registry import query
-from tidebook.functions.exprs import bucket_label
+from tidebook.functions.exprs import attach_row, bucket_label
 from tidebook.operators import stats as ST
 from tidebook.operators.dedup import latest_by
 from tidebook.plans import quality as Q
@@ -126,7 +126,7 @@ def _rpt07(t):
 def _rpt08(t):
     from tidebook.operators.running import exact_quantiles
     q = exact_quantiles(t.outcomes, [], "conf", {"a": 0.25, "b": 0.5, "c": 0.75})
-    d = t.outcomes.crossJoin(F.broadcast(q))
+    d = attach_row(t.outcomes, q)
     up = sum(((F.col("conf") > F.col(x)).cast("int") for x in "abc"), F.lit(1))
     d = d.withColumn("quartile", F.concat(F.lit("Q"), up.cast("string"))).withColumn("weekday", F.date_format("exit_date", "EEE"))
     def one(dim):

@@ -67,6 +67,19 @@ def round_half_even(x: str | Column) -> Column:
     return F.bround(col(x), 0)
 
 
+def attach_row(df, one_row):
+    """Add the columns of a one-row aggregate to every row, as a scalar
+    subquery: a single literal row, never a join."""
+    row = one_row.select(F.struct("*").alias("_row")).scalar()
+    return df.withColumn("_row", row).select(*df.columns, "_row.*")
+
+
+def repeat_for(df, names: Sequence[str], rows: Sequence[tuple]):
+    """Repeat every row for each tuple of a fixed parameter list."""
+    structs = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r)]) for r in rows]
+    return df.withColumn("_p", F.explode(F.array(*structs))).select(*df.columns, "_p.*")
+
+
 def literal_rows(spark, schema: str, rows: Sequence[tuple]):
     """A small parameter table (rule ids, thresholds, offsets)."""
     return spark.createDataFrame(list(rows), schema)

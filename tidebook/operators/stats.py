@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidebook.functions.blackscholes import norm_cdf
-from tidebook.functions.exprs import clip, col, flag, literal_rows, safe_div
+from tidebook.functions.exprs import attach_row, clip, col, flag, literal_rows, safe_div
 
 
 def summary_exprs(ret: str, hit: Column | None = None, annual: float = 1.0) -> list[Column]:
@@ -127,7 +127,7 @@ def quantile_bins(df: DataFrame, by: Sequence[str], value: str, bins: int, out:
     included (differs from ``ntile`` on ties)."""
     probs = [i / bins for i in range(1, bins)]
     edges = df.groupBy(*by).agg(F.percentile(value, F.array(*[F.lit(p) for p in probs])).alias("_edges"))
-    j = df.join(edges, list(by)) if by else df.crossJoin(F.broadcast(edges))
+    j = df.join(edges, list(by)) if by else attach_row(df, edges)
     b = F.size(F.filter("_edges", lambda e: e < F.col(value))) + 1
     return j.withColumn(out, b).drop("_edges")
 

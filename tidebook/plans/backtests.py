@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidebook.functions import blackscholes as BS
-from tidebook.functions.exprs import flag, round_half_even, safe_div
+from tidebook.functions.exprs import attach_row, flag, round_half_even, safe_div
 from tidebook.functions.market import annualised_return, directional_bias, round_trip_cost
 from tidebook.operators.asof import asof_join
 from tidebook.operators.calendar import weekend_triplets
@@ -231,7 +231,7 @@ def momentum_quintiles(bars: DataFrame, min_stocks: int = 20, cost: float = COST
     running wealth of each quintile."""
     m = monthly_bars(bars).select("symbol", "month", "close")
     first = m.agg(F.add_months(F.min("month"), 13).alias("_start"))
-    j = m.crossJoin(F.broadcast(first)).where(F.col("month") >= F.col("_start")).drop("_start")
+    j = attach_row(m, first).where(F.col("month") >= F.col("_start")).drop("_start")
     for n in (1, 2, 12):
         j = j.join(m.select("symbol", F.add_months("month", n).alias("month"), F.col("close").alias(f"_c{n}")), ["symbol", "month"])
     j = j.select("symbol", "month", (F.col("_c2") / F.col("_c12") - 1).alias("mom"), (F.col("close") / F.col("_c1") - 1).alias("fwd"))
@@ -281,4 +281,4 @@ def run_summary(trades: DataFrame, bench: DataFrame, entry: str, ret: str, split
     w = W.partitionBy(F.lit(0)).orderBy("month")
     b = m.select((F.col("_c") / F.lag("_c").over(w) - 1).alias("_r")).agg(F.avg("_r").alias("bm_monthly_ret"))
     g = split_label(trades, entry, split).groupBy("period").agg(*summary_exprs(ret, annual=12.0))
-    return g.crossJoin(F.broadcast(b)).withColumn("alpha_monthly", F.col("avg_ret") - F.col("bm_monthly_ret"))
+    return attach_row(g, b).withColumn("alpha_monthly", F.col("avg_ret") - F.col("bm_monthly_ret"))

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.functions.exprs import clip, flag, safe_div
+from tidebook.functions.exprs import attach_row, clip, flag, safe_div
 from tidebook.functions.text import feature_json, feature_map
 from tidebook.operators.running import current_streak
 from tidebook.operators.stats import guarded_corr, top_n
@@ -69,8 +69,9 @@ def loss_attribution(losses: DataFrame, winners: DataFrame) -> DataFrame:
     """Each losing trade's features in population deviations from the winners."""
     w = explode_features(winners.select("features_json"))
     prof = w.groupBy("feature_name").agg(F.avg("feature_value").alias("win_mean"), F.stddev_pop("feature_value").alias("_sd"))
-    enough = winners.agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= MIN_WINNERS).select()
-    j = explode_features(losses).join(F.broadcast(prof), "feature_name").crossJoin(F.broadcast(enough))
+    n_winners = winners.agg(F.count(F.lit(1)).alias("_n"))
+    j = explode_features(losses).join(F.broadcast(prof), "feature_name")
+    j = attach_row(j, n_winners).where(F.col("_n") >= MIN_WINNERS).drop("_n")
     diff = F.col("feature_value") - F.col("win_mean")
     flat = F.when(F.abs(diff) < 1e-9, 0.0).otherwise(clip(diff * 10, -10, 10))
     return j.withColumn("attribution", F.when(F.col("_sd") < 1e-9, flat).otherwise(safe_div(diff, "_sd"))).drop("_sd")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidebook.functions.exprs import flag, pct_change, safe_div
+from tidebook.functions.exprs import attach_row, flag, pct_change, safe_div
 from tidebook.functions.solvers import sip_rate_column
 from tidebook.functions.text import relevant_scheme
 from tidebook.operators.recursive import ema, rsi
@@ -216,14 +216,14 @@ def quality_score(latest: DataFrame, caps: DataFrame, bench_cagr: DataFrame, by:
     d = weighted_score(cut_lineage(latest, "fund-latest"), early, by, "first_score")
     best = top_n(d, [by], [F.col("first_score").desc(), F.col("scheme_code")], keep).select(*KEY)
     d = d.join(caps.join(best, KEY, "left_semi"), KEY, "left").na.fill(0.0, ["upside_capture", "downside_capture"])
-    d = d.crossJoin(F.broadcast(bench_cagr)).withColumn("alpha", F.col("cagr_5y") - F.col("beta_vs_nifty") * F.col("bench_cagr"))
+    d = attach_row(d, bench_cagr).withColumn("alpha", F.col("cagr_5y") - F.col("beta_vs_nifty") * F.col("bench_cagr"))
     return weighted_score(d, WEIGHTS_11, by, "quality_score")
 
 
 def holdings_report(holdings: DataFrame, latest: DataFrame, bench_ret: DataFrame) -> DataFrame:
     """Value, gain and alpha of each holding. ``latest`` has the current NAV,
     category and 1-year return; ``bench_ret`` is one row."""
-    j = holdings.join(latest, KEY, "left").crossJoin(F.broadcast(bench_ret))
+    j = attach_row(holdings.join(latest, KEY, "left"), bench_ret)
     return j.select(
         "investor", *KEY, "scheme_category", (F.col("units") * F.col("current_nav")).alias("current_value"),
         (F.col("units") * F.col("avg_nav")).alias("invested_value"), pct_change("current_nav", "avg_nav").alias("return_pct"),

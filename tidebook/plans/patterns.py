@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidebook.functions.exprs import flag, pct_change, safe_div
+from tidebook.functions.exprs import attach_row, flag, pct_change, safe_div
 from tidebook.functions.market import opportunity_score, vix_regime
 from tidebook.functions.rules import match_rules
 from tidebook.operators.asof import asof_join, with_fallback
@@ -247,7 +247,7 @@ def miss_rates(moves: DataFrame, preds: DataFrame, lo: Column, hi: Column) -> Da
     done = p.where("status <> 'open'").agg(
         F.count(F.lit(1)).alias("total_preds"), F.sum(flag(F.col("status").isin("miss", "expired"))).alias("false_positives")
     )
-    return a.crossJoin(done).select(
+    return attach_row(a, done).select(
         "*", F.coalesce(safe_div("missed_events", "total_events"), F.lit(0.0)).alias("false_negative_rate"),
         F.coalesce(safe_div("false_positives", "total_preds"), F.lit(0.0)).alias("false_positive_rate"),
     )

@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.functions.exprs import flag, safe_div
+from tidebook.functions.exprs import attach_row, flag, safe_div
 from tidebook.functions.market import scorecard
 from tidebook.operators.asof import asof_join, interval_hits
 from tidebook.operators.calendar import week_of_month
@@ -132,7 +132,7 @@ def make_pipeline(kind: str, features: Sequence[str], label_col: str = "target")
 def balanced(df: DataFrame, label_col: str = "target") -> DataFrame:
     """Class weights n / (2 * class count) from one aggregate."""
     n = df.agg(F.count(F.lit(1)).alias("_n"), F.sum(label_col).alias("_p"))
-    j = df.crossJoin(F.broadcast(n))
+    j = attach_row(df, n)
     w = F.when(F.col(label_col) == 1, F.col("_n") / (2 * F.greatest("_p", F.lit(1)))).otherwise(F.col("_n") / (2 * F.greatest(F.col("_n") - F.col("_p"), F.lit(1))))
     return j.withColumn("_w", w).drop("_n", "_p")
 
@@ -196,7 +196,7 @@ def compare_models(scored: DataFrame, by: Sequence[str] = ("model",)) -> DataFra
     """Rank AUC per model; the greatest AUC is marked best."""
     a = average_rank_auc(scored, by, "confidence", "target")
     top = a.agg(F.max("auc").alias("_m"))
-    return a.crossJoin(F.broadcast(top)).withColumn("best", flag(F.col("auc") == F.col("_m"))).drop("_m")
+    return attach_row(a, top).withColumn("best", flag(F.col("auc") == F.col("_m"))).drop("_m")
 
 
 def calibration_sweep(scored: DataFrame, by: Sequence[str], date: str, pnl: str, thresholds: Sequence[int] = tuple(range(50, 96, 5)),

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidebook.functions.exprs import flag, safe_div
+from tidebook.functions.exprs import flag, repeat_for, safe_div
 from tidebook.functions.market import SCORE_THRESHOLD, VIX_MAX, VIX_MIN, pick_structure, position_lots, trade_score
-from tidebook.operators.asof import asof_join, cross_params
+from tidebook.operators.asof import asof_join
 from tidebook.operators.stats import top_n
 from tidebook.plans.options import SNAP, atm_min_gap, strike_step
 
@@ -16,9 +16,9 @@ STRUCTURES = ("iron_condor", "bull_put", "bear_call")
 FLY_WINGS = {"NIFTY": 4, "BANKNIFTY": 5, "FINNIFTY": 4, "MIDCPNIFTY": 8}
 
 
-def parameter_grid(spark, max_short: int = 4, max_wing: int = 4) -> DataFrame:
-    rows = [(s, n, m) for s in STRUCTURES for n in range(1, max_short + 1) for m in range(1, max_wing + 1)]
-    return spark.createDataFrame(rows, "strategy string, short_n int, wing_m int")
+# Short legs 1-4 steps out, wings 1-4 steps wide.
+GRID_NAMES = ("strategy", "short_n", "wing_m")
+GRID = [(s, n, m) for s in STRUCTURES for n in range(1, 5) for m in range(1, 5)]
 
 
 def _leg_key(side: str | Column, strike: Column) -> Column:
@@ -64,8 +64,7 @@ def price_spreads(chain: DataFrame, max_dte: int = 5, fly_wings: dict | None = N
     wing = F.lit(default_wing)
     for s, m in (fly_wings or FLY_WINGS).items():
         wing = F.when(F.col("symbol").cast("string") == str(s), m).otherwise(wing)
-    grid = parameter_grid(chain.sparkSession).union(chain.sparkSession.createDataFrame([("iron_fly", 0, 0)], "strategy string, short_n int, wing_m int"))
-    g = cross_params(j, grid).withColumn("wing_m", F.when(F.col("strategy") == "iron_fly", wing).otherwise(F.col("wing_m")))
+    g = repeat_for(j, GRID_NAMES, [*GRID, ("iron_fly", 0, 0)]).withColumn("wing_m", F.when(F.col("strategy") == "iron_fly", wing).otherwise(F.col("wing_m")))
 
     atm_k, step, n, m, st = (F.col(c) for c in ("atm_strike", "strike_step", "short_n", "wing_m", "strategy"))
     has_ce, has_pe = st != "bull_put", st != "bear_call"
@@ -121,9 +120,8 @@ def recommend(days: DataFrame, scores: DataFrame, chain: DataFrame, signals: Dat
     inputs per (symbol, snap_date, expiry): vix, iv_rank, pcr, iv_skew,
     term_slope, skew_2pct, walls and the average win.
     """
-    spark = chain.sparkSession
-    kinds = spark.createDataFrame([(s,) for s in (*STRUCTURES, "iron_fly")], "strategy_type string")
-    want = cross_params(days.withColumnRenamed("snap_date", "rec_date"), kinds)
+    kinds = [(s,) for s in (*STRUCTURES, "iron_fly")]
+    want = repeat_for(days.withColumnRenamed("snap_date", "rec_date"), ["strategy_type"], kinds)
     sc = asof_join(want, scores, ["symbol", "strategy_type"], "rec_date", "score_date", ["confidence"], tolerance_days=7).where("confidence is not null")
     best = sc.groupBy("symbol", "rec_date", "expiry").agg(
         F.max_by(F.struct("strategy_type", "confidence"), F.struct("confidence", "strategy_type")).alias("_b"))
