@@ -48,14 +48,15 @@ def spread_rows(df: DataFrame, *keys: str) -> DataFrame:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder; elsewhere an
-    executor could not read it.
+    Where it is unset, a local master gets one folder per session (as in tests);
+    elsewhere an executor could not read it, so that is an error.
     """
     root = spark.conf.get(CHECKPOINT_CONF, None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors can read")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set(CHECKPOINT_CONF, root)
     return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
 
 
