@@ -48,6 +48,7 @@ FLUSH = 1 << 20
 BITS = 26
 TILE_BYTES = 16 << 20
 PIVOTS = 4
+SIZE = (1 << 31) - 1
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:
@@ -179,7 +180,13 @@ class _Prefix:
 
 
 def rare_pairs(docs: DataFrame, size: int, prefix: _Prefix, parts: int) -> DataFrame:
-    """(a, b, w) digests of sets that share a rare prefix token; w is their total size."""
+    """(a, b, na, nb, common) digests and sizes of sets that share rare prefix tokens, if these can be enough.
+
+    A pair's overlap is at most its common prefix tokens plus the longer of the
+    two suffixes, which rejects most pairs that only share a passage. A set with
+    frequent tokens in its base prefix (marked in the top bit of its size) is
+    not counted that way.
+    """
     percent, bits = prefix.percent, int(math.log2(parts))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +211,7 @@ def rare_pairs(docs: DataFrame, size: int, prefix: _Prefix, parts: int) -> DataF
         for fp, h in _distinct_sets(batches, size):
             rare, _, base = prefix.split(h)
             if len(rare):
-                held.append((rare[:base], fp, len(h)))
+                held.append((rare[:base], fp, len(h) | (len(rare) < base) << 31))
                 total += min(base, len(rare))
                 if total >= FLUSH // 2:
                     yield flush(held)
@@ -226,15 +233,16 @@ def rare_pairs(docs: DataFrame, size: int, prefix: _Prefix, parts: int) -> DataF
             i = np.flatnonzero(low[gap:] == low[:-gap])
             if not len(i):
                 break
-            x, y = n[i], n[i + gap]
+            x, y = n[i] & SIZE, n[i + gap] & SIZE
             i = i[100 * np.minimum(x, y) >= percent * np.maximum(x, y)]
-            found.append(np.stack([fp[i], fp[i + gap], n[i] + n[i + gap]], 1))
+            found.append(np.stack([fp[i], fp[i + gap], n[i], n[i + gap]], 1))
             gap += 1
-        rows = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
-        return pa.table({"a": rows[:, 0], "b": rows[:, 1], "w": rows[:, 2]})
+        rows, common = np.unique(np.concatenate(found), axis=0, return_counts=True) if found else (np.zeros((0, 4), np.int64), np.zeros(0, np.int64))
+        return pa.table({"a": rows[:, 0], "b": rows[:, 1], "na": rows[:, 2], "nb": rows[:, 3], "common": common.astype(np.int64)})
 
     posted = docs.select("text").mapInArrow(post, "part int, lows binary, fps binary, ns binary")
-    return posted.groupBy("part").applyInArrow(pair, "a long, b long, w long").distinct()
+    return posted.groupBy("part").applyInArrow(pair, "a long, b long, na long, nb long, common long").groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common")).where(
+        f"greatest(na, nb) > {SIZE} or {100 + percent} * (common + (greatest(na, nb) * {percent} + 99) div 100 - 1) >= {percent} * (na + nb)")
 
 
 def combination_lists(docs: DataFrame, size: int, prefix: _Prefix) -> DataFrame:
@@ -338,7 +346,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, freque
     pivots = lists.where("lead").groupBy("sig").agg(F.min("fp").alias("p0"), F.max("fp").alias("p1"), F.min(F.col("fp").bitwiseXOR(flip)).bitwiseXOR(flip).alias("p2"), F.max(F.col("fp").bitwiseXOR(flip)).bitwiseXOR(flip).alias("p3"))
     star = lists.where("lead").join(pivots.where("p0 <> p1"), "sig").select("fp", F.col("n") * 2, F.explode(F.array_distinct(F.array("p0", "p1", "p2", "p3"))).alias("p")).where("fp <> p")
     star = star.toDF("fp", "w", "p").select(F.least("fp", "p").alias("a"), F.greatest("fp", "p").alias("b"), "w")
-    pairs = rare_pairs(docs, size, prefix, parts).union(star).groupBy("a", "b").agg(F.max("w").alias("w"))
+    rare = rare_pairs(docs, size, prefix, parts).select("a", "b", F.expr(f"(na & {SIZE}) + (nb & {SIZE})").alias("w"))
+    pairs = rare.union(star).groupBy("a", "b").agg(F.max("w").alias("w"))
     edges = cut_lineage(verify(cut_lineage(pairs, "pairs"), docs, reps, size, percent), "edges")
     roots = cut_lineage(components(edges), "roots")
 
