@@ -17,7 +17,8 @@ inside sub-classes finds the pair. Candidates are verified on whole sets.
   Lists of combinations may be long: each set is first compared with four
   pivots of a few of its lists; after these links are merged, only pairs of
   different components are compared, and a 512-bit parity bitmap, whose Hamming
-  distance never exceeds the symmetric difference, rejects most of them.
+  distance never exceeds the symmetric difference, rejects most of them. The
+  last round covers every list, so no link between components is lost.
 * Exact copies (equal sets) are one node. Nodes are 64-bit digests of the set;
   among N distinct sets about N^2 / 2^65 pairs share a digest by chance (20 at
   27 billion documents).
@@ -49,6 +50,8 @@ BITS = 26
 TILE_BYTES = 16 << 20
 PIVOTS = 4
 SIZE = (1 << 31) - 1
+#: The lists of combinations are compared in rounds, every 32nd first, all of them last; components found so far are merged in between.
+STRIDES = (32, 4, 1)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:
@@ -158,14 +161,19 @@ class _Prefix:
         return h[~hit], h[hit], base
 
     def combinations(self, h: np.ndarray) -> np.ndarray:
-        """Signatures of two frequent tokens of a sub-class, if the base prefix holds frequent tokens."""
+        """Signatures of two frequent tokens of a sub-class, if the base prefix holds frequent tokens.
+
+        The number of sub-classes follows the size, in powers of two; a set is
+        indexed for its own power and for those that similar sets can have. The
+        lowest six bits of a signature tell the power.
+        """
         rare, freq, base = self.split(h)
         n, p = len(h), self.percent
         if len(rare) >= base or n < 2:
             return h[:0]
         out = []
         for bucket in sorted({int(math.log2(x)) for x in ((p * n + 99) // 100, n, 100 * n // p)}):
-            m = max(1, (1 << bucket) // 32)
+            m = max(1, (1 << bucket) // 8)
             part = freq[: max(0, base + m - len(rare))]
             sub = (mix(part ^ _U(bucket + 1)) % _U(m)).astype(np.int64)
             order = np.argsort(sub, kind="stable")
@@ -175,7 +183,7 @@ class _Prefix:
                 if b - a > 1:
                     i, j = np.triu_indices(b - a, 1)
                     x = part[a:b]
-                    out.append(mix(x[i] * _U(0x8CB92BA72F3D8DD7) + x[j] * _U(0xAAAAAAAAAAAAAAAB) + _U(bucket)))
+                    out.append((mix(x[i] * _U(0x8CB92BA72F3D8DD7) + x[j] * _U(0xAAAAAAAAAAAAAAAB)) & ~_U(63)) | _U(bucket))
         return np.concatenate(out) if out else h[:0]
 
 
@@ -340,7 +348,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, freque
     reps = mem.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"))
     prefix = _Prefix(percent, frequent_tokens(docs, size, frequent, max_frequent, parts), parts)
     combos = cut_lineage(combination_lists(docs, size, prefix), "combos")
-    lists = combos.where("sig is not null").select("sig", "fp", "n", "lead").distinct()
+    lists = cut_lineage(combos.where("sig is not null").select("sig", "fp", "n", "lead").distinct(), "lists")
 
     flip = F.lit(0x5DEECE66D1234567)
     pivots = lists.where("lead").groupBy("sig").agg(F.min("fp").alias("p0"), F.max("fp").alias("p1"), F.min(F.col("fp").bitwiseXOR(flip)).bitwiseXOR(flip).alias("p2"), F.max(F.col("fp").bitwiseXOR(flip)).bitwiseXOR(flip).alias("p3"))
@@ -351,20 +359,21 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, freque
     edges = cut_lineage(verify(cut_lineage(pairs, "pairs"), docs, reps, size, percent), "edges")
     roots = cut_lineage(components(edges), "roots")
 
-    rows = lists.select("sig", "fp").join(roots, lists.fp == roots.node, "left").select("sig", "fp", F.coalesce("root", "fp").alias("root"))
-    rows = cut_lineage(rows, "lists")
-    open_lists = rows.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
     bitmaps = combos.where("sig is null").drop("sig", "lead").dropDuplicates(["fp"])
-    side = cut_lineage(rows.join(open_lists, "sig").join(bitmaps, "fp"), "open")
-    left, right = side.alias("l"), side.alias("r")
     apart = " + ".join(f"bit_count(l.b{i} ^ r.b{i})" for i in range(8))
-    # Jaccard >= t needs a symmetric difference of at most (1 - t) / (1 + t) of both sizes.
-    near = f"l.sig = r.sig and l.fp < r.fp and l.root <> r.root and 100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n) and {100 + percent} * ({apart}) <= {100 - percent} * (l.n + r.n)"
-    more = left.join(right, F.expr(near)).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"), F.expr("l.n + r.n").alias("w")).distinct()
-    more = cut_lineage(more, "pairs")
-    if not more.isEmpty():
-        edges = edges.union(cut_lineage(verify(more, docs, reps, size, percent), "edges"))
-        roots = cut_lineage(components(edges), "roots")
+    # Jaccard >= t needs a symmetric difference of at most (1 - t) / (1 + t) of both sizes. The smaller set's power names the list that counts.
+    near = f"""l.sig = r.sig and l.fp < r.fp and l.root <> r.root and (l.sig & 63) = cast(floor(log2(least(l.n, r.n))) as bigint)
+        and 100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n) and {100 + percent} * ({apart}) <= {100 - percent} * (l.n + r.n)"""
+    for stride in STRIDES:
+        rows = lists.where(F.pmod(F.shiftright("sig", 6), F.lit(stride)) == 0).select("sig", "fp")
+        rows = cut_lineage(rows.join(roots, rows.fp == roots.node, "left").select("sig", "fp", F.coalesce("root", "fp").alias("root")), "lists")
+        open_lists = rows.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
+        side = cut_lineage(rows.join(open_lists, "sig").join(bitmaps, "fp"), "open")
+        more = side.alias("l").join(side.alias("r"), F.expr(near)).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"), F.expr("l.n + r.n").alias("w")).distinct()
+        more = cut_lineage(more, "pairs")
+        if not more.isEmpty():
+            edges = edges.union(cut_lineage(verify(more, docs, reps, size, percent), "edges"))
+            roots = cut_lineage(components(edges), "roots")
 
     named = reps.join(roots, reps.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
