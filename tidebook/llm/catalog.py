@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidebook.llm import decontaminate, url_filter
+from tidebook.llm.decontaminate import contamination
 from tidebook.llm.jaccard_join import jaccard_components
+from tidebook.llm.url_filter import rule_table, url_verdicts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,3 +24,15 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_jaccard_join"] = op8_jaccard_join
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("key")
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(_table(spark, sf_dir, "pages"), rule_table(spark))
+
+
+QUERIES |= {"op6_decontamination": op6_decontamination, "op9_url_filter": op9_url_filter}
+ORACLES |= {"op6_decontamination": decontaminate.ORACLE, "op9_url_filter": url_filter.ORACLE}
