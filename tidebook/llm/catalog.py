@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tidebook.llm import decontaminate, url_filter
 from tidebook.llm.decontaminate import contamination
 from tidebook.llm.jaccard_join import jaccard_components
+from tidebook.llm.license_scan import known_digests, license_scan
+from tidebook.llm.quality_rules import quality_rules
 from tidebook.llm.url_filter import rule_table, url_verdicts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +38,15 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES |= {"op6_decontamination": op6_decontamination, "op9_url_filter": op9_url_filter}
 ORACLES |= {"op6_decontamination": decontaminate.ORACLE, "op9_url_filter": url_filter.ORACLE}
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents"), known_digests(spark))
+
+
+QUERIES |= {"op3_quality_rules": op3_quality_rules, "op4_license_scan": op4_license_scan}
