@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidebook.llm import decontaminate, url_filter
+from tidebook.llm import decontaminate, pii, url_filter
 from tidebook.llm.decontaminate import contamination
 from tidebook.llm.jaccard_join import jaccard_components
 from tidebook.llm.license_scan import known_digests, license_scan
 from tidebook.llm.quality_rules import quality_rules
 from tidebook.llm.url_filter import rule_table, url_verdicts
+from tidebook.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,3 +52,17 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op3_quality_rules": op3_quality_rules, "op4_license_scan": op4_license_scan}
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cut_lineage(pii.candidates(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "spans")
+    spans = pii.all_spans(pii.fit(rows))
+    counts = [_kind_count(k) for k in pii.BASE]
+    return rows.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(spans).alias("spans"))
+
+
+def _kind_count(kind: str) -> Column:
+    return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+QUERIES |= {"op5_pii": op5_pii}
