@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import decontaminate, pii, url_filter
+from tidebook.llm import decontaminate, language_id, pii, url_filter
 from tidebook.llm.decontaminate import contamination
 from tidebook.llm.jaccard_join import jaccard_components
 from tidebook.llm.license_scan import known_digests, license_scan
+from tidebook.llm.quality_lm import quality_scores
 from tidebook.llm.quality_rules import quality_rules
 from tidebook.llm.url_filter import rule_table, url_verdicts
 from tidebook.session import cut_lineage
@@ -66,3 +67,20 @@ def _kind_count(kind: str) -> Column:
 
 
 QUERIES |= {"op5_pii": op5_pii}
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language_id.train(docs.select("doc_id", "text", "lang").where(language_id.remainder("doc_id", 4) != 2))
+    rows = language_id.identify(docs.select("doc_id", "text"), model)
+    return rows.select("doc_id", F.coalesce(language_id.remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+QUERIES |= {"op1_language_id": op1_language_id}
+
+
+def op2_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("key")
+
+
+QUERIES |= {"op2_quality_lm": op2_quality_lm}
