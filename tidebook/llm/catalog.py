@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import decontaminate, language_id, pii, url_filter
+from tidebook.llm import decontaminate, language_id, pii, sentencepieces, toxicity, url_filter
 from tidebook.llm.decontaminate import contamination
 from tidebook.llm.jaccard_join import jaccard_components
 from tidebook.llm.license_scan import known_digests, license_scan
@@ -84,3 +84,18 @@ def op2_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op2_quality_lm": op2_quality_lm}
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.coalesce(language_id.remainder("doc_id", 5) == 0, F.lit(False))
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held)
+    return toxicity.toxicity(docs, toxicity.train(docs, labels)).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sentencepieces.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", F.coalesce(F.size("pieces"), F.lit(0)).cast("long").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_hash"), "restored")
+
+
+QUERIES |= {"op7_toxicity": op7_toxicity, "op10_sentencepiece": op10_sentencepiece}
