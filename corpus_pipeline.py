@@ -1,12 +1,83 @@
-"""Training-corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next."""
+"""Training-corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next.
+
+Every stage takes (spark, docs, sf_dir) and judges all rows that its predecessor
+kept. Rows may repeat or lack a doc_id. Empty tables pass through.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidebook.llm import pii, sentencepieces
+from tidebook.llm.decontaminate import contamination
+from tidebook.llm.jaccard_join import jaccard_components
+from tidebook.llm.keys import text_key
+from tidebook.llm.quality_lm import quality_scores
 from tidebook.session import cut_lineage
 
-STAGES: list = []
+
+def _keep(docs: DataFrame, verdicts: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs`` with (semi) or without (anti) a row in ``verdicts(doc_id, key)``."""
+    other = verdicts.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
+    return docs.join(other, docs.doc_id.eqNullSafe(F.col("_id")) & (text_key(docs.text) == F.col("_key")), f"left_{how}")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose perplexity under trusted text stays below their language's threshold."""
+    scores = quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _keep(docs, scores.where("not kept"), "anti")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked documents: the one with the smallest doc_id.
+
+    A repeated doc_id keeps one of its rows (the smallest text). Rows without an
+    id stay if no document with an id is linked to them; equal ones stay once.
+    """
+    rows = jaccard_components(docs)
+    first = rows.where("doc_id = component_id").select(F.col("doc_id").alias("_id"))
+    repeated = first.groupBy("_id").count().where("count > 1").select("_id")
+    named = docs.join(first.distinct(), docs.doc_id == F.col("_id"), "left_semi")
+    once = named.join(repeated, named.doc_id == F.col("_id"), "left_anti")
+    others = [c for c in docs.columns if c != "doc_id"]
+    again = named.join(repeated, named.doc_id == F.col("_id"), "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *(c for c in others if c != "text"))).alias("r"))
+    out = once.unionByName(again.select("doc_id", *(F.col(f"r.{c}").alias(c) for c in others)).select(*docs.columns))
+    unnamed = docs.where("doc_id is null")
+    if not unnamed.isEmpty():
+        out = out.unionByName(unnamed.join(docs.where("doc_id is not null").select(F.col("text").alias("_t")).distinct(), unnamed.text.eqNullSafe(F.col("_t")), "left_anti").dropDuplicates(["text"]))
+    return out
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage."""
+    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _keep(docs, found.where("contaminated"), "anti")
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with each span of personal data replaced by its kind; n_chars follows."""
+    rows = pii.candidates(docs)
+    spans = pii.all_spans(pii.fit(pii.candidates(docs.select("doc_id", "text"))))
+    rows = rows.withColumn("text", pii.masked(F.col("text"), spans))
+    return rows.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their SentencePiece ids, and whether these decode to the text."""
+    rows = sentencepieces.round_trip(docs)
+    return rows.withColumn("n_pieces", F.coalesce(F.size("pieces"), F.lit(0)).cast("long"))
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("PII", personal_data),
+    ("SentencePiece", pieces),
+]
+
+#: The quality model and the piece search have no SQL form; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 

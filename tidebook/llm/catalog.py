@@ -59,11 +59,11 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cut_lineage(pii.candidates(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "spans")
     spans = pii.all_spans(pii.fit(rows))
     counts = [_kind_count(k) for k in pii.BASE]
-    return rows.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(spans).alias("spans"))
+    return rows.select("doc_id", *counts, F.sha2(pii.joined(F.col("pii_base")), 256).alias("base_sha256"), pii.joined(spans).alias("spans"))
 
 
 def _kind_count(kind: str) -> Column:
-    return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return F.size(F.filter("pii_base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
 
 QUERIES |= {"op5_pii": op5_pii}

@@ -114,22 +114,21 @@ def _candidate(text: Column, kind: str, s: Column) -> Column:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``base`` (kind, start, end) and ``extra`` (candidates with votes and features)."""
+    """``docs`` with ``pii_base`` (kind, start, end) and ``pii_extra`` (candidates with votes and features); columns of these names are replaced."""
     t = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("*", *(_spans(t, k).alias(f"_{k}") for k in PATTERNS))
-    base = F.concat(*(_kind(k) for k in BASE))
-    free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    rows = rows.withColumn("base", base)
-    extra = F.concat(*(_extra(t, k, free) for k in EXTRA))
-    return rows.withColumn("extra", extra).drop(*(f"_{k}" for k in PATTERNS))
+    own = [c for c in docs.columns if not c.startswith("pii_")]
+    rows = docs.select(*own, *(_spans(t, k).alias(f"pii_{k}") for k in PATTERNS))
+    rows = rows.withColumn("pii_base", F.concat(*(_kind(k) for k in BASE)))
+    free = lambda s: ~F.exists("pii_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    return rows.select(*own, "pii_base", F.concat(*(_extra(t, k, free) for k in EXTRA)).alias("pii_extra"))
 
 
 def _kind(kind: str) -> Column:
-    return F.transform(f"_{kind}", lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    return F.transform(f"pii_{kind}", lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
 
 def _extra(text: Column, kind: str, free) -> Column:
-    return F.transform(F.filter(f"_{kind}", free), lambda s: _candidate(text, kind, s))
+    return F.transform(F.filter(f"pii_{kind}", free), lambda s: _candidate(text, kind, s))
 
 
 @dataclass
@@ -151,7 +150,7 @@ class SpanClassifier:
 
 def fit(cands: DataFrame, rounds: int = 60) -> SpanClassifier | None:
     """EM over vote patterns, then naive Bayes on its posteriors; None without candidates."""
-    x = cands.select(F.explode("extra").alias("x")).select("x.*")
+    x = cands.select(F.explode("pii_extra").alias("x")).select("x.*")
     rows = [r.asDict() for r in x.groupBy(*VOTES, *FEATURES).count().collect()]
     if not rows:
         return None
@@ -190,9 +189,9 @@ def fit(cands: DataFrame, rounds: int = 60) -> SpanClassifier | None:
 def all_spans(model: SpanClassifier | None) -> Column:
     """Base spans and accepted candidates (kind, start, end), by kind as listed, then start."""
     if model is None:
-        return F.col("base")
-    kept = F.filter("extra", model.accepts)
-    return F.concat("base", F.transform(kept, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))))
+        return F.col("pii_base")
+    kept = F.filter("pii_extra", model.accepts)
+    return F.concat("pii_base", F.transform(kept, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))))
 
 
 def joined(spans: Column) -> Column:

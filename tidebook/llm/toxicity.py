@@ -1,17 +1,20 @@
 """Toxicity by a weighted lexicon.
 
-Text is folded (lower case, accents and homoglyphs to Latin letters, digit and
-sign substitutions to letters) and scanned once by an Aho-Corasick automaton of
-lexicon terms and exception phrases. A term counts where it stands as a whole
-word and not inside an exception phrase. The sum of weights, divided by the
-logarithm of the number of words, gives the score through a logistic curve.
+Text is folded (lower case, homoglyphs of other scripts to Latin letters, digit
+and sign substitutions to letters; accents stay, they tell words apart) and
+scanned once by an Aho-Corasick automaton of lexicon terms and exception
+phrases. A term is a whole word or a stem (written ``stem*``) with which a word
+begins; it counts where it does not stand inside an exception phrase. The sum
+of weights, divided by the logarithm of the number of words, gives the score
+through a logistic curve.
 
 The lexicon is learned from a sample of at most ``sample`` labelled documents
-of each class (the lowest hashed ids): words are ranked by log-likelihood
-ratio, then picked greedily by the toxic documents they add to those already
-explained, so words that merely accompany others are left out. A pair of a term
-and a neighbour word that clean documents use becomes an exception. The curve's
-intercept is corrected for the share of toxic labels.
+of each class (the lowest hashed ids). Words and word beginnings are ranked by
+log-likelihood ratio (ties: the longer one), then picked in that order while
+they explain toxic documents that the earlier ones do not, so words that merely
+accompany others are left out. A pair of a term and a neighbour word that clean
+documents use becomes an exception. The curve's intercept is corrected for the
+share of toxic labels.
 
 Null and empty texts score as texts without a hit. Without toxic labels every
 score is 0. Rows may repeat or lack an id; other columns are ignored.
@@ -20,7 +23,6 @@ score is 0. Rows may repeat or lack an id; other columns are ignored.
 from __future__ import annotations
 
 import math
-import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -35,13 +37,13 @@ HOMOGLYPHS = ("абвгеѕіјкӏмнорстухԁԛԝһαβγεικνορτ
 SUBSTITUTES = ("013457@$", "oieasta" + "s")
 
 
+STEMS = range(4, 9)
+FLUSH = 1 << 18
+
+
 def fold_table() -> dict[int, str]:
     """Code point to folded text, for str.translate after lower-casing."""
     table = {}
-    for cp in range(0xC0, 0x250):
-        base = unicodedata.normalize("NFKD", chr(cp))[0]
-        if base.isascii() and base.isalpha():
-            table[cp] = base.lower()
     for glyphs, latin in (HOMOGLYPHS, SUBSTITUTES):
         table |= {ord(g): x for g, x in zip(glyphs, latin, strict=True)}
     for cp in range(0xFF41, 0xFF5B):
@@ -54,12 +56,19 @@ def words(folded: str) -> list[str]:
     return [w for w in (x.strip(".,;:!?\"'()[]{}<>|*#%&-_") for x in folded.split()) if w]
 
 
+def terms_of(seq: list[str]) -> set[str]:
+    """The words of a text and their beginnings of STEMS letters."""
+    distinct = set(seq)
+    return distinct | {w[:k] + "*" for w in distinct for k in STEMS if len(w) > k}
+
+
 def _matches(automaton, text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int]]]:
     """Whole-word term matches and exception spans."""
     terms, exceptions = [], []
     for end, (size, term) in automaton.iter(text):
         start = end - size + 1
-        if (start == 0 or not text[start - 1].isalnum()) and (end + 1 == len(text) or not text[end + 1].isalnum()):
+        stem = term is not None and term[-1] == "*"
+        if (start == 0 or not text[start - 1].isalnum()) and (stem or end + 1 == len(text) or not text[end + 1].isalnum()):
             if term is None:
                 exceptions.append((start, end))
             else:
@@ -71,8 +80,11 @@ def _automaton(lexicon: dict[str, float], exceptions: list[str]):
     import ahocorasick
 
     out = ahocorasick.Automaton()
-    for term in lexicon:
-        out.add_word(term, (len(term), term))
+    # A word and a stem of the same letters share an entry; the stem matches wherever the word does.
+    for term in sorted(lexicon):
+        plain = term.rstrip("*")
+        if term != plain or plain + "*" not in lexicon:
+            out.add_word(plain, (len(plain), term))
     for phrase in exceptions:
         out.add_word(phrase, (len(phrase), None))
     out.make_automaton()
@@ -95,10 +107,18 @@ def scorer(lexicon: dict[str, float], exceptions: list[str]) -> Callable[[str |
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table, held = fold_table(), Counter()
+
+    def emit() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.int32()), pa.array(list(held.values()), pa.int64())], ["word", "toxic", "n"])
+        held.clear()
+        return out
+
     for batch in batches:
         for text, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            held.update((w, y) for w in set(words((text or "").lower().translate(table))))
-    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.int32()), pa.array(list(held.values()), pa.int64())], ["word", "toxic", "n"])
+            held.update((w, y) for w in terms_of(words((text or "").lower().translate(table))))
+            if len(held) > FLUSH:
+                yield emit()
+    yield emit()
 
 
 def _llr(a: int, b: int, n1: int, n0: int) -> float:
@@ -113,7 +133,7 @@ class Model:
         self.lexicon, self.exceptions, self.intercept, self.slope = lexicon, exceptions, intercept, slope
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 10000, candidates: int = 2000, min_docs: int = 3) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 10000, candidates: int = 4000, min_docs: int = 3) -> Model | None:
     """Lexicon, exceptions and curve from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``."""
     labels = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     share = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
@@ -129,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 10000, candidates: i
         return None
     lift = F.col("a") * F.log((F.col("a") + 0.5) / (F.col("b") + 0.5) * n0 / n1)
     top = counted.where(F.col("a") >= min_docs).where(F.col("a") * n0 > F.col("b") * n1).orderBy(F.desc(lift), "word").limit(candidates).collect()
-    ranked = sorted(((r["word"], r["a"], r["b"]) for r in top), key=lambda r: (-_llr(r[1], r[2], n1, n0), r[0]))
+    ranked = sorted(((r["word"], r["a"], r["b"]) for r in top), key=lambda r: (-_llr(r[1], r[2], n1, n0), -len(r[0]), r[0]))
     vocabulary = {w: i for i, (w, _, _) in enumerate(ranked)}
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,26 +158,24 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 10000, candidates: i
             found, near = [], []
             for text in batch.column("text").to_pylist():
                 seq = words((text or "").lower().translate(table))
-                at = [(i, vocabulary[w]) for i, w in enumerate(seq) if w in vocabulary]
-                found.append(sorted({v for _, v in at}))
-                near.append(sorted({" ".join(seq[max(0, i - d) : i + 1 + e]) for i, v in at for d, e in ((1, 0), (0, 1)) if v < 200 and (i if d else i + 1 < len(seq))}))
+                found.append(sorted({vocabulary[w] for w in terms_of(seq) if w in vocabulary}))
+                at = [i for i, w in enumerate(seq) if vocabulary.get(w, 200) < 200]
+                near.append(sorted({" ".join(seq[max(0, i - d) : i + 1 + e]) for i in at for d, e in ((1, 0), (0, 1)) if (i if d else i + 1 < len(seq))}))
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.int32())), pa.array(near, pa.list_(pa.string()))], ["toxic", "found", "near"])
 
     sets = rows.mapInArrow(present, "toxic int, found array<int>, near array<string>")
     grouped = sets.groupBy("toxic", "found").count().toPandas()
     toxic = [(set(f), c) for y, f, c in grouped.itertuples(index=False) if y == 1]
-    clean = Counter()
-    for y, f, c in grouped.itertuples(index=False):
-        if y == 0:
-            clean.update({int(v): c for v in f})
     lexicon: dict[str, float] = {}
     while len(lexicon) < len(ranked):
         gain = Counter()
         for f, c in toxic:
             gain.update({int(v): c for v in f})
-        best = max(gain, key=lambda v: (_llr(gain[v], clean[v], n1, n0), -v), default=None)
-        if best is None or gain[best] < max(min_docs, 0.002 * n1) or _llr(gain[best], clean[best], n1, n0) < 6:
+        # Among the terms that explain further documents, the strongest over all documents is next.
+        fresh = [v for v in gain if gain[v] >= max(min_docs, 0.002 * n1)]
+        if not fresh or _llr(*ranked[min(fresh)][1:], n1, n0) < 6:
             break
+        best = min(fresh)
         word, a, b = ranked[best]
         lexicon[word] = math.log((a + 0.5) / (n1 + 1) * (n0 + 1) / (b + 0.5))
         toxic = [(f, c) for f, c in toxic if best not in f]
