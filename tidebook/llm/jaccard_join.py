@@ -50,8 +50,8 @@ BITS = 26
 TILE_BYTES = 16 << 20
 PIVOTS = 4
 SIZE = (1 << 31) - 1
-#: The lists of combinations are compared in rounds, every 32nd first, all of them last; components found so far are merged in between.
-STRIDES = (32, 4, 1)
+#: The lists of combinations are compared in rounds, every 256th first, all of them last; components found so far are merged in between.
+STRIDES = (256, 32, 4, 1)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:
