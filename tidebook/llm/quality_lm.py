@@ -82,9 +82,9 @@ def kneser_ney(counts: DataFrame, order: int) -> DataFrame:
 def shards(model: DataFrame, order: int, shard_rows: int) -> tuple[np.ndarray, int]:
     """The shard of each pair of bytes before the scored one, and the number of shards."""
     pair = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))
-    sizes = model.where("size > 2").groupBy(pair.cast("int").alias("pair")).count().toPandas()
+    sizes = model.where("size > 2").groupBy(pair.cast("int").alias("pair")).count().toArrow()
     rows = np.zeros(1 << 16, np.int64)
-    rows[sizes["pair"].to_numpy(np.int64)] = sizes["count"].to_numpy()
+    rows[sizes.column(0).to_numpy()] = sizes.column(1).to_numpy()
     shard = np.zeros(1 << 16, np.int16)
     at = held = 0
     for pair_ in np.flatnonzero(rows):
@@ -95,18 +95,24 @@ def shards(model: DataFrame, order: int, shard_rows: int) -> tuple[np.ndarray, i
     return shard, at + 1
 
 
-def _table(rows, order: int) -> BackoffTable:
-    """Back-off table of one shard, from pandas rows."""
-    uni = np.full((256, 1), 0.0, np.float32)
-    one = rows[rows["size"] == 1]
+def _table(model: DataFrame, order: int) -> BackoffTable:
+    """Back-off table of one shard's rows; only keys and 32-bit values come to the driver, one level at a time."""
+
+    def arrays(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        got = rows.toArrow()
+        return got.column(0).to_numpy().astype(_U), got.column(1).to_numpy()
+
+    uni = np.full((256, 1), -8.0, np.float32)
+    keys, values = arrays(model.where("size = 1").select("gram", F.col("value").cast("float")))
     # A byte that trusted text never has gets the share that is left for unseen ones.
-    uni[:, 0] = one["weight"].iloc[0] - 8 if len(one) else -8
-    uni[one["gram"].to_numpy(np.int64), 0] = one["value"].to_numpy()
+    uni[:] = (model.where("size = 1").agg(F.max("weight")).first()[0] or 0.0) - 8
+    uni[keys.astype(np.int64), 0] = values
     table = BackoffTable(uni)
     for k in range(2, order + 1):
-        part = rows[rows["size"] == k]
-        contexts, first = np.unique(part["context"].to_numpy(np.int64), return_index=True)
-        table.add(k, part["gram"].to_numpy(np.int64).astype(_U), part["value"].to_numpy()[:, None], contexts.astype(_U), part["weight"].to_numpy()[first][:, None])
+        level = model.where(F.col("size") == k)
+        keys, values = arrays(level.select("gram", F.col("value").cast("float")))
+        contexts, weights = arrays(level.groupBy("context").agg(F.max("weight").cast("float")))
+        table.add(k, keys, values[:, None], contexts, weights[:, None])
     return table
 
 
@@ -120,7 +126,7 @@ def code_lengths(docs: DataFrame, model: DataFrame, order: int, shard_rows: int)
         pairs = spark.createDataFrame([(int(p),) for p in np.flatnonzero(shard == s)], "pair int") if count > 1 else None
         part = model.withColumn("pair", F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF)).cast("int"))
         part = part if pairs is None else part.where("size <= 2").unionByName(part.where("size > 2").join(pairs, "pair", "left_semi"))
-        shared = spark.sparkContext.broadcast(_table(part.drop("pair").toPandas(), order).plain())
+        shared = spark.sparkContext.broadcast(_table(part, order).plain())
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, s=s) -> Iterator[pa.RecordBatch]:
             table, where = BackoffTable.restore(shared.value), of_pair.value
