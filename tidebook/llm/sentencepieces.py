@@ -11,7 +11,7 @@ Where no piece can cross a cut, the best path of a text is the best paths of
 its parts put together. This is checked on the vocabulary: no piece holds a
 space mark after another character, and line feeds stand in no longer piece.
 Parts between such cuts are mostly words, and repeat; a task remembers up to
-``MEMORY`` of them.
+twice ``MEMORY`` of them.
 
 Decoding joins pieces and bytes, so it restores the text exactly. A literal
 space mark (U+2581) in a text is encoded as bytes for that reason.
@@ -24,6 +24,7 @@ pieces, empty text has none. Rows may repeat; other columns are kept.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -71,27 +72,24 @@ def encoder(pieces: list[tuple[str, float, int]]) -> Callable[[str], list[int]]:
     literal = [byte_ids[b] for b in MARK.encode()]
     memory: dict[str, tuple[int, ...]] = {}
 
+    none = float("-inf")
+    old: dict[str, tuple[int, ...]] = {}
+
     def best(part: str) -> tuple[int, ...]:
         n = len(part)
-        score: list[float | None] = [None] * (n + 1)
-        back: list[tuple[int, int]] = [(0, 0)] * (n + 1)
+        score = [none] * (n + 1)
+        back = [(0, 0)] * (n + 1)
         score[0] = 0.0
         done = 0
         for end, (size, i, s) in automaton.iter(part):
             end += 1
-            while done < end - 1:  # characters passed without a piece of their own
+            while done < end:  # a character without a piece of its own becomes bytes
+                if part[done] not in single:
+                    score[done + 1], back[done + 1] = score[done] + unknown, (1, -1)
                 done += 1
-                if part[done - 1] not in single:
-                    relaxed = score[done - 1] + unknown
-                    if score[done] is None or relaxed > score[done]:
-                        score[done], back[done] = relaxed, (1, -1)
-            if done < end:
-                done = end
-                if part[end - 1] not in single:
-                    score[end], back[end] = score[end - 1] + unknown, (1, -1)
-            start = score[end - size]
-            if start is not None and (score[end] is None or start + s > score[end]):
-                score[end], back[end] = start + s, (size, i)
+            s += score[end - size]
+            if s > score[end]:
+                score[end], back[end] = s, (size, i)
         for k in range(done + 1, n + 1):
             score[k], back[k] = score[k - 1] + unknown, (1, -1)
         out: list[int] = []
@@ -105,20 +103,25 @@ def encoder(pieces: list[tuple[str, float, int]]) -> Callable[[str], list[int]]:
         return tuple(reversed(out))
 
     def part_ids(part: str) -> tuple[int, ...]:
-        ids = memory.get(part)
+        """Ids of a part that ``memory`` lacks. A full memory becomes the old one, so frequent parts stay known."""
+        nonlocal old
+        ids = old.get(part)
         if ids is None:
+            ids = best(part)
+        if len(part) <= 64:
             if len(memory) >= MEMORY:
+                old = dict(memory)
                 memory.clear()
-            ids = best(part)
-            if len(part) <= 64:
-                memory[part] = ids
+            memory[part] = ids
         return ids
 
     def run(text: str) -> list[int]:
         """Ids of ``text``, which has its spaces as marks, cut where no piece can cross."""
         out: list[int] = []
+        known = memory.get
         for part in cut.findall(text) if cut else [text]:
-            out += part_ids(part)
+            ids = known(part)
+            out += part_ids(part) if ids is None else ids
         return out
 
     def encode(text: str) -> list[int]:
@@ -139,7 +142,7 @@ def decoder(pieces: list[tuple[str, float, int]]) -> Callable[[list[int]], str]:
     table = [bytes([b]) if b >= 0 else b"" if b == -2 else p.replace(MARK, " ").encode() for p, _, b in pieces]
 
     def decode(ids: list[int]) -> str:
-        return b"".join([table[i] for i in ids]).decode("utf-8", "replace")[1:]
+        return b"".join(map(table.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
     return decode
 
@@ -157,8 +160,14 @@ def encode(docs: DataFrame, path: str = MODEL, text: str = "text", into: str = "
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                ids = [None if t is None else np.array(to_ids(t.as_py()), np.int32) if t.is_valid else None for t in part.column(text)]
-                cols = {n: part.column(n) for n in part.schema.names if n != into} | {into: pa.array(ids, pa.list_(pa.int32()))}
+                flat, ends = array("i"), [0]
+                for t in part.column(text):
+                    if t.is_valid:
+                        flat.extend(to_ids(t.as_py()))
+                    ends.append(len(flat))
+                starts = pa.array(ends, pa.int32(), mask=np.r_[part.column(text).is_null().to_numpy(zero_copy_only=False), False])
+                ids = pa.ListArray.from_arrays(starts, pa.array(np.frombuffer(flat, np.int32)) if flat else pa.array([], pa.int32()))
+                cols = {n: part.column(n) for n in part.schema.names if n != into} | {into: ids}
                 yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
     return docs.mapInArrow(run, _with(docs, into, T.ArrayType(T.IntegerType())))
@@ -171,7 +180,7 @@ def decode(rows: DataFrame, path: str = MODEL, pieces: str = "pieces", into: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_text = decoder(shared.value)
         for batch in batches:
-            texts = [to_text(x.values.to_pylist()) if x.is_valid else None for x in batch.column(pieces)]
+            texts = [to_text(x.values.to_numpy().tolist()) if x.is_valid else None for x in batch.column(pieces)]
             cols = {n: batch.column(n) for n in batch.schema.names if n != into} | {into: pa.array(texts, pa.string())}
             yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
