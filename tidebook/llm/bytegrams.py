@@ -119,7 +119,7 @@ class BackoffTable:
         return out
 
 
-def gram_counter(order: int, group: str | None = None, limit: int = 1 << 20, table: np.ndarray | None = None):
+def gram_counter(order: int, group: str | None = None, limit: int = 1 << 18, table: np.ndarray | None = None):
     """A mapInArrow function: (group, gram, n) of the text column, combined per task
     and emitted whenever about ``limit`` distinct grams are held."""
 
