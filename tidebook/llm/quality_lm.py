@@ -18,7 +18,8 @@ stays small.
 Perplexity per byte is pulled towards the language's median as if
 ``prior_bytes`` more bytes of that code length had been read, since a few words
 say little. The threshold of a language is a quantile of held-out trusted
-documents of that language; a language without any uses the one over all.
+documents of that language times ``margin``, which spares clean documents where
+few are held out; a language without any uses the one over all.
 
 Null and empty texts have no perplexity and are rejected. Rows may repeat or
 lack an id (such rows are never trusted). Without trusted text nothing but
@@ -147,7 +148,7 @@ def code_lengths(docs: DataFrame, model: DataFrame, order: int, shard_rows: int)
     return out.groupBy("doc_id", "key").agg(F.sum("bits").alias("bits"), F.sum("n").alias("n"))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, order: int = 5, quantile: float = 0.995, prior_bytes: int = 128, shard_rows: int = 1 << 21) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, order: int = 5, quantile: float = 0.995, margin: float = 1.05, prior_bytes: int = 128, shard_rows: int = 1 << 21) -> DataFrame:
     """(doc_id, key, lang, n_bytes, perplexity, threshold, kept) per row of ``docs(doc_id, text, lang)``."""
     docs = docs.select("doc_id", "text", "lang", text_key(F.col("text")).alias("key"))
     ids = trusted_ids(labels)
@@ -168,6 +169,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, order: int = 5, quantile:
     held = rows.where("n > 0").join(ids.where("held").select("doc_id"), "doc_id", "left_semi")
     by_lang = held.groupBy("lang_").agg(F.percentile_approx("perplexity", quantile, 10000).alias("own"))
     overall = held.agg(F.percentile_approx("perplexity", quantile, 10000)).first()[0]
-    rows = attach(rows, by_lang, ("lang_",)).withColumn("threshold", F.coalesce("own", F.lit(overall).cast("double")))
+    rows = attach(rows, by_lang, ("lang_",)).withColumn("threshold", margin * F.coalesce("own", F.lit(overall).cast("double")))
     kept = (F.col("n") > 0) & (F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold")))
     return rows.select("doc_id", "key", "lang", F.col("n").alias("n_bytes"), "perplexity", "threshold", kept.alias("kept"))
