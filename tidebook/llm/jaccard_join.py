@@ -45,7 +45,7 @@ from tidebook.llm.textbatch import WordHasher, chunks, lower_ascii, mix, pack, s
 from tidebook.session import cut_lineage
 
 _U = np.uint64
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 BITS = 26
 TILE_BYTES = 16 << 20
 PIVOTS = 4
@@ -221,7 +221,7 @@ def rare_pairs(docs: DataFrame, size: int, prefix: _Prefix, parts: int) -> DataF
             if len(rare):
                 held.append((rare[:base], fp, len(h) | (len(rare) < base) << 31))
                 total += min(base, len(rare))
-                if total >= FLUSH // 2:
+                if total >= FLUSH:
                     yield flush(held)
                     held, total = [], 0
         if held:

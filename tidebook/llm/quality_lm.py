@@ -122,12 +122,13 @@ def code_lengths(docs: DataFrame, model: DataFrame, order: int, shard_rows: int)
     shard, count = shards(model, order, shard_rows)
     spark = docs.sparkSession
     of_pair = spark.sparkContext.broadcast(shard)
-    out = None
+    out, tables = None, []
     for s in range(count):
         pairs = spark.createDataFrame([(int(p),) for p in np.flatnonzero(shard == s)], "pair int") if count > 1 else None
         part = model.withColumn("pair", F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF)).cast("int"))
         part = part if pairs is None else part.where("size <= 2").unionByName(part.where("size > 2").join(pairs, "pair", "left_semi"))
         shared = spark.sparkContext.broadcast(_table(part, order).plain())
+        tables.append(shared)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, s=s) -> Iterator[pa.RecordBatch]:
             table, where = BackoffTable.restore(shared.value), of_pair.value
@@ -145,7 +146,10 @@ def code_lengths(docs: DataFrame, model: DataFrame, order: int, shard_rows: int)
 
         scored = docs.select("doc_id", "key", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, bits double, n long")
         out = scored if out is None else out.union(scored)
-    return out.groupBy("doc_id", "key").agg(F.sum("bits").alias("bits"), F.sum("n").alias("n"))
+    out = cut_lineage(out.groupBy("doc_id", "key").agg(F.sum("bits").alias("bits"), F.sum("n").alias("n")), "lengths")
+    for shared in tables:  # workers let go of tables that are no longer read
+        shared.unpersist()
+    return out
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, order: int = 5, quantile: float = 0.995, margin: float = 1.05, prior_bytes: int = 128, shard_rows: int = 1 << 21) -> DataFrame:
