@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN = 10.0
-MEMORY = 1 << 18
+MEMORY = 1 << 16
 
 
 def vocabulary(path: str = MODEL) -> list[tuple[str, float, int]]:
