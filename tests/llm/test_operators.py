@@ -207,6 +207,7 @@ def test_sentencepieces(spark, docs):
             score = sum(vocabulary[i][1] for i in ids if vocabulary[i][2] == -1) + low * sum(c not in pieces for c in marked)
             assert score == pytest.approx(optimum(marked))
     rows = sentencepieces.round_trip(docs)
+    assert sentencepieces.decode(sentencepieces.encode(docs)).where("decoded <=> text").count() == 13
     assert rows.where("restored").count() == 13 and rows.where("pieces is null").count() == 1 and set(docs.columns) < set(rows.columns)
 
 
