@@ -53,8 +53,8 @@ def _prj03(t):
 
 @query("prj04_seed_rules_on_bars", "pattern_id:s label:s n_conditions:i bars:l",
        """with s(pattern_id, label, n_conditions) as (values ('P001','RSI Oversold + Volume Surge',2),('P002','SMA-20 Breakout in Low VIX',2),('P003','Pullback in Uptrend',3),
-       ('P004','Volatility Squeeze',3),('P005','FII Accumulation Dip',2),('P006','Momentum Continuation',3),('P007','High IV + Overbought',3),('P008','Low IV Squeeze',3),
-       ('P009','PCR Extreme + Oversold',3),('P010','VIX Spike + FII Defense',3)) select s.*, (select count(*) from bars) as bars from s""")
+       ('P004','Volatility Squeeze',3),('P005','FII Accumulation Dip',2),('P006','Momentum Continuation',3),('P007','High IV + Overbought → Premium Fade',3),('P008','Low IV Squeeze → Cheap Options Breakout',3),
+       ('P009','PCR Extreme + Oversold → Capitulation Buy',3),('P010','VIX Spike + FII Defense → Recovery Signal',3)) select s.*, (select count(*) from bars) as bars from s""")
 def _prj04(t):
     n = t.bars.agg(F.count(F.lit(1)).alias("bars"))
     cat = seed_catalog(t.spark).withColumn("n_conditions", F.size(F.json_object_keys("conditions_json")))

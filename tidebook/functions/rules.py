@@ -41,8 +41,8 @@ SEED_RULES = {
 SEED_LABELS = {
     "P001": "RSI Oversold + Volume Surge", "P002": "SMA-20 Breakout in Low VIX", "P003": "Pullback in Uptrend",
     "P004": "Volatility Squeeze", "P005": "FII Accumulation Dip", "P006": "Momentum Continuation",
-    "P007": "High IV + Overbought", "P008": "Low IV Squeeze", "P009": "PCR Extreme + Oversold",
-    "P010": "VIX Spike + FII Defense",
+    "P007": "High IV + Overbought → Premium Fade", "P008": "Low IV Squeeze → Cheap Options Breakout", "P009": "PCR Extreme + Oversold → Capitulation Buy",
+    "P010": "VIX Spike + FII Defense → Recovery Signal",
 }
 
 
