@@ -131,6 +131,43 @@ def test_rsi_without_losses_is_zero_by_default(spark):
         assert last.rsi_14 == want
 
 
+def test_ewm_takes_decays_far_apart_in_one_call(spark):
+    pdf = pd.DataFrame({"k": "a", "d": range(600), "x": np.random.default_rng(2).normal(size=600).cumsum()})
+    got = recursive.ewm_mean(spark.createDataFrame(pdf), ["k"], "d", {"slow": ("x", 0.01, 1), "fast": ("x", 0.5, 1)}).toPandas().sort_values("d")
+    for name, alpha in (("slow", 0.01), ("fast", 0.5)):
+        np.testing.assert_allclose(got[name], pdf["x"].ewm(alpha=alpha, adjust=False).mean(), rtol=1e-9, atol=1e-9)
+
+
+def test_adx_and_rsi_match_pandas_from_the_first_move(spark):
+    step = np.random.default_rng(5).normal(size=(80, 3))
+    step[:3] = 0  # a flat start has no direction
+    close = 100 + step[:, 0].cumsum()
+    pdf = pd.DataFrame({"k": "a", "d": range(80), "high": close + np.abs(step[:, 1]), "low": close - np.abs(step[:, 2]), "close": close})
+    got = recursive.rsi(recursive.adx(spark.createDataFrame(pdf), ["k"], "d"), ["k"], "d", "close", [14], "missing").toPandas().sort_values("d")
+
+    def smooth(x):
+        return x.ewm(alpha=1 / 14, adjust=False).mean()
+
+    up, down, move = pdf["high"].diff(), -pdf["low"].diff(), pdf["close"].diff()
+    plus, minus = smooth(up.where((up > down) & (up > 0), 0.0)), smooth(down.where((down > up) & (down > 0), 0.0))
+    want = smooth(100 * (plus - minus).abs() / (plus + minus).replace(0, np.nan))
+    np.testing.assert_allclose(got["adx14"].to_numpy(float), want, rtol=1e-9)
+    assert got["adx14"].isna().sum() == want.isna().sum() > 0
+    gain, loss = smooth(move.clip(lower=0)), smooth((-move).clip(lower=0)).replace(0, np.nan)
+    np.testing.assert_allclose(got["rsi_14"].to_numpy(float), 100 - 100 / (1 + gain / loss), rtol=1e-9)
+
+
+def test_bar_order_is_exact_beyond_double_precision(spark, tmp_path):
+    from tidebook.sources.adapters import Tables
+
+    day = dt.datetime(2024, 1, 2)
+    rows = [(9_100_000_000 + i, 7, 1, 1.0, float(i + 1), day) for i in range(20)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(7, "b")], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    bar = Tables(spark, str(tmp_path)).bars.first()
+    assert (bar.open, bar.close) == (1.0, 20.0)
+
+
 def test_mode_takes_smallest_on_ties(spark):
     df = spark.createDataFrame([("a", 50.0), ("a", 100.0), ("a", 100.0), ("a", 50.0)], "k string, g double")
     assert running.mode_of(df, ["k"], "g", "m").first().m == 50.0

@@ -8,7 +8,7 @@ SHAPES: dict[str, str] = {
     "bars": """select p_brand as symbol, cast(l_shipdate as date) as date, min_by(px, o) as open, max(px) as high,
         min(px) as low, max_by(px, o) as close, sum(l_quantity) as volume
         from (select p_brand, l_shipdate, l_quantity, (floor(l_extendedprice/l_quantity*10000.0::double+0.5)/10000.0::double) as px,
-              l_orderkey*1000000.0 + l_partkey*100.0 + l_linenumber*10 + (floor(l_extendedprice/l_quantity*10000.0::double+0.5)/10000.0::double)/1e6 as o
+              row(l_orderkey, l_partkey, l_linenumber, floor(l_extendedprice/l_quantity*10000.0::double+0.5)/10000.0::double) as o
               from lineitem join part on l_partkey=p_partkey) t group by 1,2""",
     "bench": "select date, avg(close) as close from bars group by 1",
     "nav": """select l_suppkey as scheme_code, cast(l_shipdate as date) as date,

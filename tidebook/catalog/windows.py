@@ -203,9 +203,10 @@ def _win24(t):
             case when lag(low) over w-low > high-lag(high) over w and lag(low) over w-low > 0 then lag(low) over w-low else 0 end as dn from tr {W_}),
      e as (select symbol, rn, tr as a, dp::double as p, dn::double as n from dm where rn = 1 union all
            select dm.symbol, dm.rn, e.a+(dm.tr-e.a)/14.0, e.p+(dm.dp-e.p)/14.0, e.n+(dm.dn-e.n)/14.0 from e join dm on dm.symbol=e.symbol and dm.rn=e.rn+1),
-     x as (select symbol, rn, coalesce(100*abs(100*p/nullif(a,0)-100*n/nullif(a,0))/nullif(100*p/nullif(a,0)+100*n/nullif(a,0),0),0) as dx from e),
-     y as (select symbol, rn, dx as v from x where rn = 1 union all select x.symbol, x.rn, y.v+(x.dx-y.v)/14.0 from y join x on x.symbol=y.symbol and x.rn=y.rn+1)
-     select tr.symbol, tr.date, greatest(0.0,least(100.0,v)) as adx14 from tr join y using (symbol, rn)""")
+     x as (select symbol, rn, case when a > 0 and p+n > 0 then 100*abs(p-n)/(p+n) end as dx from e),
+     y as (select symbol, rn, dx as v from x where rn = 1 union all
+           select x.symbol, x.rn, case when y.v is null then x.dx else y.v*(1-1/14.0::double)+x.dx*(1/14.0::double) end from y join x on x.symbol=y.symbol and x.rn=y.rn+1)
+     select tr.symbol, tr.date, case when v is not null then greatest(0.0,least(100.0,v)) end as adx14 from tr join y using (symbol, rn)""")
 def _win25(t):
     return RC.adx(t.bars, ["symbol"], "date")
 

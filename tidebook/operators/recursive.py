@@ -23,6 +23,8 @@ from tidebook.functions.exprs import clip, safe_div
 
 # exp(-40) is below the resolution of a double.
 _NEGLIGIBLE = 40.0
+# exp(700) is still a double.
+_OVERFLOW = 700.0
 
 
 def ewm_mean(
@@ -35,9 +37,14 @@ def ewm_mean(
     of a key.
     """
     by = list(by)
-    block = max(math.ceil(_NEGLIGIBLE / -math.log(1 - a)) for _, a, _ in specs.values())
-    if block * max(-math.log(1 - a) for _, a, _ in specs.values()) > 700:
-        raise ValueError("decays too far apart for one block; split the call")
+    rate = {o: -math.log(1 - a) for o, (_, a, _) in specs.items()}
+    block = math.ceil(_NEGLIGIBLE / min(rate.values()))
+    # One block must hold the slowest decay without overflow in the fastest; others get a call of their own.
+    near = {o: s for o, s in specs.items() if block * rate[o] <= _OVERFLOW}
+    if len(near) < len(specs):
+        far = {o: s for o, s in specs.items() if o not in near}
+        out = ewm_mean(ewm_mean(df, by, order, near), by, order, far)
+        return out.select(*df.columns, *specs)
     w = W.partitionBy(*by).orderBy(order)
     seen = w.rowsBetween(W.unboundedPreceding, 0)
     before = w.rowsBetween(W.unboundedPreceding, -1)
@@ -75,7 +82,9 @@ def rsi(df: DataFrame, by: Sequence[str], order: str, value: str, periods: Seque
     """Add ``rsi_<n>``: Wilder averages of gains and losses.
 
     ``zero_loss='ref'`` gives 0 where the average loss is 0 (the behaviour this
-    library reproduces); ``'standard'`` gives 100.
+    library reproduces) and before ``n`` changes; ``'standard'`` gives 100 and 0.
+    ``'missing'`` starts with the first change and is NULL where the average
+    loss is 0.
     """
     w = W.partitionBy(*by).orderBy(order)
     d = df.withColumn("_d", F.col(value) - F.lag(value).over(w))
@@ -83,16 +92,18 @@ def rsi(df: DataFrame, by: Sequence[str], order: str, value: str, periods: Seque
     d = d.withColumn("_g", F.when(F.col("_d").isNotNull(), F.col("_g"))).withColumn(
         "_l", F.when(F.col("_d").isNotNull(), F.col("_l"))
     )
+    missing = zero_loss == "missing"
     specs = {}
     for n in periods:
-        specs[f"_ag_{n}"] = ("_g", 1.0 / n, n)
-        specs[f"_al_{n}"] = ("_l", 1.0 / n, n)
+        specs[f"_ag_{n}"] = ("_g", 1.0 / n, 1 if missing else n)
+        specs[f"_al_{n}"] = ("_l", 1.0 / n, 1 if missing else n)
     e = ewm_mean(d, by, order, specs)
     flat = F.lit(0.0 if zero_loss == "ref" else 100.0)
     out = {}
     for n in periods:
         g, l = F.col(f"_ag_{n}"), F.col(f"_al_{n}")
-        out[f"rsi_{n}"] = F.when(l.isNull(), F.lit(0.0)).when(l == 0, flat).otherwise(100 - 100 / (1 + g / F.nullif(l, F.lit(0.0))))
+        value_ = 100 - 100 / (1 + g / F.nullif(l, F.lit(0.0)))
+        out[f"rsi_{n}"] = value_ if missing else F.when(l.isNull(), F.lit(0.0)).when(l == 0, flat).otherwise(value_)
     return e.withColumns(out).select(*df.columns, *[f"rsi_{n}" for n in periods])
 
 
@@ -110,10 +121,11 @@ def adx(df: DataFrame, by: Sequence[str], order: str, period: int = 14, out: str
     e = ewm_mean(d, by, order, {"_atr": ("_tr", a, 1), "_p": ("_dmp", a, 1), "_n": ("_dmn", a, 1)})
     dip, din = safe_div(F.col("_p") * 100, "_atr"), safe_div(F.col("_n") * 100, "_atr")
     e = e.withColumn("_dip", dip).withColumn("_din", din)
-    # A zero directional sum has no direction; count it as 0 so the recurrence has no gap.
-    e = e.withColumn("_dx", F.coalesce(safe_div(F.abs(F.col("_dip") - F.col("_din")) * 100, F.col("_dip") + F.col("_din")), F.lit(0.0)))
+    # Before the first move there is no direction: NULL, and smoothing starts at the first real value.
+    # A smoothed sum never returns to 0 afterwards, so all gaps lead.
+    e = e.withColumn("_dx", safe_div(F.abs(F.col("_dip") - F.col("_din")) * 100, F.col("_dip") + F.col("_din")))
     r = ewm_mean(e, by, order, {out: ("_dx", a, 1)})
-    return r.withColumn(out, clip(out, 0, 100)).select(*df.columns, out)
+    return r.withColumn(out, F.when(F.col(out).isNotNull(), clip(out, 0, 100))).select(*df.columns, out)
 
 
 def supertrend(df: DataFrame, by: Sequence[str], order: str, atr: str, mult: float = 3.0, out: str = "supertrend_dir") -> DataFrame:

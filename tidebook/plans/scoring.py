@@ -51,7 +51,7 @@ def technical_signals(index_bars: DataFrame) -> DataFrame:
     d = d.withColumn("_ap", F.col("_atr14") / F.col("close") * 100)
     d = d.withColumns({"atr_percentile": s.pct_rank("_ap", 252, 252), "hv5": s.std("_r", 5) * k, "hv20": s.std("_r", 20) * k})
     d = d.withColumn("hv_ratio", safe_div("hv5", "hv20"))
-    d = rsi(d, by, "date", "close", [14], zero_loss="standard").withColumnRenamed("rsi_14", "rsi14")
+    d = rsi(d, by, "date", "close", [14], zero_loss="missing").withColumnRenamed("rsi_14", "rsi14")
     d = adx(d, by, "date")
     d = asof_join(d, weekly_pivot_width(index_bars), by, "date", "week", ["cpr"]).withColumnRenamed("cpr", "cpr_width_pct")
     return supertrend(d, by, "date", "_atr7").drop("_tr", "_r", "_atr14", "_atr7", "_ap")
@@ -79,9 +79,11 @@ def label(df: DataFrame, pnl: str, lot: Column, margin: Column) -> Column:
 
 
 def feature_table(trades: DataFrame, chain: DataFrame, eod: DataFrame, iv_daily: DataFrame, skew: DataFrame, term: DataFrame,
-                  tech: DataFrame, poi: DataFrame, vix: DataFrame, events: DataFrame) -> DataFrame:
+                  tech: DataFrame, poi: DataFrame, vix: DataFrame, events: DataFrame, index: str | Column = "INDEX") -> DataFrame:
     """Feature rows per (symbol, expiry, entry date), all inputs as known on
-    the entry day. Per-day inputs are one row per day; joins are equi joins."""
+    the entry day. Per-day inputs are one row per day; joins are equi joins.
+    ``index`` names the series of ``tech`` that a trade follows: one for all,
+    or an expression of its symbol."""
     snap = {"snap_date": "entry_date"}
     key = ["symbol", "expiry", "entry_date"]
     d = straddle_zscore(trades)
@@ -102,8 +104,9 @@ def feature_table(trades: DataFrame, chain: DataFrame, eod: DataFrame, iv_daily:
     sd = F.coalesce(F.nullif(s.std("vix", 20), F.lit(0.0)), F.lit(1.0))
     v = v.select("date", "vix", ((F.col("vix") - s.sma("vix", 20)) / sd).alias("vix_z20"))
     d = d.join(v.withColumnsRenamed(day), "entry_date", "left").join(poi.withColumnsRenamed(day), "entry_date", "left")
-    t = tech.withColumnsRenamed(day).select("entry_date", "atr_percentile", "rsi14", "hv_ratio", "hv5", "supertrend_dir", "cpr_width_pct", "adx14")
-    d = d.join(t, "entry_date", "left")
+    t = tech.withColumnsRenamed(day).select(
+        F.col("symbol").alias("_index"), "entry_date", "atr_percentile", "rsi14", "hv_ratio", "hv5", "supertrend_dir", "cpr_width_pct", "adx14")
+    d = d.withColumn("_index", F.lit(index)).join(t, ["_index", "entry_date"], "left").drop("_index")
     mid = (F.col("atm_ce_iv") + F.col("atm_pe_iv")) / 2
     d = d.withColumn("iv_hv5_ratio", F.when((mid > 0) & (F.col("hv5") > 0), mid / F.col("hv5")))
     d = d.withColumns({"dte": F.col("dte").cast("double"), "day_of_week": F.weekday("expiry"), "week_of_month": week_of_month("expiry")})

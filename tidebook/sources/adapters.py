@@ -39,11 +39,7 @@ class Tables:
             round_at(F.col("l_extendedprice") / F.col("l_quantity"), 4).alias("px"),
         )
         pt = self.raw("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("symbol"))
-        o = (
-            F.col("l_orderkey") * F.lit(1000000.0) + F.col("l_partkey") * F.lit(100.0)
-            + F.col("l_linenumber") * 10 + F.col("px") / 1e6
-        )
-        t = li.join(pt, "l_partkey").withColumn("o", o)
+        t = li.join(pt, "l_partkey").withColumn("o", F.struct("l_orderkey", "l_partkey", "l_linenumber", "px"))
         return t.groupBy("symbol", F.to_date("l_shipdate").alias("date")).agg(
             F.min_by("px", "o").alias("open"), F.max("px").alias("high"), F.min("px").alias("low"),
             F.max_by("px", "o").alias("close"), F.sum("l_quantity").alias("volume"),
