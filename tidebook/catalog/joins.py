@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidebook.catalog.registry import query
-from tidebook.functions.exprs import flag, literal_rows, repeat_for
+from tidebook.functions.exprs import repeat_for
 from tidebook.operators import asof as A
-from tidebook.operators import calendar as C
 from tidebook.operators.dedup import latest_version
 from tidebook.operators.rolling import period_rollup
-from tidebook.operators.stats import top_n
 from tidebook.plans import quality as Q
 
 
@@ -161,4 +159,3 @@ def _join18(t):
     return A.with_fallback(t.day_flows.where(F.dayofmonth("date") <= 20).select("date", "net_value"), alt, ["date"])
 
 
-__all__ = ["C", "flag", "literal_rows", "top_n"]

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tidebook.catalog.registry import query
 from tidebook.functions.exprs import attach_row, bucket_label
-from tidebook.operators import stats as ST
 from tidebook.operators.dedup import latest_by
 from tidebook.plans import quality as Q
 from tidebook.plans import reports as R
@@ -166,4 +165,3 @@ def _rpt13(t):
     return R.run_history(t.runs)
 
 
-__all__ = ["ST"]

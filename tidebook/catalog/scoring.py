@@ -10,7 +10,6 @@ from tidebook.catalog.registry import query
 from tidebook.catalog.trades import ENDB_SQL
 from tidebook.catalog.windows import RISK_SQL
 from tidebook.functions.exprs import flag
-from tidebook.operators import running as RU
 from tidebook.plans import options as O
 from tidebook.plans import patterns as P
 from tidebook.plans import scoring as SC
@@ -220,4 +219,3 @@ def _udf04(t):
     return SC.compare_models(out)
 
 
-__all__ = ["RU"]

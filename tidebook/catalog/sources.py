@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tidebook.catalog.registry import query
 from tidebook.catalog.windows import RISK_SQL
 from tidebook.operators.dedup import latest_by
-from tidebook.operators.rolling import change_events
 from tidebook.session import shared_dir
 from tidebook.sources import files as S
 from tidebook.sources import incremental as I
@@ -201,4 +200,3 @@ def _src18(t):
     return t.spark.read.schema("symbol string, date date, close double").option("header", True).csv(path)
 
 
-__all__ = ["change_events"]

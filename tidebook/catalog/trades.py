@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidebook.catalog.fragments import norm_cdf
 from tidebook.catalog.options import G, legs
 from tidebook.catalog.registry import query
-from tidebook.functions.exprs import bucket_label, flag
+from tidebook.functions.exprs import bucket_label
 from tidebook.operators import stats as ST
 from tidebook.plans import backtests as B
 from tidebook.plans import feedback as FB
@@ -248,8 +248,7 @@ def _fb05(t):
 def _fb06(t):
     from tidebook.functions.market import position_lots
     w = FB.recent_win_average(t.outcomes, ["symbol"], ["trade_id"], "pnl_pts")
-    j = t.outcomes.join(F.broadcast(w), "symbol", "left")
+    j = t.outcomes.join(w, "symbol", "left")
     return j.withColumn("lots", position_lots(F.lit(1_000_000.0), "entry_premium", F.lit(50), "conf", F.col("avg_win") * 100))
 
 
-__all__ = ["flag"]

@@ -109,7 +109,7 @@ def weekend_decay(chain: DataFrame, settle: DataFrame, step: float, min_oi: int)
     a = liquid_atm(chain, step, min_oi)
     fri = a.select("symbol", F.col("snap_date").alias("friday"), "expiry", F.col("spot").alias("spot_friday"), "atm_strike", F.col("straddle").alias("entry"))
     mon = a.select("symbol", F.col("snap_date").alias("monday"), "expiry", F.col("spot").alias("spot_monday"), F.col("straddle").alias("exit_mon"))
-    j = F.broadcast(trip).join(fri, ["friday", "expiry"]).join(mon, ["symbol", "monday", "expiry"]).where("entry > 0 and exit_mon > 0")
+    j = trip.join(fri, ["friday", "expiry"]).join(mon, ["symbol", "monday", "expiry"]).where("entry > 0 and exit_mon > 0")
     j = j.join(settle, ["symbol", "expiry"], "left").na.fill(0.0, ["spot_expiry"])
     ex = F.when(F.col("spot_expiry") > 0, F.abs(F.col("spot_expiry") - F.col("atm_strike"))).otherwise(F.col("exit_mon"))
     e = F.col("entry")

@@ -70,7 +70,7 @@ def loss_attribution(losses: DataFrame, winners: DataFrame) -> DataFrame:
     w = explode_features(winners.select("features_json"))
     prof = w.groupBy("feature_name").agg(F.avg("feature_value").alias("win_mean"), F.stddev_pop("feature_value").alias("_sd"))
     n_winners = winners.agg(F.count(F.lit(1)).alias("_n"))
-    j = explode_features(losses).join(F.broadcast(prof), "feature_name")
+    j = explode_features(losses).join(prof, "feature_name")
     j = attach_row(j, n_winners).where(F.col("_n") >= MIN_WINNERS).drop("_n")
     diff = F.col("feature_value") - F.col("win_mean")
     flat = F.when(F.abs(diff) < 1e-9, 0.0).otherwise(clip(diff * 10, -10, 10))

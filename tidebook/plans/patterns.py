@@ -196,7 +196,7 @@ def predict(features_latest: DataFrame, rules: dict, ratings: DataFrame, moves:
             min_confidence: float = 60.0, min_stars: int = 3, lookback_days: int = 30) -> DataFrame:
     """Today's features against well-rated rules; direction is that of the
     latest move in the lookback, else UP."""
-    m = match_rules(features_latest, rules).join(F.broadcast(ratings.where(F.col("stars") >= min_stars)), "pattern_id")
+    m = match_rules(features_latest, rules).join(ratings.where(F.col("stars") >= min_stars), "pattern_id")
     conf = (
         F.col("win_rate") * 100 * F.when(F.col("stars") >= 4, 1.10).otherwise(1.0)
         * F.when(F.col("recency_score") > 0.5, 1.05).otherwise(1.0) * F.when(F.col("vix_level") > 20, 0.90).otherwise(1.0)

@@ -133,7 +133,7 @@ def recommend(days: DataFrame, scores: DataFrame, chain: DataFrame, signals: Dat
     strat = F.when(F.col("confidence") >= min_confidence, F.col("_ml")).otherwise(pick_structure("pcr", "iv_skew", "skew_2pct"))
     j = j.withColumn("strategy", strat)
     bp = best_params(optimal).select("symbol", "strategy", "short_n", "wing_m", "avg_max_loss")
-    j = j.join(F.broadcast(bp), ["symbol", "strategy"])
+    j = j.join(bp, ["symbol", "strategy"])
     j = j.withColumn("lots", position_lots(F.lit(capital), "avg_max_loss", F.lit(lot_size), "iv_rank", "avg_win"))
 
     atm = atm_min_gap(chain, min_leg=0.0, min_common=1).withColumnRenamed("snap_date", "rec_date")
