@@ -189,7 +189,15 @@ def test_toxicity(spark):
 
 def test_sentencepieces(spark, docs):
     vocabulary = sentencepieces.vocabulary()
-    encode, decode = sentencepieces.encoder(vocabulary), sentencepieces.decoder(vocabulary)
+    encoder, decoder = sentencepieces.Encoder(vocabulary), sentencepieces.Decoder(vocabulary)
+
+    def encode(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        return encoder(*sentencepieces._lead(data, np.array([0, len(data)])))[0]
+
+    def decode(ids):
+        return decoder(ids, np.array([0, len(ids)]))[0][1:].tobytes().decode()
+
     pieces = {p: s for p, s, b in vocabulary if b == -1}
     low = min(pieces.values()) - sentencepieces.UNKNOWN
 
@@ -206,6 +214,11 @@ def test_sentencepieces(spark, docs):
             marked = "▁" + text.replace(" ", "▁")
             score = sum(vocabulary[i][1] for i in ids if vocabulary[i][2] == -1) + low * sum(c not in pieces for c in marked)
             assert score == pytest.approx(optimum(marked))
+    draw = np.random.default_rng(5)
+    parts = ["".join(draw.choice(list("▁abcthein é漢😀\t\0"), draw.integers(1, 40))) or "a" for _ in range(500)]
+    ids, sizes = encoder.search_all(parts)
+    for part, got in zip(parts, np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+        assert got.tolist() == encoder.search(part).tolist()
     rows = sentencepieces.round_trip(docs)
     assert sentencepieces.decode(sentencepieces.encode(docs)).where("decoded <=> text").count() == 13
     assert rows.where("restored").count() == 13 and rows.where("pieces is null").count() == 1 and set(docs.columns) < set(rows.columns)

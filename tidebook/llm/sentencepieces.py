@@ -10,8 +10,10 @@ piece and becomes its UTF-8 bytes.
 Where no piece can cross a cut, the best path of a text is the best paths of
 its parts put together. This is checked on the vocabulary: no piece holds a
 space mark after another character, and line feeds stand in no longer piece.
-Parts between such cuts are mostly words, and repeat; a task remembers up to
-twice ``MEMORY`` of them.
+Parts between such cuts are mostly words, and repeat: each chunk of about ``CHUNK``
+bytes is cut in bulk, its distinct parts are searched together, ``BLOCK`` at a
+time (those of more than ``SHORT`` characters one by one), and their ids are laid
+out for all rows.
 
 Decoding joins pieces and bytes, so it restores the text exactly. A literal
 space mark (U+2581) in a text is encoded as bytes for that reason.
@@ -23,20 +25,23 @@ pieces, empty text has none. Rows may repeat; other columns are kept.
 
 from __future__ import annotations
 
-import re
-from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidebook.llm.textbatch import chunks
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
+MARK_BYTES = MARK.encode()
 UNKNOWN = 10.0
-MEMORY = 1 << 16
+SHORT = 64
+BLOCK = 1 << 14
+CHUNK = 4 << 20
 
 
 def vocabulary(path: str = MODEL) -> list[tuple[str, float, int]]:
@@ -48,103 +53,180 @@ def vocabulary(path: str = MODEL) -> list[tuple[str, float, int]]:
     return [(sp.id_to_piece(i), sp.get_score(i), kind(i)) for i in range(sp.get_piece_size())]
 
 
-def encoder(pieces: list[tuple[str, float, int]]) -> Callable[[str], list[int]]:
-    import ahocorasick
-
-    automaton = ahocorasick.Automaton()
-    byte_ids = [0] * 256
-    low = 0.0
-    text_pieces = []
-    for i, (piece, score, byte) in enumerate(pieces):
-        if byte >= 0:
-            byte_ids[byte] = i
-        elif byte == -1 and piece:
-            automaton.add_word(piece, (len(piece), i, score))
-            text_pieces.append(piece)
-            low = min(low, score)
-    automaton.make_automaton()
-    single = {p for p in text_pieces if len(p) == 1}
-    unknown = low - UNKNOWN
-    crossing = any(MARK in p.lstrip(MARK) for p in text_pieces)
-    newline = not any("\n" in p and len(p) > 1 for p in text_pieces)
-    # \x00 marks a literal space mark while marks stand for spaces.
-    cut = None if crossing else re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+" if newline else f"{MARK}*[^{MARK}]+|{MARK}+")
-    literal = [byte_ids[b] for b in MARK.encode()]
-    memory: dict[str, tuple[int, ...]] = {}
-
-    none = float("-inf")
-    old: dict[str, tuple[int, ...]] = {}
-
-    def best(part: str) -> tuple[int, ...]:
+class Encoder:
+    """Piece ids of the rows of a chunk (bytes with row offsets)."""
+
+    def __init__(self, pieces: list[tuple[str, float, int]]):
+        import ahocorasick
+
+        self.automaton = ahocorasick.Automaton()
+        self.byte_ids = np.zeros(256, np.int32)
+        texts = {i: p for i, (p, _, byte) in enumerate(pieces) if byte == -1 and p}
+        for i, (_, _, byte) in enumerate(pieces):
+            if byte >= 0:
+                self.byte_ids[byte] = i
+        for i, piece in texts.items():
+            self.automaton.add_word(piece, i)
+        self.automaton.make_automaton()
+        self.size = np.array([len(p) for p, _, _ in pieces], np.int64)
+        self.score = np.array([s for _, s, _ in pieces], np.float64)
+        self.unknown = min([0.0, *(pieces[i][1] for i in texts)]) - UNKNOWN
+        self.at_spaces = not any(MARK in p.lstrip(MARK) for p in texts.values())
+        self.at_newlines = not any("\n" in p and len(p) > 1 for p in texts.values())
+        self.apart = not any("\0" in p for p in texts.values())
+
+    def _bytes_of(self, char: str) -> bytes:
+        return char.encode("utf-8", "surrogateescape")
+
+    def search(self, part: str) -> np.ndarray:
+        """Single-pass Viterbi over one part of any length."""
         n = len(part)
-        score = [none] * (n + 1)
+        score = [float("-inf")] * (n + 1)
         back = [(0, 0)] * (n + 1)
         score[0] = 0.0
-        done = 0
-        for end, (size, i, s) in automaton.iter(part):
-            end += 1
-            while done < end:  # a character without a piece of its own becomes bytes
-                if part[done] not in single:
-                    score[done + 1], back[done + 1] = score[done] + unknown, (1, -1)
-                done += 1
-            s += score[end - size]
-            if s > score[end]:
-                score[end], back[end] = s, (size, i)
-        for k in range(done + 1, n + 1):
-            score[k], back[k] = score[k - 1] + unknown, (1, -1)
+        at, sizes, scores = 0, self.size, self.score
+        for end, i in self.automaton.iter(part):
+            while at <= end:  # any character may become bytes
+                score[at + 1], back[at + 1] = score[at] + self.unknown, (1, -1)
+                at += 1
+            size = int(sizes[i])
+            s = score[end + 1 - size] + float(scores[i])
+            if s > score[end + 1]:
+                score[end + 1], back[end + 1] = s, (size, i)
+        for k in range(at + 1, n + 1):
+            score[k], back[k] = score[k - 1] + self.unknown, (1, -1)
         out: list[int] = []
         while n:
             size, i = back[n]
-            if i >= 0:
-                out.append(i)
-            else:
-                out.extend(byte_ids[b] for b in reversed(part[n - 1].encode()))
+            out.extend([i] if i >= 0 else self.byte_ids[list(self._bytes_of(part[n - 1]))].tolist()[::-1])
             n -= size
-        return tuple(reversed(out))
-
-    def part_ids(part: str) -> tuple[int, ...]:
-        """Ids of a part that ``memory`` lacks. A full memory becomes the old one, so frequent parts stay known."""
-        nonlocal old
-        ids = old.get(part)
-        if ids is None:
-            ids = best(part)
-        if len(part) <= 64:
-            if len(memory) >= MEMORY:
-                old = dict(memory)
-                memory.clear()
-            memory[part] = ids
-        return ids
-
-    def run(text: str) -> list[int]:
-        """Ids of ``text``, which has its spaces as marks, cut where no piece can cross."""
-        out: list[int] = []
-        known = memory.get
-        for part in cut.findall(text) if cut else [text]:
-            ids = known(part)
-            out += part_ids(part) if ids is None else ids
-        return out
-
-    def encode(text: str) -> list[int]:
-        if not text:
-            return []
-        pieces_of = text.split(MARK)
-        out = run(MARK + pieces_of[0].replace(" ", MARK))
-        for rest in pieces_of[1:]:
-            out += literal
-            if rest:
-                out += run(rest.replace(" ", MARK))
-        return out
-
-    return encode
-
-
-def decoder(pieces: list[tuple[str, float, int]]) -> Callable[[list[int]], str]:
-    table = [bytes([b]) if b >= 0 else b"" if b == -2 else p.replace(MARK, " ").encode() for p, _, b in pieces]
-
-    def decode(ids: list[int]) -> str:
-        return b"".join(map(table.__getitem__, ids)).decode("utf-8", "replace")[1:]
-
-    return decode
+        return np.array(out[::-1], np.int32)
+
+    def search_all(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same search over many short parts, none empty, at once: ids of all, and their number per part.
+
+        The automaton reads the parts in one pass, with a character between
+        them that no piece has. Its matches are edges between text positions;
+        those that end at the same depth of their parts are relaxed together.
+        """
+        text = "\0".join(parts)
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+        starts = np.cumsum(lengths + 1) - lengths - 1
+        found = np.fromiter(chain.from_iterable(self.automaton.iter(text)), np.int64).reshape(-1, 2)
+        piece = found[:, 1]
+        end = found[:, 0] + 1
+        # Any character may become bytes; such an edge comes first among equals.
+        plain = np.ones(len(text), bool)
+        plain[(starts + lengths)[:-1]] = False
+        plain = np.flatnonzero(plain) + 1
+        end, piece = np.append(plain, end), np.append(np.full(len(plain), -1), piece)
+        size = np.where(piece < 0, 1, self.size[piece])
+        gain = np.where(piece < 0, self.unknown, self.score[piece])
+        order = np.argsort(end, kind="stable")
+        depth = (end - starts[np.searchsorted(starts, end - 1, "right") - 1]).astype(np.uint16)
+        order = order[np.argsort(depth[order], kind="stable")]
+        end, piece, size, gain, depth = end[order], piece[order], size[order], gain[order], depth[order]
+        score = np.full(len(text) + 1, -np.inf)
+        score[starts] = 0.0
+        back = np.zeros(len(text) + 1, np.int64)
+        new = np.flatnonzero(np.append(True, end[1:] != end[:-1]))
+        group = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(end))))
+        level = np.flatnonzero(np.append(True, depth[1:] != depth[:-1]))
+        for a, b in zip(level, np.append(level[1:], len(end)), strict=True):
+            total = score[end[a:b] - size[a:b]] + gain[a:b]
+            g = group[a:b] - group[a]
+            most = np.maximum.reduceat(total, new[group[a] : group[b - 1] + 1] - a)
+            top = np.flatnonzero(total == most[g])
+            top = top[np.append(True, g[top][1:] != g[top][:-1])] + a
+            score[end[top]] = most
+            back[end[top]] = top
+        path = np.zeros(len(text) + 1, bool)
+        at = starts + lengths
+        first = starts
+        while len(at):
+            path[at] = True
+            at = at - size[back[at]]
+            more = at > first
+            at, first = at[more], first[more]
+        at = np.flatnonzero(path)
+        ids = piece[back[at]].astype(np.int32)
+        width = np.ones(len(at), np.int64)
+        raw = np.flatnonzero(ids < 0)
+        if len(raw):
+            spelled = [self._bytes_of(text[i - 1]) for i in at[raw]]
+            width[raw] = [len(x) for x in spelled]
+            ids = np.repeat(ids, width)
+            ids[ids < 0] = self.byte_ids[np.frombuffer(b"".join(spelled), np.uint8)]
+        return ids, np.bincount(np.searchsorted(starts, at - 1, "right") - 1, weights=width, minlength=len(parts)).astype(np.int64)
+
+    def cuts(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Sorted starts of the parts, given those of the rows."""
+        cut = np.zeros(len(data), bool)
+        cut[starts] = True
+        if self.at_spaces:
+            space = data == 0x20
+            cut[1:] |= space[1:] & ~space[:-1]
+            if self.at_newlines:
+                line = data == 0x0A
+                cut |= line
+                cut[1:] |= line[:-1]
+        # A literal space mark is a part of its own.
+        mark = np.flatnonzero((data[:-2] == MARK_BYTES[0]) & (data[1:-1] == MARK_BYTES[1]) & (data[2:] == MARK_BYTES[2]))
+        cut[mark] = True
+        cut[mark[mark + 3 < len(data)] + 3] = True
+        return np.flatnonzero(cut)
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows and the row offsets into them. ``data`` has the leading space of each row."""
+        if not len(data):
+            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
+        at = self.cuts(data, offsets[:-1][offsets[:-1] < offsets[1:]])
+        ends = np.append(at, len(data))
+        parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
+        codes = parts.indices.to_numpy()
+        texts = [MARK_BYTES if p == MARK_BYTES else p.decode("utf-8", "surrogateescape").replace(" ", MARK) for p in parts.dictionary.to_pylist()]
+        lone = np.array([not self.apart or len(t) > SHORT or t == MARK_BYTES for t in texts])
+        sizes = np.zeros(len(texts), np.int64)
+        found = []
+        short = np.flatnonzero(~lone)
+        for lo in range(0, len(short), BLOCK):
+            ids, sizes[short[lo : lo + BLOCK]] = self.search_all([texts[i] for i in short[lo : lo + BLOCK]])
+            found.append(ids)
+        for i in np.flatnonzero(lone):
+            found.append(self.byte_ids[list(MARK_BYTES)] if texts[i] == MARK_BYTES else self.search(texts[i]))
+            sizes[i] = len(found[-1])
+        first = np.zeros(len(texts), np.int64)
+        laid = np.append(short, np.flatnonzero(lone))
+        first[laid] = np.cumsum(sizes[laid]) - sizes[laid]
+        each = sizes[codes]
+        done = np.cumsum(each)
+        ids = np.concatenate(found)[np.repeat(first[codes] - (done - each), each) + np.arange(done[-1])]
+        return ids, np.append(0, done)[np.searchsorted(at, offsets)]
+
+
+class Decoder:
+    """Bytes of piece ids."""
+
+    def __init__(self, pieces: list[tuple[str, float, int]]):
+        self.table = pa.array([bytes([b]) if b >= 0 else b"" if b == -2 else p.replace(MARK, " ").encode() for p, _, b in pieces], pa.large_binary())
+
+    def __call__(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of all rows, each with its leading space, and the row offsets into them."""
+        if not len(ids):
+            return np.zeros(0, np.uint8), np.zeros(len(offsets), np.int64)
+        out = self.table.take(pa.array(ids))
+        _, ends, data = out.buffers()
+        ends = np.frombuffer(ends, np.int64, len(ids) + 1)
+        return np.frombuffer(data, np.uint8, ends[-1]), ends[offsets]
+
+
+def _lead(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows with a space before each that is not empty."""
+    sizes = np.diff(offsets)
+    moved = np.cumsum(sizes > 0)
+    out = np.full(len(data) + int(moved[-1]), 0x20, np.uint8)
+    out[np.arange(len(data)) + np.repeat(moved, sizes)] = data
+    return out, offsets + np.append(0, moved)
 
 
 def _with(df: DataFrame, **columns: T.DataType) -> T.StructType:
@@ -156,23 +238,21 @@ def encode(docs: DataFrame, path: str = MODEL, text: str = "text", into: str = "
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_ids, to_text = encoder(shared.value), decoder(shared.value)
+        to_ids, to_bytes = Encoder(shared.value), Decoder(shared.value)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                flat, ends, same = array("i"), [0], []
-                for t in part.column(text):
-                    if t.is_valid:
-                        t = t.as_py()
-                        ids = to_ids(t)
-                        flat.extend(ids)
-                        same.append(check is None or to_text(ids) == t)
-                    else:
-                        same.append(True)
-                    ends.append(len(flat))
-                starts = pa.array(ends, pa.int32(), mask=np.r_[part.column(text).is_null().to_numpy(zero_copy_only=False), False])
-                ids = pa.ListArray.from_arrays(starts, pa.array(np.frombuffer(flat, np.int32)) if flat else pa.array([], pa.int32()))
-                cols = {n: part.column(n) for n in part.schema.names if n not in (into, check)} | {into: ids} | ({check: pa.array(same)} if check else {})
+            for lo, hi, data, offsets in chunks(batch.column(text), CHUNK, CHUNK >> 10):
+                part = batch.slice(lo, hi - lo)
+                data, offsets = _lead(data, offsets)
+                ids, ends = to_ids(data, offsets)
+                null = np.append(part.column(text).is_null().to_numpy(zero_copy_only=False), False)
+                rows = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32), mask=null), pa.array(ids))
+                cols = {n: part.column(n) for n in part.schema.names if n not in (into, check)} | {into: rows}
+                if check:
+                    back, where = to_bytes(ids, ends)
+                    same = np.diff(where) == np.diff(offsets)
+                    if not (same.all() and np.array_equal(back, data)):
+                        same = np.array([np.array_equal(back[a:b], data[c:d]) for a, b, c, d in zip(where[:-1], where[1:], offsets[:-1], offsets[1:], strict=True)])
+                    cols[check] = pa.array(same)
                 yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
     return docs.mapInArrow(run, _with(docs, **{into: T.ArrayType(T.IntegerType())}, **({check: T.BooleanType()} if check else {})))
@@ -183,9 +263,12 @@ def decode(rows: DataFrame, path: str = MODEL, pieces: str = "pieces", into: str
     shared = rows.sparkSession.sparkContext.broadcast(vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_text = decoder(shared.value)
+        to_bytes = Decoder(shared.value)
         for batch in batches:
-            texts = [to_text(x.values.to_numpy().tolist()) if x.is_valid else None for x in batch.column(pieces)]
+            texts = []
+            for x in batch.column(pieces):
+                data = to_bytes(x.values.to_numpy(), np.array([0, len(x)]))[0] if x.is_valid else None
+                texts.append(None if data is None else data[1:].tobytes().decode("utf-8", "replace"))
             cols = {n: batch.column(n) for n in batch.schema.names if n != into} | {into: pa.array(texts, pa.string())}
             yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 

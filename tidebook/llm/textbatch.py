@@ -20,18 +20,18 @@ SPACE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 _U = np.uint64
 
 
-def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array, size: int = CHUNK, rows: int = ROWS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) per chunk; a null counts as empty."""
-    for base in range(0, len(column), ROWS):
+    for base in range(0, len(column), rows):
         # Small slices, so that the copy without nulls and with 64-bit offsets stays small.
-        part = pc.fill_null(column.slice(base, ROWS).cast(pa.large_string()), "")
+        part = pc.fill_null(column.slice(base, rows).cast(pa.large_string()), "")
         _, offs, data = part.buffers()
         n = len(part)
         offsets = np.frombuffer(offs, np.int64, n + 1, part.offset * 8)
         raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
         row = 0
         while row < n:
-            end = min(n, max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK, "right")) - 1))
+            end = min(n, max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1))
             yield base + row, base + end, raw[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
             row = end
 
