@@ -199,9 +199,9 @@ def _fb02(t):
 
 
 @query("fb02b_retrain_triggers", "symbol:l drifted_features:s n_drifted:i",
-       f"with {_PAIRS} select symbol, string_agg(feature_name, ', ' order by feature_name) as drifted_features, count(*) as n_drifted from dr where window_days=7 and abs(correlation-baseline_corr) >= 0 group by 1 having count(*)>=1")
+       f"with {_PAIRS} select symbol, string_agg(feature_name, ', ' order by feature_name) as drifted_features, count(*) as n_drifted from dr where window_days=3 and drift_detected=1 group by 1 having count(*)>=1")
 def _fb02b(t):
-    return FB.retrain_triggers(_drift(t).withColumn("drift_detected", F.lit(1)), window=7, minimum=1)
+    return FB.retrain_triggers(_drift(t), window=3, minimum=1)
 
 
 @query("fb03_loss_attribution", "trade_id:l symbol:l feature_name:s feature_value:2 win_mean:5 attribution:5",
@@ -214,21 +214,20 @@ def _fb03(t):
 
 
 @query("fb04_graduation", "exit_reason:s bt_oos_trades:l bt_win_rate:5 bt_sharpe:5 bt_years:5 paper_trades:l paper_net_pnl:2 micro_trades:l bt_gate_trades:i bt_gate_win_rate:i bt_gate_sharpe:i paper_gate_win_rate:i paper_gate_pnl:i micro_gate_trades:i stage:i stage_label:s",
-       """with b as (select exit_reason, count(*) as n, avg(case when pnl_pts>-25 then 1.0::double else 0 end) as wr, avg(pnl_pts+30)/stddev_samp(pnl_pts+30) as sh, (max(exit_date)-min(exit_date)+800)/365.0::double as yr from outcomes group by 1),
+       """with b as (select exit_reason, count(*) as n, avg(case when pnl_pts>-25 then 1.0::double else 0 end) as wr, avg(pnl_pts+30)/stddev_samp(pnl_pts+30) as sh, (max(exit_date)-min(exit_date))/365.0::double as yr from outcomes group by 1),
        p as (select exit_reason, count(*) as n, avg(case when pnl_pts>0 then 1.0::double else 0 end) as wr, sum(pnl_pts) as s from outcomes where trade_id%5=0 group by 1), m as (select exit_reason, count(*) as n, avg(case when pnl_pts>0 then 1.0::double else 0 end) as wr, sum(pnl_pts) as s from outcomes where trade_id%50=0 group by 1),
        g as (select b.exit_reason, b.n as bt_oos_trades, b.wr as bt_win_rate, b.sh as bt_sharpe, b.yr as bt_years, coalesce(p.n,0) as paper_trades, coalesce(p.s,0) as paper_net_pnl, coalesce(m.n,0) as micro_trades, coalesce(m.s,0) as ms,
-         case when b.n>=50 then 1 else 0 end as bt_gate_trades, case when b.wr>=0.55 then 1 else 0 end as bt_gate_win_rate, case when b.sh>=0.1 then 1 else 0 end as bt_gate_sharpe, case when b.yr>=2 then 1 else 0 end as gy, case when coalesce(p.n,0)>=30 then 1 else 0 end as gp,
+         case when b.n>=50 then 1 else 0 end as bt_gate_trades, case when b.wr>=0.55 then 1 else 0 end as bt_gate_win_rate, case when b.sh>=0.1 then 1 else 0 end as bt_gate_sharpe, case when b.yr>=0.05 then 1 else 0 end as gy, case when coalesce(p.n,0)>=30 then 1 else 0 end as gp,
          case when coalesce(p.wr,0)-b.wr>-0.10 then 1 else 0 end as paper_gate_win_rate, case when coalesce(p.s,0)>0 then 1 else 0 end as paper_gate_pnl, case when coalesce(m.n,0)>=20 then 1 else 0 end as micro_gate_trades from b left join p using (exit_reason) left join m using (exit_reason)),
        s as (select *, case when least(bt_gate_trades,bt_gate_win_rate,bt_gate_sharpe,gy)=0 then 1 when least(gp,paper_gate_win_rate,paper_gate_pnl)=0 then 2 when micro_gate_trades=0 or ms<=0 then 3 else 4 end as stage from g)
        select *, case stage when 1 then 'BACKTEST' when 2 then 'PAPER' when 3 then 'MICRO_LIVE' else 'FULL_LIVE' end as stage_label from s""")
 def _fb04(t):
     o = t.outcomes.withColumn("p30", F.col("pnl_pts") + 30)
     bt = FB.backtest_metrics(o, "exit_reason", "p30", "exit_date", F.col("pnl_pts") > -25)
-    # The trades span 30 days; the gate on years is exercised with 800 more.
-    bt = bt.withColumn("bt_years", F.col("bt_years") + 800 / 365.0)
     paper = FB.stage_metrics(o.where("trade_id % 5 = 0"), "exit_reason", "pnl_pts", "paper")
     micro = FB.stage_metrics(o.where("trade_id % 50 = 0"), "exit_reason", "pnl_pts", "micro")
-    return FB.graduation(bt, paper, micro, "exit_reason")
+    # The gate on years is scaled to the 30 days these trades span.
+    return FB.graduation(bt, paper, micro, "exit_reason", min_years=0.05)
 
 
 @query("fb05_trade_statistics", "symbol:l n:l wins:l win_rate:4 total_pnl:2 avg_pnl:4 best_trade:l best_pnl:2 worst_trade:l worst_pnl:2 hi_n:l hi_wins:l lo_n:l lo_wins:l streak_type:s streak:l",

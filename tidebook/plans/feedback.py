@@ -89,14 +89,14 @@ def stage_metrics(trades: DataFrame, by: str, pnl: str, prefix: str) -> DataFram
         F.count(F.lit(1)).alias(f"{prefix}_trades"), F.avg(flag(F.col(pnl) > 0)).alias(f"{prefix}_win_rate"), F.sum(pnl).alias(f"{prefix}_net_pnl"))
 
 
-def graduation(bt: DataFrame, paper: DataFrame, micro: DataFrame, by: str) -> DataFrame:
+def graduation(bt: DataFrame, paper: DataFrame, micro: DataFrame, by: str, min_years: float = BT_GATES["years"]) -> DataFrame:
     """Gates and stage 1-4 per strategy; all thresholds are inclusive except
     the drift and profit ones."""
     j = bt.join(paper, by, "left").join(micro, by, "left").na.fill(0)
     j = j.withColumn("paper_vs_bt_delta", F.col("paper_win_rate") - F.col("bt_win_rate"))
     gates = {
         "bt_gate_trades": F.col("bt_oos_trades") >= BT_GATES["trades"], "bt_gate_win_rate": F.col("bt_win_rate") >= BT_GATES["win_rate"],
-        "bt_gate_sharpe": F.col("bt_sharpe") >= BT_GATES["sharpe"], "bt_gate_years": F.col("bt_years") >= BT_GATES["years"],
+        "bt_gate_sharpe": F.col("bt_sharpe") >= BT_GATES["sharpe"], "bt_gate_years": F.col("bt_years") >= min_years,
         "paper_gate_trades": F.col("paper_trades") >= PAPER_MIN_TRADES, "paper_gate_win_rate": F.col("paper_vs_bt_delta") > PAPER_MAX_DRIFT,
         "paper_gate_pnl": F.col("paper_net_pnl") > 0, "micro_gate_trades": F.col("micro_trades") >= MICRO_MIN_TRADES,
         "micro_gate_win_rate": F.col("micro_trades") >= MICRO_MIN_TRADES, "micro_gate_pnl": F.col("micro_net_pnl") > 0,

@@ -164,10 +164,14 @@ def risk(nav: DataFrame, bench: DataFrame) -> DataFrame:
     return d.select(*keep)
 
 
-def enrich(nav: DataFrame, bench: DataFrame, watermark: Column | None = None, warmup_days: int = 3650) -> DataFrame:
-    """Every fund column in one plan. With a watermark, only the warm-up
-    history before it is read and only newer rows are emitted."""
-    src = nav if watermark is None else nav.where(F.col("date") >= F.date_sub(watermark, warmup_days))
+def enrich(nav: DataFrame, bench: DataFrame, watermark: Column | None = None) -> DataFrame:
+    """Every fund column in one plan. With a watermark, only funds with newer
+    rows are computed and only those rows are emitted. Such a fund is read
+    whole: peaks, smoothed values and filled SIP rates reach back to its first
+    day."""
+    src = nav
+    if watermark is not None:
+        src = nav.join(nav.where(F.col("date") > watermark).select(*KEY).distinct(), KEY, "left_semi")
     d = risk(sip_returns(period_returns(rollups(technical(src)))), bench)
     return d if watermark is None else d.where(F.col("date") > watermark)
 
@@ -184,8 +188,12 @@ def category_heat(enriched: DataFrame, funds: DataFrame, min_funds: int = 3) ->
     return g.where(F.col("n_funds") >= min_funds)
 
 
-def captures(nav: DataFrame, bench: DataFrame) -> DataFrame:
-    """Average monthly fund/benchmark return ratio in up and in down months."""
+def captures(nav: DataFrame, bench: DataFrame, as_of: Column | None = None, years: int = 5) -> DataFrame:
+    """Average monthly fund/benchmark return ratio in up and in down months, in
+    the ``years`` up to ``as_of`` (all months without it)."""
+    if as_of is not None:
+        inside = F.col("date").between(F.add_months(F.trunc(as_of, "MM"), 1 - 12 * years), as_of)
+        nav, bench = nav.where(inside), bench.where(inside)
     fm = period_rollup(nav, KEY, F.trunc("date", "MM"), "month", open_="nav", high="nav", low="nav", close="nav")
     fm = fm.select(*KEY, "month", pct_change("close", "open").alias("fr"))
     bm = bench.groupBy(F.trunc("date", "MM").alias("month")).agg(F.min_by("close", "date").alias("_o"), F.max_by("close", "date").alias("_c"))

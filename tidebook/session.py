@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,7 +34,26 @@ def build_session(app: str = "tidebook", master: str | None = None, shuffle_part
         b = b.master(master)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's sources to the Python workers, once per application.
+
+    Workers then import it wherever the driver was started from; Spark's own
+    file server hands the archive to the executors."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tidebook_shipped", False):
+        return
+    package = Path(__file__).parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="spark-ship-", dir="/tmp"), "tidebook.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    sc.addPyFile(archive)
+    sc._tidebook_shipped = True
 
 
 def spread_rows(df: DataFrame, *keys: str) -> DataFrame:
