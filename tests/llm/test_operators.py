@@ -224,6 +224,23 @@ def test_sentencepieces(spark, docs):
     assert rows.where("restored").count() == 13 and rows.where("pieces is null").count() == 1 and set(docs.columns) < set(rows.columns)
 
 
+def test_pieces_equal_sentencepiece(spark):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.MODEL)
+    draw = np.random.default_rng(6)
+    texts = ["hello world", "a  b\n\nc", "   lead ", "tab\there\r\n", "ﬁ½ straße ünïcode 日本語 😀 a\0b", "x" * 3000, "abab" * 50, "日本国の東京都において" * 30, " ", "\n", LONG, open(__file__).read().replace("▁", "_")]
+    texts += ["".join(draw.choice(list("  abctheinrs é漢😀\t\0\n"), draw.integers(1, 300))) for _ in range(300)]
+    rows = sentencepieces.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in rows:
+        assert r.pieces == sp.encode(r.text), r.text[:80]
+    encoder = sentencepieces.MergeEncoder(sentencepieces.vocabulary())
+    parts = [p for t in texts[-300:] for p in t.replace(" ", "▁").split("\n") if p]
+    ids, sizes = encoder.search_all(parts)
+    for part, got in zip(parts, np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+        assert got.tolist() == encoder.search(part).tolist()
+
+
 def test_pipeline_handles_odd_rows(spark, docs, tmp_path):
     import corpus_pipeline
 

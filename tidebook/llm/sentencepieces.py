@@ -1,14 +1,23 @@
 """SentencePiece encoding and decoding.
 
-Encoding finds the segmentation of largest total piece score. An Aho-Corasick
-automaton over the pieces reads the text once; at each position it reports, by
-its output links, every piece that ends there, and each relaxes the best score
-at that position from the best score at the piece's start (Viterbi). A
-character without a piece of its own costs ``UNKNOWN`` less than the worst
-piece and becomes its UTF-8 bytes.
-
-Where no piece can cross a cut, the best path of a text is the best paths of
-its parts put together. This is checked on the vocabulary: no piece holds a
+The piece ids are those of the vocabulary's own method:
+
+* A BPE model (:class:`MergeEncoder`): an Aho-Corasick automaton over the pieces
+  reads the text once and reports every piece in it. Of all neighbours that
+  together are a piece, those of the highest score, the leftmost first, become
+  one, until no neighbours are a piece. Scores are merge ranks here, whose sum
+  means nothing.
+* A unigram model (:class:`Encoder`): the segmentation of largest total score, by
+  Viterbi over the matches of the same automaton, each of which relaxes the best
+  score at its end from the best score at its start. A character without a piece
+  of its own costs ``UNKNOWN`` less than the worst piece.
+
+A character without a piece becomes its UTF-8 bytes. The ids equal those of
+SentencePiece for a model that keeps all characters and puts a space first;
+other models are refused.
+
+Where no piece can cross a cut, the pieces of a text are the pieces of its
+parts put together. This is checked on the vocabulary: no piece holds a
 space mark after another character, and line feeds stand in no longer piece.
 Parts between such cuts are mostly words, and repeat: each chunk of about ``CHUNK``
 bytes is cut in bulk, its distinct parts are searched together, ``BLOCK`` at a
@@ -16,7 +25,8 @@ time (those of more than ``SHORT`` characters one by one), and their ids are lai
 out for all rows.
 
 Decoding joins pieces and bytes, so it restores the text exactly. A literal
-space mark (U+2581) in a text is encoded as bytes for that reason.
+space mark (U+2581) in a text is encoded as bytes for that reason, where
+SentencePiece makes it a space.
 
 The vocabulary file is read by the driver at the path given and sent to the
 tasks as a list of pieces, whose size the file fixes. Null text has null
@@ -25,6 +35,7 @@ pieces, empty text has none. Rows may repeat; other columns are kept.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from itertools import chain
 
@@ -42,6 +53,7 @@ UNKNOWN = 10.0
 SHORT = 64
 BLOCK = 1 << 14
 CHUNK = 4 << 20
+NEVER = (1 << 31) - 1
 
 
 def vocabulary(path: str = MODEL) -> list[tuple[str, float, int]]:
@@ -53,6 +65,20 @@ def vocabulary(path: str = MODEL) -> list[tuple[str, float, int]]:
     return [(sp.id_to_piece(i), sp.get_score(i), kind(i)) for i in range(sp.get_piece_size())]
 
 
+def merges(path: str = MODEL) -> bool:
+    """Whether the model is a BPE one; an error for one whose ids this module does not give."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(path, "rb") as f:
+        model.ParseFromString(f.read())
+    kind, norm = model.trainer_spec.model_type, model.normalizer_spec
+    plain = not norm.precompiled_charsmap and norm.add_dummy_prefix and not norm.remove_extra_whitespaces and not model.trainer_spec.treat_whitespace_as_suffix
+    if not plain or kind not in (1, 2) or any(p.type in (4, 5) for p in model.pieces):
+        raise ValueError(f"{path}: only unigram and BPE models without normalisation, user-defined or unused pieces are read")
+    return kind == 2
+
+
 class Encoder:
     """Piece ids of the rows of a chunk (bytes with row offsets)."""
 
@@ -149,7 +175,10 @@ class Encoder:
             more = at > first
             at, first = at[more], first[more]
         at = np.flatnonzero(path)
-        ids = piece[back[at]].astype(np.int32)
+        return self._spelled(text, at, piece[back[at]].astype(np.int32), starts)
+
+    def _spelled(self, text: str, at: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids with bytes in place of -1, and their number per part, given the ends of all pieces."""
         width = np.ones(len(at), np.int64)
         raw = np.flatnonzero(ids < 0)
         if len(raw):
@@ -157,7 +186,7 @@ class Encoder:
             width[raw] = [len(x) for x in spelled]
             ids = np.repeat(ids, width)
             ids[ids < 0] = self.byte_ids[np.frombuffer(b"".join(spelled), np.uint8)]
-        return ids, np.bincount(np.searchsorted(starts, at - 1, "right") - 1, weights=width, minlength=len(parts)).astype(np.int64)
+        return ids, np.bincount(np.searchsorted(starts, at - 1, "right") - 1, weights=width, minlength=len(starts)).astype(np.int64)
 
     def cuts(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Sorted starts of the parts, given those of the rows."""
@@ -204,6 +233,88 @@ class Encoder:
         return ids, np.append(0, done)[np.searchsorted(at, offsets)]
 
 
+class MergeEncoder(Encoder):
+    """The same rows by the merge order of a BPE model."""
+
+    def __init__(self, pieces: list[tuple[str, float, int]]):
+        super().__init__(pieces)
+        normal = np.array([byte == -1 and bool(p) for p, _, byte in pieces])
+        self.most = int(self.size[normal].max(initial=1))
+        # A place for -1 (no piece) at the end.
+        self.rank = np.full(len(pieces) + 1, NEVER, np.int32)
+        self.rank[:-1][normal] = np.unique(-self.score[normal], return_inverse=True)[1]
+        self.of = {pieces[i][0]: (int(self.rank[i]), int(i)) for i in np.flatnonzero(normal)}
+
+    def search(self, part: str) -> np.ndarray:
+        """Merges of one part of any length, by a heap of neighbours."""
+        n = len(part)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        none = (NEVER, -1)
+        heap = [(r, a, a + 1, a + 2) for a in range(n - 1) if (r := self.of.get(part[a : a + 2], none)[0]) < NEVER]
+        heapq.heapify(heap)
+        while heap:
+            _, a, b, c = heapq.heappop(heap)
+            if after[a] != b or after[b] != c:
+                continue
+            after[a], after[b] = c, -1
+            p = before[a]
+            if p >= 0 and (r := self.of.get(part[p:c], none)[0]) < NEVER:
+                heapq.heappush(heap, (r, p, a, c))
+            if c < n:
+                before[c] = a
+                if (r := self.of.get(part[a : after[c]], none)[0]) < NEVER:
+                    heapq.heappush(heap, (r, a, c, after[c]))
+        out: list[int] = []
+        a = 0
+        while a < n:
+            i = self.of.get(part[a : after[a]], none)[1]
+            out.extend([i] if i >= 0 else self.byte_ids[list(self._bytes_of(part[a]))].tolist())
+            a = after[a]
+        return np.array(out, np.int32)
+
+    def search_all(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same merges over many short parts at once: each round makes the next merge of every part that has one."""
+        text = "\0".join(parts)
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+        starts = np.cumsum(lengths + 1) - lengths - 1
+        found = np.fromiter(chain.from_iterable(self.automaton.iter(text)), np.int64).reshape(-1, 2)
+        size = self.size[found[:, 1]]
+        ids = np.full((len(text) + 1, self.most + 1), -1, np.int32)  # by start and size
+        ids[found[:, 0] + 1 - size, size] = found[:, 1]
+        part = np.repeat(np.arange(len(parts)), lengths)
+        lo = np.arange(len(part)) + part
+        hi = lo + 1
+
+        def ranks(at: np.ndarray) -> np.ndarray:
+            """Rank of the merge of each symbol with the one after it."""
+            right = np.minimum(at + 1, len(lo) - 1)
+            span = hi[right] - lo[at]
+            fits = (at < right) & (part[at] == part[right]) & (span <= self.most)
+            return np.where(fits, self.rank[ids[lo[at], np.minimum(span, self.most)]], NEVER)
+
+        rank = ranks(np.arange(len(lo)))
+        done = []
+        while len(lo):
+            first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            many = np.diff(np.append(first, len(part)))
+            low = np.repeat(np.minimum.reduceat(rank, first), many)
+            over = low == NEVER
+            hit = np.flatnonzero((rank == low) & ~over)
+            hit = hit[np.append(True, part[hit][1:] != part[hit][:-1])] if len(hit) else hit
+            hi[hit] = hi[hit + 1]
+            done.append((lo[over], hi[over]))
+            keep = ~over
+            keep[hit + 1] = False
+            hit = np.cumsum(keep)[hit] - 1
+            lo, hi, part, rank = lo[keep], hi[keep], part[keep], rank[keep]
+            new = np.append(hit, hit[hit > 0] - 1)
+            rank[new] = ranks(new)
+        lo, hi = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(lo, kind="stable")
+        lo, hi = lo[order], hi[order]
+        return self._spelled(text, hi, ids[lo, hi - lo], starts)
+
+
 class Decoder:
     """Bytes of piece ids."""
 
@@ -236,9 +347,10 @@ def _with(df: DataFrame, **columns: T.DataType) -> T.StructType:
 def encode(docs: DataFrame, path: str = MODEL, text: str = "text", into: str = "pieces", check: str | None = None) -> DataFrame:
     """``docs`` with an array of piece ids and, if ``check`` names a column, whether they decode to the text."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
+    kind = MergeEncoder if merges(path) else Encoder
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_ids, to_bytes = Encoder(shared.value), Decoder(shared.value)
+        to_ids, to_bytes = kind(shared.value), Decoder(shared.value)
         for batch in batches:
             for lo, hi, data, offsets in chunks(batch.column(text), CHUNK, CHUNK >> 10):
                 part = batch.slice(lo, hi - lo)
