@@ -177,6 +177,31 @@ def test_quality_lm(spark):
     assert quality_scores(df, labels.limit(0)).where("kept").count() == 131
 
 
+def test_quality_limits(spark):
+    from collections import Counter
+
+    from tidebook.llm.quality_lm import MAD, squared_counts, trusted_ids
+
+    draw = np.random.default_rng(7)
+    texts = [bytes(draw.choice(list(b"ab "), draw.integers(0, 60))) for _ in range(50)]
+    keys = np.concatenate([position_keys(np.frombuffer(t, np.uint8), np.array([0, len(t)]), 5) for t in texts])
+    got = squared_counts(keys, np.repeat(np.arange(50), [len(t) for t in texts]), 50)
+    assert got.tolist() == [sum(c * c for c in Counter((b"\0" * 4 + t)[i : i + 5] for i in range(len(t))).values()) for t in texts]
+
+    words = ["river", "stone", "light", "garden", "winter", "market", "letter", "morning", "silver", "window", "bridge", "people"]
+    rows = [(i, " ".join(draw.choice(words, 40)), "en") for i in range(200)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    odd = min(r.doc_id for r in trusted_ids(labels).where("held").collect())
+    rows[odd] = (odd, "%#@!~^&*" * 40, "en")  # one odd trusted document
+    rows += [(900, "river " * 60, "en"), (901, "stone " * 5, "en"), (902, " ".join(rows[1 if odd != 1 else 2][1].split()[::-1]), "en"), (903, "qz vx jk wq " * 30 + "zzx kq vj " * 9, "en")]
+    scores = {r.doc_id: r for r in quality_scores(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels).collect()}
+    assert [scores[i].kept for i in (900, 901, 902, 903, odd)] == [False, False, True, False, False]
+    x = sorted(np.log2(scores[r.doc_id].perplexity) for r in trusted_ids(labels).where("held").collect())
+    low = lambda v: sorted(v)[(len(v) + 1) // 2 - 1]
+    limit = low(x) + 4 * MAD * low([abs(v - low(x)) for v in x])
+    assert scores[902].threshold == pytest.approx(2**limit)
+
+
 def test_toxicity(spark):
     rows = [(i, f"you are a {'scumbag' if i % 2 else 'vermin'} number{i} today") for i in range(40)] + [(100 + i, f"you are a friend number{i} today") for i in range(80)]
     labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in rows], "doc_id long, toxic int")

@@ -17,9 +17,17 @@ stays small.
 
 Perplexity per byte is pulled towards the language's median as if
 ``prior_bytes`` more bytes of that code length had been read, since a few words
-say little. The threshold of a language is a quantile of held-out trusted
-documents of that language times ``margin``, which spares clean documents where
-few are held out; a language without any uses the one over all.
+say little. The threshold of a language is the median log perplexity of its
+held-out trusted documents plus ``deviations`` robust deviations (scaled median
+absolute ones), so single odd documents do not move it. Its deviation is
+averaged with that over all languages as if ``prior_docs`` more documents had
+shown the latter; a language without held-out documents uses all of them.
+
+Repeated words are easy to predict once, so a second measure finds them: the
+effective number of a text's n-grams, n^2 over the sum of their squared counts.
+It does not fall with length. A text is rejected if it is below ``spread`` times
+the least of its length, ``spread_bytes`` and the median of held-out trusted
+documents, so that text as uniform as the trusted one stays.
 
 Null and empty texts have no perplexity and are rejected. Rows may repeat or
 lack an id (such rows are never trusted). Without trusted text nothing but
@@ -41,6 +49,8 @@ from tidebook.llm.textbatch import chunks
 from tidebook.session import cut_lineage
 
 _U = np.uint64
+#: Fixed value: standard deviations per median absolute deviation of a normal law.
+MAD = 1.4826
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -117,8 +127,18 @@ def _table(model: DataFrame, order: int) -> BackoffTable:
     return table
 
 
+def squared_counts(keys: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """Sum of the squared counts of each row's keys, of which those of a row stand together."""
+    out = np.zeros(rows)
+    for r, part in zip(row[np.flatnonzero(np.diff(row, prepend=-1))], np.split(keys, np.flatnonzero(np.diff(row)) + 1), strict=True) if len(keys) else ():
+        part = np.sort(part)
+        runs = np.diff(np.flatnonzero(np.append(True, part[1:] != part[:-1])), append=len(part)).astype(float)
+        out[r] = runs @ runs
+    return out
+
+
 def code_lengths(docs: DataFrame, model: DataFrame, order: int, shard_rows: int) -> DataFrame:
-    """(doc_id, key, bits, n) of ``docs(doc_id, key, text)``, one row per key."""
+    """(doc_id, key, bits, n, squares) of ``docs(doc_id, key, text)``, one row per key; squares sums the squared counts of its n-grams."""
     shard, count = shards(model, order, shard_rows)
     spark = docs.sparkSession
     of_pair = spark.sparkContext.broadcast(shard)
@@ -133,7 +153,7 @@ def code_lengths(docs: DataFrame, model: DataFrame, order: int, shard_rows: int)
         def run(batches: Iterator[pa.RecordBatch], shared=shared, s=s) -> Iterator[pa.RecordBatch]:
             table, where = BackoffTable.restore(shared.value), of_pair.value
             for batch in batches:
-                bits, sizes = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
+                bits, sizes, squares = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
                 for lo, hi, data, offsets in chunks(batch.column("text")):
                     keys = position_keys(data, offsets, order)
                     row = np.repeat(np.arange(hi - lo), np.diff(offsets))
@@ -142,17 +162,18 @@ def code_lengths(docs: DataFrame, model: DataFrame, order: int, shard_rows: int)
                         keys, row = keys[mine], row[mine]
                     bits[lo:hi] = np.bincount(row, weights=-table.values(keys, order)[:, 0], minlength=hi - lo)
                     sizes[lo:hi] = np.bincount(row, minlength=hi - lo)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(bits), pa.array(sizes)], ["doc_id", "key", "bits", "n"])
+                    squares[lo:hi] = squared_counts(keys, row, hi - lo)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(bits), pa.array(sizes), pa.array(squares)], ["doc_id", "key", "bits", "n", "squares"])
 
-        scored = docs.select("doc_id", "key", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, bits double, n long")
+        scored = docs.select("doc_id", "key", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, bits double, n long, squares double")
         out = scored if out is None else out.union(scored)
-    out = cut_lineage(out.groupBy("doc_id", "key").agg(F.sum("bits").alias("bits"), F.sum("n").alias("n")), "lengths")
+    out = cut_lineage(out.groupBy("doc_id", "key").agg(F.sum("bits").alias("bits"), F.sum("n").alias("n"), F.sum("squares").alias("squares")), "lengths")
     for shared in tables:  # workers let go of tables that are no longer read
         shared.unpersist()
     return out
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, order: int = 5, quantile: float = 0.995, margin: float = 1.05, prior_bytes: int = 128, shard_rows: int = 1 << 21) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, order: int = 5, deviations: float = 4.0, prior_docs: int = 100, prior_bytes: int = 128, spread: float = 1 / 3, spread_bytes: int = 256, shard_rows: int = 1 << 21) -> DataFrame:
     """(doc_id, key, lang, n_bytes, perplexity, threshold, kept) per row of ``docs(doc_id, text, lang)``."""
     docs = docs.select("doc_id", "text", "lang", text_key(F.col("text")).alias("key"))
     ids = trusted_ids(labels)
@@ -165,14 +186,22 @@ def quality_scores(docs: DataFrame, labels: DataFrame, order: int = 5, quantile:
     model = cut_lineage(kneser_ney(counts, order), "model")
     lengths = code_lengths(docs, model, order, shard_rows)
     rows = attach(docs.select("doc_id", "key", "lang"), lengths)
-    rows = cut_lineage(rows.select("doc_id", "key", F.coalesce("lang", F.lit("")).alias("lang_"), "lang", "bits", F.coalesce("n", F.lit(0)).alias("n")), "scored")
+    rows = cut_lineage(rows.select("doc_id", "key", F.coalesce("lang", F.lit("")).alias("lang_"), "lang", "bits", F.coalesce("n", F.lit(0)).alias("n"), "squares"), "scored")
     full = rows.where("n > 0")
     middle = full.groupBy("lang_").agg(F.percentile_approx(F.col("bits") / F.col("n"), 0.5, 1000).alias("middle"))
     rows = attach(rows, middle, ("lang_",))
     rows = rows.withColumn("perplexity", F.when(F.col("n") > 0, F.pow(F.lit(2.0), (F.col("bits") + prior_bytes * F.col("middle")) / (F.col("n") + prior_bytes))))
     held = rows.where("n > 0").join(ids.where("held").select("doc_id"), "doc_id", "left_semi")
-    by_lang = held.groupBy("lang_").agg(F.percentile_approx("perplexity", quantile, 10000).alias("own"))
-    overall = held.agg(F.percentile_approx("perplexity", quantile, 10000)).first()[0]
-    rows = attach(rows, by_lang, ("lang_",)).withColumn("threshold", margin * F.coalesce("own", F.lit(overall).cast("double")))
-    kept = (F.col("n") > 0) & (F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold")))
+    held = held.select("lang_", F.log2("perplexity").alias("x"), (F.col("n") * F.col("n") / F.col("squares")).alias("grams"))
+    by_lang = held.groupBy("lang_").agg(F.percentile_approx("x", 0.5, 10000).alias("own"), F.count("*").alias("docs"))
+    away = attach(held, by_lang, ("lang_",)).select("lang_", "x", F.abs(F.col("x") - F.col("own")).alias("away"))
+    by_lang = attach(by_lang, away.groupBy("lang_").agg(F.percentile_approx("away", 0.5, 10000).alias("away")), ("lang_",))
+    middle_x, middle_away = away.agg(F.percentile_approx("x", 0.5, 10000), F.percentile_approx("away", 0.5, 10000)).first()
+    middle_grams = held.agg(F.percentile_approx("grams", 0.5, 10000)).first()[0]
+    overall = lambda v: F.lit(v).cast("double")
+    seen = F.coalesce("docs", F.lit(0))
+    deviation = (seen * F.coalesce("away", F.lit(0.0)) + prior_docs * overall(middle_away)) / (seen + prior_docs)
+    rows = attach(rows, by_lang, ("lang_",)).withColumn("threshold", F.pow(F.lit(2.0), F.coalesce("own", overall(middle_x)) + deviations * MAD * deviation))
+    spread_out = F.col("n") * F.col("n") >= spread * F.least("n", F.lit(spread_bytes), overall(middle_grams)) * F.col("squares")
+    kept = (F.col("n") > 0) & spread_out & (F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold")))
     return rows.select("doc_id", "key", "lang", F.col("n").alias("n_bytes"), "perplexity", "threshold", kept.alias("kept"))
