@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidebook.llm import pii, sentencepieces
 from tidebook.llm.decontaminate import contamination
-from tidebook.llm.jaccard_join import jaccard_components
+from tidebook.llm.jaccard_join import linked_rows
 from tidebook.llm.keys import text_key
 from tidebook.llm.quality_lm import quality_scores
 from tidebook.session import cut_lineage
@@ -32,21 +32,28 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked documents: the one with the smallest doc_id.
 
-    A repeated doc_id keeps one of its rows (the smallest text). Rows without an
-    id stay if no document with an id is linked to them; equal ones stay once.
+    Rows are told apart by id and text, so an id may stand for several
+    documents. Of rows with that id the smallest text stays; rows without an id
+    come after all others. A text without shingles stays once per id.
     """
-    rows = jaccard_components(docs)
-    first = rows.where("doc_id = component_id").select(F.col("doc_id").alias("_id"))
-    repeated = first.groupBy("_id").count().where("count > 1").select("_id")
-    named = docs.join(first.distinct(), docs.doc_id == F.col("_id"), "left_semi")
-    once = named.join(repeated, named.doc_id == F.col("_id"), "left_anti")
-    others = [c for c in docs.columns if c != "doc_id"]
-    again = named.join(repeated, named.doc_id == F.col("_id"), "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *(c for c in others if c != "text"))).alias("r"))
-    out = once.unionByName(again.select("doc_id", *(F.col(f"r.{c}").alias(c) for c in others)).select(*docs.columns))
-    unnamed = docs.where("doc_id is null")
-    if not unnamed.isEmpty():
-        out = out.unionByName(unnamed.join(docs.where("doc_id is not null").select(F.col("text").alias("_t")).distinct(), unnamed.text.eqNullSafe(F.col("_t")), "left_anti").dropDuplicates(["text"]))
-    return out
+    rows = cut_lineage(linked_rows(docs), "linked")
+    linked = rows.where("root is not null")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id")
+    least = linked.groupBy("root").agg(F.min(order).alias("least")).select(F.col("root").alias("_root"), F.col("least.doc_id").alias("_id"))
+    best = linked.join(least, F.expr("root = _root and doc_id <=> _id")).select("root", "doc_id", "key").distinct()
+    best = cut_lineage(best, "best")
+    # Texts are compared only where several rows of the least id are left.
+    ties = best.join(best.groupBy("root").count().where("count > 1").select("root"), "root", "left_semi")
+    texts = ties.join(docs.select(F.col("doc_id").alias("_id"), text_key(F.col("text")).alias("_key"), "text"), F.expr("doc_id <=> _id and key = _key"))
+    first = texts.groupBy("root").agg(F.min(F.struct("text", "doc_id", "key")).alias("r")).select("root", "r.doc_id", "r.key")
+    kept = best.join(ties.select("root").distinct(), "root", "left_anti").unionByName(first).select("doc_id", "key")
+    kept = cut_lineage(kept.unionByName(rows.where("root is null").select("doc_id", "key").distinct()), "kept")
+    repeated = rows.groupBy("doc_id", "key").count().where("count > 1").select("doc_id", "key")
+    named = _keep(docs, kept, "semi")
+    once = _keep(named, repeated, "anti")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    again = _keep(named, repeated, "semi").groupBy("doc_id", text_key(F.col("text"))).agg(F.min(F.struct("text", *others)).alias("r"))
+    return once.unionByName(again.select("doc_id", "r.*").select(*docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

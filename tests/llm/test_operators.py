@@ -279,3 +279,14 @@ def test_pipeline_handles_odd_rows(spark, docs, tmp_path):
     masked = {r.doc_id: (r.text, r.n_chars) for r in stage["PII"](spark, table, str(tmp_path)).collect()}
     assert masked[20] == (A.upper() + " <EMAIL>", len(A) + 8) and masked[4][0] is None
     assert corpus_pipeline.run(spark, str(tmp_path)).columns[:5] == table.columns
+
+
+def test_near_duplicates_by_row(spark):
+    """Repeated and missing ids: the decision belongs to the row, not to its id."""
+    import corpus_pipeline
+
+    d = " ".join(f"z{i}" for i in range(60))
+    rows = [(1, A), (1, C), (5, A + " tail"), (5, d), (None, d.upper()), (None, LONG), (None, LONG + " end"), (None, LONG.upper()), (6, None), (6, None), (7, "")]
+    table = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, table, "").collect()
+    assert sorted(((r.doc_id or 0, r.text or "") for r in got)) == sorted([(1, A), (1, C), (5, d), (0, LONG.upper()), (6, ""), (7, "")])

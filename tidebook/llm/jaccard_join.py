@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebook.llm.components import components
+from tidebook.llm.keys import text_key
 from tidebook.llm.textbatch import WordHasher, chunks, lower_ascii, mix, pack, shingle_hashes, unpack, word_bounds
 from tidebook.session import cut_lineage
 
@@ -83,22 +84,22 @@ def _distinct_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tup
 
 
 def members(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n, fp) per row."""
+    """(doc_id, key, n, fp) per row of ``docs(doc_id, text, key)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, ns, fps = [], [], []
         last = None
         for batch, row, h in _sets(batches, size):
             if last is not None and batch is not last:
-                yield pa.RecordBatch.from_arrays([last.column("doc_id"), pa.array(ns, pa.int64()), pa.array(fps, pa.int64())], ["doc_id", "n", "fp"])
+                yield pa.RecordBatch.from_arrays([last.column("doc_id"), last.column("key"), pa.array(ns, pa.int64()), pa.array(fps, pa.int64())], ["doc_id", "key", "n", "fp"])
                 ns, fps = [], []
             last = batch
             ns.append(len(h))
             fps.append(_digest(h) if len(h) else 0)
         if last is not None:
-            yield pa.RecordBatch.from_arrays([last.column("doc_id"), pa.array(ns, pa.int64()), pa.array(fps, pa.int64())], ["doc_id", "n", "fp"])
+            yield pa.RecordBatch.from_arrays([last.column("doc_id"), last.column("key"), pa.array(ns, pa.int64()), pa.array(fps, pa.int64())], ["doc_id", "key", "n", "fp"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, fp long")
+    return docs.mapInArrow(run, "doc_id long, key long, n long, fp long")
 
 
 def frequent_tokens(docs: DataFrame, size: int, limit: int, most: int, parts: int) -> np.ndarray:
@@ -341,10 +342,15 @@ def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, percen
 
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, frequent: int = 24, max_frequent: int = 1 << 20) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of ``docs(doc_id, text)``; sets of similarity percent/100 or more are linked."""
+    return linked_rows(docs, size, percent, frequent, max_frequent).select("doc_id", "n_shingles", "component_id")
+
+
+def linked_rows(docs: DataFrame, size: int = 5, percent: int = 75, frequent: int = 24, max_frequent: int = 1 << 20) -> DataFrame:
+    """(doc_id, key, n_shingles, root, component_id) per row; root is the same for all rows of a component, also without ids, and null for an empty set."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size_of = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = 1 << max(5, math.ceil(math.log2(max(1, size_of / 6 / (1 << 20)))))
-    mem = cut_lineage(members(docs, size), "members")
+    mem = cut_lineage(members(docs.withColumn("key", text_key(F.col("text"))), size), "members")
     reps = mem.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"))
     prefix = _Prefix(percent, frequent_tokens(docs, size, frequent, max_frequent, parts), parts)
     combos = cut_lineage(combination_lists(docs, size, prefix), "combos")
@@ -377,6 +383,6 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, freque
 
     named = reps.join(roots, reps.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_fp = named.join(smallest, "root").select("fp", "component_id")
+    by_fp = named.join(smallest, "root").select("fp", "root", "component_id")
     linked = mem.join(by_fp, "fp", "left")
-    return linked.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return linked.select("doc_id", "key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("root")).alias("root"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
