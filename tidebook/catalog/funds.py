@@ -11,7 +11,7 @@ from tidebook.plans import funds as FU
 from tidebook.plans.funds import ALLOCATION
 
 D = "scheme_code:l date:d"
-AS_OF = F.expr("date '2001-12-31'")
+AS_OF = "2001-12-31"
 W_ = "window w as (partition by scheme_code order by date)"
 
 NAV_REC = """n0 as (select *, row_number() over (partition by scheme_code order by date) as rn, nav-lag(nav) over (partition by scheme_code order by date) as dl from nav),
@@ -110,7 +110,7 @@ cp as (select scheme_code, coalesce(avg(fr/nr*100) filter (where nr>0),0) as ups
 
 @query("mf08_capture_ratios", "scheme_code:l upside_capture:3 downside_capture:3", f"with {CAP_SQL} select * from cp")
 def _mf08(t):
-    return FU.captures(t.nav, t.bench, AS_OF)
+    return FU.captures(t.nav, t.bench, F.to_date(F.lit(AS_OF)))
 
 
 QCOLS = ["cagr_5y", "consistency_score", "sip_return_5y", "sortino_1y", "sharpe_1y", "max_drawdown_pct", "volatility_1y", "beta_vs_nifty"]
@@ -142,7 +142,7 @@ def _mf09(t):
     e = FU.risk(FU.sip_returns(FU.period_returns(t.nav)), t.bench).withColumn("cagr_5y", F.col("cagr_1y"))
     last = FU.latest_returns(e, QCOLS).join(t.funds, "scheme_code")
     b = t.bench.agg(((F.pow(F.max_by("close", "date") / F.min_by("close", "date"), 365.0 / F.datediff(F.max("date"), F.min("date"))) - 1) * 100).alias("bench_cagr"))
-    return FU.quality_score(last, FU.captures(t.nav, t.bench, AS_OF), b)
+    return FU.quality_score(last, FU.captures(t.nav, t.bench, F.to_date(F.lit(AS_OF))), b)
 
 
 HOLD_SQL = f"""{LATEST}, cn as (select scheme_code, max_by(nav,date) as current_nav from nav group by 1), bb as (select (max_by(close,date)-max_by(close,date) filter (where date <= (select max(date) from bench) - interval 1 year))/(max_by(close,date) filter (where date <= (select max(date) from bench) - interval 1 year))*100 as b1 from bench),
