@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import decontaminate, language_id, pii, sentencepieces, toxicity, url_filter
+from tidebook.llm import collocations, decontaminate, language_id, merkle_manifest, pii, sentencepieces, token_counts, toxicity, url_filter
 from tidebook.llm.decontaminate import contamination
 from tidebook.llm.jaccard_join import jaccard_components
 from tidebook.llm.license_scan import known_digests, license_scan
@@ -99,3 +100,24 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op7_toxicity": op7_toxicity, "op10_sentencepiece": op10_sentencepiece}
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return merkle_manifest.verified(merkle_manifest.manifest(docs, merkle_manifest.lowered_thirds()))
+
+
+QUERIES |= {"op11_merkle_manifest": op11_merkle_manifest}
+ORACLES |= {"op11_merkle_manifest": merkle_manifest.ORACLE}
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {"op12_token_counts": op12_token_counts, "op13_collocations": op13_collocations}
+ORACLES |= {"op13_collocations": collocations.ORACLE}
