@@ -9,19 +9,24 @@ of its lowest cut. A phrase is dropped if a longer candidate holds it and is
 found as often (in ``absorb`` per cent of its places).
 
 Only the longest windows are counted: the word at each position and the lead
-columns with the four after it, padded with nulls where the piece ends. ROLLUP
-over the counted windows sums them by successively shorter prefixes, which are
-the counts of all shorter phrases and, for the empty prefix, n; no shorter
-n-gram is ever exploded.
-
-Padding also starts earlier, at a word or a pair of adjacent words that is
-found less than ``min_count`` times: no candidate and no part of one can hold
-it, so the counts that matter stay exact. Which words and pairs these are comes
-from two passes over the corpus that count words, and hashes of the pairs of
-frequent words, into bitmaps of ``2 ** bits`` bits. Equal bits only let more
-windows through, so the result does not depend on them, and the broadcast has
-this fixed size whatever the corpus. A longer piece than ``PART`` bytes takes
-memory in its task in proportion.
+columns with the four after it, padded where the piece ends. ROLLUP over the
+counted windows sums them by successively shorter prefixes, which are the
+counts of all shorter phrases and, for the empty prefix, n; no shorter n-gram
+is ever exploded.
+
+Before that, windows are cut where their prefix is found less than
+``min_count`` times: no candidate, nor a part of one, reaches further, so the
+counts that matter stay exact. For this, windows are dealt to tasks by range
+and sorted, so that equal prefixes are neighbours and a hot one spreads over
+tasks; the sums are taken within an Arrow batch, and prefixes that reach its
+first or last row are left alone, since more of them may lie outside.
+
+In the sort, up to ``coded`` frequent words of at most ``CODED_BYTES`` bytes
+are short codes and all others are spelled. Codes and range bounds come from a
+sample of documents; they decide the size and the place of rows, not the
+result. They are all that is broadcast, and have this bound whatever the
+corpus. A piece longer than ``PART`` bytes takes memory in its task in
+proportion.
 
 Scores are integers; products are exact to 38 digits and overflow is an error.
 The ranking keeps the best of each salted share before it ranks a language.
@@ -40,21 +45,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebook.llm.textbatch import WordHasher, chunks, lower_ascii, mix
+from tidebook.llm.textbatch import chunks, lower_ascii
 from tidebook.session import cut_lineage
 
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 BLANKS = b" \t"
 LONGEST = 5
 PART = 4 << 20
-BITS = 27
+CODED = 1 << 17
+CODED_BYTES = 256
+HEAD = 32
+SAMPLE = 4096
 #: Languages up to which their totals are broadcast.
 FEW = 4096
 
-_U = np.uint64
 _WORDS = [f"w{i}" for i in range(1, LONGEST + 1)]
 
 
@@ -88,7 +96,7 @@ def _parts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
 class Words:
     """The words of a stretch of texts: ``key`` numbers the distinct (lang, word) pairs at each word, ``unit`` its piece."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, langs: np.ndarray, names: list[str], hasher: WordHasher) -> None:
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, langs: np.ndarray, names: list[str]) -> None:
         data = lower_ascii(data)
         inside = ~_GAPS[data]
         first = inside.copy()
@@ -110,127 +118,139 @@ class Words:
         lang, code = keys // len(vocabulary), keys % len(vocabulary)
         self.words = vocabulary.take(pa.array(code))
         self.lang = pa.array(names, pa.string()).take(pa.array(lang))
-        self.hash = hashed(vocabulary, hasher)[code]
-        tags = hashed(pa.array(names, pa.large_string()), hasher)
-        self.hash = mix(self.hash + tags[lang] * _U(0x9E3779B97F4A7C15))
-
-    def pairs(self, kept: np.ndarray) -> np.ndarray:
-        """For each word whether it and the next are in one piece and both kept."""
-        both = np.zeros(self.size, bool)
-        np.logical_and(kept[:-1] & kept[1:], self.unit[:-1] == self.unit[1:], out=both[:-1])
-        return both
-
-    def pair_hash(self, at: np.ndarray) -> np.ndarray:
-        h = self.hash
-        return mix(h[self.key[at]] * _U(0xA0761D6478BD642F) + mix(h[self.key[at + 1]] ^ _U(0x2545F4914F6CDD1D)))
-
-
-def hashed(values: pa.Array, hasher: WordHasher) -> np.ndarray:
-    """64-bit hash of each string."""
-    values = values.cast(pa.large_string())
-    _, offs, data = values.buffers()
-    offsets = np.frombuffer(offs, np.int64, len(values) + 1, values.offset * 8)
-    raw = np.frombuffer(data, np.uint8, offsets[-1] - offsets[0], offsets[0]) if offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
-    offsets = offsets - offsets[0]
-    return hasher(raw, offsets[:-1], offsets[1:])
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
-    hasher = WordHasher()
     for batch in batches:
         langs = batch.column(0).dictionary_encode()
         names, numbers = langs.dictionary.to_pylist(), langs.indices.to_numpy(zero_copy_only=False)
         for row, end, data, offsets in chunks(batch.column(1), PART, 1 << 14):
             for part, bounds in _parts(data, offsets):
-                words = Words(part, bounds, numbers[row:end], names, hasher)
+                words = Words(part, bounds, numbers[row:end], names)
                 if words.size:
                     yield words
 
 
-def _bits(bitmap: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
-    place = hashes >> _U(64 - bits)
-    return (bitmap[place >> _U(3)] >> (place & _U(7)).astype(np.uint8) & 1).astype(bool)
+def code_of(rank: np.ndarray) -> list[str]:
+    """Short words without a blank or ``=``: the rank in digits from the printable letters, the lowest first."""
+    letters = [chr(c) for c in range(33, 127) if chr(c) != "="]
+    out = []
+    for r in rank.tolist():
+        word = letters[r % len(letters)]
+        while r := r // len(letters):
+            word += letters[r % len(letters)]
+        out.append(word)
+    return out
 
 
-def bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
-    """The places of column ``h`` (their upper ``bits`` bits) as a bitmap; at most ``2 ** bits`` bits reach the driver."""
-    # Places count from 1 in the bitmap functions, 32,768 to a bucket.
-    place = F.shiftrightunsigned("h", 64 - bits) + 1
-    rows = hashes.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).toArrow()
-    out = np.zeros(max(1, 1 << bits >> 3), np.uint8)
-    for bucket, data in zip(rows.column("bucket").to_pylist(), rows.column("bits").to_pylist(), strict=True):
-        at = (bucket - 1) * 4096
-        got = np.frombuffer(data, np.uint8)[: len(out) - at]
-        out[at : at + len(got)] = got
-    return out
+def sampled(docs: DataFrame) -> DataFrame:
+    """About ``SAMPLE`` documents at most, for codes and range bounds."""
+    rows = docs.count()
+    return docs if rows <= SAMPLE else docs.sample(SAMPLE / rows, seed=7)
 
 
-def frequent_words(docs: DataFrame, min_count: int, bits: int) -> np.ndarray:
-    """Bitmap of the (lang, word) found at least ``min_count`` times."""
+def code_words(docs: DataFrame, coded: int) -> pa.Array:
+    """The most frequent words of ``docs`` by distinct stretch of texts, at most ``coded`` of at most ``CODED_BYTES`` bytes."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for w in _stretches(batches):
-            n = np.bincount(w.key, minlength=len(w.words))
-            yield pa.RecordBatch.from_arrays([w.lang, w.words.cast(pa.string()), pa.array(w.hash.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "word", "h", "n"])
+            yield pa.RecordBatch.from_arrays([w.words.cast(pa.string()), pa.array(np.bincount(w.key, minlength=len(w.words)).astype(np.int64))], ["word", "n"])
 
-    words = docs.mapInArrow(count, "lang string, word string, h bigint, n bigint").groupBy("lang", "word", "h").agg(F.sum("n").alias("n"))
-    return bitmap(words.where(F.col("n") >= min_count).select("h"), bits)
+    words = docs.mapInArrow(count, "word string, n bigint").where(F.octet_length("word") <= CODED_BYTES)
+    top = words.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(coded).select("word").toArrow()
+    return top.column("word").combine_chunks().cast(pa.string())
 
 
-def frequent_pairs(docs: DataFrame, min_count: int, bits: int, shared) -> np.ndarray:
-    """Bitmap of the adjacent pairs of frequent words found at least ``min_count`` times, by hash."""
+def _heads(texts: pa.Array) -> np.ndarray:
+    """The first ``HEAD`` bytes of each string, for comparison with the bounds."""
+    _, offs, data = texts.cast(pa.large_string()).buffers()
+    starts = np.frombuffer(offs, np.int64, len(texts) + 1, 0)
+    raw = np.append(np.frombuffer(data, np.uint8, starts[-1]) if starts[-1] else np.zeros(0, np.uint8), np.zeros(HEAD, np.uint8))
+    cells = raw[starts[:-1, None] + np.arange(HEAD)]
+    cells[np.arange(HEAD) >= np.diff(starts)[:, None]] = 0
+    return np.ascontiguousarray(cells).view(f"S{HEAD}").ravel()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for w in _stretches(batches):
-            kept = _bits(shared.value[0], w.hash, bits)[w.key]
-            h, n = np.unique(w.pair_hash(np.flatnonzero(w.pairs(kept))), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
-    pairs = docs.mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
-    return bitmap(pairs.where(F.col("n") >= min_count).select("h"), bits)
+def range_bounds(sample: DataFrame, parts: int) -> np.ndarray:
+    """Heads that cut the windows of ``sample(win)`` into ``parts`` shares; at most 64 a share reach the driver."""
+    got = sample.select("win").orderBy(F.rand(7)).limit(64 * parts).toArrow().column("win").combine_chunks()
+    heads = np.sort(_heads(got))
+    return np.unique(heads[np.arange(1, parts) * len(heads) // parts]) if len(heads) else heads
 
 
-def windows(docs: DataFrame, bits: int, shared) -> DataFrame:
-    """(lang, w1..w5, n): the longest windows, padded with nulls, with their counts."""
+def _lang_tag(lang: str) -> str:
+    return "=" + lang.replace("%", "%25").replace(" ", "%20")
+
+
+def _lang_of(tag: str) -> str:
+    return tag[1:].replace("%20", " ").replace("%25", "%")
+
+
+def windows(docs: DataFrame, known: Broadcast, bounds: Broadcast | None = None) -> DataFrame:
+    """(win, n, part): the longest windows of each stretch of texts with their counts.
+
+    ``win`` holds a tag of the lang and up to five words, each followed by a
+    blank. ``part`` is the share of ``bounds`` it falls in."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = pa.array(code_of(np.arange(len(known.value))), pa.string())
         for w in _stretches(batches):
-            kept = _bits(shared.value[0], w.hash, bits)[w.key]
-            joined = w.pairs(kept)
-            at = np.flatnonzero(joined)
-            joined[at] = _bits(shared.value[1], w.pair_hash(at), bits)
-            # lead columns: the key of the word i places on, -1 as padding
-            leads = [np.where(kept, w.key, -1)]
-            chain = kept
-            for i in range(1, LONGEST):
-                chain = chain & np.append(joined[i - 1 :], np.zeros(min(i - 1, w.size), bool))[: w.size]
-                leads.append(np.where(chain, np.append(w.key[i:], np.full(min(i, w.size), -1))[: w.size], -1))
-            yield _counted(leads, w)
+            words = w.words.cast(pa.string())
+            spelled = pc.binary_join_element_wise("=", words, "")
+            words = pc.coalesce(codes.take(pc.index_in(words, known.value)), spelled)
+            # lead columns: the word i places on, null as padding where the piece ends
+            leads = [words.take(pa.array(w.key))]
+            for i in range(1, min(LONGEST, w.size)):
+                leads.append(pa.concat_arrays([words.take(pa.array(w.key[i:], mask=w.unit[i:] != w.unit[:-i])), pa.nulls(i, pa.string())]))
+            tags = pc.dictionary_encode(w.lang)
+            tags = pa.array([_lang_tag(x) for x in tags.dictionary.to_pylist()]).take(tags.indices).take(pa.array(w.key))
+            found = pc.value_counts(pc.binary_join_element_wise(tags, *leads, "", " ", null_handling="skip"))
+            texts = found.field("values")
+            part = np.searchsorted(bounds.value, _heads(texts), "right") if bounds else np.zeros(len(texts))
+            yield pa.RecordBatch.from_arrays([texts, found.field("counts"), pa.array(part.astype(np.int32))], ["win", "n", "part"])
+
+    return docs.mapInArrow(cut, "win string, n bigint, part int")
+
+
+def cut_windows(in_order: DataFrame, min_count: int, known: Broadcast) -> DataFrame:
+    """(lang, w1..w5, n) from ``windows`` in order: each cut to the longest prefix that may be frequent."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoded = dict(zip(code_of(np.arange(len(known.value))), known.value.to_pylist(), strict=True))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n = batch.column(1).to_numpy()
+            cells = pc.split_pattern(pc.utf8_rtrim(batch.column(0), " "), " ")
+            sizes = pc.list_value_length(cells).to_numpy(zero_copy_only=False)
+            flat = cells.flatten().dictionary_encode()
+            table = np.full((len(n), LONGEST + 1), -1, np.int64)
+            table[np.arange(LONGEST + 1) < sizes[:, None]] = flat.indices.to_numpy()
+            changed = np.ones((len(n), LONGEST + 1), bool)
+            changed[1:] = np.logical_or.accumulate(table[1:] != table[:-1], axis=1)
+            depth, group = np.zeros(len(n), np.int64), np.cumsum(changed[:, 0]) - 1
+            for k in range(1, LONGEST + 1):
+                run = np.cumsum(changed[:, k]) - 1
+                total = np.add.reduceat(n, np.flatnonzero(changed[:, k]))
+                total[[0, -1]] = min_count  # may go on in the next batch or task
+                deeper = (total[run] >= min_count) & (sizes > k) & (depth == k - 1)
+                depth[deeper], group[deeper] = k, run[deeper]
+            # Rows cut to the same prefix become one.
+            _, first, row = np.unique(depth * len(n) + group, return_index=True, return_inverse=True)
+            count = np.zeros(len(first), np.int64)
+            np.add.at(count, row, n)
+            depth, kept = depth[first], table[first]
+            kept[np.arange(LONGEST + 1) > depth[:, None]] = -1
+            used, place = np.unique(kept, return_inverse=True)
+            place = place.reshape(kept.shape)
+            texts = flat.dictionary.take(pa.array(used, mask=used < 0)).to_pylist()
+            words = pa.array([None if t is None else decoded.get(t, t[1:]) for t in texts], pa.string())
+            langs = pa.array([_lang_of(t) if t and t.startswith("=") else None for t in texts], pa.string())
+            columns = [words.take(pa.array(place[:, k])) for k in range(1, LONGEST + 1)]
+            yield pa.RecordBatch.from_arrays([langs.take(pa.array(place[:, 0])), *columns, pa.array(count)], ["lang", *_WORDS, "n"])
 
     schema = "lang string, " + ", ".join(f"{c} string" for c in _WORDS) + ", n bigint"
-    return docs.mapInArrow(cut, schema).groupBy("lang", *_WORDS).agg(F.sum("n").alias("n"))
-
-
-def _counted(leads: list[np.ndarray], w: Words) -> pa.RecordBatch:
-    """Distinct windows of a stretch. Windows that begin with padding keep their language only."""
-    empty = leads[0] < 0
-    langs, lang_of = np.unique(w.lang.to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
-    n_empty = np.bincount(lang_of[w.key[empty]], minlength=len(langs))
-    columns = [c[~empty] for c in leads]
-    order = np.lexsort(columns[::-1])
-    columns = [c[order] for c in columns]
-    new = np.ones(len(order), bool)
-    if len(order):
-        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
-    first = np.flatnonzero(new)
-    n = np.diff(np.append(first, len(order)))
-    texts = w.words.cast(pa.string())
-    out = []
-    for c in columns:
-        c = c[first]
-        out.append(pa.concat_arrays([texts.take(pa.array(c, mask=c < 0)), pa.nulls(len(langs), pa.string())]))
-    lang = pa.concat_arrays([w.lang.take(pa.array(columns[0][first])), pa.array(langs.tolist(), pa.string())])
-    return pa.RecordBatch.from_arrays([lang, *out, pa.array(np.append(n, n_empty).astype(np.int64))], ["lang", *_WORDS, "n"])
+    return in_order.mapInArrow(cut, schema).groupBy("lang", *_WORDS).agg(F.sum("n").alias("n"))
 
 
 def phrase_counts(counted: DataFrame, min_count: int) -> DataFrame:
@@ -248,24 +268,27 @@ def _wide(c: str) -> Column:
     return F.col(c).cast("decimal(20,0)")
 
 
-def collocations(docs: DataFrame, min_count: int = 100, top: int | None = 2000, absorb: int = 100, bits: int = BITS) -> DataFrame:
+def collocations(docs: DataFrame, min_count: int = 100, top: int | None = 2000, absorb: int = 100, coded: int = CODED) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) of the best ``top`` phrases of each lang of ``docs(lang, text)`` (all with None)."""
     spark = docs.sparkSession
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    known = [frequent_words(docs, min_count, bits)]
-    known.append(frequent_pairs(docs, min_count, bits, spark.sparkContext.broadcast(known)))
-    counted = cut_lineage(windows(docs, bits, spark.sparkContext.broadcast(known)), "windows")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    few = sampled(docs)
+    known = spark.sparkContext.broadcast(code_words(few, coded))
+    bounds = spark.sparkContext.broadcast(range_bounds(windows(few, known), parts))
+    in_order = windows(docs, known, bounds).repartitionById(parts, "part").sortWithinPartitions("win").select("win", "n")
+    counted = cut_lineage(cut_windows(in_order, min_count, known), "windows")
     counts = cut_lineage(phrase_counts(counted, min_count), "phrases")
 
     totals = counts.where("k = 0").select("lang", F.col("f").alias("n"))
     if totals.count() <= FEW:
         totals = F.broadcast(totals)
-    parts = counts.where("k > 0").select("lang", F.col("phrase").alias("part"), "f")
+    known_parts = counts.where("k > 0").select("lang", F.col("phrase").alias("part"), "f")
     phrases = counts.where("k > 1").withColumnRenamed("f", "a")
     cuts = phrases.select("lang", "phrase", "words", "k", "a", F.explode(F.sequence(F.lit(1), F.col("k") - 1)).alias("cut"))
     cuts = cuts.select("lang", "phrase", "a", "cut", F.array_join(F.slice("words", F.lit(1), F.col("cut")), " ").alias("first"), F.array_join(F.slice("words", F.col("cut") + 1, F.col("k") - F.col("cut")), " ").alias("rest"))
-    cuts = cuts.join(parts.select("lang", F.col("part").alias("first"), F.col("f").alias("l")), ["lang", "first"])
-    cuts = cuts.join(parts.select("lang", F.col("part").alias("rest"), F.col("f").alias("r")), ["lang", "rest"]).join(totals, "lang")
+    cuts = cuts.join(known_parts.select("lang", F.col("part").alias("first"), F.col("f").alias("l")), ["lang", "first"])
+    cuts = cuts.join(known_parts.select("lang", F.col("part").alias("rest"), F.col("f").alias("r")), ["lang", "rest"]).join(totals, "lang")
     cuts = cuts.withColumn("over", (_wide("a") * _wide("n")).cast("decimal(34,0)") * F.lit(1000).cast("decimal(4,0)")).withColumn("under", _wide("l") * _wide("r"))
     scored = cuts.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct(F.expr("over div under").alias("score"), "cut", "l", "r")).alias("best"))
 
@@ -276,7 +299,7 @@ def collocations(docs: DataFrame, min_count: int = 100, top: int | None = 2000,
     rows = rows.select("lang", "phrase", "a", "best.l", "best.r", "n", "best.score")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     if top is not None:
-        salt = F.pmod(F.xxhash64("phrase"), F.lit(int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        salt = F.pmod(F.xxhash64("phrase"), F.lit(parts))
         rows = rows.withColumn("_salt", salt).withColumn("_place", F.row_number().over(Window.partitionBy("lang", "_salt").orderBy(*order)))
         rows = rows.where(F.col("_place") <= top).drop("_salt", "_place")
         rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
