@@ -38,10 +38,9 @@ def _str02(t):
 
 
 @query("str03_five_minute_alignment", "symbol:s window_start:t ltp:2 event_id:l",
-       """with w as (select *, time_bucket(interval 5 minute, ts) as window_start from ticks) select symbol, window_start, max_by(ltp, ts) as ltp, max_by(event_id, ts) as event_id from w
-       where window_start + interval 5 minute <= (select max(ts) from ticks) - interval 20 minute group by 1,2""")
+       """with w as (select *, time_bucket(interval 5 minute, ts) as window_start from ticks) select symbol, window_start, max_by(ltp, ts) as ltp, max_by(event_id, ts) as event_id from w group by 1,2""")
 def _str03(t):
-    return J.drain(J.align(_ticks(t), ["symbol"], ["ltp", "event_id"], ["ts", "event_id"]), "align")
+    return J.drain_to_end(_ticks(t), lambda d: J.align(d, ["symbol"], ["ltp", "event_id"], ["ts", "event_id"]), "align")
 
 
 @query("str04_latest_straddle", "symbol:l snap_date:d expiry:d strike:1 straddle:2",
@@ -72,7 +71,7 @@ _LIFE_OUT = "symbol:s day:d exit_time:t exit_reason:s pnl:2"
 
 @query("str06_position_lifecycle", _LIFE_OUT, _LIFE_Q)
 def _str06(t):
-    return J.drain(J.lifecycle(_ticks(t), TARGET, STOP), "lifecycle")
+    return J.drain_to_end(_ticks(t), lambda d: J.lifecycle(d, TARGET, STOP), "lifecycle")
 
 
 @query("str06b_position_lifecycle_batch", _LIFE_OUT, _LIFE_Q)
@@ -87,7 +86,7 @@ def _str07(t):
     d = _ticks(t).withColumns({
         "seen": F.timestamp_seconds(F.unix_timestamp("ts") + (F.col("event_id") % 40) * 60), "score": (F.col("event_id") % 100).cast("double"),
         "is_stop": F.when(F.col("side") == "error", 1).otherwise(0)})
-    return J.drain(J.entry_gate(d, 20.0, 30.0), "gate")
+    return J.drain_to_end(d, lambda d: J.entry_gate(d, 20.0, 30.0), "gate")
 
 
 @query("str08_drop_stale", "symbol:s n:l", "select symbol, count(*) as n from ticks where event_id%40<=20 group by 1")
@@ -104,11 +103,56 @@ _D1 = "((ln((23950+ltp)/24000.0::double)+(0.065::double+0.5::double*0.15::double
        select symbol, event_id, nd as net_delta, hl as hedge_lots, case when hl>0 then 'buy' else 'sell' end as hedge_direction, sum(hl) over (partition by symbol, cast(ts as date) order by ts, event_id) as cumulative_lots from h""")
 def _str09(t):
     nd = J.net_delta(23950 + F.col("ltp"), F.lit(24000.0), F.lit(3 / 365.0), F.lit(0.15))
-    return J.drain(J.hedges(_ticks(t).withColumn("net_delta", nd), 50.0), "hedges")
+    return J.drain_to_end(_ticks(t).withColumn("net_delta", nd), lambda d: J.hedges(d, 50.0), "hedges")
 
 
 @query("str10_alerts_once", "symbol:s day:d kind:s alert_time:t",
        f"""with {_LIFE} select symbol, day, 'entered' as kind, min(ts) as alert_time from l0 group by 1,2 union all select symbol, day, 'target', min(ts) from l0 where pnl>={TARGET} group by 1,2 union all select symbol, day, 'stop', min(ts) from l0 where pnl<=-{STOP} group by 1,2
-       union all select symbol, day, 'eod', min(ts) from l0 where extract(hour from ts)*60+extract(minute from ts) >= 910 group by 1,2""")
+       union all select symbol, day, 'eod', min(ts) from l0 where extract(hour from ts)*60+extract(minute from ts) >= 915 group by 1,2""")
 def _str10(t):
-    return J.drain(J.alerts(_ticks(t), TARGET, STOP), "alerts")
+    return J.drain_to_end(_ticks(t), lambda d: J.alerts(d, TARGET, STOP), "alerts")
+
+
+RULES = J.Rules(target=10.0, stop=20.0, min_premium=20.0, min_score=30.0)
+
+
+def _marked(d):
+    """Marks with the time they were seen, a score and the critical inputs, all from the event."""
+    return d.withColumns({
+        "seen": F.timestamp_seconds(F.unix_timestamp("ts") + (F.col("event_id") % 40) * 60), "score": (F.col("event_id") % 100).cast("double"),
+        "critical": F.array(F.col("event_id") % 2, F.col("event_id") % 3)})
+
+
+_TRADES_Q = f"""with recursive m as (select symbol, cast(ts as date) as day, ts, ltp, extract(hour from ts)*60+extract(minute from ts) as mi, row_number() over (partition by symbol, cast(ts as date) order by ts, event_id) as i,
+  ltp>={max(RULES.min_premium, 2 * RULES.stop)} and event_id%100>={RULES.min_score} and event_id%40<=20 and (event_id%2<>0 or event_id%3<>0) as ok from ticks),
+x as (select *, mi between 570 and 839 and ok as enter from m),
+r(symbol, day, i, phase, entry, entered, peak, stopped, why, pnl, ts, was, was_entry) as (
+  select symbol, day, 0::bigint, 0, 0::double, null::timestamp, 0::double, null::timestamp, null::varchar, null::double, null::timestamp, null::timestamp, null::double from (select distinct symbol, day from m)
+  union all
+  select symbol, day, i, case when enters then 1 when phase=0 or why is not null then 0 when phase=2 or pnl>={RULES.target} then 2 else 1 end, case when enters then ltp else entry end, case when enters then ts else entered end,
+    case when phase=1 then pnl else greatest(peak, pnl) end, case when why='stop' then ts else stopped end, why, pnl, ts, entered, entry from (
+    select x.symbol, x.day, x.i, x.ts, x.ltp, r.phase, r.entry, r.entered, r.peak, r.stopped, r.phase=0 and x.enter and (r.stopped is null or epoch_us(x.ts)-epoch_us(r.stopped)>=1800000000) as enters, r.entry-x.ltp as pnl,
+      case when r.phase>0 then case when x.mi>=920 then 'eod' when r.entry-x.ltp<=-{RULES.stop} then 'stop' when r.phase=2 and r.entry-x.ltp<=greatest(r.peak, r.entry-x.ltp)*0.75::double then 'trail' end end as why
+    from r join x on x.symbol=r.symbol and x.day=r.day and x.i=r.i+1) q)
+select symbol, day, was as entry_time, ts as exit_time, why as exit_reason, was_entry as entry, pnl from r where why is not null"""
+_TRADES_OUT = "symbol:s day:d entry_time:t exit_time:t exit_reason:s entry:2 pnl:2"
+
+
+@query("str06c_lifecycle_with_reentry", _TRADES_OUT, _TRADES_Q)
+def _str06c(t):
+    return J.drain_to_end(_marked(_ticks(t)), lambda d: J.full_lifecycle(d, RULES), "trades")
+
+
+@query("str06d_lifecycle_with_reentry_batch", _TRADES_OUT, _TRADES_Q)
+def _str06d(t):
+    return J.full_lifecycle_batch(_marked(t.ticks), RULES)
+
+
+@query("str10b_position_alerts", "symbol:s alert_time:t kind:s",
+       f"""with g as (select *, case when ts - lag(ts) over w >= interval 360 minute then 1 else 0 end as cut from ticks window w as (partition by symbol order by ts, event_id)),
+       p as (select *, sum(cut) over (partition by symbol order by ts, event_id) as p from g), v as (select *, first_value(ltp) over w - ltp as pnl, row_number() over w as i from p window w as (partition by symbol, p order by ts, event_id)),
+       h as (select *, min(case when pnl>={TARGET} then i end) over (partition by symbol, p) as reached from v),
+       a as (select symbol, p, min(ts) as entered, min(case when pnl>={TARGET} then ts end) as target, min(case when pnl<=-{STOP} then ts end) as stop, min(case when extract(hour from ts)*60+extract(minute from ts) >= 915 then ts end) as eod, min(case when i>reached then ts end) as "trailing", max(ts)+interval 360 minute as closed from h group by 1,2)
+       select symbol, alert_time, kind from (unpivot a on entered, target, stop, eod, "trailing", closed into name kind value alert_time)""")
+def _str10b(t):
+    return J.drain_to_end(_ticks(t), lambda d: J.position_alerts(d, TARGET, STOP, 360), "position-alerts")

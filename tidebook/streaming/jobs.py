@@ -2,25 +2,25 @@
 
 State is keyed by (symbol, day): a position never outlives its day, so state
 is dropped by an event-time timer and a busy symbol is split over its days.
-Every stateful job has a batch twin built from window functions.
+Stateful jobs take the watermarked stream of ``drain_to_end`` and fold each
+key's rows in order of time, whatever their order of arrival.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from datetime import datetime, timezone
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidebook.functions import blackscholes as BS
 from tidebook.functions.exprs import flag
 from tidebook.session import shared_dir
-
-LATENESS = "20 minutes"
+from tidebook.streaming.ordered import LATENESS, drain, drain_to_end, ordered_fold  # noqa: F401
 
 # Trading hours, trail share, cooldown and hedge limit.
 EOD_MINUTE = 15 * 60 + 20
@@ -29,6 +29,7 @@ TRAIL_SHARE = 0.75
 COOLDOWN_MINUTES = 30
 MAX_AGE_MINUTES = 20
 HEDGE_LIMIT = 0.15
+EOD_WARN_MINUTE = 15 * 60 + 15
 
 
 def stream_parquet(spark: SparkSession, path: str, schema: T.StructType, glob: str | None = None, max_files: int | None = None) -> DataFrame:
@@ -40,18 +41,6 @@ def stream_parquet(spark: SparkSession, path: str, schema: T.StructType, glob: s
     return r.parquet(path)
 
 
-def drain(df: DataFrame, name: str, target: tuple[str, str] | None = None) -> DataFrame:
-    """Run the stream over everything available and return its table.
-
-    Table and checkpoint live in the shared folder; pass the same ``target``
-    again to continue where the last run stopped."""
-    spark = df.sparkSession
-    path, ckpt = target or (shared_dir(spark, name), shared_dir(spark, f"{name}-ckpt"))
-    q = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", ckpt).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def drain_batches(df: DataFrame, name: str, transform: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Per micro-batch transform. Each batch overwrites its own folder, so a
     replayed batch does not add rows twice."""
@@ -75,11 +64,11 @@ def suppress_repeats(df: DataFrame, keys: Sequence[str], ts: str = "ts") -> Data
 
 
 def align(df: DataFrame, keys: Sequence[str], values: Sequence[str], order: Sequence[str], minutes: int = 5, ts: str = "ts") -> DataFrame:
-    """Latest quote per key in each tumbling window."""
+    """Latest quote per key in each tumbling window. End markers have no key."""
     w = F.window(ts, f"{minutes} minutes")
-    d = df.withWatermark(ts, LATENESS) if df.isStreaming else df
-    g = d.groupBy(w.alias("_w"), *keys).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_v"))
-    return g.select(*keys, F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), "_v.*")
+    g = df.groupBy(w.alias("_w"), *keys).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_v"), F.count(keys[0]).alias("_n"))
+    # A filter on the key itself would be moved below the watermark and hide the markers from it.
+    return g.where("_n > 0").select(*keys, F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), "_v.*")
 
 
 def straddle_rows(chain: DataFrame) -> DataFrame:
@@ -109,29 +98,18 @@ def minute_of_day(ts: str | Column) -> Column:
 
 
 def _keyed(df: DataFrame, step: Callable, out: str, state: str, order: list[str], initial: tuple) -> DataFrame:
-    """Fold ``step(state, row) -> (state, output or None)`` over each key's rows
-    in order. A key's rows per micro-batch are one position's marks of a day."""
-    columns = [f.name for f in T._parse_datatype_string(out).fields]
-
-    def fold(key, frames: Iterator[pd.DataFrame], st: GroupState) -> Iterator[pd.DataFrame]:
-        if st.hasTimedOut:
-            st.remove()
-            return
-        s = tuple(st.get) if st.exists else initial
-        rows = pd.concat(list(frames)).sort_values(order, kind="stable")
-        emitted = []
-        for r in rows.itertuples(index=False):
-            s, o = step(s, r)
-            if o is not None:
-                emitted.append((*key, *o))
-        st.update(s)
-        day_end = int(pd.Timestamp(key[1]).timestamp() * 1000) + 2 * 86_400_000
-        st.setTimeoutTimestamp(max(day_end, st.getCurrentWatermarkMs() + 1))
-        if emitted:
-            yield pd.DataFrame(emitted, columns=columns)
-
-    keyed = df.withWatermark("ts", LATENESS).withColumn("day", F.to_date("ts"))
-    return keyed.groupBy("symbol", "day").applyInPandasWithState(fold, out, state, "append", GroupStateTimeout.EventTimeTimeout)
+    """Fold ``step(state, row) -> (state, output or None)`` over each
+    (symbol, day) in order; the state goes a day after its day."""
+
+    def fold(s, r):
+        s, o = step(initial if s is None else s, r)
+        return s, [] if o is None else [o]
+
+    def lapse(key, s, now):
+        over = datetime(key[1].year, key[1].month, key[1].day, tzinfo=timezone.utc).timestamp() + 2 * 86_400
+        return (None, [], None) if now >= over else (s, [], over)
+
+    return ordered_fold(df.withColumn("day", F.to_date("ts")), ["symbol", "day"], fold, out, state, order, lapse=lapse)
 
 
 def lifecycle(df: DataFrame, target: float, stop: float) -> DataFrame:
@@ -185,7 +163,7 @@ def entry_gate(df: DataFrame, min_premium: float, min_score: float) -> DataFrame
     m = minute_of_day("ts")
     ok = (F.col("ltp") >= min_premium) & (F.col("score") >= min_score) & (m >= ENTRY_FROM) & (m < ENTRY_TO)
     ok = ok & (F.unix_timestamp("seen") - F.unix_timestamp("ts") <= MAX_AGE_MINUTES * 60)
-    d = df.withColumn("candidate", flag(ok & (F.col("is_stop") == 0))).where("candidate = 1 or is_stop = 1")
+    d = df.withColumn("candidate", flag(ok & (F.col("is_stop") == 0))).where("candidate = 1 or is_stop = 1 or symbol is null")
 
     def step(s, r):
         now = r.ts.timestamp()
@@ -198,6 +176,80 @@ def entry_gate(df: DataFrame, min_premium: float, min_score: float) -> DataFrame
     return _keyed(d, step, "symbol string, day date, event_id bigint, ts timestamp, ltp double", "last_stop double", ["ts", "event_id"], (-1e18,))
 
 
+@dataclass(frozen=True)
+class Rules:
+    """Limits of one position at a time, in points."""
+
+    target: float
+    stop: float
+    min_premium: float
+    min_score: float
+    cooldown_minutes: int = COOLDOWN_MINUTES
+
+
+def may_enter(rules: Rules) -> Column:
+    """Trading hours, fresh snapshot, premium of at least the floor and twice
+    the stop, score, and at least one critical input that is not zero.
+
+    Rows have ts, seen, ltp, score and ``critical`` (an array of inputs)."""
+    m = minute_of_day("ts")
+    ok = (m >= ENTRY_FROM) & (m < ENTRY_TO) & (F.unix_timestamp("seen") - F.unix_timestamp("ts") <= MAX_AGE_MINUTES * 60)
+    ok = ok & (F.col("ltp") >= max(rules.min_premium, 2 * rules.stop)) & (F.col("score") >= rules.min_score)
+    return F.coalesce(ok & ((F.size("critical") == 0) | F.exists("critical", lambda c: c != 0)), F.lit(False))
+
+
+TRADES = "entry_time timestamp, exit_time timestamp, exit_reason string, entry double, pnl double"
+
+
+def full_lifecycle(df: DataFrame, rules: Rules) -> DataFrame:
+    """Every closed position of a (symbol, day): entry through the gate, exit by
+    end of day, stop or trailing stop, then entry again, after a stop not
+    before the cooldown is over. A row either enters or is a mark."""
+
+    def step(s, r):
+        phase, entry, entered, peak, stopped = s
+        if phase == 0:
+            waits = stopped is not None and (r.ts - stopped).total_seconds() < rules.cooldown_minutes * 60
+            return (s if waits or not r.may_enter else (1, float(r.ltp), r.ts.to_pydatetime(), 0.0, stopped)), None
+        pnl, minute = entry - r.ltp, r.ts.hour * 60 + r.ts.minute
+        peak = max(peak, pnl)
+        why = "eod" if minute >= EOD_MINUTE else "stop" if pnl <= -rules.stop else "trail" if phase == 2 and pnl <= peak * TRAIL_SHARE else None
+        if why:
+            return (0, 0.0, None, 0.0, r.ts.to_pydatetime() if why == "stop" else stopped), (entered, r.ts, why, entry, pnl)
+        if phase == 1:
+            return ((2, entry, entered, pnl, stopped) if pnl >= rules.target else s), None
+        return (2, entry, entered, peak, stopped), None
+
+    marks = df.select("symbol", "ts", "event_id", "ltp", may_enter(rules).alias("may_enter"))
+    return _keyed(marks, step, f"symbol string, day date, {TRADES}", "phase int, entry double, entered timestamp, peak double, stopped timestamp", ["ts", "event_id"], (0, 0.0, None, 0.0, None))
+
+
+def full_lifecycle_batch(df: DataFrame, rules: Rules) -> DataFrame:
+    """The same positions by a fold over the sorted marks of each (symbol, day),
+    which are bounded by a trading day."""
+    marks = df.select("symbol", F.to_date("ts").alias("day"), F.struct(F.col("ts").cast("timestamp").alias("ts"), "event_id", "ltp", may_enter(rules).alias("ok"), minute_of_day("ts").alias("minute")).alias("m"))
+    none = F.expr(f"named_struct('phase', 0, 'entry', 0D, 'entered', cast(null as timestamp), 'peak', 0D, 'stopped', cast(null as timestamp), 'done', cast(array() as array<struct<{TRADES}>>))")
+
+    def step(s: Column, r: Column) -> Column:
+        pnl = s["entry"] - r["ltp"]
+        peak = F.greatest(s["peak"], pnl)
+        why = F.when(r["minute"] >= EOD_MINUTE, "eod").when(pnl <= -rules.stop, "stop").when((s["phase"] == 2) & (pnl <= peak * TRAIL_SHARE), "trail")
+        waits = F.coalesce(F.unix_micros(r["ts"]) - F.unix_micros(s["stopped"]) < rules.cooldown_minutes * 60_000_000, F.lit(False))
+        enters = (s["phase"] == 0) & r["ok"] & ~waits
+        exits = (s["phase"] > 0) & why.isNotNull()
+        armed = (s["phase"] == 2) | ((s["phase"] == 1) & (pnl >= rules.target))
+        trade = F.struct(s["entered"].alias("entry_time"), r["ts"].alias("exit_time"), why.alias("exit_reason"), s["entry"].alias("entry"), pnl.alias("pnl"))
+        return F.struct(
+            F.when(enters, 1).when(exits, 0).when(s["phase"] == 0, 0).when(armed, 2).otherwise(1).alias("phase"),
+            F.when(enters, r["ltp"]).when(exits, 0.0).otherwise(s["entry"]).alias("entry"), F.when(enters, r["ts"]).when(exits, None).otherwise(s["entered"]).alias("entered"),
+            F.when(enters | exits | (s["phase"] == 0), 0.0).when(armed, F.when(s["phase"] == 1, pnl).otherwise(peak)).otherwise(0.0).alias("peak"),
+            F.when(exits & (why == "stop"), r["ts"]).otherwise(s["stopped"]).alias("stopped"), F.when(exits, F.concat(s["done"], F.array(trade))).otherwise(s["done"]).alias("done"))
+
+    sorted_marks = F.sort_array(F.collect_list("m"))
+    folded = marks.groupBy("symbol", "day").agg(sorted_marks.alias("marks")).select("symbol", "day", F.explode(F.aggregate("marks", none, step, lambda s: s["done"])).alias("t"))
+    return folded.select("symbol", "day", "t.*")
+
+
 def net_delta(spot: Column, strike: Column, t: Column, iv: Column) -> Column:
     """Net delta of a short straddle: 1 - 2 N(d1)."""
     return 1 - 2 * BS.norm_cdf(BS.d1(spot, strike, t, F.lit(BS.RISK_FREE), iv))
@@ -205,7 +257,7 @@ def net_delta(spot: Column, strike: Column, t: Column, iv: Column) -> Column:
 
 def hedges(df: DataFrame, lot: float) -> DataFrame:
     """Hedge rows where |net delta| exceeds the limit, with the cumulative hedge."""
-    d = df.where(F.abs("net_delta") > HEDGE_LIMIT)
+    d = df.where((F.abs("net_delta") > HEDGE_LIMIT) | F.col("symbol").isNull())
 
     def step(s, r):
         lots = -r.net_delta * lot
@@ -228,7 +280,7 @@ def alerts(df: DataFrame, target: float, stop: float) -> DataFrame:
         if seen == 0:
             entry = float(r.ltp)
         pnl, minute = entry - r.ltp, r.ts.hour * 60 + r.ts.minute
-        hit = (True, pnl >= target, pnl <= -stop, minute >= EOD_MINUTE - 10)
+        hit = (True, pnl >= target, pnl <= -stop, minute >= EOD_WARN_MINUTE)
         new = [k for i, k in enumerate(ALERT_KINDS) if hit[i] and not seen >> i & 1]
         for i in range(len(ALERT_KINDS)):
             seen |= int(hit[i]) << i
@@ -236,3 +288,39 @@ def alerts(df: DataFrame, target: float, stop: float) -> DataFrame:
 
     raw = _keyed(df, step_all, "symbol string, day date, alert_time timestamp, kinds string", "entry double, seen int", ["ts", "event_id"], (0.0, 0))
     return raw.select("symbol", "day", "alert_time", F.explode(F.split("kinds", ",")).alias("kind"))
+
+
+POSITION_ALERTS = ("entered", "target", "stop", "eod", "trailing")
+
+
+def position_alerts(df: DataFrame, target: float, stop: float, gone_after_minutes: int) -> DataFrame:
+    """Alerts over snapshots of open positions, each kind once per position.
+
+    A position opens with its first snapshot; ``trailing`` follows on the
+    snapshot after the target was reached. A position without a snapshot for
+    ``gone_after_minutes`` has closed: that alert comes from a timer, dated when
+    the time was over, and a later snapshot opens a new position."""
+    gap = gone_after_minutes * 60
+
+    def gone(s):
+        return datetime.fromtimestamp(s[3] + gap, timezone.utc).replace(tzinfo=None), "closed"
+
+    def step(s, r):
+        now = r.ts.tz_localize("UTC").timestamp() if r.ts.tzinfo is None else r.ts.timestamp()
+        out = []
+        if s is not None and now - s[3] >= gap:
+            out.append(gone(s))
+            s = None
+        entry, seen, reached, _ = s or (float(r.ltp), 0, False, now)
+        pnl, minute = entry - r.ltp, r.ts.hour * 60 + r.ts.minute
+        hits = (True, pnl >= target, pnl <= -stop, minute >= EOD_WARN_MINUTE, reached)
+        for i, kind in enumerate(POSITION_ALERTS):
+            if hits[i] and not seen >> i & 1:
+                seen |= 1 << i
+                out.append((r.ts, kind))
+        return (entry, seen, bool(reached or pnl >= target), now), out
+
+    def lapse(key, s, now):
+        return (None, [gone(s)], None) if now >= s[3] + gap else (s, [], s[3] + gap)
+
+    return ordered_fold(df, ["symbol"], step, "symbol string, alert_time timestamp, kind string", "entry double, seen int, reached boolean, last double", lapse=lapse)
