@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidebook.catalog.options import CF_SQL, EOD_SQL, SPREAD_SQL, legs
+from tidebook.catalog.options import CF_SQL, EOD_SQL, LEGS, SPREAD_SQL, legs
 from tidebook.catalog.registry import query
 from tidebook.catalog.trades import ENDB_SQL
 from tidebook.catalog.windows import RISK_SQL
@@ -14,6 +14,8 @@ from tidebook.plans import options as O
 from tidebook.plans import patterns as P
 from tidebook.plans import scoring as SC
 from tidebook.plans import spreads as SP
+from tidebook.plans import walkforward as WF
+from tidebook.session import shared_dir
 
 
 def _index_bars(t):
@@ -30,14 +32,21 @@ def _participants(t):
                           (v % 800).alias("opt_index_put_short"))
 
 
-def _features(t):
+def _day_inputs(t, chain):
+    """The inputs that are known once a day."""
     from tidebook.session import cut_lineage
-    chain = t.stored("chain_w")
-    trades = SP.price_spreads(chain, max_dte=100).where("strategy = 'iron_fly'").select("symbol", "expiry", "entry_date", "net_credit", "pnl_pts")
     surf = cut_lineage(O.vol_surface(chain), "surface")
-    return SC.feature_table(
-        trades, chain, O.eod_summary(chain), O.atm_iv_daily(chain), O.iv_skew(chain), O.term_structure(surf), SC.technical_signals(_index_bars(t)),
-        SC.participant_features(_participants(t)), t.vix, t.market_events.where("impact = 'HIGH'"))
+    return (O.eod_summary(chain), O.atm_iv_daily(chain), O.iv_skew(chain), O.term_structure(surf), SC.technical_signals(_index_bars(t)),
+            SC.participant_features(_participants(t)), t.vix, t.market_events.where("impact = 'HIGH'"))
+
+
+def _features(t, strategies=("iron_fly",)):
+    chain = t.stored("chain_w")
+    trades = SP.price_spreads(chain, max_dte=100).where(F.col("strategy").isin(*strategies)).select("symbol", "expiry", "entry_date", "net_credit", "pnl_pts", *(["strategy", "short_n", "wing_m"] if len(strategies) > 1 else []))
+    return SC.feature_table(trades, chain, *_day_inputs(t, chain))
+
+
+PRICED_SQL = f"""{SPREAD_SQL.format(c='chain_w', dte=100)}, {CF_SQL.format(legs=legs('chain_w').replace('lg as', 'lg_ as').replace('bl as', 'bl_ as').replace('sp as', 'sp_ as').replace('from lg ', 'from lg_ ').replace('from bl ', 'from bl_ '), c='chain_w').replace('ag as (select symbol, snap_date, expiry, arg_min(strike', 'ag_ as (select symbol, snap_date, expiry, arg_min(strike').replace('select ag.symbol', 'select ag_.symbol').replace('ag.', 'ag_.').replace('from ag join', 'from ag_ join').replace('from bl where', 'from bl_ where').replace('join lg on', 'join lg_ on').replace('lg.', 'lg_.')}"""
 
 
 @query("ml01_feature_table", "symbol:l expiry:d entry_date:d pnl_pts:2 " + " ".join(f"{c}:4" for c in SC.FEATURES))
@@ -46,7 +55,7 @@ def _ml01(t):
 
 
 @query("ml01b_feature_core", "symbol:l expiry:d entry_date:d pnl_pts:2 straddle_pct:5 ce_pe_ratio:4 pcr_oi:4 oi_conc_ce:4 atm_oi_ratio:4 straddle_z:4 pcr_eod:4 ce_wall_pct:4 pe_wall_pct:4 max_pain_dist_pct:4 vix:1 vix_z20:4 day_of_week:i week_of_month:i dte:0 event_in_window:i days_to_event:i client_call_net:1 fii_pcr:4",
-       f"""with {SPREAD_SQL.format(c='chain_w', dte=100)}, {CF_SQL.format(legs=legs('chain_w').replace('lg as', 'lg_ as').replace('bl as', 'bl_ as').replace('sp as', 'sp_ as').replace('from lg ', 'from lg_ ').replace('from bl ', 'from bl_ '), c='chain_w').replace('ag as (select symbol, snap_date, expiry, arg_min(strike', 'ag_ as (select symbol, snap_date, expiry, arg_min(strike').replace('select ag.symbol', 'select ag_.symbol').replace('ag.', 'ag_.').replace('from ag join', 'from ag_ join').replace('from bl where', 'from bl_ where').replace('join lg on', 'join lg_ on').replace('lg.', 'lg_.')},
+       f"""with {PRICED_SQL},
        {EOD_SQL.replace('chain', 'chain_w').replace('lg as', 'lg2 as').replace('bl as', 'bl2 as').replace('sp as', 'sp2 as').replace('from lg ', 'from lg2 ').replace('from bl ', 'from bl2 ').replace('join sp using', 'join sp2 using')},
        fl as (select symbol, expiry, entry_date, net_credit, pnl_pts, expiry-entry_date as dte from sb where strategy='iron_fly'), ds as (select symbol, dte, avg(net_credit) as m, stddev_pop(net_credit) as s from fl group by 1,2),
        vz as (select date, vix, case when count(*) over v >= 20 then (vix-avg(vix) over v)/coalesce(nullif(stddev_samp(vix) over v,0),1) end as z from vix window v as (order by date rows 19 preceding)),
@@ -113,9 +122,8 @@ def _ml06(t):
     from tidebook.operators.dedup import latest_by
     from tidebook.session import cut_lineage
     d = cut_lineage(_bar_dataset(t), "score-input")
-    syms = [r[0] for r in d.select("symbol").distinct().orderBy("symbol").collect()]
-    p = SC._ready(SC.pooled(d, syms), BAR_FEATURES)
-    model = SC.final_model(p, BAR_FEATURES + [f"sym_{s}" for s in syms], "gbt")
+    p = SC._ready(d, BAR_FEATURES)
+    model = SC.final_model(p, BAR_FEATURES, "gbt", category="symbol")
     return SC.score(model, latest_by(p, ["symbol"], ["date"]))
 
 
@@ -219,3 +227,129 @@ def _udf04(t):
     return SC.compare_models(out)
 
 
+
+
+STRATEGIES = ("iron_fly", "iron_condor", "bull_put", "bear_call")
+TRADE_KEY = ["expiry", "entry_date", "short_n", "wing_m"]
+
+
+def _dataset(t):
+    """The feature table of all strategies with the margin label."""
+    from tidebook.functions.market import margin_estimate
+    from tidebook.session import cut_lineage
+    if "model_rows" not in t.__dict__:
+        d = _features(t, STRATEGIES)
+        margin = margin_estimate(F.col("atm_ce_iv"), F.col("atm_pe_iv"), F.col("_spot"), F.lit(50), F.col("straddle_pct"))
+        t.__dict__["model_rows"] = cut_lineage(d.withColumn("target", SC.label(d, "pnl_pts", F.lit(50), margin)), "model-rows")
+    return t.__dict__["model_rows"]
+
+
+_FOLDS_SQL = f"""with {PRICED_SQL}, rw as (select sb.symbol, strategy, sb.expiry, entry_date, short_n, wing_m, year(entry_date)*12+month(entry_date)-1 as m from sb join cf on cf.symbol=sb.symbol and cf.snap_date=sb.entry_date and cf.expiry=sb.expiry where strategy in {STRATEGIES}),
+nr as (select *, row_number() over (partition by symbol, strategy order by entry_date) as i from rw), st as (select symbol, strategy, min(m) as start from nr where i>60 group by 1,2),
+ts as (select symbol, strategy, m as tm, count(*) as n_test from rw join st using (symbol, strategy) where m>=start group by 1,2,3),
+fp as (select *, row_number() over (partition by symbol, strategy order by tm)-1 as fold from (select ts.*, (select count(*) from rw where rw.symbol=ts.symbol and rw.strategy=ts.strategy and rw.m between ts.tm-12 and ts.tm-1) as n_train from ts) z where n_train>=15)"""
+
+
+@query("ml04b_fold_plan", "symbol:l strategy:s fold:i test_start:d n_train:l n_test:l",
+       f"{_FOLDS_SQL} select symbol, strategy, fold, make_date(tm//12, tm%12+1, 1) as test_start, n_train, n_test from fp")
+def _ml04b(t):
+    return WF.fold_plan(_dataset(t), ["symbol", "strategy"], "entry_date")
+
+
+@query("ml04c_out_of_fold_rows", "symbol:l strategy:s expiry:d entry_date:d short_n:i wing_m:i fold:i",
+       f"{_FOLDS_SQL} select rw.symbol, rw.strategy, expiry, entry_date, short_n, wing_m, fold from rw join fp on fp.symbol=rw.symbol and fp.strategy=rw.strategy and fp.tm=rw.m")
+def _ml04c(t):
+    return WF.out_of_fold(_dataset(t), ["symbol", "strategy"], "entry_date", SC.FEATURES, TRADE_KEY)
+
+
+@query("ml04d_out_of_fold_scores", "symbol:l strategy:s fold:i target:i confidence:4")
+def _ml04d(t):
+    return WF.out_of_fold(_dataset(t), ["symbol", "strategy"], "entry_date", SC.FEATURES, TRADE_KEY)
+
+
+def _stored_models(t):
+    """One model per strategy of the index and a pooled one, with metadata."""
+    path = shared_dir(t.spark, "models")
+    d = SC._ready(_dataset(t), SC.FEATURES)
+    groups = [(0, s) for s in STRATEGIES]
+    return path, WF.store_models(d, ["symbol", "strategy"], SC.FEATURES, "lr", path, [*groups, ()], category="strategy")
+
+
+@query("ml05b_model_metadata", "model_key:s n_features:i n_train:l model_type:s is_pooled:i",
+       f"{_FOLDS_SQL} select '0-' || strategy as model_key, 38 as n_features, count(*) as n_train, 'lr' as model_type, 0 as is_pooled from rw group by strategy having count(*) >= 60 union all select 'pooled', 38, count(*), 'lr', 1 from rw")
+def _ml05b(t):
+    _, meta = _stored_models(t)
+    return meta.withColumn("n_features", F.size("features")).withColumn("is_pooled", F.col("is_pooled").cast("int"))
+
+
+@query("udf04b_out_of_fold_models", "model:s n_pos:l n_neg:l auc:4 best:i")
+def _udf04b(t):
+    """Model kinds compared on rows that no fold trained on."""
+    from tidebook.session import cut_lineage
+    key = ["symbol", "strategy", *TRADE_KEY]
+    scored = cut_lineage(WF.out_of_fold(_dataset(t), ["symbol", "strategy"], "entry_date", SC.FEATURES, TRADE_KEY), "out-of-fold")
+    card = SC.scorecard_confidence(_dataset(t)).select(*key, "confidence").join(scored.select(*key, "target"), key)
+    out = scored.select(F.lit("lr").alias("model"), "confidence", "target").unionByName(card.select(F.lit("scorecard").alias("model"), "confidence", "target"))
+    return SC.compare_models(out)
+
+
+def _live_tables(t):
+    """Daily inputs as of each calendar day, straddle statistics, and the snapshots."""
+    from tidebook.session import cut_lineage
+    from tidebook.streaming.jobs import straddle_rows
+    chain = t.stored("chain_w")
+    eod, iv, _, term, tech, poi, vix, events = _day_inputs(t, chain)
+    snap = {"snap_date": "date"}
+    e = eod.withColumnsRenamed(snap)
+    e = e.select("symbol", "date", F.col("pcr").alias("pcr_eod"), ((F.col("ce_wall_strike") - F.col("spot")) * 100 / F.col("spot")).alias("ce_wall_pct"), ((F.col("spot") - F.col("pe_wall_strike")) * 100 / F.col("spot")).alias("pe_wall_pct"),
+                 ((F.col("max_pain_strike") - F.col("spot")) * 100 / F.col("spot")).alias("max_pain_dist_pct"))
+    iv, term = iv.withColumnsRenamed(snap), term.withColumnsRenamed(snap)
+    tech_cols = ["atr_percentile", "rsi14", "hv_ratio", "supertrend_dir", "cpr_width_pct", "adx14"]
+    poi_cols = [c for c in poi.columns if c != "date"]
+    days = WF.calendar(e)
+    sources = {"eod": (e, "date", [c for c in e.columns if c not in ("symbol", "date")]), "iv": (iv, "date", ["iv_rank", "iv_percentile"]), "term": (term, "date", ["term_slope", "atm_iv_7d"]),
+               "tech": (tech.drop("symbol"), "date", tech_cols), "poi": (poi, "date", poi_cols), "vix": (vix, "date", ["vix"])}
+    daily = cut_lineage(WF.next_event(SC.point_in_time(days, sources), events), "daily-inputs")
+    rows = straddle_rows(chain).join(iv.select("symbol", F.col("date").alias("snap_date"), "atm_ce_iv", "atm_pe_iv"), ["symbol", "snap_date"], "left")
+    ts = F.timestamp_seconds(F.unix_timestamp(F.col("snap_date").cast("timestamp")) + 36000)
+    snaps = rows.select("symbol", ts.alias("ts"), "expiry", "strike", "straddle", F.coalesce("atm_ce_iv", F.lit(0.0)).alias("ce_iv"), F.coalesce("atm_pe_iv", F.lit(0.0)).alias("pe_iv"))
+    stats = snaps.groupBy("symbol", F.datediff("expiry", F.to_date("ts")).alias("dte")).agg(F.avg("straddle").alias("_mean"), F.stddev_pop("straddle").alias("_std"))
+    return daily, cut_lineage(stats, "straddle-stats"), cut_lineage(snaps, "live-snaps")
+
+
+def _live_stream(t):
+    """The snapshots as three files a month, read as a stream."""
+    from tidebook.streaming.jobs import stream_parquet
+    daily, stats, snaps = _live_tables(t)
+    path = shared_dir(t.spark, "live")
+    third = F.pmod(F.xxhash64("ts"), F.lit(3))
+    snaps.repartition(6, F.trunc(F.to_date("ts"), "MM"), third).write.parquet(path)
+    stream = stream_parquet(t.spark, path, snaps.schema, max_files=2)
+    return daily, stats, snaps, stream
+
+
+_LIVE_SQL = f"""with {LEGS.format(c='chain_w')}, rw as (select bl.*, row_number() over (partition by symbol, snap_date order by expiry, abs(ce-pe), strike) as z from bl), sn as (select symbol, snap_date, expiry, strike, ce+pe as straddle, expiry-snap_date as dte from rw where z=1),
+       sa as (select symbol, dte, avg(straddle) as m, stddev_pop(straddle) as s from sn group by 1,2), ev as (select distinct event_date from market_events where impact='HIGH')
+       select sn.symbol, sn.snap_date, sn.expiry, straddle/strike*100 as straddle_pct, sn.dte, case when s>0 and straddle>0 then (straddle-m)/s else 0 end as straddle_z, coalesce(v.vix,0) as vix, extract(isodow from sn.expiry)-1 as day_of_week,
+       case when nx.d <= sn.expiry then 1 else 0 end as event_in_window, least(coalesce(nx.d-sn.snap_date,30),30) as days_to_event
+       from sn join sa using (symbol, dte) asof left join vix v on sn.snap_date >= v.date asof left join (select event_date as d from ev) nx on sn.snap_date <= nx.d"""
+
+
+@query("ml06b_live_inputs", "symbol:l snap_date:d expiry:d straddle_pct:4 dte:i straddle_z:3 vix:1 day_of_week:i event_in_window:i days_to_event:i", _LIVE_SQL)
+def _ml06b(t):
+    """Inputs built inside the stream."""
+    from tidebook.streaming.jobs import drain
+    daily, stats, _, stream = _live_stream(t)
+    rows = drain(WF.live_inputs(stream, daily, stats, SC.FEATURES), "live-inputs")
+    return rows.withColumn("snap_date", F.to_date("ts"))
+
+
+@query("ml06c_live_scores", "symbol:l snap_date:d expiry:d confidence:1 expected_pnl_pct:2")
+def _ml06c(t):
+    """A stored model applied to the snapshots inside the stream."""
+    from tidebook.streaming.jobs import drain
+    daily, stats, _, stream = _live_stream(t)
+    path, _ = _stored_models(t)
+    model, features = WF.load_model(t.spark, path, (0, "iron_condor"))
+    rows = drain(WF.live_scores(WF.live_inputs(stream, daily, stats, features), model), "live-scores")
+    return rows.withColumn("snap_date", F.to_date("ts"))

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -120,15 +120,17 @@ def scorecard_confidence(features: DataFrame) -> DataFrame:
         c("iv_rank", 50.0), c("vix", 15.0), c("atr_percentile", 50.0), c("hv_ratio", 1.0), c("iv_hv5_ratio", 1.2), c("event_in_window", 0)))
 
 
-def make_pipeline(kind: str, features: Sequence[str], label_col: str = "target") -> Pipeline:
-    """Assembler (which stores the feature list) plus the chosen model."""
-    asm = VectorAssembler(inputCols=list(features), outputCol="_raw", handleInvalid="keep")
+def make_pipeline(kind: str, features: Sequence[str], label_col: str = "target", category: str | None = None) -> Pipeline:
+    """Assembler (which stores the feature list) plus the chosen model. A
+    ``category`` column enters as fitted 0/1 columns, unknown values as none."""
+    asm = VectorAssembler(inputCols=[*features, *(["_hot"] if category else [])], outputCol="_raw", handleInvalid="keep")
+    first = [StringIndexer(inputCol=category, outputCol="_number", handleInvalid="keep"), OneHotEncoder(inputCols=["_number"], outputCols=["_hot"]), asm] if category else [asm]
     if kind == "gbt":
-        return Pipeline(stages=[asm, GBTClassifier(featuresCol="_raw", labelCol=label_col, maxDepth=3, maxIter=20, stepSize=0.05,
+        return Pipeline(stages=[*first, GBTClassifier(featuresCol="_raw", labelCol=label_col, maxDepth=3, maxIter=20, stepSize=0.05,
                                                    subsamplingRate=0.8, minInstancesPerNode=5, seed=42)])
     if kind == "lr":
         sc = StandardScaler(inputCol="_raw", outputCol="_sc", withMean=True)
-        return Pipeline(stages=[asm, sc, LogisticRegression(featuresCol="_sc", labelCol=label_col, weightCol="_w", regParam=0.1, maxIter=30)])
+        return Pipeline(stages=[*first, sc, LogisticRegression(featuresCol="_sc", labelCol=label_col, weightCol="_w", regParam=0.1, maxIter=30)])
     raise ValueError(kind)
 
 
@@ -183,11 +185,11 @@ def walk_forward(df: DataFrame, date: str, features: Sequence[str], kind: str, *
 
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:
     p = model.transform(df)
-    return p.withColumn("confidence", vector_to_array("probability")[1]).drop("_raw", "_sc", "rawPrediction", "probability", "prediction")
+    return p.withColumn("confidence", vector_to_array("probability")[1]).drop("_number", "_hot", "_raw", "_sc", "rawPrediction", "probability", "prediction")
 
 
-def final_model(df: DataFrame, features: Sequence[str], kind: str) -> PipelineModel:
-    return make_pipeline(kind, features).fit(balanced(_ready(df, features)))
+def final_model(df: DataFrame, features: Sequence[str], kind: str, category: str | None = None) -> PipelineModel:
+    return make_pipeline(kind, features, category=category).fit(balanced(_ready(df, features)))
 
 
 def pooled(df: DataFrame, symbols: Sequence) -> DataFrame:
