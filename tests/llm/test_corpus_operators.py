@@ -290,3 +290,69 @@ def test_near_duplicates_by_row(spark):
     table = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.near_duplicates(spark, table, "").collect()
     assert sorted(((r.doc_id or 0, r.text or "") for r in got)) == sorted([(1, A), (1, C), (5, d), (0, LONG.upper()), (6, ""), (7, "")])
+
+
+def test_license_blocks_in_any_wrapping(spark):
+    """Every known text of six words or more, re-wrapped, alone and inside other text, against a plain search of words."""
+    import re
+    import textwrap
+
+    from tidebook.llm.license_scan import known_digests, license_scan
+    from tidebook.llm.license_texts import KNOWN
+
+    rows, want = [], {}
+    for license_, body in KNOWN:
+        for width in (40, 61, 79, 120):
+            wrapped = "\n".join(textwrap.wrap(body.upper(), width, break_long_words=False))
+            for text in (wrapped, "Copyright (c) 2020 A. Person\n" + wrapped, "Some prose about licence terms.\n\nCopyright 2021 X\n" + wrapped + "\nmore prose"):
+                want[len(rows)] = (license_, text == wrapped or text.startswith("Copyright"))
+                rows.append((len(rows), text))
+    rows.append((len(rows), "Permission is hereby granted, free of charge, to nobody at all under any licence"))
+    got = {r.doc_id: r for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string"), known_digests(spark)).collect()}
+    for i, (license_, whole) in want.items():
+        if whole:
+            assert got[i].license == license_, rows[i]
+        elif len(re.findall(r"\w+", rows[i][1])) > 20:
+            assert license_ in got[i].notices.split(","), rows[i]
+    assert got[len(rows) - 1].license is None and got[len(rows) - 1].notices == ""
+
+
+def test_long_and_base64_secrets(spark):
+    import random
+
+    from tidebook.llm import pii
+
+    random.seed(1)
+    pick = lambda letters, n: "".join(random.choice(letters) for _ in range(n))
+    plain = "abcdefghijABCDEFGHIJ0123456789"
+    secrets = ["a1" + pick(plain, n) for n in (14, 127, 142, 10_000)] + ["A1z+" + pick(plain + "+/", 40) + "==", "A1z" + pick(plain, 40) + "="]
+    docs = spark.createDataFrame([(i, f"token = \"{s}\" and more") for i, s in enumerate(secrets)], "doc_id long, text string")
+    rows = pii.candidates(docs).selectExpr("doc_id", "text", "transform(pii_extra, x -> substring(text, x.start + 1, x.end - x.start)) as found").collect()
+    assert {r.doc_id: r.found for r in rows} == {i: [s] for i, s in enumerate(secrets)}
+
+
+def test_toxicity_without_a_lexicon_and_ties(spark):
+    from tidebook.llm import toxicity
+
+    docs = spark.createDataFrame([(i, f"word{i} plain text", "x") for i in range(10)] + [(None, None, "x"), (3, "", "x")], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    rows = toxicity.toxicity(docs, model).collect()
+    assert not model.lexicon and len(rows) == 12 and len({r.score for r in rows}) == 1 and 0 <= rows[0].score <= 1
+    assert toxicity.toxicity(docs.where("false"), model).count() == 0
+
+
+def test_toxicity_against_a_plain_search(spark):
+    """Scores of long, folded and repeated texts equal a word-by-word search."""
+    import math
+
+    from tidebook.llm import toxicity
+
+    lexicon, exceptions = {"scum": 2.0, "patheti*": 1.5}, ["scum pond"]
+    score = toxicity.scorer(lexicon, exceptions)
+    texts = ["SCUM", "sсum", "5cum!", "pathetic, scum", "scum pond", "the scum pond scum", "empathetic", "pathetically " * 3, "a " * 200_000 + "scum", ""]
+    for text in texts:
+        seq = text.lower().translate(toxicity.fold_table()).split()
+        bare = [w.strip(".,!") for w in seq]
+        hits = sum((w == "scum" and bare[i + 1 : i + 2] != ["pond"]) * 2.0 + w.startswith("patheti") * 1.5 for i, w in enumerate(bare))
+        assert abs(score(text) - (hits / math.log(math.e + len(seq)) if hits else 0.0)) < 1e-9, text[:40]

@@ -12,12 +12,18 @@ The lexicon is learned from a sample of at most ``sample`` labelled documents
 of each class (the lowest hashed ids). Words and word beginnings are ranked by
 log-likelihood ratio (ties: the longer one), then picked in that order while
 they explain toxic documents that the earlier ones do not, so words that merely
-accompany others are left out. A pair of a term and a neighbour word that clean
+accompany others are left out; a term at least a quarter as strong as the
+strongest that clean documents hardly use is kept all the same. A pair of a term and a neighbour word that clean
 documents use becomes an exception. The curve's intercept is corrected for the
 share of toxic labels.
 
+Training looks at the ``candidates`` terms most used in toxic documents, at as
+many exceptions, and for those at the neighbours of the ``NEIGHBOURED``
+strongest terms; these bound the model, not the scoring.
+
 Null and empty texts score as texts without a hit. Without toxic labels every
-score is 0. Rows may repeat or lack an id; other columns are ignored.
+score is 0; where no term tells the classes apart, every text has the score of
+the toxic share. Rows may repeat or lack an id; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,11 +40,12 @@ from pyspark.sql import functions as F
 #: Letters of other scripts that look like Latin ones, and their Latin forms.
 HOMOGLYPHS = ("абвгеѕіјкӏмнорстухԁԛԝһαβγεικνορτυχω", "abbresijklmhopctyxdqwhabyeiknoptuxw")
 #: Digits and signs that stand for letters.
-SUBSTITUTES = ("013457@$", "oieasta" + "s")
+SUBSTITUTES = ("013457@$", "oieastas")
 
 
 STEMS = range(4, 9)
 FLUSH = 1 << 18
+NEIGHBOURED = 200
 
 
 def fold_table() -> dict[int, str]:
@@ -65,7 +72,7 @@ def terms_of(seq: list[str]) -> set[str]:
 def _matches(automaton, text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int]]]:
     """Whole-word term matches and exception spans."""
     terms, exceptions = [], []
-    for end, (size, term) in automaton.iter(text):
+    for end, (size, term) in automaton.iter(text) if automaton is not None else ():
         start = end - size + 1
         stem = term is not None and term[-1] == "*"
         if (start == 0 or not text[start - 1].isalnum()) and (stem or end + 1 == len(text) or not text[end + 1].isalnum()):
@@ -87,6 +94,8 @@ def _automaton(lexicon: dict[str, float], exceptions: list[str]):
             out.add_word(plain, (len(plain), term))
     for phrase in exceptions:
         out.add_word(phrase, (len(phrase), None))
+    if not len(out):  # an automaton without words can't be searched
+        return None
     out.make_automaton()
     return out
 
@@ -128,6 +137,11 @@ def _llr(a: int, b: int, n1: int, n0: int) -> float:
     return value if a * n0 > b * n1 else -value
 
 
+def _nested(a: str, b: str) -> bool:
+    a, b = a.rstrip("*"), b.rstrip("*")
+    return a.startswith(b) or b.startswith(a)
+
+
 class Model:
     def __init__(self, lexicon: dict[str, float], exceptions: list[str], intercept: float, slope: float):
         self.lexicon, self.exceptions, self.intercept, self.slope = lexicon, exceptions, intercept, slope
@@ -159,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 10000, candidates: i
             for text in batch.column("text").to_pylist():
                 seq = words((text or "").lower().translate(table))
                 found.append(sorted({vocabulary[w] for w in terms_of(seq) if w in vocabulary}))
-                at = [i for i, w in enumerate(seq) if vocabulary.get(w, 200) < 200]
+                at = [i for i, w in enumerate(seq) if vocabulary.get(w, NEIGHBOURED) < NEIGHBOURED]
                 near.append(sorted({" ".join(seq[max(0, i - d) : i + 1 + e]) for i in at for d, e in ((1, 0), (0, 1)) if (i if d else i + 1 < len(seq))}))
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.int32())), pa.array(near, pa.list_(pa.string()))], ["toxic", "found", "near"])
 
@@ -179,6 +193,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 10000, candidates: i
         word, a, b = ranked[best]
         lexicon[word] = math.log((a + 0.5) / (n1 + 1) * (n0 + 1) / (b + 0.5))
         toxic = [(f, c) for f, c in toxic if best not in f]
+    # Strong terms that clean documents hardly use stay, also where others explain most of their documents.
+    for word, a, b in ranked:
+        if _llr(a, b, n1, n0) < _llr(*ranked[0][1:], n1, n0) / 4:
+            break
+        if b * n1 <= 0.01 * a * n0 and not any(_nested(word, other) for other in lexicon):
+            lexicon[word] = math.log((a + 0.5) / (n1 + 1) * (n0 + 1) / (b + 0.5))
     phrases = sets.select("toxic", F.explode("near").alias("phrase")).groupBy("phrase").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
     phrases = phrases.where((F.col("b") >= min_docs) & (F.col("b") * n1 > 4 * F.col("a") * n0)).orderBy(F.desc("b"), "phrase").limit(candidates).collect()
     exceptions = [r["phrase"] for r in phrases if any(w in lexicon for w in r["phrase"].split(" "))]
