@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebook.functions.exprs import round_at
@@ -16,6 +16,21 @@ from tidebook.functions.text import feature_map
 from tidebook.session import cut_lineage
 
 
+def trade_order() -> Column:
+    """Exact order of trades by (order, part, line, price) as one number.
+
+    It has a fixed width, unlike a struct, so first and last prices are hash
+    aggregates without a sort. A value too wide for its digits is an error."""
+    digits = {"l_partkey": 12, "l_linenumber": 3}
+    price = F.round(F.col("px") * 10000).cast("decimal(11,0)")
+    key, fits = F.col("l_orderkey").cast("decimal(38,0)"), F.col("l_orderkey") < 10**12
+    for c, n in digits.items():
+        key = key * F.lit(10**n).cast("decimal(38,0)") + F.col(c).cast("decimal(38,0)")
+        fits = fits & F.col(c).between(0, 10**n - 1)
+    key = key * F.lit(10**11).cast("decimal(38,0)") + price
+    return F.when(fits & (F.col("px") >= 0), key).otherwise(F.raise_error("trade key out of range")).cast("decimal(38,0)")
+
+
 class Tables:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
@@ -39,7 +54,7 @@ class Tables:
             round_at(F.col("l_extendedprice") / F.col("l_quantity"), 4).alias("px"),
         )
         pt = self.raw("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("symbol"))
-        t = li.join(pt, "l_partkey").withColumn("o", F.struct("l_orderkey", "l_partkey", "l_linenumber", "px"))
+        t = li.join(pt, "l_partkey").withColumn("o", trade_order())
         return t.groupBy("symbol", F.to_date("l_shipdate").alias("date")).agg(
             F.min_by("px", "o").alias("open"), F.max("px").alias("high"), F.min("px").alias("low"),
             F.max_by("px", "o").alias("close"), F.sum("l_quantity").alias("volume"),
