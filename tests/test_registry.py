@@ -2,6 +2,8 @@
 default; set TIDEBOOK_ALL=1 to run every query."""
 
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -22,6 +24,12 @@ def con():
     return c
 
 
+def test_registry_loads_in_a_fresh_process_without_a_session():
+    code = "import __spark_entry__ as e; from pyspark import SparkContext; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q) and SparkContext._active_spark_context is None; print(len(q))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0 and int(done.stdout) >= 190, done.stderr
+
+
 def test_every_query_has_a_callable_and_oracles_are_a_subset():
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q) and len(q) >= 190 and all(callable(f) for f in q.values())
