@@ -53,9 +53,11 @@ def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) ->
 def blocks(docs: DataFrame, known: DataFrame) -> DataFrame:
     """(doc_id, key, license) of known texts of at least ``HEAD`` words anywhere in ``docs(doc_id, text, key)``."""
     known = known.where(F.col("n_words") >= HEAD).select("digest", "license", "head", "n_words")
+    # The beginnings of the known texts, a fixed table, are literals: only places that match leave the row.
+    heads = [r["head"] for r in known.select("head").distinct().collect()]
     words = docs.where(F.regexp_like("text", F.lit("(?i)licen[sc]e|permission|redistribut|warrant"))).select("doc_id", "key", F.split(canonical(F.col("text")), " ").alias("w"))
-    starts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - HEAD)), lambda i: F.array_join(F.slice("w", i + 1, F.lit(HEAD)), " "))
-    found = words.select("doc_id", "key", "w", F.posexplode(starts).alias("at", "head")).join(known, "head")
+    places = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - HEAD)), lambda i: F.struct(i.alias("at"), F.array_join(F.slice("w", i + 1, F.lit(HEAD)), " ").alias("head")))
+    found = words.select("doc_id", "key", "w", F.explode(F.filter(places, lambda p: p["head"].isin(heads))).alias("p")).select("doc_id", "key", "w", "p.at", "p.head").join(known, "head")
     return found.where(F.sha2(F.array_join(F.slice("w", F.col("at") + 1, F.col("n_words")), " "), 256) == F.col("digest")).select("doc_id", "key", "license")
 
 
