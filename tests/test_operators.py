@@ -194,3 +194,24 @@ def test_conform_adds_missing_columns_with_defaults(spark):
     df = spark.createDataFrame([("x", None)], "symbol string, close double")
     r = conform(df, "symbol:s close:d volume:l day:date").first()
     assert tuple(r) == ("x", 0.0, 0, dt.date(1970, 1, 1))
+
+
+def test_layout_comes_from_each_files_header(spark):
+    """Quoted cells, shuffled columns, short lines, an empty file and a file of neither layout."""
+    import os
+
+    from tidebook.session import shared_dir
+    from tidebook.sources import files as S
+
+    files = {
+        "old": 'NAME,INSTRUMENT,SYMBOL,EXPIRY_DT,STRIKE_PR,OPTION_TYP,CLOSE,OPEN_INT,CHG_IN_OI,CONTRACTS,trade_date\n"Index, weekly",OPTIDX , N ,25-Jan-2024,"21000",ce,10.5,100,1,2,2024-01-02\nx,FUTIDX,N,25-Jan-2024,0,XX,1,1,1,1,2024-01-02\nx,OPTIDX,N,never,1,CE,1,1,1,1,2024-01-02\n',
+        "new": 'trade_date,OptnTp,TckrSymb,FinInstrmTp,StrkPric,XpryDt,ClsPric,OpnIntrst,ChngInOpnIntrst,TtlTradgVol,More\n2024-01-03,PE,N,IDO,21500,2024-02-01,,7,0,9,x\n2024-01-03,PE\n',
+        "other": "a,b\n1,2\nOPTIDX,N\n", "empty": "", "header_only": "INSTRUMENT,SYMBOL\n",
+    }
+    base = shared_dir(spark, "reports").removeprefix("file:")
+    os.makedirs(base)
+    for name, text in files.items():
+        with open(f"{base}/{name}.csv", "w") as f:
+            f.write(text)
+    got = sorted((r.symbol, str(r.expiry), r.strike, r.option_type, r.ltp, r.oi, r.volume, str(r.timestamp)) for r in S.routed_derivatives(spark, [base]).collect())
+    assert got == [("N", "2024-01-25", 21000.0, "CE", 10.5, 100, 2, "2024-01-02 15:30:00"), ("N", "2024-02-01", 21500.0, "PE", 0.0, 7, 9, "2024-01-03 15:30:00")]

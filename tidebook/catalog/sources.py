@@ -59,11 +59,14 @@ def _src03(t):
     return S.new_derivatives(df, F.to_date("trade_date")).withColumn("snap_date", F.to_date("timestamp"))
 
 
-@query("src04_layout_dispatch", f"ts:t {CH}", f"select *, cast(snap_date as timestamp) + interval '15 hours 30 minutes' as ts from ({_DERIV}) y union all select *, cast(snap_date as timestamp) + interval '15 hours 30 minutes' from ({_DERIV}) y where symbol in ('1','2')")
+@query("src04_layout_dispatch", f"ts:t {CH}", f"select *, cast(snap_date as timestamp) + interval '15 hours 30 minutes' as ts from ({_DERIV}) y union all select *, cast(snap_date as timestamp) + interval '15 hours 30 minutes' from ({_DERIV}) y")
 def _src04(t):
+    """The whole chain in both layouts, one with its columns reversed, and files of neither, in one call."""
     old = _write_csv(t, _raw_derivatives(t, S.OLD_LAYOUT, S.OLD_KIND, S.OLD_DATE), "old")
-    new = _write_csv(t, _raw_derivatives(t, S.NEW_LAYOUT, S.NEW_KIND, S.NEW_DATE).where(F.trim("TckrSymb").isin("1", "2")), "new")
-    return S.derivatives(t.spark, {"old": [old], "new": [new]}).withColumnRenamed("timestamp", "ts")
+    new = _raw_derivatives(t, S.NEW_LAYOUT, S.NEW_KIND, S.NEW_DATE)
+    new = _write_csv(t, new.select(*reversed(new.columns)), "new")
+    other = _write_csv(t, t.chain.select("symbol", "strike", "ltp"), "other")
+    return S.routed_derivatives(t.spark, [old, new, other]).withColumnRenamed("timestamp", "ts")
 
 
 @query("src05_option_chain_json", f"snap_date:d {CH}", f"select symbol, snap_date, expiry, strike, option_type, ltp, oi from ({_CHAIN}) z where oi % 17 <> 0")

@@ -63,8 +63,8 @@ def new_derivatives(df: DataFrame, trade_date: Column, symbols: Sequence[str] |
 
 
 def derivatives(spark: SparkSession, paths: dict[str, Sequence[str]], trade_date: str = "trade_date", symbols: Sequence[str] | None = None) -> DataFrame:
-    """Layout dispatch. ``paths`` lists files per layout ('old', 'new'); files
-    of neither layout contribute nothing. Use ``layout_of`` on a header."""
+    """Layout dispatch where the layouts are known: ``paths`` lists files per
+    layout ('old', 'new'). ``routed_derivatives`` reads each file's header."""
     parts = []
     for name, layout, parse in (("old", OLD_LAYOUT, old_derivatives), ("new", NEW_LAYOUT, new_derivatives)):
         if paths.get(name):
@@ -76,9 +76,36 @@ def derivatives(spark: SparkSession, paths: dict[str, Sequence[str]], trade_date
     return out
 
 
-def layout_of(header: str) -> str | None:
-    names = {h.strip() for h in header.split(",")}
-    return "old" if OLD_LAYOUT["kind"] in names else "new" if NEW_LAYOUT["kind"] in names else None
+#: A comma outside quotes.
+_COMMA = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+
+def _cells(line: Column) -> Column:
+    """Trimmed cells of a CSV line without their quotes; empty ones are null."""
+    plain = lambda c: F.nullif(F.regexp_replace(F.trim(c), '^"|"$', ""), F.lit(""))
+    return F.transform(F.split(line, _COMMA), plain)
+
+
+def routed_derivatives(spark: SparkSession, paths: Sequence[str], trade_date: str = "trade_date", symbols: Sequence[str] | None = None) -> DataFrame:
+    """Daily reports of either layout, told apart by each file's own header.
+
+    Files are read as lines. A header is a line that names a layout's kind
+    column; one row per file, it is joined to the file's lines, so a file may
+    be split over tasks, and columns may stand in any order. Cells are picked
+    by the header's names; a layout's parser reads the lines of its files.
+    Files without a known header contribute nothing. Missing columns are null.
+    """
+    lines = spark.read.text(list(paths)).select(_cells(F.col("value")).alias("cells"), F.col("_metadata.file_path").alias("file"))
+    kinds = {"old": OLD_LAYOUT["kind"], "new": NEW_LAYOUT["kind"]}
+    is_header = F.arrays_overlap("cells", F.array(*(F.lit(k) for k in kinds.values())))
+    headers = lines.where(is_header).groupBy("file").agg(F.max("cells").alias("header"))
+    rows = lines.where(~F.coalesce(is_header, F.lit(False))).join(headers, "file")
+    parts = []
+    for name, layout, parse in (("old", OLD_LAYOUT, old_derivatives), ("new", NEW_LAYOUT, new_derivatives)):
+        cell = lambda c: F.get("cells", F.array_position("header", F.lit(c)) - 1).alias(c)
+        named = rows.where(F.array_contains("header", F.lit(kinds[name]))).select(*(cell(c) for c in [*layout.values(), trade_date]))
+        parts.append(parse(named, F.to_date(trade_date), symbols))
+    return parts[0].unionByName(parts[1])
 
 
 _SIDE = "struct<expiryDate:string,lastPrice:double,openInterest:bigint,changeinOpenInterest:bigint,totalTradedVolume:bigint,impliedVolatility:double>"
