@@ -178,7 +178,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, order: int = 5, deviation
     docs = docs.select("doc_id", "text", "lang", text_key(F.col("text")).alias("key"))
     ids = trusted_ids(labels)
     run, schema = gram_counter(order)
-    text = docs.select("doc_id", "text").join(ids.where("not held").select("doc_id"), "doc_id", "left_semi").select("text")
+    # Labels grow with the documents, so the join shuffles by id at every size instead of turning from a broadcast to a shuffle as they grow.
+    text = docs.select("doc_id", "text").join(ids.where("not held").select("doc_id").hint("merge"), "doc_id", "left_semi").select("text")
     counts = cut_lineage(text.mapInArrow(run, schema).groupBy("gram").agg(F.sum("n").alias("n")), "counts")
     if counts.isEmpty():
         rows = docs.select("doc_id", "key", "lang", F.octet_length("text").cast("long").alias("n_bytes"))
