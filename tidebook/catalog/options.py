@@ -23,8 +23,8 @@ def legs(c="chain"):
     return LEGS.format(c=c)
 
 
-def iv_sql(variant: str, rows: str) -> str:
-    """IV of ``rows`` (columns id, s, k, t, p, call) by recursion over steps."""
+def iv_sql(variant: str, rows: str, name: str = "iv") -> str:
+    """IV of ``rows`` (columns id, s, k, t, p, call) by recursion over steps, as CTE ``{name}f``."""
     start, steps, tol, vmin, lo, hi, floor, margin, unsolved = {
         "greeks": (0.25, 60, 0.01, "1e-8", 0.001, 10.0, "p > 0", "p > greatest(case when call then s-k else k-s end, 0)*1.001", "0"),
         "historical": (0.3, 50, 1e-6, "1e-10", 1e-4, 2.0, "p >= 0.05", "p >= greatest(case when call then s-k else k-s end, 0)", "null"),
@@ -33,11 +33,11 @@ def iv_sql(variant: str, rows: str) -> str:
     sg = "case when call then 1 else -1 end"
     d1 = "(ln(s/k)+(0.065+0.5*sig*sig)*t)/(sig*sqrt(t))"
     keep = "sig" if unsolved == "0" else f"case when (done and not dead) or (not dead and sig > 0 and sig < {hi}) then sig end"
-    return f"""ivr as (select id, s, k, t, p, call, {start}::double as sig, false as done, false as dead, 0 as i from {rows} where t > 0 and s > 0 and {floor} and {margin}
+    return f"""{name}r as (select id, s, k, t, p, call, {start}::double as sig, false as done, false as dead, 0 as i from {rows} where t > 0 and s > 0 and {floor} and {margin}
     union all select id, s, k, t, p, call, case when dead2 then sig else greatest({lo}::double, least({hi}::double, sig - df/vg)) end, dead2 or abs(df) < {tol}, dead2, i+1 from
       (select *, vg < {vmin} as dead2 from (select *, ({sg})*(s*{norm_cdf(f'(({sg})*d1)')} - k*exp(-0.065*t)*{norm_cdf(f'(({sg})*(d1-sig*sqrt(t)))')}) - p as df, s*sqrt(t)*exp(-0.5*d1*d1)/sqrt(2*pi()) as vg
-        from (select *, {d1} as d1 from ivr where not done and i < {steps}) a) b) c),
-ivf as (select id, {keep} as iv from (select *, row_number() over (partition by id order by i desc) as z from ivr) q where z = 1)"""
+        from (select *, {d1} as d1 from {name}r where not done and i < {steps}) a) b) c),
+{name}f as (select id, {keep} as iv from (select *, row_number() over (partition by id order by i desc) as z from {name}r) q where z = 1)"""
 
 
 @query("opt01_spot_by_parity", f"{K} spot:2", f"with {legs()} select * from sp")
@@ -253,17 +253,46 @@ def _opt18(t):
     return O.suggestions(eod, regime_table(t.vix), rank)
 
 
-SIG_SQL = f"{EOD_SQL}, sg2 as (select eod.*, (pcr-1)*4 as iv_skew, (pcr-1)/20 as surf, v.vix, least(100.0::double, pcr*50) as iv_rank, -0.05+pcr/30 as term_slope from eod left join vix v on v.date=eod.snap_date)"
+def signals_sql(c: str) -> str:
+    """The measured signals of a chain's nearest expiry, as CTE ``sgm``; needs a recursive WITH."""
+    put, call = "filter (where option_type='PE')", "filter (where option_type='CE')"
+    return f"""ml as (select symbol, snap_date, expiry, strike, max(ltp) {call} as ce, max(ltp) {put} as pe from {c} group by 1,2,3,4),
+mx as (select symbol, snap_date, expiry, arg_min(strike+ce-pe, abs(ce-pe)*1000000+strike) as spot from ml where ce is not null and pe is not null group by 1,2,3),
+mk as (select symbol, snap_date, min(expiry) as expiry from {c} where expiry >= snap_date group by 1,2), mn as (select c.* from {c} c join mk using ({G})),
+mc as (select c.*, spot, row_number() over (order by symbol, snap_date, expiry, strike, option_type) as id, spot as s, strike as k, (expiry-snap_date)/365.0::double as t, ltp as p, option_type='CE' as call from {c} c join mx using ({G})),
+mb as (select mc.* from mc join mk using ({G}) where abs(strike-spot) <= spot*0.02), {iv_sql('historical', 'mb', 'mh')},
+ma as (select symbol, snap_date, expiry, coalesce(median(iv) {call},0)*100 as c, coalesce(median(iv) {put},0)*100 as p from mb left join mhf using (id) group by 1,2,3),
+mi as (select symbol, snap_date, expiry, case when c > 0 then c else p end as atm_iv from ma where c > 0 or p > 0),
+mj as (select *, min(atm_iv) over w as lo, max(atm_iv) over w as hi from mi window w as (partition by symbol order by snap_date rows 251 preceding)),
+mo as (select mc.* from mc join mk using ({G}) where t > 0 and ((option_type='PE' and strike >= spot*0.97 and strike < spot) or (option_type='CE' and strike > spot and strike <= spot*1.03))), {iv_sql('skew', 'mo', 'mw')},
+ms as (select symbol, snap_date, expiry, coalesce((median(iv) {put} - median(iv) {call})*100,0) as iv_skew from mo left join mwf using (id) group by 1,2,3),
+{iv_sql('greeks', 'mc', 'mg')},
+mf as (select mc.*, iv, expiry-snap_date as dte, strike/spot as moneyness from mc join mgf using (id) where iv > 0 and ltp >= 5 and expiry >= snap_date and strike/spot between 0.8 and 1.2),
+mq as (select symbol, snap_date, dte, avg(iv) as iv from mf where moneyness between 0.99 and 1.01 group by 1,2,3),
+mt as (select symbol, snap_date, x, count(*) as n, max(dte) filter (where dte <= x) as l, arg_max(iv, dte) filter (where dte <= x) as li, min(dte) filter (where dte >= x) as h, arg_min(iv, dte) filter (where dte >= x) as hi
+  from mq, (values (7),(30)) tg(x) group by 1,2,3 having count(*) >= 2),
+mv as (select symbol, snap_date, x, case when l is null then hi when h is null then li when l = h then li else li*(1-(x-l)/(h-l)::double)+hi*(x-l)/(h-l)::double end as iv from mt),
+md as (select symbol, snap_date, max(iv) filter (where x=30) - max(iv) filter (where x=7) as term_slope from mv group by 1,2),
+me as (select symbol, snap_date, {_skew(0.98)} as skew_2pct from mf group by 1,2),
+mp_ as ({_PCR.format(c='mn')}), {_WALL.format(c='mn').replace('wl as', 'mwl as', 1)},
+sgm as (select q.*, case when total_ce_oi > 0 then total_pe_oi/total_ce_oi::double else 0 end as pcr, ce_wall_strike, pe_wall_strike, mx.spot, atm_iv, case when hi > lo then (atm_iv-lo)/(hi-lo)*100 when hi is not null then 50 end as iv_rank,
+  iv_skew, term_slope, case when term_slope is not null then skew_2pct end as skew_2pct, v.vix
+  from mp_ q left join mwl using ({G}) left join mx using ({G}) left join mj using ({G}) left join ms using ({G}) left join md on md.symbol=q.symbol and md.snap_date=q.snap_date
+  left join me on me.symbol=q.symbol and me.snap_date=q.snap_date left join vix v on v.date=q.snap_date)"""
+
+
+#: Signals as a decision reads them (``sgn``): an unknown rank is the middle, an unknown skew or slope flat.
+NEUTRAL_SQL = "sgn as (select * replace (coalesce(iv_rank,50) as iv_rank, coalesce(iv_skew,0) as iv_skew, coalesce(term_slope,0) as term_slope, coalesce(skew_2pct,0) as skew_2pct) from sgm)"
+#: The rule scorecard with the inputs that a chain and the volatility index show; all others are neutral.
+RULE_CONF_SQL = "100*greatest(0.0::double,least(1.0::double,(50 + case when iv_rank>70 then 12 when iv_rank>50 then 6 when iv_rank<25 then -8 else 0 end + case when vix is null then 4 when vix<=0 then 0 when vix<13 then 10 when vix<17 then 4 when vix>28 then -16 when vix>22 then -8 else 0 end)/100.0::double))"
 
 
 def _signals(t):
-    eod = O.eod_summary(t.chain).join(t.vix.select(F.col("date").alias("snap_date"), "vix"), "snap_date", "left")
-    p = F.col("pcr")
-    return eod.withColumns({"iv_skew": (p - 1) * 4, "skew_2pct": (p - 1) / 20, "iv_rank": F.least(F.lit(100.0), p * 50), "term_slope": -0.05 + p / 30})
+    return O.neutral_signals(O.measured_signals(t.stored("chain"), t.vix))
 
 
-@query("opt19_structure_choice", "symbol:l snap_date:d strategy:s",
-       f"""with {SIG_SQL} select symbol, snap_date, case when pcr>1.2 and not iv_skew < -2 then 'bull_put' when pcr<0.8 and not iv_skew > 2 then 'bear_call' when surf>0.02 and not iv_skew < -2 then 'bull_put' else 'iron_condor' end as strategy from sg2""")
+@query("opt19_structure_choice", "symbol:l snap_date:d pcr:6 iv_skew:3 skew_2pct:5 strategy:s",
+       f"""with recursive {signals_sql('chain')}, {NEUTRAL_SQL} select *, case when pcr>1.2 and not iv_skew < -2 then 'bull_put' when pcr<0.8 and not iv_skew > 2 then 'bear_call' when skew_2pct>0.02 and not iv_skew < -2 then 'bull_put' else 'iron_condor' end as strategy from sgn""")
 def _opt19(t):
     from tidebook.functions.market import pick_structure
     return _signals(t).withColumn("strategy", pick_structure("pcr", "iv_skew", "skew_2pct"))
@@ -275,11 +304,13 @@ so as (select *, s_confidence+s_vix+s_iv_rank+s_alignment+s_term_slope as score
 
 
 @query("opt20_trade_score", "symbol:l snap_date:d s_confidence:3 s_vix:1 s_iv_rank:3 s_alignment:1 s_term_slope:1 score:3 tradable:i",
-       f"""with {SIG_SQL}, si as (select *, 50 + (total_ce_oi % 60) as conf from sg2), {SCORE_SQL.format(src='si')} select *, case when score >= 65 and (vix is null or vix between 11 and 28) then 1 else 0 end as tradable from so""")
+       f"""with recursive {signals_sql('chain')}, {NEUTRAL_SQL}, si as (select *, {RULE_CONF_SQL} as conf from sgn), {SCORE_SQL.format(src='si')} select *, case when score >= 65 and (vix is null or vix between 11 and 28) then 1 else 0 end as tradable from so""")
 def _opt20(t):
+    """The confidence is the rule scorecard's, from the signals themselves."""
     from tidebook.functions.exprs import flag
-    from tidebook.functions.market import SCORE_THRESHOLD, trade_score
-    d = _signals(t).withColumn("conf", 50 + F.col("total_ce_oi") % 60)
+    from tidebook.functions.market import SCORE_THRESHOLD, scorecard, trade_score
+    n = F.lit
+    d = _signals(t).withColumn("conf", scorecard("iv_rank", F.coalesce("vix", n(15.0)), n(50.0), n(1.0), n(1.2), n(0)) * 100)
     d = d.withColumns(trade_score("conf", "vix", "iv_rank", "pcr", "iv_skew", "term_slope"))
     return d.withColumn("tradable", flag((F.col("score") >= SCORE_THRESHOLD) & (F.col("vix").isNull() | F.col("vix").between(11, 28))))
 

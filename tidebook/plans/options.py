@@ -233,6 +233,25 @@ def chain_features(chain: DataFrame) -> DataFrame:
         (F.col("co") / F.greatest(F.col("po").cast("double"), one)).alias("atm_oi_ratio"))
 
 
+def measured_signals(chain: DataFrame, vix: DataFrame) -> DataFrame:
+    """Daily signals of the nearest expiry, one row per (symbol, snap_date,
+    expiry): put-call ratio, walls, spot, at-the-money IV with its rank, IV
+    skew, term slope, surface skew and the volatility index. What a day does
+    not show stays NULL; ``chain`` should be stored, it is read by each part."""
+    near = near_expiry(chain)
+    day = ["symbol", "snap_date"]
+    d = put_call_ratio(near).join(oi_walls(near), SNAP, "left").join(spot_by_parity(near).select(*SNAP, "spot"), SNAP, "left")
+    d = d.join(atm_iv_daily(chain).select(*SNAP, "atm_iv", "iv_rank", "iv_percentile"), SNAP, "left").join(iv_skew(near), SNAP, "left")
+    d = d.join(term_structure(vol_surface(chain)).select(*day, "term_slope", "skew_2pct", "skew_3pct", "atm_iv_30d"), day, "left")
+    return d.join(vix.select(F.col("date").alias("snap_date"), "vix"), "snap_date", "left")
+
+
+def neutral_signals(signals: DataFrame) -> DataFrame:
+    """Signals as a decision reads them: an unknown rank is the middle, an unknown skew or slope flat."""
+    neutral = {"iv_rank": 50.0, "iv_skew": 0.0, "term_slope": 0.0, "skew_2pct": 0.0}
+    return signals.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in neutral.items()})
+
+
 def strike_gaps(chain: DataFrame, by: list[str]) -> DataFrame:
     k = chain.select(*by, "strike").distinct()
     gap = F.col("strike") - F.lag("strike").over(W.partitionBy(*by).orderBy("strike"))
