@@ -9,6 +9,7 @@ from tidebook.catalog.fragments import norm_cdf
 from tidebook.catalog.registry import query
 from tidebook.plans import options as O
 from tidebook.plans import spreads as SP
+from tidebook.session import cut_lineage
 
 K = "symbol:l snap_date:d expiry:d"
 G = "symbol, snap_date, expiry"
@@ -316,57 +317,58 @@ def _opt20(t):
 
 
 def _recommend_inputs(t):
+    """Recommendations are made on Thursdays, from Monday's snapshots."""
     chain = t.stored("chain_w")
-    days = chain.select("symbol", "snap_date", "expiry").distinct()
-    kinds = ["iron_condor", "bull_put", "bear_call", "iron_fly"]
-    base = O.put_call_ratio(chain)
-    sc = base.select("symbol", F.date_sub("snap_date", 3).alias("score_date"), F.explode(F.array(*[
-        F.struct(F.lit(k).alias("strategy_type"), ((F.col("total_ce_oi") / 100 * (7 + 2 * i)) % 101).cast("double").alias("confidence"))
-        for i, k in enumerate(kinds)])).alias("_s")).select("symbol", "score_date", "_s.*")
-    vix = t.vix.select(F.col("date").alias("snap_date"), "vix")
-    p = F.col("pcr")
-    sig = base.join(vix, "snap_date", "left").withColumns({
-        "iv_skew": (p - 1) * 4, "skew_2pct": (p - 1) / 20, "iv_rank": F.least(F.lit(100.0), p * 50), "term_slope": -0.05 + p / 30,
-        "ce_wall_strike": F.lit(24000.0), "pe_wall_strike": F.lit(24000.0), "avg_win": F.lit(9000.0)})
-    return days, sc, chain, sig.drop("total_ce_oi", "total_pe_oi")
-
-
-REC_SQL = SPREAD_SQL.format(c="chain_w", dte=100) + ", " + OPTIMAL_SQL + f""",
+    days = chain.select("symbol", F.date_add("snap_date", 3).alias("rec_date"), "expiry").distinct()
+    trades = cut_lineage(_spreads(t), "spreads")
+    return days, SP.track_record(trades, 50), chain, O.neutral_signals(O.measured_signals(chain, t.vix)), trades
+
+
+REC_SQL = SPREAD_SQL.format(c="chain_w", dte=100) + ", " + OPTIMAL_SQL + f""", {signals_sql('chain_w')}, {NEUTRAL_SQL},
 bp as (select * from (select *, row_number() over (partition by symbol, strategy order by sharpe_pct desc, short_n, wing_m) as z from op where n_trades >= 10) q where z = 1),
-bs as (select *, case when total_ce_oi>0 then total_pe_oi/total_ce_oi::double else 0 end as pcr from ({_PCR.format(c='chain_w')}) z),
-cs as (select symbol, snap_date-3 as score_date, k as strategy_type, cast((total_ce_oi/100*(7+2*i)) % 101 as double) as confidence from bs, (values ('iron_condor',0),('bull_put',1),('bear_call',2),('iron_fly',3)) q(k,i)),
-cd as (select symbol, score_date, strategy_type, max(confidence) as confidence from cs group by 1,2,3),
-wt as (select bs.*, k as strategy_type from bs, (values ('iron_condor'),('bull_put'),('bear_call'),('iron_fly')) q(k)),
-ws as (select wt.*, cd.confidence, cd.score_date from wt asof left join cd on wt.symbol=cd.symbol and wt.strategy_type=cd.strategy_type and wt.snap_date >= cd.score_date),
-wb as (select * from (select *, row_number() over (partition by symbol, snap_date, expiry order by confidence desc, strategy_type desc) as z from ws where snap_date-score_date <= 7) q where z=1),
-wv as (select wb.*, confidence as conf, v.vix, (pcr-1)*4 as iv_skew, (pcr-1)/20 as surf, least(100.0::double,pcr*50) as iv_rank, -0.05+pcr/30 as term_slope from wb left join vix v on v.date=wb.snap_date),
+dt as (select symbol, strategy, exit_date, sum(case when pnl_pts > 0 then 1 else 0 end) as w, count(*) as n, sum(pnl_pts) filter (where pnl_pts > 0) as p from sb group by 1,2,3),
+dw as (select symbol, exit_date, sum(w) as w, sum(p) as p from dt group by 1,2),
+cd as (select dt.symbol, dt.exit_date as score_date, strategy as strategy_type, (select sum(w)*100 from dt x where x.symbol=dt.symbol and x.strategy=dt.strategy and x.exit_date<=dt.exit_date)::double
+    / (select sum(n) from dt x where x.symbol=dt.symbol and x.strategy=dt.strategy and x.exit_date<=dt.exit_date) as confidence,
+  (select sum(p)*50/nullif(sum(w),0) from dw x where x.symbol=dt.symbol and x.exit_date<=dt.exit_date) as avg_win from dt),
+rd as (select distinct symbol, snap_date+3 as rec_date, expiry from chain_w where snap_date+3 <= expiry),
+rn as (select rd.*, (select max(snap_date) from chain_w c where c.symbol=rd.symbol and c.expiry=rd.expiry and c.ltp > 0.05 and c.snap_date <= rd.rec_date) as snap_date from rd),
+wt as (select rn.*, k as strategy_type from rn, (values ('iron_condor'),('bull_put'),('bear_call'),('iron_fly')) q(k) where snap_date is not null),
+ws as (select wt.*, cd.confidence, cd.score_date, cd.avg_win from wt asof left join cd on wt.symbol=cd.symbol and wt.strategy_type=cd.strategy_type and wt.rec_date >= cd.score_date),
+wb as (select * from (select *, row_number() over (partition by symbol, rec_date, expiry order by confidence desc, strategy_type desc) as z from ws where rec_date-score_date <= 7 and confidence is not null) q where z=1),
+wv as (select wb.symbol, rec_date, wb.expiry, wb.snap_date, strategy_type, confidence, avg_win, confidence as conf, pcr, vix, iv_skew, skew_2pct, iv_rank, term_slope, ce_wall_strike, pe_wall_strike from wb join sgn on sgn.symbol=wb.symbol and sgn.snap_date=wb.snap_date and sgn.expiry=wb.expiry),
 {SCORE_SQL.format(src='wv')},
-rs as (select *, case when confidence >= 60 then strategy_type when pcr>1.2 and not iv_skew < -2 then 'bull_put' when pcr<0.8 and not iv_skew > 2 then 'bear_call' when surf>0.02 and not iv_skew < -2 then 'bull_put' else 'iron_condor' end as strat
+rs as (select *, case when confidence >= 60 then strategy_type when pcr>1.2 and not iv_skew < -2 then 'bull_put' when pcr<0.8 and not iv_skew > 2 then 'bear_call' when skew_2pct>0.02 and not iv_skew < -2 then 'bull_put' else 'iron_condor' end as strat
   from so where score >= 65 and (vix is null or vix between 11 and 28)),
-rp as (select rs.symbol, rs.snap_date as rec_date, rs.expiry, rs.strat as strategy, confidence, score, bp.short_n, bp.wing_m, avg_max_loss, iv_rank, case when avg_max_loss>0 then floor(1000000*0.02/(avg_max_loss*50)) else 1 end as bl0 from rs join bp on bp.symbol=rs.symbol and bp.strategy=rs.strat),
+rp as (select rs.*, rs.strat as strategy, bp.short_n, bp.wing_m, avg_max_loss, case when avg_max_loss>0 then floor(1000000*0.02/(avg_max_loss*50)) else 1 end as bl0 from rs join bp on bp.symbol=rs.symbol and bp.strategy=rs.strat),
 a2 as (select symbol, snap_date, expiry, arg_min(strike, abs(ce-pe)*1000000+strike) as atm from bl where ce>0 and pe>0 group by 1,2,3),
-rq as (select rp.*, atm, strike_step as st, least(greatest(1,floor(bl0*(0.5+iv_rank/100))), case when avg_max_loss>0 then greatest(1,floor(9000/(avg_max_loss*50))) end) as lots, atm+short_n*strike_step as sce, atm-short_n*strike_step as spe,
-  strategy in ('iron_condor','bear_call') as cside, strategy in ('iron_condor','bull_put') as pside from rp join a2 on a2.symbol=rp.symbol and a2.snap_date=rp.rec_date and a2.expiry=rp.expiry join ss on ss.symbol=rp.symbol and ss.expiry=rp.expiry),
-rr as (select rq.*, coalesce(p1.ltp,0)+coalesce(p2.ltp,0)-(case when cside then coalesce(p3.ltp,0) else 0 end)-(case when pside then coalesce(p4.ltp,0) else 0 end) as net_credit from rq
-  left join chain_w p1 on p1.symbol=rq.symbol and p1.snap_date=rec_date and p1.expiry=rq.expiry and p1.strike=sce and p1.option_type='CE' left join chain_w p2 on p2.symbol=rq.symbol and p2.snap_date=rec_date and p2.expiry=rq.expiry and p2.strike=spe and p2.option_type='PE'
-  left join chain_w p3 on p3.symbol=rq.symbol and p3.snap_date=rec_date and p3.expiry=rq.expiry and p3.strike=sce+wing_m*st and p3.option_type='CE' left join chain_w p4 on p4.symbol=rq.symbol and p4.snap_date=rec_date and p4.expiry=rq.expiry and p4.strike=spe-wing_m*st and p4.option_type='PE'
-  where not ((cside and sce < 24000) or (pside and spe > 24000)))"""
+zs as (select symbol, expiry, arg_min(g, (-n)*1000000+g) as g from (select symbol, expiry, g, count(*) as n from (select symbol, expiry, strike-lag(strike) over (partition by symbol, expiry order by strike) as g from (select distinct symbol, expiry, strike from ch where option_type='CE') a) b where g > 0 group by 1,2,3) c group by 1,2),
+zn as (select symbol, expiry, count(*) as n from ch where option_type='CE' group by 1,2),
+rq as (select rp.*, atm, case when zn.n >= 3 then coalesce(zs.g,50) else 50 end as st, least(greatest(1,floor(bl0*(0.5+iv_rank/100))), case when avg_max_loss>0 and avg_win>0 then greatest(1,floor(avg_win/(avg_max_loss*50))) end) as lots,
+  strategy in ('iron_condor','bear_call') as cside, strategy in ('iron_condor','bull_put') as pside from rp join a2 on a2.symbol=rp.symbol and a2.snap_date=rp.snap_date and a2.expiry=rp.expiry
+  left join zn on zn.symbol=rp.symbol and zn.expiry=rp.expiry left join zs on zs.symbol=rp.symbol and zs.expiry=rp.expiry),
+ru as (select *, atm+short_n*st as sce, atm-short_n*st as spe from rq),
+rr as (select ru.*, coalesce(p1.ltp,0)+coalesce(p2.ltp,0)-(case when cside then coalesce(p3.ltp,0) else 0 end)-(case when pside then coalesce(p4.ltp,0) else 0 end) as net_credit from ru
+  left join ch p1 on p1.symbol=ru.symbol and p1.snap_date=ru.snap_date and p1.expiry=ru.expiry and p1.strike=sce and p1.option_type='CE' left join ch p2 on p2.symbol=ru.symbol and p2.snap_date=ru.snap_date and p2.expiry=ru.expiry and p2.strike=spe and p2.option_type='PE'
+  left join ch p3 on p3.symbol=ru.symbol and p3.snap_date=ru.snap_date and p3.expiry=ru.expiry and p3.strike=sce+wing_m*st and p3.option_type='CE' left join ch p4 on p4.symbol=ru.symbol and p4.snap_date=ru.snap_date and p4.expiry=ru.expiry and p4.strike=spe-wing_m*st and p4.option_type='PE'
+  where not ((cside and ce_wall_strike > 0 and sce < ce_wall_strike) or (pside and pe_wall_strike > 0 and spe > pe_wall_strike)))"""
 
 
 def _recommend(t):
-    days, sc, chain, sig = _recommend_inputs(t)
-    return SP.recommend(days, sc, chain, sig, SP.optimal_params(_spreads(t)), capital=1_000_000.0, lot_size=50)
+    """Recommendations and the priced trades they rest on."""
+    days, scores, chain, signals, trades = _recommend_inputs(t)
+    return SP.recommend(days, scores, chain, signals, SP.optimal_params(trades), capital=1_000_000.0, lot_size=50), trades
 
 
-@query("opt21_recommendations", "symbol:l rec_date:d expiry:d strategy:s short_n:i wing_m:i confidence:1 score:3 atm_strike:1 short_ce_strike:1 short_pe_strike:1 net_credit:2 lots:i",
-       f"with {REC_SQL} select *, atm as atm_strike, sce as short_ce_strike, spe as short_pe_strike from rr")
+@query("opt21_recommendations", "symbol:l rec_date:d snap_date:d expiry:d strategy:s short_n:i wing_m:i confidence:1 score:3 atm_strike:1 short_ce_strike:1 short_pe_strike:1 net_credit:2 lots:i",
+       f"with recursive {REC_SQL} select *, atm as atm_strike, sce as short_ce_strike, spe as short_pe_strike from rr")
 def _opt21(t):
-    return _recommend(t)
+    return _recommend(t)[0]
 
 
 @query("opt22_fill_outcomes", "symbol:l rec_date:d expiry:d strategy:s outcome:s pnl_pts:2 pnl_amount:2",
-       f"""with {REC_SQL} select rr.symbol, rec_date, rr.expiry, rr.strategy, case when sb.pnl_pts is null or rr.expiry >= date '2001-01-01' then 'pending' when sb.pnl_pts > 0 then 'win' else 'loss' end as outcome,
+       f"""with recursive {REC_SQL} select rr.symbol, rec_date, rr.expiry, rr.strategy, case when sb.pnl_pts is null or rr.expiry >= date '2001-01-01' then 'pending' when sb.pnl_pts > 0 then 'win' else 'loss' end as outcome,
        case when rr.expiry < date '2001-01-01' then coalesce(sb.pnl_pts,0) else 0 end as pnl_pts, case when rr.expiry < date '2001-01-01' then coalesce(sb.pnl_pts*lots*50,0) else 0 end as pnl_amount
-       from rr left join sb on sb.symbol=rr.symbol and sb.expiry=rr.expiry and sb.strategy=rr.strategy and sb.short_n=rr.short_n and sb.wing_m=rr.wing_m and sb.entry_date=rr.rec_date""")
+       from rr left join sb on sb.symbol=rr.symbol and sb.expiry=rr.expiry and sb.strategy=rr.strategy and sb.short_n=rr.short_n and sb.wing_m=rr.wing_m and sb.entry_date=rr.snap_date""")
 def _opt22(t):
-    return SP.fill_outcomes(_recommend(t), _spreads(t), F.to_date(F.lit("2001-01-01")), 50)
+    return SP.fill_outcomes(*_recommend(t), F.to_date(F.lit("2001-01-01")), 50)

@@ -111,22 +111,42 @@ def best_params(optimal: DataFrame, min_trades: int = 10) -> DataFrame:
     return top_n(o, ["symbol", "strategy"], [F.col("sharpe_pct").desc(), F.col("short_n"), F.col("wing_m")], 1).drop("rank")
 
 
-def recommend(days: DataFrame, scores: DataFrame, chain: DataFrame, signals: DataFrame, optimal: DataFrame,
-              capital: float, lot_size: int, min_confidence: float = 60.0, threshold: float = SCORE_THRESHOLD) -> DataFrame:
-    """Recommendation per (symbol, rec_date, expiry) for all days at once.
+def track_record(trades: DataFrame, lot_size: int) -> DataFrame:
+    """What closed trades showed up to each exit day: (symbol, score_date,
+    strategy_type, confidence, avg_win). Confidence is the share of won trades
+    of the structure in percent; avg_win the mean amount that a won trade of
+    the symbol paid. Trades are summed per day first, so the windows run over
+    days."""
+    day = trades.groupBy("symbol", F.col("exit_date").alias("score_date"), F.col("strategy").alias("strategy_type")).agg(
+        F.sum("target").alias("_w"), F.count(F.lit(1)).alias("_n"), F.sum(F.when(F.col("target") == 1, F.col("pnl_pts"))).alias("_p"))
+    own = W.partitionBy("symbol", "strategy_type").orderBy("score_date")
+    all_ = W.partitionBy("symbol").orderBy("score_date")
+    return day.select(
+        "symbol", "score_date", "strategy_type", (F.sum("_w").over(own) * 100 / F.sum("_n").over(own)).alias("confidence"),
+        safe_div(F.sum("_p").over(all_) * lot_size, F.sum("_w").over(all_)).alias("avg_win"))
+
 
-    ``scores`` has (symbol, score_date, strategy_type, confidence); the newest
-    score of each structure within 7 days counts. ``signals`` has the daily
-    inputs per (symbol, snap_date, expiry): vix, iv_rank, pcr, iv_skew,
-    term_slope, skew_2pct, walls and the average win.
+def recommend(days: DataFrame, scores: DataFrame, chain: DataFrame, signals: DataFrame, optimal: DataFrame,
+              capital: float, lot_size: int, min_confidence: float = 60.0, threshold: float = SCORE_THRESHOLD, min_ltp: float = 0.05) -> DataFrame:
+    """Recommendation per (symbol, rec_date, expiry) of ``days``, for all days at once.
+
+    Prices and signals come from the newest snapshot of the expiry on or before
+    the day; contracts at or below ``min_ltp`` do not count. ``scores`` has
+    (symbol, score_date, strategy_type, confidence, avg_win); the newest score
+    of each structure within 7 days counts. ``signals`` has the inputs per
+    (symbol, snap_date, expiry): vix, iv_rank, pcr, iv_skew, term_slope,
+    skew_2pct and walls.
     """
+    chain = chain.where(F.col("ltp") > min_ltp)
+    shots = chain.select("symbol", "expiry", F.col("snap_date").alias("_shot")).distinct().withColumn("snap_date", F.col("_shot"))
+    days = asof_join(days.select("symbol", "rec_date", "expiry").where("rec_date <= expiry"), shots, ["symbol", "expiry"], "rec_date", "_shot", ["snap_date"]).where("snap_date is not null")
     kinds = [(s,) for s in (*STRUCTURES, "iron_fly")]
-    want = repeat_for(days.withColumnRenamed("snap_date", "rec_date"), ["strategy_type"], kinds)
-    sc = asof_join(want, scores, ["symbol", "strategy_type"], "rec_date", "score_date", ["confidence"], tolerance_days=7).where("confidence is not null")
-    best = sc.groupBy("symbol", "rec_date", "expiry").agg(
-        F.max_by(F.struct("strategy_type", "confidence"), F.struct("confidence", "strategy_type")).alias("_b"))
-    j = best.select("symbol", "rec_date", "expiry", F.col("_b.strategy_type").alias("_ml"), F.col("_b.confidence").alias("confidence"))
-    j = j.join(signals.withColumnRenamed("snap_date", "rec_date"), ["symbol", "rec_date", "expiry"])
+    want = repeat_for(days, ["strategy_type"], kinds)
+    sc = asof_join(want, scores, ["symbol", "strategy_type"], "rec_date", "score_date", ["confidence", "avg_win"], tolerance_days=7).where("confidence is not null")
+    best = sc.groupBy("symbol", "rec_date", "expiry", "snap_date").agg(
+        F.max_by(F.struct("strategy_type", "confidence", "avg_win"), F.struct("confidence", "strategy_type")).alias("_b"))
+    j = best.select("symbol", "rec_date", "expiry", "snap_date", F.col("_b.strategy_type").alias("_ml"), F.col("_b.confidence").alias("confidence"), F.col("_b.avg_win").alias("avg_win"))
+    j = j.join(signals, SNAP)
     parts = trade_score("confidence", "vix", "iv_rank", "pcr", "iv_skew", "term_slope")
     j = j.withColumns({c: e for c, e in parts.items()}).where(F.col("score") >= threshold)
     j = j.where(F.col("vix").isNull() | F.col("vix").between(VIX_MIN, VIX_MAX))
@@ -136,9 +156,8 @@ def recommend(days: DataFrame, scores: DataFrame, chain: DataFrame, signals: Dat
     j = j.join(bp, ["symbol", "strategy"])
     j = j.withColumn("lots", position_lots(F.lit(capital), "avg_max_loss", F.lit(lot_size), "iv_rank", "avg_win"))
 
-    atm = atm_min_gap(chain, min_leg=0.0, min_common=1).withColumnRenamed("snap_date", "rec_date")
-    px = day_prices(chain).withColumnRenamed("snap_date", "rec_date")
-    j = j.join(atm, ["symbol", "rec_date", "expiry"]).join(px, ["symbol", "rec_date", "expiry"]).join(strike_step(chain, min_oi=0), ["symbol", "expiry"])
+    atm = atm_min_gap(chain, min_leg=0.0, min_common=1)
+    j = j.join(atm, SNAP).join(day_prices(chain), SNAP).join(strike_step(chain, min_oi=0), ["symbol", "expiry"])
     a, step, n, m, st = (F.col(c) for c in ("atm_strike", "strike_step", "short_n", "wing_m", "strategy"))
     sce, spe = a + n * step, a - n * step
     call_side, put_side = st.isin("iron_condor", "bear_call"), st.isin("iron_condor", "bull_put")
@@ -157,10 +176,10 @@ def recommend(days: DataFrame, scores: DataFrame, chain: DataFrame, signals: Dat
 
 def fill_outcomes(recs: DataFrame, trades: DataFrame, as_of: Column, lot_size: int) -> DataFrame:
     """Outcome of pending recommendations whose expiry has passed. The join
-    includes the entry day, so a recommendation meets one trade at most."""
+    includes the priced snapshot, so a recommendation meets one trade at most."""
     keys = ["symbol", "expiry", "strategy", "short_n", "wing_m"]
-    t = trades.select(*keys, F.col("entry_date").alias("rec_date"), F.col("pnl_pts").alias("_pnl"), F.col("target").alias("_t"))
-    j = recs.join(t, [*keys, "rec_date"], "left")
+    t = trades.select(*keys, F.col("entry_date").alias("snap_date"), F.col("pnl_pts").alias("_pnl"), F.col("target").alias("_t"))
+    j = recs.join(t, [*keys, "snap_date"], "left")
     done = (F.col("outcome") == "pending") & (F.col("expiry") < as_of) & F.col("_pnl").isNotNull()
     return j.withColumns({
         "pnl_pts": F.when(done, F.col("_pnl")).otherwise(0.0),
