@@ -18,12 +18,6 @@ from tidebook.plans import walkforward as WF
 from tidebook.session import shared_dir
 
 
-def _index_bars(t):
-    """One index built from all symbols per day."""
-    return t.bars.groupBy("date").agg(
-        F.avg("open").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.avg("close").alias("close")).withColumn("symbol", F.lit("INDEX"))
-
-
 def _participants(t):
     """Flow rows in the participant-position layout."""
     v = F.abs(F.col("net_value")).cast("bigint")
@@ -36,7 +30,7 @@ def _day_inputs(t, chain):
     """The inputs that are known once a day."""
     from tidebook.session import cut_lineage
     surf = cut_lineage(O.vol_surface(chain), "surface")
-    return (O.eod_summary(chain), O.atm_iv_daily(chain), O.iv_skew(chain), O.term_structure(surf), SC.technical_signals(_index_bars(t)),
+    return (O.eod_summary(chain), O.atm_iv_daily(chain), O.iv_skew(chain), O.term_structure(surf), SC.technical_signals(t.index_bars),
             SC.participant_features(_participants(t)), t.vix, t.market_events.where("impact = 'HIGH'"))
 
 

@@ -29,6 +29,9 @@ SHAPES: dict[str, str] = {
         case when l_orderkey % 2 = 0 then 'CE' else 'PE' end as option_type,
         max(l_quantity) as ltp, cast(sum(l_quantity) as bigint)*100 as oi from lineitem group by 1,2,3,4,5""",
     "settle_d": "select 0::bigint as symbol, date as expiry, 23950.0::double + vix*3.0::double as spot_expiry from vix where spot > 0",
+    "settle": """select symbol, expiry, 23950.0::double + vix*3.0::double + 40.0::double*symbol as spot_expiry from (select distinct symbol, expiry from chain) k
+        join vix on vix.date=k.expiry where spot > 0""",
+    "index_bars": "select 'INDEX' as symbol, date, avg(open) as open, max(high) as high, min(low) as low, avg(close) as close from bars group by 2",
     "flows": """select cast(o_orderdate as date) as date, o_orderpriority as entity,
         floor(sum(case when o_orderstatus='F' then o_totalprice else -o_totalprice end)*100.0::double+0.5)/100.0::double as net_value
         from orders group by 1,2""",

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidebook.catalog.fragments import norm_cdf
-from tidebook.catalog.options import G, legs
+from tidebook.catalog.options import G, legs, signals_sql
 from tidebook.catalog.registry import query
 from tidebook.functions.exprs import bucket_label
 from tidebook.operators import stats as ST
 from tidebook.plans import backtests as B
 from tidebook.plans import feedback as FB
+from tidebook.plans import options as O
+from tidebook.plans import patterns as P
 
 STEP, MIN_OI = 50.0, 1000
 
@@ -154,6 +156,44 @@ def _bkt10(t):
     return d.groupBy("bucket").agg(*ST.expectancy("profit_1dte_pts", "win_1dte"), F.avg("profit_1dte_pts").alias("avg_profit")).where("n >= 3")
 
 
+def _buckets_sql(col: str) -> str:
+    edges, labels = B.EDGE_BUCKETS[col]
+    return "case " + " ".join(f"when {col}<{e} then '{x}'" for e, x in zip(edges, labels, strict=False)) + f" else '{labels[-1]}' end"
+
+
+EDGE_CONTEXT_SQL = signals_sql("chain") + ", " + EDGE_SQL.replace("chain_d", "chain").replace("settle_d", "settle") + """,
+ir as (select *, (high-low)/close*100 as rg, row_number() over w as rn, cast(date_trunc('week',date) as date) as wk from index_bars window w as (order by date)),
+ix as (select *, lag(rg) over w as pr, avg(rg) over (order by date rows between 20 preceding and 1 preceding) as atr, avg(close) over (order by date rows 19 preceding) as m20,
+  max(high) over (partition by wk order by date) as wh, min(low) over (partition by wk order by date) as wlo from ir window w as (order by date)),
+iw as (select wk, lag(h) over (order by wk) as ph, lag(l) over (order by wk) as pl from (select wk, max(high) as h, min(low) as l from ir group by 1) z),
+ip as (select date, coalesce(pr/nullif(atr,0),0) as range_vs_atr, case when wh<ph and wlo>pl then 1 else 0 end as inside_bar, case when close>m20 then 1 else 0 end as above_ma20 from ix join iw using (wk) where rn >= 22),
+ec as (select ee.symbol, ee.expiry, ee.snap_date, win_1dte, profit_1dte_pts, coalesce(g.iv_rank,0) as iv_rank, coalesce(g.atm_iv,0) as atm_iv, coalesce(g.pcr,0) as pcr, coalesce(g.term_slope,0) as term_slope, coalesce(g.skew_2pct,0) as skew_2pct,
+  range_vs_atr, inside_bar, above_ma20 from ee left join sgm g on g.symbol=ee.symbol and g.snap_date=ee.snap_date left join ip on ip.date=ee.snap_date)"""
+_DIMENSIONS_SQL = {
+    **{n: _buckets_sql(n) for n in B.EDGE_BUCKETS},
+    "weekday": "case when isodow(expiry) < 6 then dayname(expiry) end",
+    "inside_bar": "case inside_bar when 1 then 'inside' when 0 then 'not inside' end",
+    "above_ma20": "case above_ma20 when 1 then 'above' when 0 then 'below' end",
+    "conditions": "case when iv_rank between 20 and 70 and atm_iv between 12 and 22 and pcr between 0.7 and 1.3 then 'trade' else 'skip' end",
+}
+_SECTION_SQL = {"term_slope": "term_slope<>0", "skew_2pct": "term_slope<>0 and skew_2pct<>0", "range_vs_atr": "range_vs_atr is not null"}
+EDGE_REPORT_SQL = "eu as (" + " union all ".join(
+    f"select symbol, '{n}' as dimension, {e} as bucket, win_1dte, profit_1dte_pts from ec where {_SECTION_SQL.get(n, 'true')}" for n, e in _DIMENSIONS_SQL.items()) + """),
+eg as (select symbol, dimension, bucket, count(*) as n, avg(win_1dte)*100 as win_rate, avg(win_1dte)*coalesce(avg(profit_1dte_pts) filter (where win_1dte=1),0)+(1-avg(win_1dte))*coalesce(avg(profit_1dte_pts) filter (where win_1dte=0),0) as expectancy,
+  avg(profit_1dte_pts) as avg_profit from eu where bucket is not null group by 1,2,3),
+er as (select * from (select *, sum(n) over (partition by symbol, dimension) as whole from eg) q
+  where n >= case dimension when 'conditions' then 1 else 3 end and whole >= case when dimension in ('term_slope','skew_2pct') then 10 when dimension in ('range_vs_atr','inside_bar','above_ma20') then 6 else 0 end)"""
+
+
+def _edge_context(t):
+    return B.edge_context(B.expiry_edge(t.stored("chain"), t.settle, STEP, MIN_OI), O.measured_signals(t.stored("chain"), t.vix), P.price_action(t.index_bars))
+
+
+@query("bkt10c_edge_report", "symbol:l dimension:s bucket:s n:l win_rate:3 expectancy:3 avg_profit:3", f"with recursive {EDGE_CONTEXT_SQL}, {EDGE_REPORT_SQL} select * from er")
+def _bkt10c(t):
+    return B.edge_report(_edge_context(t), ["symbol"])
+
+
 @query("bkt10b_edge_tests", "vrp_mean:5 t_stat:4 p_value:4",
        f"with {EDGE_SQL}, s as (select avg(implied_move_pct-realized_move_pct) as vrp_mean, avg(implied_move_pct-realized_move_pct)/(stddev_samp(implied_move_pct-realized_move_pct)/sqrt(count(*))) as t_stat from ee) select *, 2*(1-{norm_cdf('abs(t_stat)')}) as p_value from s")
 def _bkt10b(t):

@@ -4,18 +4,20 @@ bars in order, and those bars are bounded by its months or days."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidebook.functions import blackscholes as BS
-from tidebook.functions.exprs import attach_row, flag, round_half_even, safe_div
+from tidebook.functions.exprs import attach_row, bucket_label, flag, round_half_even, safe_div
 from tidebook.functions.market import annualised_return, directional_bias, round_trip_cost
 from tidebook.operators.asof import asof_join
 from tidebook.operators.calendar import weekend_triplets
 from tidebook.operators.rolling import Series, period_rollup
-from tidebook.operators.stats import quantile_bins, split_label, summary_exprs
+from tidebook.operators.stats import expectancy, quantile_bins, split_label, summary_exprs
 from tidebook.plans.options import SNAP, atm_rounded, near_expiry, put_call_ratio, spot_by_parity
 
 # Costs, limits and exit ratios.
@@ -102,6 +104,64 @@ def expiry_edge(chain: DataFrame, settle: DataFrame, step: float, min_oi: int, i
     }).drop("_b", "_exit_px")
 
 
+def edge_context(edges: DataFrame, signals: DataFrame, index_days: DataFrame) -> DataFrame:
+    """Edge rows with the signals of their entry day (``signals`` per symbol
+    and snap_date) and the index's price action on that day. What is unknown
+    counts as 0 for signals and stays NULL for price action."""
+    names = ["iv_rank", "atm_iv", "pcr", "term_slope", "skew_2pct"]
+    s = signals.select("symbol", F.col("snap_date").alias("t1_date"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names])
+    p = index_days.select(F.col("date").alias("t1_date"), "range_vs_atr", "inside_bar", "above_ma20")
+    return edges.join(s, ["symbol", "t1_date"], "left").na.fill(0.0, names).join(p, "t1_date", "left")
+
+
+# Bucket edges and labels, and the fewest rows of a bucket and of its section.
+EDGE_BUCKETS = {
+    "iv_rank": ([20, 40, 60, 80], ["0-20", "20-40", "40-60", "60-80", "80+"]),
+    "atm_iv": ([12, 16, 20, 25], ["<12", "12-16", "16-20", "20-25", ">25"]),
+    "pcr": ([0.7, 1.0, 1.3], ["<0.7", "0.7-1.0", "1.0-1.3", ">1.3"]),
+    "term_slope": ([-0.02, 0, 0.02, 0.04], ["<-2%", "-2-0%", "0-2%", "2-4%", ">4%"]),
+    "skew_2pct": ([0, 0.01, 0.02, 0.04], ["<0", "0-1%", "1-2%", "2-4%", ">4%"]),
+    "range_vs_atr": ([0.6, 1.2], ["tight", "normal", "wide"]),
+}
+MIN_BUCKET, MIN_SURFACE, MIN_PRICE_ACTION = 3, 10, 6
+
+
+def edge_dimensions() -> dict[str, Column]:
+    """Bucket of an edge row in every dimension; NULL keeps it out of a dimension."""
+    c = F.col
+    d = {n: bucket_label(n, edges, labels) for n, (edges, labels) in EDGE_BUCKETS.items()}
+    d["term_slope"] = F.when(c("term_slope") != 0, d["term_slope"])
+    d["skew_2pct"] = F.when((c("term_slope") != 0) & (c("skew_2pct") != 0), d["skew_2pct"])
+    d["range_vs_atr"] = F.when(c("range_vs_atr").isNotNull(), d["range_vs_atr"])
+    d["weekday"] = F.when(F.weekday("expiry") < 5, F.date_format("expiry", "EEEE"))
+    d["inside_bar"] = F.when(c("inside_bar") == 1, "inside").when(c("inside_bar") == 0, "not inside")
+    d["above_ma20"] = F.when(c("above_ma20") == 1, "above").when(c("above_ma20") == 0, "below")
+    good = c("iv_rank").between(20, 70) & c("atm_iv").between(12, 22) & c("pcr").between(0.7, 1.3)
+    d["conditions"] = F.when(good, "trade").otherwise("skip")
+    return d
+
+
+def edge_report(rows: DataFrame, by: Sequence[str] = (), profit: str = "profit_1dte_pts", win: str = "win_1dte") -> DataFrame:
+    """(by, dimension, bucket, n, win_rate, expectancy, avg_profit) of edge rows
+    in every dimension, by grouping sets over one scan.
+
+    A bucket needs three rows. Term slope and skew need ten rows that have
+    them, price action six; the combined conditions are always shown."""
+    dims = edge_dimensions()
+    by = list(by)
+    d = rows.select(*by, profit, win, *[e.alias(f"_{n}") for n, e in dims.items()])
+    cols = [F.col(f"_{n}") for n in dims]
+    name = F.coalesce(*[F.when(F.grouping(f"_{n}") == 0, F.lit(n)) for n in dims])
+    g = d.groupingSets([[*[F.col(b) for b in by], c] for c in cols], *by, *cols).agg(
+        name.alias("dimension"), *expectancy(profit, win), F.avg(profit).alias("avg_profit"))
+    g = g.withColumn("bucket", F.coalesce(*cols)).where("bucket is not null")
+    whole = F.sum("n").over(W.partitionBy(*by, "dimension"))  # a section has at most five buckets
+    dim = F.col("dimension")
+    need = F.when(dim.isin("term_slope", "skew_2pct"), MIN_SURFACE).when(dim.isin("range_vs_atr", "inside_bar", "above_ma20"), MIN_PRICE_ACTION).otherwise(0)
+    g = g.withColumn("_whole", whole).where((F.col("_whole") >= need) & (F.col("n") >= F.when(dim == "conditions", 1).otherwise(MIN_BUCKET)))
+    return g.select(*by, "dimension", "bucket", "n", "win_rate", "expectancy", "avg_profit")
+
+
 def weekend_decay(chain: DataFrame, settle: DataFrame, step: float, min_oi: int) -> DataFrame:
     """Straddle sold on Friday, marked on Monday and at expiry."""
     days = chain.select("symbol", F.col("snap_date").alias("date")).distinct()

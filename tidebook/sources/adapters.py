@@ -110,6 +110,18 @@ class Tables:
         v = self.vix.where("spot > 0")
         return v.select(F.lit(0).cast("bigint").alias("symbol"), F.col("date").alias("expiry"), (23950.0 + F.col("vix") * 3.0).alias("spot_expiry"))
 
+    @cached_property
+    def settle(self) -> DataFrame:
+        """Settlement spot per symbol and expiry of the monthly chain; some expiries have none."""
+        v = self.vix.where("spot > 0").select(F.col("date").alias("expiry"), (23950.0 + F.col("vix") * 3.0).alias("_s"))
+        return self.chain.select("symbol", "expiry").distinct().join(v, "expiry").select("symbol", "expiry", (F.col("_s") + 40.0 * F.col("symbol")).alias("spot_expiry"))
+
+    @cached_property
+    def index_bars(self) -> DataFrame:
+        """One index built from all symbols per day."""
+        return self.bars.groupBy("date").agg(
+            F.avg("open").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.avg("close").alias("close")).withColumn("symbol", F.lit("INDEX"))
+
     @cached_property
     def flows(self) -> DataFrame:
         signed = F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")).otherwise(-F.col("o_totalprice"))
