@@ -80,6 +80,7 @@ def _opt04(t):
 
 _WALL = "wl as (select symbol, snap_date, expiry, coalesce(arg_max(strike, oi*1000000.0-strike) filter (where option_type='CE'),0) as ce_wall_strike, coalesce(arg_max(strike, oi*1000000.0-strike) filter (where option_type='PE'),0) as pe_wall_strike from {c} group by 1,2,3)"
 NEAR = "ne as (select c.* from {c} c join (select symbol, snap_date, min(expiry) as expiry from {c} where expiry >= snap_date group by 1,2) m using (symbol, snap_date, expiry))"
+EOD_PARTS_SQL = _PAIN + ", " + _WALL
 EOD_SQL = NEAR.format(c="chain") + ", " + legs("ne") + ", " + _PAIN.format(c="ne") + ", " + _WALL.format(c="ne") + f""",
 an as (select c.symbol, c.snap_date, c.expiry, arg_min(strike, abs(strike-spot)*1000000+strike) as atm_strike from ne c join sp using ({G}) group by 1,2,3),
 pr as ({_PCR.format(c='ne')}),

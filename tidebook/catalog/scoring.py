@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidebook.catalog.options import CF_SQL, EOD_SQL, LEGS, SPREAD_SQL, legs
+from tidebook.catalog.options import CF_SQL, EOD_PARTS_SQL, EOD_SQL, LEGS, SPREAD_SQL, G, legs, signals_sql
 from tidebook.catalog.registry import query
 from tidebook.catalog.trades import ENDB_SQL
 from tidebook.catalog.windows import RISK_SQL
@@ -183,6 +183,48 @@ def _ml11(t):
     return SC.point_in_time(keys, {"vix": (t.vix, "date", ["vix"]), "flow": (t.day_flows, "date", ["net_value"]), "lot": (t.lots, "effective_from", ["lot_size"])})
 
 
+PAST_SQL = f"""{signals_sql('chain_w')}, ky as (select distinct symbol, cast(date_trunc('month', snap_date) as date)+14 as as_of from chain_v),
+sh as (select ky.*, (select max(snap_date) from chain_v v where v.symbol=ky.symbol and v.known_at<=ky.as_of) as shot from ky),
+nx as (select sh.*, (select min(expiry) from chain_v v where v.symbol=sh.symbol and v.snap_date=sh.shot and v.known_at<=sh.as_of and v.expiry>sh.as_of) as expiry from sh),
+vr as (select * from (select nx.symbol, nx.as_of as snap_date, nx.shot, nx.expiry, v.strike, v.option_type, v.ltp, v.oi, v.known_at, row_number() over (partition by nx.symbol, nx.as_of, nx.expiry, v.strike, v.option_type order by known_at desc) as z
+  from nx join chain_v v on v.symbol=nx.symbol and v.snap_date=nx.shot and v.expiry=nx.expiry and v.known_at<=nx.as_of) q where z=1),
+{CF_SQL.format(legs=legs('vr'), c='vr')}, {EOD_PARTS_SQL.format(c='vr')},
+iq as (select symbol, snap_date+10 as known, iv_rank from sgm where atm_iv is not null),
+vd as (select symbol, snap_date, any_value(shot) as shot, any_value(expiry) as expiry from vr group by 1,2),
+pq as (select date, max(case when entity='1-URGENT' then v%1000-v%700 end) as client_call_net, max(case when entity='2-HIGH' then (v%900+v%800)/greatest(v%1000+v%700,1)::double end) as fii_pcr from (select date, entity, cast(trunc(abs(net_value)) as bigint) as v from flows) z group by 1),
+hv as (select distinct event_date as d from market_events where impact='HIGH'),
+pf as (select vd.symbol, vd.snap_date as as_of, vd.shot as snap_date, vd.expiry, cf.straddle_pct, cf.ce_pe_ratio, cf.pcr_oi, cf.oi_conc_ce, cf.oi_conc_pe, cf.atm_oi_ratio, case when tc > 0 then tp/tc else 0 end as pcr_eod,
+  (ce_wall_strike-coalesce(sp.spot,0))*100/nullif(sp.spot,0) as ce_wall_pct, (coalesce(sp.spot,0)-pe_wall_strike)*100/nullif(sp.spot,0) as pe_wall_pct, (max_pain_strike-sp.spot)*100/nullif(sp.spot,0) as max_pain_dist_pct,
+  vx.vix, pq.client_call_net, pq.fii_pcr, iq.iv_rank, vd.expiry-vd.shot as dte, isodow(vd.expiry)-1 as day_of_week, (day(vd.expiry)-1)//7+1 as week_of_month,
+  case when hv.d <= vd.expiry then 1 else 0 end as event_in_window, least(coalesce(hv.d-vd.shot,30),30) as days_to_event
+  from vd join cf using ({G}) join tt using ({G}) left join sp using ({G}) left join wl using ({G}) left join mp using ({G}) asof left join vix vx on vd.shot >= vx.date asof left join pq on vd.shot >= pq.date
+  asof left join iq on iq.symbol=vd.symbol and vd.snap_date >= iq.known asof left join hv on vd.shot <= hv.d)"""
+PAST_OUT = "straddle_pct:5 ce_pe_ratio:4 pcr_oi:4 oi_conc_ce:4 oi_conc_pe:4 atm_oi_ratio:4 pcr_eod:4 ce_wall_pct:4 pe_wall_pct:4 max_pain_dist_pct:4 vix:1 client_call_net:1 fii_pcr:4 iv_rank:2 dte:i day_of_week:i week_of_month:i event_in_window:i days_to_event:i"
+
+
+def _past_features(t):
+    """Features as known on the 15th of each month; the IV history counts from the day its final chain was published."""
+    versions, chain = t.stored("chain_v"), t.stored("chain_w")
+    days = versions.select("symbol", F.date_add(F.trunc("snap_date", "MM"), 14).alias("as_of")).distinct()
+    poi = _participants(t)
+    iv = O.atm_iv_daily(chain).select("symbol", F.date_add("snap_date", 10).alias("known"), "iv_rank")
+    daily = {"vix": (t.vix, "date", ["vix"]), "poi": (SC.participant_features(poi), "date", ["client_call_net", "fii_pcr"])}
+    return SC.rebuild_features(days, versions, daily, {"iv": (iv, "known", ["iv_rank"])}, t.market_events.where("impact = 'HIGH'"))
+
+
+@query("ml11b_rebuilt_features", f"symbol:l as_of:d snap_date:d expiry:d {PAST_OUT}", f"with recursive {PAST_SQL} select * from pf")
+def _ml11b(t):
+    return _past_features(t)
+
+
+@query("ml11c_actual_outcomes", "symbol:l as_of:d snap_date:d expiry:d strategy:s short_n:i wing_m:i pnl_pts:2 straddle_pct:5 vix:1 iv_rank:2",
+       f"""with recursive {PAST_SQL}, px as ({"select * from (with " + SPREAD_SQL.format(c='chain_w', dte=100) + " select symbol, expiry, entry_date, strategy, short_n, wing_m, pnl_pts from sb) y"}),
+       py as (select * from (select *, row_number() over (partition by symbol, expiry, entry_date, strategy order by short_n, wing_m) as z from px) q where z=1)
+       select pf.*, strategy, short_n, wing_m, pnl_pts from pf join py on py.symbol=pf.symbol and py.expiry=pf.expiry and py.entry_date=pf.snap_date""")
+def _ml11c(t):
+    return SC.actual_outcomes(_past_features(t), SP.price_spreads(t.stored("chain_w"), max_dte=100))
+
+
 @query("udf01_rolling_closure", "scheme_code:l date:d sortino_1y:4", f"with {RISK_SQL} select * from rk")
 def _udf01(t):
     """A function over a rolling window (std of the negative values only), as

@@ -23,6 +23,9 @@ SHAPES: dict[str, str] = {
         24000.0::double + 50.0*((l_partkey % 11) - 5) as strike,
         case when l_orderkey % 2 = 0 then 'CE' else 'PE' end as option_type,
         max(l_quantity) as ltp, cast(sum(l_quantity) as bigint)*100 as oi from lineitem group by 1,2,3,4,5""",
+    "chain_v": """select symbol, snap_date, expiry, strike, option_type, max(l_quantity) as ltp, cast(sum(l_quantity) as bigint)*100 as oi, snap_date + days as known_at from (
+        select 0::bigint as symbol, cast(date_trunc('week',l_shipdate) as date) as snap_date, cast(date_trunc('quarter',l_shipdate) + interval 3 month as date) as expiry, 24000.0::double + 50.0*((l_partkey % 11) - 5) as strike,
+        case when l_orderkey % 2 = 0 then 'CE' else 'PE' end as option_type, l_quantity, days from lineitem, (values (0),(10)) v(days) where l_linenumber <= 3 or days = 10) z group by 1,2,3,4,5,days""",
     "chain_d": """select 0::bigint as symbol, cast(l_shipdate as date) as snap_date,
         cast(date_trunc('week', cast(l_shipdate as date) + 5) as date) + 1 as expiry,
         24000.0::double + 50.0*((l_partkey % 5) - 2) as strike,

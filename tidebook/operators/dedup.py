@@ -27,6 +27,19 @@ def latest_version(df: DataFrame, keys: Sequence[str], version: str, tiebreak: S
     return latest_by(df, keys, [version, *tiebreak])
 
 
+def as_known(reads: DataFrame, versions: DataFrame, on: Sequence[str], keys: Sequence[str], known: str, at: str) -> DataFrame:
+    """Bitemporal read: for each row of ``reads`` the rows of ``versions`` that
+    share ``on``, every key in its newest version with ``known`` <= ``at``.
+
+    Keys that were not known yet are absent. Equal times take the greatest
+    values. The versions of a key combine on the map side, as in latest_by."""
+    rest = [c for c in versions.columns if c not in {*on, *keys, known}]
+    seen = reads.join(versions, list(on)).where(F.col(known) <= F.col(at))
+    by = list(dict.fromkeys([*reads.columns, *on, *keys]))
+    agg = seen.groupBy(*by).agg(F.max(F.struct(known, *rest)).alias("_row"))
+    return agg.select(*by, "_row.*")
+
+
 def last_in_period(df: DataFrame, keys: Sequence[str], values: Sequence[str], order: str | Column) -> DataFrame:
     """Last ``values`` per key by ``order`` (for example last snapshot of a day)."""
     o = F.col(order) if isinstance(order, str) else order

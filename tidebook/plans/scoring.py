@@ -9,17 +9,19 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidebook.functions.exprs import attach_row, flag, safe_div
 from tidebook.functions.market import scorecard
 from tidebook.operators.asof import asof_join, interval_hits
 from tidebook.operators.calendar import week_of_month
+from tidebook.operators.dedup import as_known
 from tidebook.operators.recursive import adx, ewm_mean, rsi, supertrend
 from tidebook.operators.rolling import Series, week_ending
 from tidebook.operators.running import average_rank_auc
 from tidebook.operators.stats import one_hot
-from tidebook.plans.options import SNAP, chain_features
+from tidebook.plans.options import SNAP, chain_features, eod_summary
 from tidebook.session import cut_lineage
 
 # Model inputs, in their order.
@@ -259,4 +261,48 @@ def point_in_time(keys: DataFrame, daily: dict[str, tuple[DataFrame, str, list[s
     return d.drop("_k")
 
 
+def visible_chain(days: DataFrame, versions: DataFrame, known: str = "known_at") -> DataFrame:
+    """Chain rows as they were known on the days of ``days(symbol, as_of)``.
+
+    ``versions`` is an insert-only chain: a correction is a further row of the
+    same contract with a later ``known``. Of each day the newest snapshot that
+    had any known row counts, and in it the first expiry after the day; days
+    without such a snapshot or expiry give no row."""
+    shots = versions.groupBy("symbol", F.col(known).alias("_known")).agg(F.max("snap_date").alias("snap_date"))
+    newest = F.max("snap_date").over(W.partitionBy("symbol").orderBy("_known"))  # one row per symbol and day
+    d = asof_join(days.select("symbol", "as_of").distinct(), shots.withColumn("snap_date", newest), ["symbol"], "as_of", "_known", ["snap_date"]).where("snap_date is not null")
+    ahead = d.join(versions.select("symbol", "snap_date", "expiry", known), ["symbol", "snap_date"]).where((F.col(known) <= F.col("as_of")) & (F.col("expiry") > F.col("as_of")))
+    d = ahead.groupBy("symbol", "as_of", "snap_date").agg(F.min("expiry").alias("expiry"))
+    return as_known(d, versions, SNAP, ["strike", "option_type"], known, "as_of")
+
+
+def rebuild_features(days: DataFrame, versions: DataFrame, daily: dict[str, tuple[DataFrame, str, list[str]]],
+                     published: dict[str, tuple[DataFrame, str, list[str]]], events: DataFrame) -> DataFrame:
+    """Feature rows as they would have been built on past days.
+
+    Chain features, ratio, walls and max pain come from the versions known on
+    the day; ``daily`` inputs are read at the snapshot's day, ``published``
+    ones at the day itself by their date of publication."""
+    seen = cut_lineage(visible_chain(days, versions), "visible")
+    at = seen.select("symbol", "as_of", "snap_date", "expiry").distinct()
+    # Two days may read one snapshot in different versions, so the day takes the snapshot's place.
+    chain = seen.drop("snap_date").withColumnRenamed("as_of", "snap_date")
+    eod = eod_summary(chain)
+    e = eod.select(*SNAP, F.col("pcr").alias("pcr_eod"), *[
+        safe_div((a - b) * 100, "spot").alias(n) for n, a, b in (
+            ("ce_wall_pct", F.col("ce_wall_strike"), F.col("spot")), ("pe_wall_pct", F.col("spot"), F.col("pe_wall_strike")), ("max_pain_dist_pct", F.col("max_pain_strike"), F.col("spot")))])
+    f = chain_features(chain).join(e, SNAP).withColumnRenamed("snap_date", "as_of")
+    d = point_in_time(at.join(f, ["symbol", "as_of", "expiry"]), daily, "snap_date")
+    d = point_in_time(d, published)
+    d = d.withColumns({"dte": F.datediff("expiry", "snap_date"), "day_of_week": F.weekday("expiry"), "week_of_month": week_of_month("expiry")})
+    return interval_hits(d, events, "snap_date", "expiry", "event_date")
+
+
+def actual_outcomes(features: DataFrame, trades: DataFrame) -> DataFrame:
+    """Rebuilt rows beside what each structure, entered on that snapshot, paid:
+    the trade with the smallest parameters of a structure counts."""
+    t = trades.groupBy("symbol", "expiry", F.col("entry_date").alias("snap_date"), "strategy").agg(F.min(F.struct("short_n", "wing_m", "pnl_pts")).alias("_t"))
+    return features.join(t, ["symbol", "expiry", "snap_date"]).select(*features.columns, "strategy", "_t.*")
+
+
 __all__ = [n for n in dir() if not n.startswith("_")] + ["SNAP"]

@@ -93,6 +93,19 @@ class Tables:
             F.when(F.col("l_orderkey") % 2 == 0, "CE").otherwise("PE").alias("option_type"),
         ).agg(F.max("l_quantity").alias("ltp"), (F.sum("l_quantity").cast("bigint") * 100).alias("oi"))
 
+    @cached_property
+    def chain_v(self) -> DataFrame:
+        """The weekly chain in two versions: first figures on the snapshot's day, from the first lines of each order, and final ones ten days later."""
+        ship, first = F.to_date("l_shipdate"), F.col("l_linenumber") <= 3
+        price, size = F.col("l_quantity"), F.col("l_quantity")
+        d = self.raw("lineitem").groupBy(
+            F.lit(0).cast("bigint").alias("symbol"), F.trunc(ship, "week").alias("snap_date"), F.add_months(F.trunc(ship, "quarter"), 3).alias("expiry"),
+            (24000.0 + 50.0 * ((F.col("l_partkey") % 11) - 5)).alias("strike"), F.when(F.col("l_orderkey") % 2 == 0, "CE").otherwise("PE").alias("option_type"),
+        ).agg(F.max(F.when(first, price)).alias("_p1"), F.sum(F.when(first, size)).alias("_s1"), F.max(price).alias("_p2"), F.sum(size).alias("_s2"))
+        v = lambda p, s, days: F.struct(F.col(p).alias("ltp"), (F.col(s).cast("bigint") * 100).alias("oi"), F.date_add("snap_date", days).alias("known_at"))
+        d = d.withColumn("_v", F.explode(F.array(v("_p1", "_s1", 0), v("_p2", "_s2", 10)))).where("_v.ltp is not null")
+        return d.select("symbol", "snap_date", "expiry", "strike", "option_type", "_v.*")
+
     @cached_property
     def chain_d(self) -> DataFrame:
         """Daily snapshots of five strikes with weekly Tuesday expiries."""
