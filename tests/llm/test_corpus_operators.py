@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidebook.llm import language_id, pii, sentencepieces, toxicity
+from tidebook.llm import jaccard_join, language_id, pii, sentencepieces, toxicity
 from tidebook.llm.bytegrams import HashIndex, position_keys
 from tidebook.llm.decontaminate import contamination
 from tidebook.llm.jaccard_join import jaccard_components
@@ -70,6 +70,56 @@ def test_jaccard_components_against_all_pairs(spark, frequent):
     assert got == {i: find(i) for i in range(len(texts))}
 
 
+def _linked(sets, pairs):
+    """Smallest place that each set reaches by ``pairs``."""
+    root = list(range(len(sets)))
+    for _ in sets:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+def test_joining_links_near_the_limit():
+    """One group whose members stand on both sides of the limit; the links join exactly what all pairs join."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 62, 150).astype(np.uint64)
+    sets = []
+    for _ in range(120):
+        h = base.copy()
+        k = int(rng.integers(8, 32))
+        h[rng.choice(150, k, replace=False)] = rng.integers(0, 1 << 62, k).astype(np.uint64)
+        sets.append(np.sort(h[: int(rng.integers(120, 151))]))
+    similar = [(i, j) for i in range(120) for j in range(i) if jaccard_join._similar(sets[i], sets[j], 75)]
+    links = jaccard_join._joining_links(np.arange(120), np.zeros(120, int), sets, 75)
+    assert 0 < len(links) < 120 and len(similar) > len(links)
+    assert _linked(sets, links) == _linked(sets, similar)
+    assert len(set(_linked(sets, links))) > 1
+    # Of two blocks, pairs across; equal roots need no link.
+    blocks = np.arange(120) % 2
+    across = [(i, j) for i, j in similar if blocks[i] != blocks[j]]
+    assert _linked(sets, jaccard_join._joining_links(np.arange(120), blocks, sets, 75)) == _linked(sets, across)
+    assert jaccard_join._joining_links(np.zeros(120, int), blocks, sets, 75) == []
+
+
+def test_jaccard_homes_dealt_into_tiles(spark, monkeypatch):
+    """The components do not depend on how many tiles a home takes."""
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(150):
+        t = list(base)
+        for at in rng.choice(100, int(rng.integers(1, 5)), replace=False):
+            t[at] = f"e{rng.integers(1_000_000)}"
+        rows.append((i, " ".join(t)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {r.doc_id: r.component_id for r in jaccard_components(df).collect()}
+    monkeypatch.setattr(jaccard_join, "HOME_BYTES", 1 << 16)
+    assert {r.doc_id: r.component_id for r in jaccard_components(df).collect()} == want
+    sets = [{tuple(w[i : i + 5]) for i in range(96)} for w in (t.split() for _, t in rows)]
+    similar = [(i, j) for i in range(150) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    assert want == dict(enumerate(_linked(sets, similar)))
+
+
 def test_quality_rules(spark, docs):
     x = "a b c d e\na b c d e\nf # a b c d e $\n\nf # a b c d e $"
     stats = {r.doc_id: r for r in statistics(docs.unionByName(spark.createDataFrame([(20, x, "", "", 0)], docs.schema))).collect()}

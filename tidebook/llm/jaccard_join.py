@@ -15,10 +15,16 @@ inside sub-classes finds the pair. Candidates are verified on whole sets.
   a token changes cost, never the result.
 * Rare lists have fewer than ``frequent`` sets, so all their pairs are checked.
   Lists of combinations may be long: each set is first compared with four
-  pivots of a few of its lists; after these links are merged, only pairs of
-  different components are compared, and a 512-bit parity bitmap, whose Hamming
-  distance never exceeds the symmetric difference, rejects most of them. The
-  last round covers every list, so no link between components is lost.
+  pivots of a few of its lists, and these links are merged. A list that still
+  holds two components goes to the home of its smallest digest, where lists of
+  one group of copies meet, so a set travels there once and not once a list. A
+  home compares its sets inside a task and returns the links that join two of
+  its components, at most one fewer than it has sets, never its pairs. A home
+  of more than HOME_BYTES is dealt into tiles of two blocks each, which cover
+  all its pairs. Every such list has a home, so no link between components is
+  lost.
+* Inside a task a parity bitmap, whose Hamming distance never exceeds the
+  symmetric difference, rejects pairs before whole sets are compared.
 * Exact copies (equal sets) are one node. Nodes are 64-bit digests of the set;
   among N distinct sets about N^2 / 2^65 pairs share a digest by chance (20 at
   27 billion documents).
@@ -51,8 +57,11 @@ BITS = 26
 TILE_BYTES = 16 << 20
 PIVOTS = 4
 SIZE = (1 << 31) - 1
-#: The lists of combinations are compared in rounds, every 256th first, all of them last; components found so far are merged in between.
-STRIDES = (256, 32, 4, 1)
+#: What a task compares at once: bytes of tokens and SET_BYTES a set, which bounds its number of sets too.
+HOME_BYTES = 16 << 20
+SET_BYTES = 2048
+#: Sets whose distances to all others are taken at once.
+ROWS = 256
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:
@@ -255,25 +264,100 @@ def rare_pairs(docs: DataFrame, size: int, prefix: _Prefix, parts: int) -> DataF
 
 
 def combination_lists(docs: DataFrame, size: int, prefix: _Prefix) -> DataFrame:
-    """(sig, fp, n, lead) per signature of two frequent tokens, and a row with the set's parity bitmap b0..b7 (sig null)."""
-    names = ["sig", "fp", "n", "lead", *(f"b{i}" for i in range(8))]
+    """(sig, fp, n, lead) per signature of two frequent tokens, and a row with the set's tokens (sig null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for fp, h in _distinct_sets(batches, size):
             sig = np.unique(prefix.combinations(h)).view(np.int64)
             if len(sig):
-                bits = np.bincount((mix(h ^ _U(0x9FB21C651E98DF25)) & _U(511)).astype(np.int64), minlength=512) & 1
-                words = np.packbits(bits.astype(np.uint8)).view(np.int64)
                 k = len(sig) + 1
                 lead = np.zeros(k, bool)
                 lead[np.argsort(sig.view(_U))[:PIVOTS]] = True
                 none = np.r_[np.zeros(k - 1, bool), True]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.r_[sig, 0], pa.int64(), mask=none), pa.array(np.full(k, fp)), pa.array(np.full(k, len(h), np.int64)), pa.array(lead),
-                    *(pa.array(np.r_[np.zeros(k - 1, np.int64), w], pa.int64(), mask=~none) for w in words)], names)
+                    pa.array([None] * (k - 1) + [h.tobytes()], pa.binary())], ["sig", "fp", "n", "lead", "tokens"])
+
+    return docs.select("text").mapInArrow(run, "sig long, fp long, n long, lead boolean, tokens binary")
+
+
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the similarity."""
+    if len(x) > len(y):
+        x, y = y, x
+    if 100 * len(x) < percent * len(y):
+        return False
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    same = int(np.count_nonzero(y[at] == x))
+    return 100 * same >= percent * (len(x) + len(y) - same)
+
+
+def _joining_links(roots: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join the components of ``sets``, as places; where there are two blocks, only pairs across them are compared."""
+    label = np.unique(roots, return_inverse=True)[1]
+    if label.max() == 0:
+        return []
+    n = np.array([len(h) for h in sets])
+    order = np.argsort(n, kind="stable")
+    n, label, blocks, count = n[order], label[order], blocks[order], len(order)
+    across = blocks.min() != blocks.max()
+    width = 512
+    while width < min(8 * int(np.median(n)), (8 << 20) // count):
+        width *= 2
+    signs = np.empty((count, width), np.float32)
+    for row, i in enumerate(order):
+        odd = np.bincount((mix(sets[i] ^ _U(0x9FB21C651E98DF25)) & _U(width - 1)).astype(np.int64), minlength=width) & 1
+        signs[row] = 1 - 2 * odd
+    out = []
+    for a in range(0, count, ROWS):
+        b = min(a + ROWS, count)
+        end = int(np.searchsorted(n, 100 * n[b - 1] // percent, "right"))
+        apart = (width - signs[a:b] @ signs[a:end].T) / 2
+        # Jaccard >= t needs a symmetric difference of at most (1 - t) / (1 + t) of both sizes.
+        near = (100 + percent) * apart <= (100 - percent) * (n[a:b, None] + n[None, a:end])
+        near &= (label[a:b, None] != label[None, a:end]) & np.triu(np.ones((b - a, end - a), bool), 1)
+        if across:
+            near &= blocks[a:b, None] != blocks[None, a:end]
+        x, y = np.nonzero(near)
+        closest = np.argsort(apart[x, y], kind="stable")
+        for i, j in zip((x[closest] + a).tolist(), (y[closest] + a).tolist(), strict=True):
+            if label[i] != label[j] and _similar(sets[order[i]], sets[order[j]], percent):
+                out.append((int(order[i]), int(order[j])))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def joining_links(lists: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between components of ``roots(node, root)`` whose sets share a list of ``lists(sig, fp)``; ``sets(fp, n, tokens)``.
+
+    The links of a home join all of its sets that its pairs can join.
+    """
+    spark = lists.sparkSession
+    rows = lists.select("sig", "fp").join(roots, F.col("fp") == F.col("node"), "left").select("sig", "fp", F.coalesce("root", "fp").alias("root"))
+    homes = rows.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("fp").alias("home")).where("lo <> hi").select("sig", "home")
+    guests = cut_lineage(rows.join(homes, "sig").select("home", "fp", "root").distinct(), "homes").join(sets, "fp")
+    weight = F.col("n") * 8 + SET_BYTES
+    sized = cut_lineage(guests.groupBy("home").agg(F.sum(weight).alias("w")), "sizes")
+    units = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (sized.agg(F.sum("w")).first()[0] or 0) // HOME_BYTES)
+    large = sized.where(F.col("w") > HOME_BYTES).select("home", F.ceil(F.col("w") * 2 / HOME_BYTES).cast("int").alias("blocks"))
+    dealt = guests.join(large, "home", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64(F.lit(7), "fp"), F.col("blocks")), F.lit(0)).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1))
+    dealt = dealt.select("home", "fp", "root", "tokens", "blocks", "block", other.alias("other"))
+    tile = F.xxhash64("home", F.least("block", "other"), F.greatest("block", "other"))
+    dealt = dealt.select(F.when(F.col("blocks").isNull(), F.pmod(tile, F.lit(units))).otherwise(tile).alias("unit"), tile.alias("tile"), "fp", "root", "block", "tokens")
+
+    def compare(table: pa.Table) -> pa.Table:
+        tile, fp = table["tile"].to_numpy(), table["fp"].to_numpy()
+        root, block, tokens = table["root"].to_numpy(), table["block"].to_numpy(), table["tokens"].combine_chunks()
+        order = np.argsort(tile, kind="stable")
+        found = []
+        for part in np.split(order, np.flatnonzero(np.diff(tile[order])) + 1):
+            held = [np.frombuffer(tokens[int(i)].as_buffer(), _U) for i in part]
+            found += [(fp[part[i]], fp[part[j]]) for i, j in _joining_links(root[part], block[part], held, percent)]
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
-    schema = "sig long, fp long, n long, lead boolean, " + ", ".join(f"b{i} long" for i in range(8))
-    return docs.select("text").mapInArrow(run, schema)
+    return dealt.groupBy("unit").applyInArrow(compare, "a long, b long")
 
 
 def _needed(docs: DataFrame, fps: DataFrame, reps: DataFrame) -> np.ndarray:
@@ -327,14 +411,7 @@ def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, percen
         held = dict(zip(right["fp"].to_pylist(), (np.frombuffer(x, _U) for x in right["tokens"].to_pylist()), strict=True))
         keep = np.zeros(len(left), bool)
         for i, (a, b) in enumerate(zip(left["a"].to_pylist(), left["b"].to_pylist(), strict=True)):
-            x, y = held[a], held[b]
-            if len(x) > len(y):
-                x, y = y, x
-            if 100 * len(x) >= percent * len(y):
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                same = int(np.count_nonzero(y[at] == x))
-                keep[i] = 100 * same >= percent * (len(x) + len(y) - same)
+            keep[i] = _similar(held[a], held[b], percent)
         return left.select(["a", "b"]).filter(pa.array(keep))
 
     return dealt.groupBy("unit").cogroup(sets.groupBy("tile")).applyInArrow(check, "a long, b long")
@@ -365,21 +442,10 @@ def linked_rows(docs: DataFrame, size: int = 5, percent: int = 75, frequent: int
     edges = cut_lineage(verify(cut_lineage(pairs, "pairs"), docs, reps, size, percent), "edges")
     roots = cut_lineage(components(edges), "roots")
 
-    bitmaps = combos.where("sig is null").drop("sig", "lead").dropDuplicates(["fp"])
-    apart = " + ".join(f"bit_count(l.b{i} ^ r.b{i})" for i in range(8))
-    # Jaccard >= t needs a symmetric difference of at most (1 - t) / (1 + t) of both sizes. The smaller set's power names the list that counts.
-    near = f"""l.sig = r.sig and l.fp < r.fp and l.root <> r.root and (l.sig & 63) = cast(floor(log2(least(l.n, r.n))) as bigint)
-        and 100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n) and {100 + percent} * ({apart}) <= {100 - percent} * (l.n + r.n)"""
-    for stride in STRIDES:
-        rows = lists.where(F.pmod(F.shiftright("sig", 6), F.lit(stride)) == 0).select("sig", "fp")
-        rows = cut_lineage(rows.join(roots, rows.fp == roots.node, "left").select("sig", "fp", F.coalesce("root", "fp").alias("root")), "lists")
-        open_lists = rows.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
-        side = cut_lineage(rows.join(open_lists, "sig").join(bitmaps, "fp"), "open")
-        more = side.alias("l").join(side.alias("r"), F.expr(near)).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"), F.expr("l.n + r.n").alias("w")).distinct()
-        more = cut_lineage(more, "pairs")
-        if not more.isEmpty():
-            edges = edges.union(cut_lineage(verify(more, docs, reps, size, percent), "edges"))
-            roots = cut_lineage(components(edges), "roots")
+    sets = combos.where("sig is null").select("fp", "n", "tokens").dropDuplicates(["fp"])
+    more = cut_lineage(joining_links(lists, sets, roots, percent), "edges")
+    if not more.isEmpty():
+        roots = cut_lineage(components(edges.union(more)), "roots")
 
     named = reps.join(roots, reps.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
