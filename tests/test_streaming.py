@@ -117,6 +117,36 @@ def test_alerts_come_without_a_row(spark):
     assert sorted((r.symbol, r.alert_time.strftime("%H:%M"), r.kind) for r in got.collect()) == sorted(want)
 
 
+def test_state_entries_do_not_grow_with_the_keys(spark):
+    """A state call per key took most of the time of a stream of many symbols."""
+    from tidebook.streaming.ordered import watermarked
+
+    at = F.timestamp_seconds(F.lit(1_709_600_400) + F.col("id") % 2 * 60)
+    d = spark.range(6000).select(F.concat(F.lit("s"), F.floor(F.col("id") / 2)).alias("symbol"), at.alias("ts"), F.col("id").alias("event_id"), (100.0 - F.col("id") % 2 * 30).alias("ltp"))
+    path = shared_dir(spark, "many")
+    d.write.parquet(path)
+    q = J.alerts(watermarked(J.stream_parquet(spark, path, d.schema)), 10.0, 20.0).writeStream.format("noop").option("checkpointLocation", shared_dir(spark, "many-ckpt")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    written = sum(o["numRowsUpdated"] for p in q.recentProgress for o in p["stateOperators"])
+    assert 0 < written < 3000
+    got = J.drain_to_end(J.stream_parquet(spark, path, d.schema), lambda d: J.alerts(d, 10.0, 20.0), "many")
+    assert {(r.kind, r["count"]) for r in got.groupBy("kind").count().collect()} == {("entered", 3000), ("target", 3000)}
+
+
+def test_open_states_last_over_batches_of_a_shelf(spark):
+    """Stretches of one shelf fall due in different batches; the rest of the shelf stays."""
+    from datetime import datetime, timedelta
+
+    path = shared_dir(spark, "steps")
+    start = datetime(2024, 3, 4, 9, 15)
+    snaps = [(s, start + timedelta(minutes=7 * i), 2 * i + k, 100.0 - i) for i in range(55) for k, s in enumerate("ab")]
+    d = spark.createDataFrame(snaps, "symbol string, ts timestamp, event_id long, ltp double")
+    for part in range(11):
+        d.where(F.floor(F.col("event_id") / 10) == part).coalesce(1).write.mode("append").parquet(path)
+    got = J.drain_to_end(J.stream_parquet(spark, path, d.schema, max_files=1), lambda d: J.lifecycle(d, 10.0, 20.0), "steps")
+    assert rows(got.drop("pnl")) == rows(J.lifecycle_batch(d, 10.0, 20.0).drop("pnl")) and got.count() == 2
+
+
 def test_ingest_twice_adds_nothing(spark):
     batch, stream = split_ticks(spark)
     target = (shared_dir(spark, "in"), shared_dir(spark, "in-ckpt"))

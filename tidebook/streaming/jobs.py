@@ -97,7 +97,7 @@ def minute_of_day(ts: str | Column) -> Column:
     return F.hour(ts) * 60 + F.minute(ts)
 
 
-def _keyed(df: DataFrame, step: Callable, out: str, state: str, order: list[str], initial: tuple) -> DataFrame:
+def _keyed(df: DataFrame, step: Callable, out: str, order: list[str], initial: tuple) -> DataFrame:
     """Fold ``step(state, row) -> (state, output or None)`` over each
     (symbol, day) in order; the state goes a day after its day."""
 
@@ -109,7 +109,11 @@ def _keyed(df: DataFrame, step: Callable, out: str, state: str, order: list[str]
         over = datetime(key[1].year, key[1].month, key[1].day, tzinfo=timezone.utc).timestamp() + 2 * 86_400
         return (None, [], None) if now >= over else (s, [], over)
 
-    return ordered_fold(df.withColumn("day", F.to_date("ts")), ["symbol", "day"], fold, out, state, order, lapse=lapse)
+    return ordered_fold(df.withColumn("day", F.to_date("ts")), ["symbol", "day"], fold, out, order, lapse=lapse)
+
+
+def _seconds(ts: datetime) -> float:
+    return ts.replace(tzinfo=timezone.utc).timestamp()
 
 
 def lifecycle(df: DataFrame, target: float, stop: float) -> DataFrame:
@@ -133,8 +137,8 @@ def lifecycle(df: DataFrame, target: float, stop: float) -> DataFrame:
             return (entry, peak, 3), (r.ts, why, pnl)
         return (entry, peak, phase), None
 
-    return _keyed(df, step, "symbol string, day date, exit_time timestamp, exit_reason string, pnl double",
-                  "entry double, peak double, phase int", ["ts", "event_id"], (0.0, 0.0, 0))
+    return _keyed(df.select("symbol", "ts", "event_id", "ltp"), step, "symbol string, day date, exit_time timestamp, exit_reason string, pnl double",
+                  ["ts", "event_id"], (0.0, 0.0, 0))
 
 
 def lifecycle_batch(df: DataFrame, target: float, stop: float) -> DataFrame:
@@ -166,14 +170,14 @@ def entry_gate(df: DataFrame, min_premium: float, min_score: float) -> DataFrame
     d = df.withColumn("candidate", flag(ok & (F.col("is_stop") == 0))).where("candidate = 1 or is_stop = 1 or symbol is null")
 
     def step(s, r):
-        now = r.ts.timestamp()
+        now = _seconds(r.ts)
         if r.is_stop == 1:
             return (now,), None
         if now - s[0] < COOLDOWN_MINUTES * 60:
             return s, None
         return s, (r.event_id, r.ts, float(r.ltp))
 
-    return _keyed(d, step, "symbol string, day date, event_id bigint, ts timestamp, ltp double", "last_stop double", ["ts", "event_id"], (-1e18,))
+    return _keyed(d.select("symbol", "ts", "event_id", "ltp", "is_stop"), step, "symbol string, day date, event_id bigint, ts timestamp, ltp double", ["ts", "event_id"], (-1e18,))
 
 
 @dataclass(frozen=True)
@@ -210,18 +214,18 @@ def full_lifecycle(df: DataFrame, rules: Rules) -> DataFrame:
         phase, entry, entered, peak, stopped = s
         if phase == 0:
             waits = stopped is not None and (r.ts - stopped).total_seconds() < rules.cooldown_minutes * 60
-            return (s if waits or not r.may_enter else (1, float(r.ltp), r.ts.to_pydatetime(), 0.0, stopped)), None
+            return (s if waits or not r.may_enter else (1, float(r.ltp), r.ts, 0.0, stopped)), None
         pnl, minute = entry - r.ltp, r.ts.hour * 60 + r.ts.minute
         peak = max(peak, pnl)
         why = "eod" if minute >= EOD_MINUTE else "stop" if pnl <= -rules.stop else "trail" if phase == 2 and pnl <= peak * TRAIL_SHARE else None
         if why:
-            return (0, 0.0, None, 0.0, r.ts.to_pydatetime() if why == "stop" else stopped), (entered, r.ts, why, entry, pnl)
+            return (0, 0.0, None, 0.0, r.ts if why == "stop" else stopped), (entered, r.ts, why, entry, pnl)
         if phase == 1:
             return ((2, entry, entered, pnl, stopped) if pnl >= rules.target else s), None
         return (2, entry, entered, peak, stopped), None
 
     marks = df.select("symbol", "ts", "event_id", "ltp", may_enter(rules).alias("may_enter"))
-    return _keyed(marks, step, f"symbol string, day date, {TRADES}", "phase int, entry double, entered timestamp, peak double, stopped timestamp", ["ts", "event_id"], (0, 0.0, None, 0.0, None))
+    return _keyed(marks, step, f"symbol string, day date, {TRADES}", ["ts", "event_id"], (0, 0.0, None, 0.0, None))
 
 
 def full_lifecycle_batch(df: DataFrame, rules: Rules) -> DataFrame:
@@ -264,8 +268,8 @@ def hedges(df: DataFrame, lot: float) -> DataFrame:
         total = s[0] + lots
         return (total,), (r.event_id, r.ts, float(r.net_delta), lots, "buy" if lots > 0 else "sell", total)
 
-    return _keyed(d, step, "symbol string, day date, event_id bigint, hedge_time timestamp, net_delta double, hedge_lots double, hedge_direction string, cumulative_lots double",
-                  "total double", ["ts", "event_id"], (0.0,))
+    return _keyed(d.select("symbol", "ts", "event_id", "net_delta"), step, "symbol string, day date, event_id bigint, hedge_time timestamp, net_delta double, hedge_lots double, hedge_direction string, cumulative_lots double",
+                  ["ts", "event_id"], (0.0,))
 
 
 ALERT_KINDS = ("entered", "target", "stop", "eod")
@@ -286,7 +290,7 @@ def alerts(df: DataFrame, target: float, stop: float) -> DataFrame:
             seen |= int(hit[i]) << i
         return (entry, seen), (r.ts, ",".join(new)) if new else None
 
-    raw = _keyed(df, step_all, "symbol string, day date, alert_time timestamp, kinds string", "entry double, seen int", ["ts", "event_id"], (0.0, 0))
+    raw = _keyed(df.select("symbol", "ts", "event_id", "ltp"), step_all, "symbol string, day date, alert_time timestamp, kinds string", ["ts", "event_id"], (0.0, 0))
     return raw.select("symbol", "day", "alert_time", F.explode(F.split("kinds", ",")).alias("kind"))
 
 
@@ -306,7 +310,7 @@ def position_alerts(df: DataFrame, target: float, stop: float, gone_after_minute
         return datetime.fromtimestamp(s[3] + gap, timezone.utc).replace(tzinfo=None), "closed"
 
     def step(s, r):
-        now = r.ts.tz_localize("UTC").timestamp() if r.ts.tzinfo is None else r.ts.timestamp()
+        now = _seconds(r.ts)
         out = []
         if s is not None and now - s[3] >= gap:
             out.append(gone(s))
@@ -323,4 +327,4 @@ def position_alerts(df: DataFrame, target: float, stop: float, gone_after_minute
     def lapse(key, s, now):
         return (None, [gone(s)], None) if now >= s[3] + gap else (s, [], s[3] + gap)
 
-    return ordered_fold(df, ["symbol"], step, "symbol string, alert_time timestamp, kind string", "entry double, seen int, reached boolean, last double", lapse=lapse)
+    return ordered_fold(df.select("symbol", "ts", "event_id", "ltp"), ["symbol"], step, "symbol string, alert_time timestamp, kind string", lapse=lapse)
