@@ -386,6 +386,7 @@ def _ml06c(t):
     from tidebook.streaming.jobs import drain
     daily, stats, _, stream = _live_stream(t)
     path, _ = _stored_models(t)
-    model, features = WF.load_model(t.spark, path, (0, "iron_condor"))
-    rows = drain(WF.live_scores(WF.live_inputs(stream, daily, stats, features), model), "live-scores")
+    model, features = WF.load_model(t.spark, path, (0, "iron_condor")) or (None, SC.FEATURES)
+    inputs = WF.live_inputs(stream, daily, stats, features).withColumn("strategy", F.lit("iron_condor"))
+    rows = drain(WF.live_scores(inputs, model), "live-scores")
     return rows.withColumn("snap_date", F.to_date("ts"))
