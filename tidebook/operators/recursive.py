@@ -47,7 +47,8 @@ def ewm_mean(
         return out.select(*df.columns, *specs)
     w = W.partitionBy(*by).orderBy(order)
     seen = w.rowsBetween(W.unboundedPreceding, 0)
-    before = w.rowsBetween(W.unboundedPreceding, -1)
+    # The same order as ``w``, in the columns the blocks are sorted by: no second sort.
+    before = W.partitionBy(*by).orderBy("_blk", "_rn").rowsBetween(W.unboundedPreceding, -1)
 
     pos = df.withColumn("_rn", F.row_number().over(w) - 1).withColumns(
         {f"_n_{o}": F.count(c).over(seen) for o, (c, _, _) in specs.items()}
