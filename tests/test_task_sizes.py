@@ -1,8 +1,13 @@
 """Tasks of the fund jobs hold a fixed number of rows, whatever the session's shuffle partitions."""
 
+import datetime as dt
+import random
+
 import pytest
 
+import __spark_entry__ as entry
 from tidebook import session
+from tidebook.operators.asof import asof_join
 from tidebook.plans import funds as FU
 from tidebook.sources.adapters import Tables
 
@@ -22,3 +27,25 @@ def small(spark, monkeypatch):
 def test_fund_windows_get_more_tasks_as_rows_grow(small):
     t, n = small
     assert FU.technical(t.nav).rdd.getNumPartitions() == n
+
+
+def test_forward_asof_gets_more_tasks_as_rows_grow(spark, small):
+    _, n = small
+    assert entry.queries()["join08_asof_forward"](spark, ROOT).rdd.getNumPartitions() == n
+
+
+@pytest.mark.parametrize("direction", ["backward", "forward"])
+@pytest.mark.parametrize("exact", [True, False])
+def test_asof_by_whole_keys_matches_brute_force(spark, direction, exact):
+    rnd = random.Random(5)
+    day = lambda: dt.date(2024, 1, 1) + dt.timedelta(days=rnd.randrange(200))
+    left = [(rnd.choice("abc"), day(), i) for i in range(150)] + [("a", None, 150), (None, day(), 151)]
+    right = {(rnd.choice("ab"), day()): float(i) for i in range(40)} | {(None, dt.date(2024, 3, 1)): -1.0}
+    want = {}
+    for k, d, i in left:
+        ok = [x for kk, x in right if None not in (k, d) and kk == k and (x <= d if direction == "backward" else x >= d) and (exact or x != d)]
+        want[i] = right[k, (max if direction == "backward" else min)(ok)] if ok else None
+    lf = spark.createDataFrame(left, "k string, d date, i int")
+    rf = spark.createDataFrame([(*kd, v) for kd, v in right.items()], "k string, e date, v double")
+    got = asof_join(lf, rf, ["k"], "d", "e", ["v"], direction=direction, allow_exact=exact, time_slice=None, tasks=3)
+    assert {r.i: r.v for r in got.collect()} == want

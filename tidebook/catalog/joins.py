@@ -68,7 +68,9 @@ def _join07(t):
        select m.scheme_code, month_start, n.date as first_date, n.nav from m asof left join nav n on m.scheme_code=n.scheme_code and m.month_start <= n.date""")
 def _join08(t):
     m = t.nav.select("scheme_code", F.trunc("date", "MM").alias("month_start")).distinct()
-    return A.asof_join(m, t.nav, ["scheme_code"], "month_start", "date", ["nav"], direction="forward", matched_on="first_date")
+    # One price per fund and day: a fund's rows are bounded by its days.
+    return A.asof_join(m, t.nav, ["scheme_code"], "month_start", "date", ["nav"], direction="forward", matched_on="first_date",
+                       time_slice=None, tasks=t.tasks("lineitem"))
 
 
 @query("join09_interval_events", "snap_date:d expiry:d event_in_window:i days_to_event:i",

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidebook.functions.exprs import all_of
+
 
 def asof_join(
     left: DataFrame,
@@ -20,8 +22,9 @@ def asof_join(
     direction: str = "backward",
     allow_exact: bool = True,
     tolerance_days: int | None = None,
-    time_slice: str = "month",
+    time_slice: str | None = "month",
     matched_on: str | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Left rows with the nearest right row before (or after) them, per key.
 
@@ -30,6 +33,11 @@ def asof_join(
     one key with a third of all rows is spread over its slices. Rows whose
     slice holds no earlier right row take the carry: the last right row of the
     earlier slices, computed from one pre-aggregated row per (key, slice).
+
+    ``time_slice=None`` is for keys whose rows are bounded, as one per day: one
+    window by key, without slices and carry. ``tasks`` sets the number of tasks
+    of the sorts, for inputs that outgrow the session's fixed number of shuffle
+    partitions.
     """
     back = direction == "backward"
     by = list(by)
@@ -49,24 +57,39 @@ def asof_join(
         F.struct(*left.columns).alias("_left"),
         F.lit(None).cast(r.schema["_right"].dataType).alias("_right"),
     )
-    u = lft.unionByName(r).withColumn("_slice", F.date_trunc(time_slice, F.col("_on")).cast("date"))
-
+    u = lft.unionByName(r)
     on_order = F.col("_on").asc() if back else F.col("_on").desc()
+    if time_slice is None:
+        u = u.repartition(tasks, *by) if tasks else u
+        w_key = W.partitionBy(*by).orderBy(on_order, F.col("_tag")).rowsBetween(W.unboundedPreceding, 0)
+        known = all_of(F.col(c).isNotNull() for c in [*by, "_on"])
+        j = u.withColumn("_m", F.when(known, F.last("_right", ignorenulls=True).over(w_key))).where(F.col("_left").isNotNull())
+    else:
+        j = _match_in_slices(u, by, back, on_order, time_slice, tasks)
+    if tolerance_days is not None:
+        gap = F.abs(F.datediff(F.col("_on"), F.col("_m.on")))
+        j = j.withColumn("_m", F.when(gap <= tolerance_days, F.col("_m")))
+    extra = [F.col("_m.on").alias(matched_on)] if matched_on else []
+    return j.select("_left.*", *[F.col(f"_m.val.{v}").alias(v) for v in values], *extra)
+
+
+def _match_in_slices(u: DataFrame, by: list[str], back: bool, on_order: Column, time_slice: str, tasks: int | None) -> DataFrame:
+    """Left rows of the union with the last right row so far as ``_m``."""
+    u = u.withColumn("_slice", F.date_trunc(time_slice, F.col("_on")).cast("date"))
+    if tasks:
+        u = u.repartition(tasks, *by, "_slice")
     w_in = W.partitionBy(*by, "_slice").orderBy(on_order, F.col("_tag")).rowsBetween(W.unboundedPreceding, 0)
     slice_order = F.col("_slice").asc() if back else F.col("_slice").desc()
     w_over = W.partitionBy(*by).orderBy(slice_order).rowsBetween(W.unboundedPreceding, -1)
 
     pick = F.max_by if back else F.min_by
     per_slice = u.groupBy(*by, "_slice").agg(pick("_right", F.col("_right.on")).alias("_edge"))
+    if tasks:
+        per_slice = per_slice.repartition(tasks, *by)
     carry = per_slice.withColumn("_carry", F.last("_edge", ignorenulls=True).over(w_over)).select(*by, "_slice", "_carry")
 
     hit = u.withColumn("_hit", F.last("_right", ignorenulls=True).over(w_in)).where(F.col("_left").isNotNull())
-    j = hit.join(carry, [*by, "_slice"], "left").withColumn("_m", F.coalesce("_hit", "_carry"))
-    if tolerance_days is not None:
-        gap = F.abs(F.datediff(F.col("_on"), F.col("_m.on")))
-        j = j.withColumn("_m", F.when(gap <= tolerance_days, F.col("_m")))
-    extra = [F.col("_m.on").alias(matched_on)] if matched_on else []
-    return j.select("_left.*", *[F.col(f"_m.val.{v}").alias(v) for v in values], *extra)
+    return hit.join(carry, [*by, "_slice"], "left").withColumn("_m", F.coalesce("_hit", "_carry"))
 
 
 def interval_hits(
