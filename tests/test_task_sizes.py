@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tidebook import session
@@ -49,3 +50,24 @@ def test_asof_by_whole_keys_matches_brute_force(spark, direction, exact):
     rf = spark.createDataFrame([(*kd, v) for kd, v in right.items()], "k string, e date, v double")
     got = asof_join(lf, rf, ["k"], "d", "e", ["v"], direction=direction, allow_exact=exact, time_slice=None, tasks=3)
     assert {r.i: r.v for r in got.collect()} == want
+
+
+def test_enrichment_leaves_fund_rows_where_they_are(spark, small, capsys):
+    t, n = small
+    # A benchmark of its own, so that only the fund rows' shuffles are counted.
+    bench = spark.createDataFrame([(dt.date(2001, 5, 1), 1.0)], "date date, close double")
+    d = FU.enrich(t.nav, bench, F.to_date(F.lit("2001-06-30")), n)
+    assert d.rdd.getNumPartitions() == n
+    d.select("scheme_code", "date", "sma_20", "sip_return_1y", "week_return_pct", "volatility_1y").explain()
+    # Raw rows and prices, for the daily and for the monthly columns, and the solved months.
+    assert capsys.readouterr().out.count(" Exchange ") <= 5
+
+
+def test_sip_months_without_prices_and_null_days(spark):
+    nav = [(1, dt.date(2020, 1, 15), 10.0), (1, dt.date(2020, 4, 20), 20.0), (1, None, 7.0), (None, dt.date(2020, 2, 3), 9.0)]
+    got = FU.sip_monthly(spark.createDataFrame(nav, "scheme_code long, date date, nav double"), {"r": 3}).orderBy("month").collect()
+    assert [(r.scheme_code, r.month, r.month_end) for r in got] == [(1, dt.date(2020, 1, 1), dt.date(2020, 1, 15)), (1, dt.date(2020, 4, 1), dt.date(2020, 4, 20))]
+    # February to April all buy on 20 April, the day they are valued: no rate.
+    assert [r.r for r in got] == [0.0, 0.0]
+    daily = FU.sip_returns(spark.createDataFrame(nav, "scheme_code long, date date, nav double"))
+    assert sorted(r.date for r in daily.collect()) == [dt.date(2020, 1, 15), dt.date(2020, 4, 20)]
