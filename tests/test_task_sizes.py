@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,3 +72,22 @@ def test_sip_months_without_prices_and_null_days(spark):
     assert [r.r for r in got] == [0.0, 0.0]
     daily = FU.sip_returns(spark.createDataFrame(nav, "scheme_code long, date date, nav double"))
     assert sorted(r.date for r in daily.collect()) == [dt.date(2020, 1, 15), dt.date(2020, 4, 20)]
+
+
+def test_captures_read_the_prices_as_the_other_columns_do(spark, small, capsys):
+    # A filter on days below the shuffle would make the quality score read and shuffle the prices twice.
+    t, _ = small
+    bench = spark.createDataFrame([(dt.date(2001, 5, d), float(d)) for d in (2, 9)], "date date, close double")
+    FU.captures(t.nav, bench, F.to_date(F.lit("2001-12-31"))).explain()
+    scans = re.findall(r"DataFilters: \[([^\]]*)\]", capsys.readouterr().out)
+    assert scans and not any("l_shipdate" in s for s in scans)
+
+
+def test_captures_leave_out_days_outside_the_years(spark):
+    day = dt.date
+    nav = [(1, day(2021, 1, 4), 10.0), (1, day(2021, 1, 20), 11.0), (1, day(2021, 1, 29), 99.0), (1, day(2019, 12, 2), 1.0), (1, day(2019, 12, 9), 9.0),
+           (2, day(2021, 1, 28), 5.0), (3, None, 5.0)]
+    bench = [(day(2021, 1, 4), 100.0), (day(2021, 1, 20), 120.0), (day(2021, 1, 29), 60.0), (day(2019, 12, 2), 1.0), (day(2019, 12, 9), 2.0), (None, 3.0)]
+    got = FU.captures(spark.createDataFrame(nav, "scheme_code long, date date, nav double"), spark.createDataFrame(bench, "date date, close double"),
+                      F.to_date(F.lit("2021-01-20")), years=1).collect()
+    assert [(r.scheme_code, round(r.upside_capture, 9), r.downside_capture) for r in got] == [(1, 50.0, 0.0)]
